@@ -15,3 +15,8 @@ QUERIES = {
 }
 
 ORACLE_SQL = {"op7_chat_format": OP7_SQL, "op9_warc_revisit": OP9_SQL}
+
+from coderake.llm.ngram_join import OP5_SQL, op5_ngram_jaccard  # noqa: E402
+
+QUERIES["op5_ngram_jaccard"] = op5_ngram_jaccard
+ORACLE_SQL["op5_ngram_jaccard"] = OP5_SQL
