@@ -20,3 +20,8 @@ from coderake.llm.ngram_join import OP5_SQL, op5_ngram_jaccard  # noqa: E402
 
 QUERIES["op5_ngram_jaccard"] = op5_ngram_jaccard
 ORACLE_SQL["op5_ngram_jaccard"] = OP5_SQL
+
+from coderake.llm.langid import op6_language_ecoc  # noqa: E402
+from coderake.llm.quality import op4_quality_pu  # noqa: E402
+
+QUERIES |= {"op4_quality_pu": op4_quality_pu, "op6_language_ecoc": op6_language_ecoc}
