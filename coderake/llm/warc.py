@@ -94,11 +94,12 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, archive_mb:
     then each page's decision meets its payload once, by digest."""
     rows = described(pages, id_col, url_col, payload_col)
     first = saved(originals(rows.drop("payload"), min_bytes), "warc-originals")
-    total = first.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
+    stored = first.agg(F.sum("bytes"), F.sum("copies")).first()
+    mean = max(1, (stored[0] or 0) // max(1, stored[1] or 0))
     rows = resolved(rows, first.where("copies > 1"), min_bytes)
-    archives = max(1, -(-total // (archive_mb << 20)))
-    text = records(rows, date).repartition(archives)
-    text.write.option("lineSep", RECORD_END).option("compression", "gzip").text(path)
+    # The tasks of the join write: the payloads are not dealt out once more.
+    most = max(1, (archive_mb << 20) // mean)
+    records(rows, date).write.option("lineSep", RECORD_END).option("compression", "gzip").option("maxRecordsPerFile", most).text(path)
 
 
 def _parsed(data: bytes):
