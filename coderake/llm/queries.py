@@ -25,3 +25,8 @@ from coderake.llm.langid import op6_language_ecoc  # noqa: E402
 from coderake.llm.quality import op4_quality_pu  # noqa: E402
 
 QUERIES |= {"op4_quality_pu": op4_quality_pu, "op6_language_ecoc": op6_language_ecoc}
+
+from coderake.llm.ball_tree import OP10_SQL, op10_ball_tree_topk  # noqa: E402
+
+QUERIES["op10_ball_tree_topk"] = op10_ball_tree_topk
+ORACLE_SQL["op10_ball_tree_topk"] = OP10_SQL
