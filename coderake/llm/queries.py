@@ -30,3 +30,7 @@ from coderake.llm.ball_tree import OP10_SQL, op10_ball_tree_topk  # noqa: E402
 
 QUERIES["op10_ball_tree_topk"] = op10_ball_tree_topk
 ORACLE_SQL["op10_ball_tree_topk"] = OP10_SQL
+
+from coderake.llm.kmeans_tree import op2_kmeans_tree_ann  # noqa: E402
+
+QUERIES["op2_kmeans_tree_ann"] = op2_kmeans_tree_ann
