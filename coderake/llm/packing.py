@@ -8,6 +8,7 @@ table gives an empty result. Only id and text are read.
 from __future__ import annotations
 
 import zlib
+from array import array
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -16,8 +17,8 @@ from pyspark.sql import types as T
 
 from coderake.llm.common import saved
 
-#: Words whose ids a task remembers at once.
-REMEMBERED = 500_000
+#: Chunks whose ids a Python worker remembers, from its first tasks on (about 200 MB); others are encoded when met.
+REMEMBERED = 800_000
 
 
 def tokenizer_json(path: str | None = None) -> str:
@@ -37,35 +38,64 @@ class WordIds:
     ODD = "\x1c\x1d\x1e\x1f"
 
     def __init__(self, json_text: str) -> None:
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer, self.known = Tokenizer.from_str(json_text), {}
+        # How the tokenizer spells the bytes of the letters up to U+00FF.
+        spelled = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.spelling = {n: spelled.pre_tokenize_str(chr(n))[0][0] for n in range(128, 256) if chr(n).isalpha()}
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        out = []
-        for text in texts:
-            if any(c in text for c in self.ODD):
-                out.append(self._bytes(self.tokenizer.encode(text, add_special_tokens=False).ids))
-                continue
-            try:
-                text.encode("latin-1")
-                text = text.lower()  # no such character depends on its neighbours
-            except UnicodeEncodeError:
-                pass
-            chunks = text.split()
-            new = [c for c in dict.fromkeys(chunks) if c not in self.known]
-            if len(self.known) + len(new) > REMEMBERED:
-                self.known, new = {}, list(dict.fromkeys(chunks))
-            if new:
-                for chunk, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-                    self.known[chunk] = self._bytes(found.ids)
-            out.append(b"".join(map(self.known.__getitem__, chunks)))
-        return out
-
-    @staticmethod
-    def _bytes(ids: list[int]) -> bytes:
-        return b"".join(i.to_bytes(4, "little") for i in ids)
+        return [self._text(text) for text in texts]
+
+    def _text(self, text: str) -> bytes:
+        if any(c in text for c in self.ODD):
+            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        try:
+            text.encode("latin-1")
+            text, plain = text.lower(), True  # no such character depends on its neighbours
+        except UnicodeEncodeError:
+            plain = False
+        chunks = text.split()
+        found = list(map(self.known.get, chunks))
+        if None in found:
+            missing = dict.fromkeys(c for c, ids in zip(chunks, found) if ids is None)
+            new = self._encoded(missing, plain)
+            if len(self.known) < REMEMBERED:
+                self.known |= new
+            found = [new[c] if ids is None else ids for c, ids in zip(chunks, found)]
+        return b"".join(found)
+
+    def _encoded(self, chunks, plain: bool) -> dict[str, bytes]:
+        """Ids of new chunks. A word and one sign after it are two pre-tokens, so their ids just follow each other."""
+        if plain:
+            parts = {c: (c[:-1], c[-1]) for c in chunks if c[-1] in ",.;:!?|" and c[:-1].isalpha()}
+            bare = dict.fromkeys(x for pair in parts.values() for x in pair if x not in self.known)
+            rest = [*bare, *(c for c in chunks if c not in parts and c not in bare)]
+            own = self._direct([c for c in rest if not c.isalpha()])
+            # A lower-case word of such letters is one pre-token: it can go straight to the merges.
+            merge = self.tokenizer.model.tokenize
+            own |= {c: array("I", [t.id for t in merge(c if c.isascii() else c.translate(self.spelling))]).tobytes() for c in rest if c.isalpha()}
+            for c, pair in parts.items():
+                own[c] = b"".join(self.known.get(x) or own[x] for x in pair)
+            return own
+        return self._direct(list(chunks))
+
+    def _direct(self, chunks: list[str]) -> dict[str, bytes]:
+        encoded = self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)
+        return {c: array("I", e.ids).tobytes() for c, e in zip(chunks, encoded)}
+
+
+#: One per tokenizer in each Python worker, kept from task to task.
+_WORD_IDS: dict[int, WordIds] = {}
+
+
+def word_ids(json_text: str) -> WordIds:
+    mark = zlib.crc32(json_text.encode())
+    if mark not in _WORD_IDS:
+        _WORD_IDS[mark] = WordIds(json_text)
+    return _WORD_IDS[mark]
 
 
 def pieces(docs: DataFrame, tokenizer_path: str | None = None, max_tokens: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
@@ -82,7 +112,7 @@ def pieces(docs: DataFrame, tokenizer_path: str | None = None, max_tokens: int =
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encode = WordIds(shipped.value)
+        encode = word_ids(shipped.value)
         for batch in batches:
             rows: dict[str, list] = {f.name: [] for f in fields[1:]}
             origin = []
