@@ -34,3 +34,7 @@ ORACLE_SQL["op10_ball_tree_topk"] = OP10_SQL
 from coderake.llm.kmeans_tree import op2_kmeans_tree_ann  # noqa: E402
 
 QUERIES["op2_kmeans_tree_ann"] = op2_kmeans_tree_ann
+
+from coderake.llm.token_counts import op8_token_counts  # noqa: E402
+
+QUERIES["op8_token_counts"] = op8_token_counts
