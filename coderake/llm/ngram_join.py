@@ -7,21 +7,25 @@ asked for is each document's component under links.
 1. Order. Shingles are ordered by how often they occur (a fixed-size sketch of
    counts over all documents; any order is right, this one makes prefixes rare). Two
    sets that link share one of their first n - ceil(0.8 n) + 1 shingles.
-2. Groups. Under each shared prefix shingle every set is compared with one leader,
-   exactly; the components of these links are the groups of similar documents.
-3. Matrix. (shingle, group) says that a group's token union has the shingle. A set
-   looks up the groups, other than its own, that share a prefix shingle with it, the
-   smaller group asking the larger. Its overlap with a group's whole union bounds its
-   overlap with every member; only groups whose bound reaches 80 % of its size are
-   opened, and each member of these is compared exactly.
-
-Every link between two groups is found in 3, every other one joins sets of one group
-already, so the components are exact, while a group of thousands of near copies costs
-a comparison with its leaders each and never all pairs.
+2. Groups. Under each shared prefix shingle every set is compared with one leader;
+   the components of the links found are the groups of similar documents, dealt into
+   chunks of some dozens.
+3. Matrix. (shingle, chunk) says that a chunk's sets have the shingle in a prefix. A set
+   looks up the chunks of other groups that share one with it, the smaller group asking
+   the larger. A chunk's token union is kept as a bitmap: tokens of the set whose bits are
+   not in it can't be in any member, which bounds the overlap with all of them. Only
+   chunks whose bound reaches 80 % of the set's size are opened.
+
+Each candidate pair is bounded by the two bitmaps in the same way, and what is left is
+compared exactly, whole set against whole set. Every link between two groups is found in
+3, every other one joins sets of one group already, so the components are exact, while a
+group of thousands of near copies costs a comparison with its leaders each and never all
+pairs. Whole sets are made again from the text, for the documents of such pairs only; a
+fixed-size filter of their ids spares shuffling the other texts.
 
 Cases: a null or empty text, or one without words, has an empty set and is linked with
 nothing; with fewer words than n the whole sequence is the one shingle; repeated rows
-and equal texts are linked; a row with a null id gets the component of its equals, null
+and equal texts are linked (one vertex, named by 64 bits of its set's mark); a row with a null id gets the component of its equals, null
 if they have no id either; an empty table gives an empty result. Only id and text are read.
 """
 
@@ -91,6 +95,33 @@ def _parts(batch: pa.RecordBatch, rows: int = 1000):
         yield batch.slice(at, rows)
 
 
+def _mark(found: np.ndarray) -> tuple[int, int]:
+    """128 bits that name a set; the first half is its vertex."""
+    with np.errstate(over="ignore"):
+        one = (found * np.uint64(0xC2B2AE3D27D4EB4F)) ^ (found >> np.uint64(31))
+        two = (found ^ (found >> np.uint64(29))) * np.uint64(_BASE)
+        return int(one.sum(dtype=np.uint64).view(np.int64)), int(two.sum(dtype=np.uint64).view(np.int64))
+
+
+def bitmap(found: np.ndarray) -> bytes:
+    """Bits of a set's tokens, 4 to 8 for each token."""
+    width = max(64, 1 << (4 * len(found) - 1).bit_length())
+    on = np.zeros(width, bool)
+    on[(found & np.uint64(width - 1)).astype(np.int64)] = True
+    return np.packbits(on, bitorder="little").tobytes()
+
+
+def _folded(bits: bytes, width: int) -> np.ndarray:
+    raw = np.frombuffer(bits, np.uint8)
+    return raw if len(raw) == width else np.bitwise_or.reduce(raw.reshape(-1, width), 0)
+
+
+def outside(bits: bytes, other: bytes) -> int:
+    """At least so many tokens of the first set are not in the other one."""
+    width = min(len(bits), len(other))
+    return int(np.bitwise_count(_folded(bits, width) & ~_folded(other, width)).sum())
+
+
 def set_marks(docs: DataFrame, n: int) -> tuple[DataFrame, np.ndarray]:
     """(doc_id, n_shingles, sig1, sig2) with a 128-bit mark of each set, and the sketch of shingle counts."""
     def scan(batches):
@@ -99,10 +130,8 @@ def set_marks(docs: DataFrame, n: int) -> tuple[DataFrame, np.ndarray]:
             for part in _parts(batch):
                 sets = [hashes(t.as_py()) for t in part.column(1)]
                 if sets:
-                    counts += np.bincount(np.concatenate(sets) >> np.uint64(64 - BUCKET_BITS), minlength=len(counts))
-                with np.errstate(over="ignore"):
-                    sig1 = [int(s.sum(dtype=np.uint64).view(np.int64)) for s in sets]
-                    sig2 = [int(((s ^ (s >> np.uint64(29))) * np.uint64(_BASE)).sum(dtype=np.uint64).view(np.int64)) for s in sets]
+                    counts += np.bincount((np.concatenate(sets) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), minlength=len(counts))
+                sig1, sig2 = zip(*map(_mark, sets)) if sets else ((), ())
                 none = pa.nulls(part.num_rows)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(sig1, pa.int64()), pa.array(sig2, pa.int64()), none.cast(pa.int32()), none.cast(pa.int32()), none.cast(pa.binary())], names=names)
         task = TaskContext.get().partitionId()
@@ -131,42 +160,87 @@ def set_marks(docs: DataFrame, n: int) -> tuple[DataFrame, np.ndarray]:
 
 
 def prefixes(docs: DataFrame, n: int, percent: int, sketch: np.ndarray) -> DataFrame:
-    """(doc_id, prefix): the rarest n - ceil(share * n) + 1 shingles of each set."""
+    """(node, n, prefix, bits) of each document with words: its rarest n - ceil(share * n) + 1 shingles and its bitmap."""
     shipped = docs.sparkSession.sparkContext.broadcast(sketch)
 
     def scan(batches):
         hashes, order = Shingler(n), shipped.value
         for batch in batches:
             for part in _parts(batch):
-                kept = []
-                for text in part.column(1):
+                nodes, sizes, kept, bits = [], [], [], []
+                for text in part.column(0):
                     found = hashes(text.as_py())
-                    size = len(found) - (percent * len(found) + 99) // 100 + 1 if len(found) else 0
-                    counts = order[found >> np.uint64(64 - BUCKET_BITS)]
-                    kept.append(found[np.lexsort((found, counts))[:size]])
-                yield pa.RecordBatch.from_arrays([part.column(0), _lists(kept)], names=["doc_id", "prefix"])
-
-    return docs.mapInArrow(scan, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, prefix array<long>")
+                    if not len(found):
+                        continue
+                    size = len(found) - (percent * len(found) + 99) // 100 + 1
+                    counts = order[(found >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)]
+                    nodes.append(_mark(found)[0])
+                    sizes.append(len(found))
+                    kept.append(found[np.argsort(counts, kind="stable")[:size]])
+                    bits.append(bitmap(found))
+                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), _lists(kept), pa.array(bits, pa.binary())], names=["node", "n", "prefix", "bits"])
+
+    return docs.select("text").mapInArrow(scan, "node long, n long, prefix array<long>, bits binary")
+
+
+#: Words of 64 bits in the filter of ids, whatever their number (1 MB).
+FILTER_WORDS = 1 << 17
+
+
+def whole_sets(docs: DataFrame, distinct: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
+    """(node, tokens) of each given vertex: whole sets, made from the text of its first document. A few others may be
+    among them; joins with the pairs leave them out."""
+    reps = distinct.join(nodes, distinct.sig1 == nodes.node, "left_semi").select(F.col("rep").alias("doc_id"))
+    place = lambda: F.pmod(F.xxhash64("doc_id"), F.lit(64 * FILTER_WORDS))
+    words = reps.select(place().alias("p")).groupBy(F.floor(F.col("p") / 64).cast("int").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(p % 64 AS int)))").alias("bits"))
+    table = np.zeros(FILTER_WORDS, np.int64)
+    got = words.toArrow()
+    table[got.column("w").to_numpy()] = got.column("bits").to_numpy()
+    shipped = docs.sparkSession.sparkContext.broadcast(table)
 
-
-def sets(docs: DataFrame, n: int) -> DataFrame:
-    """(doc_id, tokens): whole sets."""
     def scan(batches):
-        hashes = Shingler(n)
+        hashes, on = Shingler(n), shipped.value.view(np.uint64)
         for batch in batches:
-            for part in _parts(batch):
-                yield pa.RecordBatch.from_arrays([part.column(0), _lists([hashes(t.as_py()) for t in part.column(1)])], names=["doc_id", "tokens"])
+            at = batch.column(0).to_numpy()
+            chosen = np.flatnonzero(on[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1))
+            for start in range(0, len(chosen), 500):
+                found = [hashes(batch.column(1)[int(i)].as_py()) for i in chosen[start : start + 500]]
+                found = [f for f in found if len(f)]
+                yield pa.RecordBatch.from_arrays([pa.array([_mark(f)[0] for f in found], pa.int64()), _lists(found)], names=["node", "tokens"])
 
-    return docs.mapInArrow(scan, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, tokens array<long>")
+    found = docs.where("doc_id IS NOT NULL").select(place().alias("place"), "text").mapInArrow(scan, "node long, tokens array<long>")
+    return found.dropDuplicates(["node"])
 
 
-def linked(pairs: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets reach the threshold."""
-    left = whole.select(F.col("doc_id").alias("a"), F.col("tokens").alias("s"))
-    right = whole.select(F.col("doc_id").alias("b"), F.col("tokens").alias("t"))
-    both = pairs.join(left, "a").join(right, "b").where((100 * F.size("s") >= percent * F.size("t")) & (100 * F.size("t") >= percent * F.size("s")))
-    both = both.select("a", "b", (F.size("s") + F.size("t")).alias("sizes"), F.size(F.array_intersect("s", "t")).alias("common"))
-    return both.where(100 * F.col("common") >= percent * (F.col("sizes") - F.col("common"))).select("a", "b")
+def bounded(pairs: DataFrame, left: DataFrame, right: DataFrame, percent: int, members: bool) -> DataFrame:
+    """Pairs (a, b) that the bitmaps do not rule out. left: (a, na, bits_a); right: (b, nb, bits_b), where b is one set
+    if members is False, else a chunk's union."""
+    def scan(batches):
+        for batch in batches:
+            keep = []
+            for na, x, nb, y in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4, 5))):
+                common = na - outside(x, y)
+                if members:
+                    keep.append(100 * common >= percent * na)
+                else:
+                    common = min(common, nb - outside(y, x))
+                    keep.append(100 * common >= percent * (na + nb - common))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    sized = F.lit(True) if members else (100 * F.col("na") >= percent * F.col("nb")) & (100 * F.col("nb") >= percent * F.col("na"))
+    rows = pairs.join(left, "a").join(right, "b").where(sized).select("a", "b", "na", "bits_a", "nb", "bits_b")
+    kind = dict(pairs.dtypes)
+    return rows.mapInArrow(scan, f"a {kind['a']}, b {kind['b']}")
+
+
+def linked(pairs: DataFrame, docs: DataFrame, distinct: DataFrame, n: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of vertices whose whole sets reach the threshold."""
+    nodes = saved(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), "nodes")
+    whole = saved(whole_sets(docs, distinct, nodes, n), "whole-sets")
+    left = whole.select(F.col("node").alias("a"), F.col("tokens").alias("s"))
+    right = whole.select(F.col("node").alias("b"), F.col("tokens").alias("t"))
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", (F.size("s") + F.size("t")).alias("sizes"), F.size(F.array_intersect("s", "t")).alias("common"))
+    return saved(both.where(100 * F.col("common") >= percent * (F.col("sizes") - F.col("common"))).select("a", "b"), "links")
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -174,49 +248,67 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     marks, sketch = set_marks(docs, n)
     distinct = saved(marks.where("n_shingles > 0").groupBy("sig1", "sig2").agg(F.min("doc_id").alias("rep")), "distinct-sets")
-    reps = distinct.where("rep IS NOT NULL").select(F.col("rep").alias("doc_id"))
 
-    prefix = saved(prefixes(docs, n, percent, sketch), "prefixes").join(reps, "doc_id", "left_semi")
-    tokens = prefix.select("doc_id", F.explode("prefix").alias("token"))
-    leaders = saved(tokens.groupBy("token").agg(F.min("doc_id").alias("leader"), F.max("doc_id").alias("last")).where("leader <> last").select("token", "leader"), "leaders")
-    shared = saved(tokens.join(leaders, "token"), "shared-tokens")
-    ids = shared.select("doc_id").distinct()
-    whole = saved(sets(docs.join(ids, "doc_id", "left_semi"), n), "whole-sets")
-
-    pairs = shared.where("doc_id <> leader").select(F.col("doc_id").alias("a"), F.col("leader").alias("b")).distinct()
-    links = saved(linked(pairs, whole, percent), "links")
+    prefix = saved(prefixes(docs, n, percent, sketch), "prefixes")
+    tokens = prefix.select("node", F.explode("prefix").alias("token"))
+    leaders = saved(tokens.groupBy("token").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where("leader <> last").select("token", "leader"), "leaders")
+    shared = saved(tokens.join(leaders, "token").distinct(), "shared-tokens")
+    sketches = saved(prefix.select("node", "n", "bits").dropDuplicates(["node"]).join(shared.select("node").distinct(), "node", "left_semi"), "bitmaps")
+    left = sketches.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("bits").alias("bits_a"))
+    right = sketches.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bits_b"))
+
+    pairs = shared.where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
+    pairs = saved(bounded(pairs, left, right, percent, False), "candidates")
+    links = linked(pairs, docs, distinct, n, percent)
     groups = saved(components(links), "groups")
-    links = links.unionByName(_between_groups(shared.select("token", "doc_id"), groups, whole, percent))
-    roots = saved(components(links), "components")
-
-    rep_roots = distinct.join(roots.withColumnRenamed("id", "rep"), "rep", "left").select("sig1", "sig2", F.coalesce("root", "rep").alias("component"))
-    out = marks.join(rep_roots, ["sig1", "sig2"], "left")
+    pairs = _between_groups(shared.select("token", "node"), groups, sketches, left, right, percent)
+    links = links.unionByName(linked(pairs, docs, distinct, n, percent))
+    roots = components(links).select(F.col("id").alias("sig1"), "root")
+
+    # A component is named by the smallest document of its vertices.
+    rooted = saved(distinct.join(roots, "sig1", "left").select("sig1", "sig2", "rep", F.coalesce("root", "sig1").alias("root")), "rooted")
+    named = rooted.groupBy("root").agg(F.min("rep").alias("component"))
+    out = marks.join(saved(rooted.join(named, "root").select("sig1", "sig2", "component"), "components"), ["sig1", "sig2"], "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
 
 
-def _between_groups(shared: DataFrame, groups: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
-    """Links between sets of different groups that share a prefix shingle."""
+#: Members of a chunk of a group, about.
+CHUNK_MEMBERS = 64
+
+
+def _between_groups(shared: DataFrame, groups: DataFrame, sketches: DataFrame, left: DataFrame, right: DataFrame, percent: int) -> DataFrame:
+    """Candidate pairs of sets in different groups that share a prefix shingle."""
     sizes = groups.groupBy("root").agg(F.count("*").alias("members"))
-    member = groups.join(sizes, "root").select(F.col("id").alias("doc_id"), F.col("root").alias("grp"), "members")
-    rows = shared.join(member, "doc_id", "left").select("token", "doc_id", F.coalesce("grp", "doc_id").alias("grp"), F.coalesce("members", F.lit(1)).alias("members"))
+    member = saved(groups.join(sizes, "root").select(F.col("id").alias("node"), F.col("root").alias("grp"), "members"), "members")
+    chunk = F.pmod(F.xxhash64("node"), F.ceil(F.col("members") / CHUNK_MEMBERS))
+    rows = shared.join(member, "node", "left").select("token", "node", F.coalesce("grp", "node").alias("grp"), F.coalesce("members", F.lit(1)).alias("members"), F.coalesce(chunk, F.lit(0)).cast("int").alias("chunk"))
     rows = saved(rows, "grouped-tokens")
     several = saved(rows.groupBy("token").agg(F.min("grp").alias("low"), F.max("grp").alias("high")).where("low <> high").select("token"), "tokens-of-several")
     rows = saved(rows.join(several, "token"), "rows-of-several")
-    matrix = saved(rows.select("token", F.col("grp").alias("other"), F.col("members").alias("others")).distinct(), "matrix")
-    asks = F.struct("members", "grp") < F.struct("others", "other")
-    asked = saved(rows.join(matrix, "token").where(asks).select("doc_id", "other").distinct(), "asked")
-
-    # The bound: overlap of the set with the union of all sets of the group.
-    alone = asked.select("other").distinct()
-    inside = groups.join(alone, groups.root == alone.other, "left_semi").select(F.col("root").alias("other"), F.col("id").alias("doc_id"))
-    inside = saved(inside.unionByName(alone.join(groups, alone.other == groups.root, "left_anti").select("other", F.col("other").alias("doc_id"))), "members")
-    union = inside.join(whole, "doc_id").select("other", F.explode("tokens").alias("token")).distinct()
-    ask = asked.join(whole, "doc_id").select("doc_id", "other", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
-    bound = ask.join(union, ["other", "token"]).groupBy("doc_id", "other", "n").agg(F.count("*").alias("common"))
-    opened = saved(bound.where(100 * F.col("common") >= percent * F.col("n")).select("doc_id", "other"), "opened")
-
-    pairs = opened.join(inside.withColumnRenamed("doc_id", "b"), "other").select(F.col("doc_id").alias("a"), "b").distinct()
-    return linked(pairs, whole, percent)
+    matrix = saved(rows.select("token", F.struct(F.col("members").alias("m"), F.col("grp").alias("g"), "chunk").alias("b")).distinct(), "matrix")
+    asks = F.struct("members", "grp") < F.struct("b.m", "b.g")
+    asked = saved(rows.join(matrix, "token").where(asks).select(F.col("node").alias("a"), "b").distinct(), "asked")
+
+    # Token unions of the chunks: a chunk has some dozens of members, and one set alone is its own union.
+    inside = member.select("node", F.struct(F.col("members").alias("m"), F.col("grp").alias("g"), chunk.cast("int").alias("chunk")).alias("b"))
+    inside = saved(inside.join(asked.select("b").distinct(), "b", "left_semi"), "asked-members")
+    alone = asked.where("b.m = 1").select("b").distinct().select("b", F.col("b.g").alias("node"))
+
+    def union(part: pa.Table) -> pa.Table:
+        bits = part.column("bits").to_pylist()
+        width = min(map(len, bits))
+        total = np.bitwise_or.reduce([_folded(x, width) for x in bits])
+        return pa.table({"g": part.column("g")[:1], "chunk": part.column("chunk")[:1], "bits": pa.array([total.tobytes()], pa.binary())})
+
+    unions = inside.join(sketches, "node").select("b.g", "b.chunk", "bits").groupBy("g", "chunk").applyInArrow(union, "g long, chunk int, bits binary")
+    unions = unions.unionByName(alone.join(sketches, "node").select("b.g", "b.chunk", "bits"))
+    keyed = asked.select("a", F.struct("b.g", "b.chunk").alias("b"))
+    unions = saved(unions.select(F.struct("g", "chunk").alias("b"), F.lit(0).cast("long").alias("nb"), F.col("bits").alias("bits_b")), "unions")
+    opened = saved(bounded(keyed, left, unions, percent, True), "opened")
+
+    everyone = saved(inside.select(F.struct("b.g", "b.chunk").alias("b"), "node").unionByName(alone.select(F.struct("b.g", "b.chunk").alias("b"), "node")), "chunk-members")
+    pairs = opened.join(everyone, "b").select("a", F.col("node").alias("b")).distinct()
+    return saved(bounded(pairs, left, right, percent, False), "candidates")
 
 
 def op5_ngram_jaccard(spark, sf_dir):
