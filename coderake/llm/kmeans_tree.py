@@ -108,17 +108,19 @@ def _kmeans(x: np.ndarray, k: int, rounds: int, random) -> tuple[np.ndarray, np.
     return np.searchsorted(kept, side), means[kept]
 
 
-def nearest(queries: np.ndarray, own: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int):
-    """(query index, id, distance) of each query's k nearest rows that are not its own."""
+def nearest(queries: np.ndarray, own: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int, within: np.ndarray | None = None):
+    """(query index, id, distance) of each query's k nearest rows that are not its own, none farther than within."""
     rough = _squares(queries, rows)
     rough[own[:, None] == ids[None, :]] = np.inf
     room = 1e-9 * ((queries**2).sum(1) + (rows**2).sum(1).max() + 1)  # for the rounding of the shorter formula
     limit = np.partition(rough, k - 1, axis=1)[:, k - 1] + room if rough.shape[1] > k else np.full(len(queries), np.inf)
-    for i in range(len(queries)):
+    if within is not None:
+        limit = np.minimum(limit, within**2 + room)
+    for i in np.flatnonzero((rough <= limit[:, None]).any(1)):
         near = np.flatnonzero((rough[i] <= limit[i]) & (rough[i] < np.inf))
         exact = np.sqrt(((rows[near] - queries[i]) ** 2).sum(1))
         for j in np.lexsort((ids[near], exact))[:k]:
-            yield i, int(ids[near[j]]), float(exact[j])
+            yield int(i), int(ids[near[j]]), float(exact[j])
 
 
 FOUND = "query_id long, vec_id long, score double"
@@ -181,7 +183,12 @@ def neighbours(rows: DataFrame, queries: DataFrame, k: int = 10, sample: int = S
     walked = saved(queries.select("vec_id", "vector").mapInArrow(walk, "vec_id long, vector array<double>, leaves binary"), "walked")
     out = None
     for ids, block, order in _blocks(walked, query_block):
-        part = saved(best(index.mapInArrow(_visit(spark, ids, block, order, k), FOUND), k, False), "nearest")
+        # The first leaves give a k-th distance; in the wider visit only rows that are not farther are worth a row.
+        first = best(index.mapInArrow(_visit(spark, ids, block, order[:, :FIRST], k, np.full(len(ids), np.inf)), FOUND), k, False)
+        reached = first.where(F.col("rank") == k).select("query_id", "score").toArrow()  # one row a query of the block
+        known = dict(zip(reached.column(0).to_pylist(), reached.column(1).to_pylist()))
+        within = np.array([known.get(int(i), np.inf) for i in ids])
+        part = saved(best(index.mapInArrow(_visit(spark, ids, block, order, k, within), FOUND), k, False), "nearest")
         out = part if out is None else out.unionByName(part)
     return out if out is not None else spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
 
@@ -197,11 +204,15 @@ def _blocks(walked: DataFrame, rows: int):
             yield part.column("vec_id").to_numpy(), matrix(part.column("vector").combine_chunks()), order
 
 
-def _visit(spark, ids, block, order, k):
-    shipped = spark.sparkContext.broadcast((ids, block, order))
+#: Leaves visited before the wider visit.
+FIRST = 4
+
+
+def _visit(spark, ids, block, order, k, within):
+    shipped = spark.sparkContext.broadcast((ids, block, order, within))
 
     def scan(batches):
-        own, vectors, leaves = shipped.value
+        own, vectors, leaves, limit = shipped.value
         flat = leaves.ravel()
         by_leaf = np.argsort(flat, kind="stable")
         starts = flat[by_leaf]
@@ -211,7 +222,7 @@ def _visit(spark, ids, block, order, k):
                 asked = by_leaf[a:b] // leaves.shape[1]
                 if len(asked):
                     there = np.frombuffer(row["rows"], np.float64).reshape(-1, vectors.shape[1])
-                    yield _batch([(int(own[asked[i]]), v, s) for i, v, s in nearest(vectors[asked], own[asked], there, np.frombuffer(row["ids"], np.int64), k)])
+                    yield _batch([(int(own[asked[i]]), v, s) for i, v, s in nearest(vectors[asked], own[asked], there, np.frombuffer(row["ids"], np.int64), k, limit[asked])])
 
     return scan
 
