@@ -7,9 +7,9 @@ asked for is each document's component under links.
 1. Order. Shingles are ordered by how often they occur (a fixed-size sketch of
    counts over all documents; any order is right, this one makes prefixes rare). Two
    sets that link share one of their first n - ceil(0.8 n) + 1 shingles.
-2. Groups. Under each shared prefix shingle every set is compared with one leader;
-   the components of the links found are the groups of similar documents, dealt into
-   chunks of some dozens.
+2. Groups. Under each shared prefix shingle every set is compared with one leader, in
+   a few rounds with other leaders; the components of the links found are the groups of
+   similar documents, dealt into chunks of some dozens.
 3. Matrix. (shingle, chunk) says that a chunk's sets have the shingle in a prefix. A set
    looks up the chunks of other groups that share one with it, the smaller group asking
    the larger. A chunk's token union is kept as a bitmap: tokens of the set whose bits are
@@ -44,7 +44,7 @@ _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _RANDOM = np.random.Generator(np.random.PCG64(5)).integers(0, 1 << 64, 256, dtype=np.uint64)
 _BASE = 0x9E3779B97F4A7C15
 #: Counters of the sketch of shingle counts, and how many of them a row holds.
-BUCKET_BITS, CHUNK = 18, 1 << 14
+BUCKET_BITS, CHUNK = 20, 1 << 16
 
 
 class Shingler:
@@ -125,12 +125,12 @@ def outside(bits: bytes, other: bytes) -> int:
 def set_marks(docs: DataFrame, n: int) -> tuple[DataFrame, np.ndarray]:
     """(doc_id, n_shingles, sig1, sig2) with a 128-bit mark of each set, and the sketch of shingle counts."""
     def scan(batches):
-        hashes, counts = Shingler(n), np.zeros(1 << BUCKET_BITS, np.int64)
+        hashes, counts = Shingler(n), np.zeros(1 << BUCKET_BITS, np.int32)
         for batch in batches:
             for part in _parts(batch):
                 sets = [hashes(t.as_py()) for t in part.column(1)]
                 if sets:
-                    counts += np.bincount((np.concatenate(sets) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), minlength=len(counts))
+                    counts += np.bincount((np.concatenate(sets) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), minlength=len(counts)).astype(np.int32)
                 sig1, sig2 = zip(*map(_mark, sets)) if sets else ((), ())
                 none = pa.nulls(part.num_rows)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(sig1, pa.int64()), pa.array(sig2, pa.int64()), none.cast(pa.int32()), none.cast(pa.int32()), none.cast(pa.binary())], names=names)
@@ -148,14 +148,15 @@ def set_marks(docs: DataFrame, n: int) -> tuple[DataFrame, np.ndarray]:
     def added(rows: pa.Table) -> pa.Table:
         total = np.zeros(CHUNK, np.int64)
         for x in rows.column("counts"):
-            total += np.frombuffer(x.as_py(), np.int64)
+            total += np.frombuffer(x.as_py(), np.int32)
+        total = np.minimum(total, 2**31 - 1).astype(np.int32)
         return pa.table({"chunk": rows.column("chunk")[:1], "counts": pa.array([total.tobytes()], pa.binary())})
 
     tasks = out.where("counts IS NOT NULL").select("part", "chunk", "counts")
     added_up = tasks.groupBy("part", "chunk").applyInArrow(added, "chunk int, counts binary").groupBy("chunk").applyInArrow(added, "chunk int, counts binary")
-    sketch = np.zeros(1 << BUCKET_BITS, np.int64)
-    for row in added_up.collect():  # CHUNK counters a row, 2 MB in all, however many documents there are
-        sketch[row["chunk"] * CHUNK : (row["chunk"] + 1) * CHUNK] = np.frombuffer(row["counts"], np.int64)
+    sketch = np.zeros(1 << BUCKET_BITS, np.int32)
+    for row in added_up.collect():  # CHUNK counters a row, 4 MB in all, however many documents there are
+        sketch[row["chunk"] * CHUNK : (row["chunk"] + 1) * CHUNK] = np.frombuffer(row["counts"], np.int32)
     return out.where("counts IS NULL").select("doc_id", "n_shingles", "sig1", "sig2"), sketch
 
 
@@ -251,17 +252,20 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
 
     prefix = saved(prefixes(docs, n, percent, sketch), "prefixes")
     tokens = prefix.select("node", F.explode("prefix").alias("token"))
-    leaders = saved(tokens.groupBy("token").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where("leader <> last").select("token", "leader"), "leaders")
-    shared = saved(tokens.join(leaders, "token").distinct(), "shared-tokens")
+    several = saved(tokens.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("token"), "tokens-of-several")
+    shared = saved(tokens.join(several, "token").distinct(), "shared-tokens")
     sketches = saved(prefix.select("node", "n", "bits").dropDuplicates(["node"]).join(shared.select("node").distinct(), "node", "left_semi"), "bitmaps")
     left = sketches.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("bits").alias("bits_a"))
     right = sketches.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bits_b"))
 
-    pairs = shared.where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
-    pairs = saved(bounded(pairs, left, right, percent, False), "candidates")
-    links = linked(pairs, docs, distinct, n, percent)
-    groups = saved(components(links), "groups")
-    pairs = _between_groups(shared.select("token", "node"), groups, sketches, left, right, percent)
+    rows, links, groups = shared, None, None
+    for seed in range(STAR_ROUNDS):
+        pairs = saved(bounded(_star_pairs(rows, seed), left, right, percent, False), "candidates")
+        new = linked(pairs, docs, distinct, n, percent)
+        links = new if links is None else links.unionByName(new)
+        groups = saved(components(links), "groups")
+        rows, members = _grouped(shared, groups)
+    pairs = _between_groups(rows, members, sketches, left, right, percent)
     links = links.unionByName(linked(pairs, docs, distinct, n, percent))
     roots = components(links).select(F.col("id").alias("sig1"), "root")
 
@@ -272,25 +276,41 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
 
 
-#: Members of a chunk of a group, about.
-CHUNK_MEMBERS = 64
+#: Members of a chunk of a group, about, and rounds of comparisons with leaders.
+CHUNK_MEMBERS, STAR_ROUNDS = 64, 2
 
 
-def _between_groups(shared: DataFrame, groups: DataFrame, sketches: DataFrame, left: DataFrame, right: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs of sets in different groups that share a prefix shingle."""
+def _star_pairs(rows: DataFrame, seed: int) -> DataFrame:
+    """(a, b): each set under a shingle with the shingle's leader, one of its sets by hash, unless both are of one group
+    already. Leaders differ from shingle to shingle and from round to round, so a large group soon grows together."""
+    draw = F.xxhash64("node", "token", F.lit(seed))
+    leaders = saved(rows.groupBy("token").agg(F.min(F.struct(draw.alias("d"), "node", "grp") if "grp" in rows.columns else F.struct(draw.alias("d"), "node")).alias("l")), "leaders")
+    met = rows.join(leaders, "token").where("node <> l.node" + (" AND grp <> l.grp" if "grp" in rows.columns else ""))
+    return met.select(F.greatest("node", "l.node").alias("a"), F.least("node", "l.node").alias("b")).distinct()
+
+
+def _grouped(shared: DataFrame, groups: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows (token, node, grp, members, chunk) of shingles that several groups share, and (node, grp, members)."""
     sizes = groups.groupBy("root").agg(F.count("*").alias("members"))
     member = saved(groups.join(sizes, "root").select(F.col("id").alias("node"), F.col("root").alias("grp"), "members"), "members")
-    chunk = F.pmod(F.xxhash64("node"), F.ceil(F.col("members") / CHUNK_MEMBERS))
-    rows = shared.join(member, "node", "left").select("token", "node", F.coalesce("grp", "node").alias("grp"), F.coalesce("members", F.lit(1)).alias("members"), F.coalesce(chunk, F.lit(0)).cast("int").alias("chunk"))
-    rows = saved(rows, "grouped-tokens")
+    rows = shared.join(member, "node", "left").select("token", "node", F.coalesce("grp", "node").alias("grp"), F.coalesce("members", F.lit(1)).alias("members"))
+    rows = saved(rows.withColumn("chunk", _chunk()), "grouped-tokens")
     several = saved(rows.groupBy("token").agg(F.min("grp").alias("low"), F.max("grp").alias("high")).where("low <> high").select("token"), "tokens-of-several")
-    rows = saved(rows.join(several, "token"), "rows-of-several")
+    return saved(rows.join(several, "token"), "rows-of-several"), member
+
+
+def _chunk():
+    return F.pmod(F.xxhash64("node"), F.ceil(F.col("members") / CHUNK_MEMBERS)).cast("int")
+
+
+def _between_groups(rows: DataFrame, member: DataFrame, sketches: DataFrame, left: DataFrame, right: DataFrame, percent: int) -> DataFrame:
+    """Candidate pairs of sets in different groups that share a prefix shingle."""
     matrix = saved(rows.select("token", F.struct(F.col("members").alias("m"), F.col("grp").alias("g"), "chunk").alias("b")).distinct(), "matrix")
     asks = F.struct("members", "grp") < F.struct("b.m", "b.g")
     asked = saved(rows.join(matrix, "token").where(asks).select(F.col("node").alias("a"), "b").distinct(), "asked")
 
     # Token unions of the chunks: a chunk has some dozens of members, and one set alone is its own union.
-    inside = member.select("node", F.struct(F.col("members").alias("m"), F.col("grp").alias("g"), chunk.cast("int").alias("chunk")).alias("b"))
+    inside = member.select("node", F.struct(F.col("members").alias("m"), F.col("grp").alias("g"), _chunk().alias("chunk")).alias("b"))
     inside = saved(inside.join(asked.select("b").distinct(), "b", "left_semi"), "asked-members")
     alone = asked.where("b.m = 1").select("b").distinct().select("b", F.col("b.g").alias("node"))
 
