@@ -251,7 +251,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     distinct = saved(marks.where("n_shingles > 0").groupBy("sig1", "sig2").agg(F.min("doc_id").alias("rep")), "distinct-sets")
 
     prefix = saved(prefixes(docs, n, percent, sketch), "prefixes")
-    tokens = prefix.select("node", F.explode("prefix").alias("token"))
+    tokens = prefix.select("node", "n", F.explode("prefix").alias("token"))
     several = saved(tokens.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("token"), "tokens-of-several")
     shared = saved(tokens.join(several, "token").distinct(), "shared-tokens")
     sketches = saved(prefix.select("node", "n", "bits").dropDuplicates(["node"]).join(shared.select("node").distinct(), "node", "left_semi"), "bitmaps")
@@ -260,7 +260,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
 
     rows, links, groups = shared, None, None
     for seed in range(STAR_ROUNDS):
-        pairs = saved(bounded(_star_pairs(rows, seed), left, right, percent, False), "candidates")
+        pairs = saved(bounded(_star_pairs(rows, seed, percent), left, right, percent, False), "candidates")
         new = linked(pairs, docs, distinct, n, percent)
         links = new if links is None else links.unionByName(new)
         groups = saved(components(links), "groups")
@@ -280,20 +280,22 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
 CHUNK_MEMBERS, STAR_ROUNDS = 64, 2
 
 
-def _star_pairs(rows: DataFrame, seed: int) -> DataFrame:
+def _star_pairs(rows: DataFrame, seed: int, percent: int) -> DataFrame:
     """(a, b): each set under a shingle with the shingle's leader, one of its sets by hash, unless both are of one group
-    already. Leaders differ from shingle to shingle and from round to round, so a large group soon grows together."""
-    draw = F.xxhash64("node", "token", F.lit(seed))
-    leaders = saved(rows.groupBy("token").agg(F.min(F.struct(draw.alias("d"), "node", "grp") if "grp" in rows.columns else F.struct(draw.alias("d"), "node")).alias("l")), "leaders")
-    met = rows.join(leaders, "token").where("node <> l.node" + (" AND grp <> l.grp" if "grp" in rows.columns else ""))
+    already or their sizes rule a link out. Leaders differ from shingle to shingle and from round to round, so a large
+    group soon grows together."""
+    own = ["node", "n", *(["grp"] if "grp" in rows.columns else [])]
+    draw = F.xxhash64("node", "token", F.lit(seed)).alias("d")
+    leaders = saved(rows.groupBy("token").agg(F.min(F.struct(draw, *own)).alias("l")), "leaders")
+    met = rows.join(leaders, "token").where(f"node <> l.node AND 100 * n >= {percent} * l.n AND 100 * l.n >= {percent} * n" + (" AND grp <> l.grp" if "grp" in own else ""))
     return met.select(F.greatest("node", "l.node").alias("a"), F.least("node", "l.node").alias("b")).distinct()
 
 
 def _grouped(shared: DataFrame, groups: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows (token, node, grp, members, chunk) of shingles that several groups share, and (node, grp, members)."""
+    """Rows (token, node, n, grp, members, chunk) of shingles that several groups share, and (node, grp, members)."""
     sizes = groups.groupBy("root").agg(F.count("*").alias("members"))
     member = saved(groups.join(sizes, "root").select(F.col("id").alias("node"), F.col("root").alias("grp"), "members"), "members")
-    rows = shared.join(member, "node", "left").select("token", "node", F.coalesce("grp", "node").alias("grp"), F.coalesce("members", F.lit(1)).alias("members"))
+    rows = shared.join(member, "node", "left").select("token", "node", "n", F.coalesce("grp", "node").alias("grp"), F.coalesce("members", F.lit(1)).alias("members"))
     rows = saved(rows.withColumn("chunk", _chunk()), "grouped-tokens")
     several = saved(rows.groupBy("token").agg(F.min("grp").alias("low"), F.max("grp").alias("high")).where("low <> high").select("token"), "tokens-of-several")
     return saved(rows.join(several, "token"), "rows-of-several"), member
@@ -305,8 +307,10 @@ def _chunk():
 
 def _between_groups(rows: DataFrame, member: DataFrame, sketches: DataFrame, left: DataFrame, right: DataFrame, percent: int) -> DataFrame:
     """Candidate pairs of sets in different groups that share a prefix shingle."""
-    matrix = saved(rows.select("token", F.struct(F.col("members").alias("m"), F.col("grp").alias("g"), "chunk").alias("b")).distinct(), "matrix")
-    asks = F.struct("members", "grp") < F.struct("b.m", "b.g")
+    cell = F.struct(F.col("members").alias("m"), F.col("grp").alias("g"), "chunk")
+    matrix = saved(rows.groupBy("token", cell.alias("b")).agg(F.min("n").alias("least"), F.max("n").alias("most")), "matrix")
+    # Of the chunk's members with this shingle one at least has to be of a fitting size.
+    asks = (F.struct("members", "grp") < F.struct("b.m", "b.g")) & (100 * F.col("n") >= percent * F.col("least")) & (100 * F.col("most") >= percent * F.col("n"))
     asked = saved(rows.join(matrix, "token").where(asks).select(F.col("node").alias("a"), "b").distinct(), "asked")
 
     # Token unions of the chunks: a chunk has some dozens of members, and one set alone is its own union.
