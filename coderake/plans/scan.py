@@ -11,6 +11,7 @@ from coderake.functions.vocabulary import DEFAULT_POLICY
 from coderake.operators import findings as fnd
 from coderake.operators.rules import RULES, Facts, raw_findings
 from coderake.plans import policy as pol
+from coderake.plans.tables import written
 from coderake.sources.files import decoded, enabled_languages, not_ignored, with_language
 
 
@@ -40,8 +41,9 @@ def source_texts(files: DataFrame, languages: list[str] | None = None, max_file_
     return chosen.where(~large).select("path", "language", text.alias("text")).where("text IS NOT NULL"), chosen.where(large).select("path", size.cast("long").alias("size"))
 
 
-def scan(files: DataFrame, overrides: DataFrame | None = None, apply_fixes: bool = False, dry_run: bool = True, max_file_bytes: int | None = None, persisted: bool = False, rules=RULES, **options) -> Scan:
-    """Plans a scan of (path, content or text). The policy is read on the driver: it is a few dozen leaves."""
+def scan(files: DataFrame, overrides: DataFrame | None = None, apply_fixes: bool = False, dry_run: bool = True, max_file_bytes: int | None = None, persisted: bool = True, rules=RULES, **options) -> Scan:
+    """Scans (path, content or text); with persisted, tokens, facts and findings are written to the shared folder as they
+    are made, else everything stays one lazy plan. The policy is read on the driver: it is a few dozen leaves."""
     spark = files.sparkSession
     policy = pol.loaded(spark, overrides)
     leaf = {r["key_path"]: r["value"] for r in policy.collect()}
@@ -51,6 +53,7 @@ def scan(files: DataFrame, overrides: DataFrame | None = None, apply_fixes: bool
     raw = raw_findings(facts, leaf.get("rules.enabled", "").split(","), rules)
     rated = pol.with_rating(raw, F.broadcast(pol.rules(policy)))
     found = fnd.with_suppression(rated, texts, leaf.get("suppression.inline_comment", "scan:ignore"))
+    found = written(found, "found") if persisted else found
     patched = fnd.apply_fixes(fnd.kept(found), texts, dry_run) if apply_fixes else None
     counts = fnd.fix_counts(patched, spark)
     return Scan(texts, found, fnd.summary(found, counts), fnd.gate(fnd.kept(found), leaf.get("reporting.fail_on_severity", "High")), left_out, patched)
