@@ -86,7 +86,7 @@ def test_paths(spark):
 
 
 def test_lines(spark):
-    rows = src.code_lines(texts(spark, ("p", "go", "a\r\nb\x0bc d\n"), ("q", "go", ""), ("r", "go", None), ("s", "go", "\n"))).collect()
+    rows = src.code_lines(texts(spark, ("p", "go", "a\r\nb\x0bc\u2028d\n"), ("q", "go", ""), ("r", "go", None), ("s", "go", "\n"))).collect()
     assert [(r["path"], r["line_no"], r["line"]) for r in rows] == [("p", 1, "a"), ("p", 2, "b"), ("p", 3, "c"), ("p", 4, "d"), ("s", 1, "")]
 
 
