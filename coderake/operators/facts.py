@@ -9,6 +9,8 @@ from coderake.functions.vocabulary import FUNCTION_WORDS, INDENTED
 from coderake.operators.tokens import is_keyword
 
 ANONYMOUS = "<anonymous>"
+#: First words of a line without braces that a colon parts from a statement in the same line.
+BLOCK_WORDS = ("if", "elif", "else", "for", "while", "with", "try", "except", "finally", "match", "case", "class", "def", "async")
 
 
 def names(code: DataFrame) -> DataFrame:
@@ -17,19 +19,24 @@ def names(code: DataFrame) -> DataFrame:
 
 
 def calls(code: DataFrame) -> DataFrame:
-    """path, language, tok_no, parts, callee, close_tok, stmt_no, line_no, col_no, off: names followed by an opening
-    bracket, but for the names of function definitions."""
+    """path, language, tok_no, parts, callee, close_tok, stmt_no, last_stmt, line_no, col_no, off: names followed by an
+    opening bracket, but for the names of function definitions; where the brackets and what is in them begin and end."""
     headers = _brace_headers(code).select("path", F.col("start_tok").alias("tok_no"))
     found = names(code).where((F.col("next") == "(") & ~F.coalesce(F.col("prev").isin(*FUNCTION_WORDS), F.lit(False)))
     found = found.join(headers, ["path", "tok_no"], "left_anti")
-    return found.select("path", "language", "tok_no", "parts", F.array_join("parts", ".").alias("callee"), F.col("next_close").alias("close_tok"), "stmt_no", "line_no", "col_no", "off", (F.col("paren_depth") + 1).alias("inside"))
+    return found.select("path", "language", "tok_no", "parts", F.array_join("parts", ".").alias("callee"), F.col("next_close").alias("close_tok"), "stmt_no", "line_no", "col_no", "off", (F.col("paren_depth") + 1).alias("inside"), F.col("next_close_stmt_no").alias("last_stmt"), F.col("next_tok").alias("open_tok"), F.col("next2_tok").alias("inner_first"), F.col("next_close_prev_tok").alias("inner_last"))
+
+
+def by_statement(extents: DataFrame) -> DataFrame:
+    """Extents from stmt_no to last_stmt as one row for each statement, to meet tokens by (path, stmt_no)."""
+    return extents.withColumn("stmt_no", F.explode(F.sequence("stmt_no", "last_stmt"))) if "last_stmt" in extents.columns else extents
 
 
 def arguments(code: DataFrame, found: DataFrame) -> DataFrame:
-    """path, call_tok, arg_no (from 1), first_tok, last_tok of each argument: what commas of the call's own depth part."""
+    """path, call_tok, arg_no (from 1), first_tok, last_tok of each argument as far as it lies in the call's statement,
+    which any brace ends: what commas of the call's own depth part. Rules look at whole_arguments."""
     inner = code.select("path", "stmt_no", F.col("tok_no").alias("t"), "mask", "paren_depth", "brace_depth")
     own = found.select("path", "stmt_no", F.col("tok_no").alias("call_tok"), "close_tok", "inside")
-    # The arguments of a call are in its statement, unless blocks are among them.
     rows = own.join(inner, ["path", "stmt_no"]).where("t > call_tok + 1 AND t < close_tok AND NOT (mask = '(' AND paren_depth < inside)")
     comma = F.when((F.col("mask") == ",") & (F.col("paren_depth") == F.col("inside")), 1).otherwise(0)
     so_far = Window.partitionBy("path", "call_tok").orderBy("t").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -37,31 +44,63 @@ def arguments(code: DataFrame, found: DataFrame) -> DataFrame:
     return rows.groupBy("path", "call_tok", "arg_no").agg(F.min("t").alias("first_tok"), F.max("t").alias("last_tok")).withColumn("arg_no", F.col("arg_no").cast("int"))
 
 
-def assignments(code: DataFrame) -> DataFrame:
-    """path, language, tok_no (of the sign), stmt_no, start_tok, targets, target_chain, value_start, value_end, line_no,
-    col_no, off (of the target): signs = and := outside brackets, left and right of it up to the statement's ends."""
+def whole_arguments(code: DataFrame, found: DataFrame) -> DataFrame:
+    """path, call_tok, arg_no (from 1), first_tok, last_tok, stmt_no, last_stmt: all that lies between the commas of the
+    call's own brackets, literals and blocks included."""
+    commas = code.where("mask = ',' AND outer_open IS NOT NULL").select("path", F.col("outer_open").alias("open_tok"), F.col("tok_no").alias("sep"), F.col("prev_tok").alias("last_tok"), "next_tok")
+    own = found.where("close_tok IS NOT NULL").select("path", "open_tok", F.col("tok_no").alias("call_tok"), "stmt_no", "last_stmt", "close_tok", "inner_first", "inner_last")
+    columns = ["path", "call_tok", "stmt_no", "last_stmt", "inner_first", "sep", "last_tok", "next_tok"]
+    parted = own.join(commas, ["path", "open_tok"]).where("sep < close_tok").select(columns)
+    closed = own.select("path", "call_tok", "stmt_no", "last_stmt", "inner_first", F.col("close_tok").alias("sep"), F.col("inner_last").alias("last_tok"), F.lit(None).cast("int").alias("next_tok"))
+    w = Window.partitionBy("path", "call_tok").orderBy("sep")
+    rows = parted.unionByName(closed).withColumn("arg_no", F.row_number().over(w)).withColumn("first_tok", F.coalesce(F.lag("next_tok").over(w), "inner_first"))
+    return rows.where("first_tok <= last_tok").select("path", "call_tok", "arg_no", "first_tok", "last_tok", "stmt_no", "last_stmt")
+
+
+def _signs(code: DataFrame) -> DataFrame:
+    """Signs of assignments, with left_first, left_end (not included) and left_stmt of what is assigned to, value_start, value_end and last_stmt.
+    A sign's targets begin after the sign, the comma of a further declaration or the block's colon before it, and end
+    at a type's colon. A value ends with its statement, or before the comma of the next declaration."""
     adjacent = (F.col("prev_end") == F.col("off")) & F.col("prev").isin(*"+-*/%&|^<>!~?:=")
     arrow = (F.col("next") == ">") & (F.col("next_off") == F.col("off") + 1)
-    is_sign = F.col("mask").isin("=", ":=") & (F.col("paren_depth") == 0) & ~F.coalesce(adjacent, F.lit(False)) & ~F.coalesce(arrow, F.lit(False))
-    signs = code.where(is_sign).groupBy("path", "language", "stmt_no").agg(F.min("tok_no").alias("tok_no"))
-    rows = code.select("path", "stmt_no", F.col("tok_no").alias("t"), "kind", "mask", "parts", "line_no", "col_no", "off").join(signs, ["path", "stmt_no"])
-    colon = F.min(F.when(F.col("mask") == ":", F.col("t"))).over(Window.partitionBy("path", "stmt_no"))
-    rows = rows.withColumn("type_at", F.coalesce(colon, F.col("tok_no")))
-    left = (F.col("t") < F.least("tok_no", "type_at")) & (F.col("kind") == "name") & ~is_keyword(F.col("mask"))
-    found = rows.groupBy("path", "language", "stmt_no", "tok_no").agg(
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.when(left, F.col("parts")))))).alias("targets"),
-        F.max(F.when(left, F.struct("t", "parts", "line_no", "col_no", "off"))).alias("target"),
-        F.min(F.when(left, F.struct("t", "line_no", "col_no", "off"))).alias("first"),
-        F.min(F.when(F.col("t") > F.col("tok_no"), F.col("t"))).alias("value_start"),
-        F.max(F.when(F.col("t") > F.col("tok_no"), F.col("t"))).alias("value_end"),
+    is_sign = F.col("mask").isin("=", ":=") & ~F.coalesce(adjacent, F.lit(False)) & ~F.coalesce(arrow, F.lit(False))
+    unit = Window.partitionBy("path", "brace_depth", "unit_no")
+    before = unit.orderBy("tok_no").rowsBetween(Window.unboundedPreceding, -1)
+    indented = F.col("language").isin(*INDENTED)
+    # Only what stands at the statement's own bracket level parts it.
+    rows = code.where("paren_depth = 0").withColumn("sign", is_sign).withColumn("head", F.first("mask").over(unit.orderBy("tok_no")))
+    rows = rows.withColumn("colon", F.min(F.when(F.col("mask") == ":", F.struct("tok_no", "prev_tok"))).over(unit))
+    rows = rows.withColumn("colon", F.when((indented & F.col("head").isin(*BLOCK_WORDS)) | F.col("head").isin("case", "default"), F.col("colon")))
+    at_colon = F.coalesce(F.col("tok_no") == F.col("colon.tok_no"), F.lit(False))
+    parts = F.col("sign") | at_colon | ((F.col("mask") == ",") & ~indented & (F.count_if("sign").over(before) > 0))
+    rows = rows.withColumn("parts_here", parts).withColumn("segment", F.coalesce(F.count_if("parts_here").over(before), F.lit(0)))
+    rows = rows.withColumn("opened", F.last(F.when(F.col("parts_here"), F.struct("mask", "prev_tok")), ignorenulls=True).over(before))
+    own = Window.partitionBy("path", "brace_depth", "unit_no", "segment")
+    rows = rows.withColumn("left_first", F.min("tok_no").over(own)).withColumn("left_stmt", F.min("stmt_no").over(own)).withColumn("type_at", F.min(F.when((F.col("mask") == ":") & ~at_colon, F.col("tok_no"))).over(own))
+    rows = rows.where("sign").withColumn("comma", F.when(F.col("opened.mask") == ",", F.col("opened.prev_tok")))
+    next_comma = F.min("comma").over(unit.orderBy("tok_no").rowsBetween(1, Window.unboundedFollowing))
+    value_end = F.least("unit_end.tok_no", next_comma, F.when(F.col("colon.tok_no") > F.col("tok_no"), F.col("colon.prev_tok")))
+    return rows.select("path", "language", "tok_no", "stmt_no", "left_first", F.least("tok_no", "type_at").alias("left_end"), "left_stmt", F.col("next_tok").alias("value_start"), value_end.alias("value_end"), F.col("unit_end.stmt_no").alias("last_stmt")).where("value_start <= value_end")
+
+
+def assignments(code: DataFrame) -> DataFrame:
+    """path, language, tok_no (of the sign), stmt_no, last_stmt, start_tok, targets, target_chain, value_start, value_end,
+    line_no, col_no, off (of the target): one row for each sign = or := outside brackets."""
+    signs = _signs(code)
+    left = by_statement(signs.select("path", F.col("tok_no").alias("sign"), F.col("left_stmt").alias("stmt_no"), F.col("stmt_no").alias("last_stmt"), "left_first", "left_end"))
+    rows = left.join(names(code).select("path", "stmt_no", F.col("tok_no").alias("t"), "parts", "line_no", "col_no", "off"), ["path", "stmt_no"]).where("t >= left_first AND t < left_end")
+    found = rows.groupBy("path", F.col("sign").alias("tok_no")).agg(
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("parts")))).alias("targets"),
+        F.max(F.struct("t", "parts")).alias("target"),
+        F.min(F.struct("t", "line_no", "col_no", "off")).alias("first"),
     )
-    return found.where("target IS NOT NULL AND value_start IS NOT NULL").select("path", "language", "tok_no", "stmt_no", F.col("first.t").alias("start_tok"), "targets", F.col("target.parts").alias("target_chain"), "value_start", "value_end", F.col("first.line_no").alias("line_no"), F.col("first.col_no").alias("col_no"), F.col("first.off").alias("off"))
+    return signs.join(found, ["path", "tok_no"]).select("path", "language", "tok_no", "stmt_no", "last_stmt", F.col("first.t").alias("start_tok"), "targets", F.col("target.parts").alias("target_chain"), "value_start", "value_end", F.col("first.line_no").alias("line_no"), F.col("first.col_no").alias("col_no"), F.col("first.off").alias("off"))
 
 
 def extent_identifiers(code: DataFrame, extents: DataFrame) -> DataFrame:
     """Adds names (distinct, sorted) to extents (path, stmt_no, key, first_tok, last_tok): the identifiers inside."""
     inner = names(code).select("path", "stmt_no", F.col("tok_no").alias("t"), "parts")
-    rows = extents.join(inner, ["path", "stmt_no"]).where("t BETWEEN first_tok AND last_tok")
+    rows = by_statement(extents).join(inner, ["path", "stmt_no"]).where("t BETWEEN first_tok AND last_tok")
     return rows.groupBy("path", "key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("parts")))).alias("names"))
 
 

@@ -47,6 +47,10 @@ class Facts:
     def arguments(self) -> DataFrame:
         return self._kept(fact.arguments(self.code, self.calls))
 
+    @cached_property
+    def whole_arguments(self) -> DataFrame:
+        return self._kept(fact.whole_arguments(self.code, self.calls))
+
     @cached_property
     def assignments(self) -> DataFrame:
         return self._kept(fact.assignments(self.code))
@@ -75,8 +79,8 @@ def sink_calls(facts: Facts, rule_id: str) -> DataFrame:
     """Calls whose last or whole name is a sink's, with a tainted argument: path, first_tok, last_tok."""
     wanted = facts.sink_names(rule_id, "call")
     found = applying(facts.calls, rule_id).where(F.element_at("parts", -1).isin(*wanted) | F.col("callee").isin(*wanted))
-    inside = facts.arguments.join(found.select("path", F.col("tok_no").alias("call_tok"), "stmt_no"), ["path", "call_tok"])
-    extents = inside.select("path", "stmt_no", F.struct("call_tok", "arg_no").alias("key"), "first_tok", "last_tok")
+    inside = facts.whole_arguments.join(found.select("path", F.col("tok_no").alias("call_tok")), ["path", "call_tok"])
+    extents = inside.select("path", "stmt_no", "last_stmt", F.struct("call_tok", "arg_no").alias("key"), "first_tok", "last_tok")
     hit = taint.tainted_extents(facts.code, facts.calls, extents, facts.tainted, facts.more).select("path", F.col("key.call_tok").alias("tok_no")).distinct()
     return found.join(hit, ["path", "tok_no"]).select("path", "language", F.col("tok_no").alias("first_tok"), F.col("close_tok").alias("last_tok"))
 
@@ -84,7 +88,7 @@ def sink_calls(facts: Facts, rule_id: str) -> DataFrame:
 def sink_assignments(facts: Facts, rule_id: str) -> DataFrame:
     """Assignments to a sink property whose value is tainted."""
     found = applying(facts.assignments, rule_id).where(F.element_at("target_chain", -1).isin(*facts.sink_names(rule_id, "property")))
-    extents = found.select("path", "stmt_no", F.col("tok_no").alias("key"), F.col("value_start").alias("first_tok"), F.col("value_end").alias("last_tok"))
+    extents = found.select("path", "stmt_no", "last_stmt", F.col("tok_no").alias("key"), F.col("value_start").alias("first_tok"), F.col("value_end").alias("last_tok"))
     hit = taint.tainted_extents(facts.code, facts.calls, extents, facts.tainted, facts.more).withColumnRenamed("key", "tok_no")
     return found.join(hit, ["path", "tok_no"]).select("path", "language", F.col("start_tok").alias("first_tok"), F.col("value_end").alias("last_tok"))
 

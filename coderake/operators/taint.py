@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from coderake.functions.vocabulary import TAINT_TERMS
-from coderake.operators.facts import names
+from coderake.operators.facts import by_statement, names
 
 
 def _words(role: str, more: dict[str, list[str]] | None = None) -> Column:
@@ -29,14 +29,14 @@ def source_of(parts: Column, is_call: Column) -> Column:
 
 def sources(code: DataFrame, calls: DataFrame) -> DataFrame:
     """path, language, stmt_no, tok_no, parts, close_tok (of calls), source: names that are sources."""
-    called = calls.select("path", "tok_no", "close_tok")
+    called = calls.select("path", "tok_no", "close_tok", "last_stmt")
     rows = names(code).select("path", "language", "stmt_no", "tok_no", "parts").join(called, ["path", "tok_no"], "left")
     return rows.withColumn("source", source_of(F.col("parts"), F.col("close_tok").isNotNull())).where("source IS NOT NULL")
 
 
 def sanitizer_calls(calls: DataFrame, more: dict[str, list[str]] | None = None) -> DataFrame:
     """path, stmt_no, first, last: extents of calls whose whole dotted name is a sanitizer's."""
-    return calls.where(F.array_contains(_words("sanitizer", more), F.col("callee"))).select("path", "stmt_no", F.col("tok_no").alias("s_first"), F.col("close_tok").alias("s_last"))
+    return calls.where(F.array_contains(_words("sanitizer", more), F.col("callee"))).select("path", "stmt_no", "last_stmt", F.col("tok_no").alias("s_first"), F.col("close_tok").alias("s_last"))
 
 
 def live_names(code: DataFrame, calls: DataFrame, extents: DataFrame, more: dict[str, list[str]] | None = None) -> DataFrame:
@@ -44,14 +44,14 @@ def live_names(code: DataFrame, calls: DataFrame, extents: DataFrame, more: dict
     called = calls.select("path", F.col("tok_no").alias("t"), F.lit(True).alias("is_call"))
     inner = names(code).select("path", "stmt_no", F.col("tok_no").alias("t"), "parts").join(called, ["path", "t"], "left")
     inner = inner.withColumn("is_source", source_of(F.col("parts"), F.coalesce("is_call", F.lit(False))).isNotNull()).drop("is_call")
-    rows = extents.select("path", "stmt_no", "key", "first_tok", "last_tok").join(inner, ["path", "stmt_no"]).where("t BETWEEN first_tok AND last_tok")
-    cut = sanitizer_calls(calls, more).alias("s")
+    rows = by_statement(extents).select("path", "stmt_no", "key", "first_tok", "last_tok").join(inner, ["path", "stmt_no"]).where("t BETWEEN first_tok AND last_tok")
+    cut = by_statement(sanitizer_calls(calls, more)).alias("s")
     inside = (F.col("r.path") == F.col("s.path")) & (F.col("r.stmt_no") == F.col("s.stmt_no")) & (F.col("s.s_first") >= F.col("r.first_tok")) & (F.col("s.s_last") <= F.col("r.last_tok")) & F.col("r.t").between(F.col("s.s_first"), F.col("s.s_last"))
     return rows.alias("r").join(cut, inside, "left_anti").select("path", "key", "t", "parts", "is_source")
 
 
 def _value_extents(assigned: DataFrame) -> DataFrame:
-    return assigned.select("path", "stmt_no", F.col("tok_no").alias("key"), F.col("value_start").alias("first_tok"), F.col("value_end").alias("last_tok"))
+    return assigned.select("path", "stmt_no", "last_stmt", F.col("tok_no").alias("key"), F.col("value_start").alias("first_tok"), F.col("value_end").alias("last_tok"))
 
 
 def events(code: DataFrame, calls: DataFrame, assigned: DataFrame, more: dict[str, list[str]] | None = None) -> DataFrame:
@@ -62,7 +62,7 @@ def events(code: DataFrame, calls: DataFrame, assigned: DataFrame, more: dict[st
     made = assigned.join(live.withColumnRenamed("key", "tok_no"), ["path", "tok_no"], "left").select("path", F.col("start_tok").alias("ord"), F.when(F.col("is_source"), none).otherwise(F.col("targets")).alias("targets"), F.coalesce("idents", none).alias("idents"), F.when(F.col("is_source"), F.col("targets")).otherwise(none).alias("seeds"))
     found = sources(code, calls)
     inner = names(code).select("path", "stmt_no", F.col("tok_no").alias("t"), F.col("parts").alias("inner"))
-    whole = found.where("source = 'call'").join(inner, ["path", "stmt_no"]).where("t BETWEEN tok_no AND close_tok").groupBy("path", "tok_no").agg(F.array_distinct(F.flatten(F.collect_list("inner"))).alias("seeds"))
+    whole = by_statement(found.where("source = 'call'")).join(inner, ["path", "stmt_no"]).where("t BETWEEN tok_no AND close_tok").groupBy("path", "tok_no").agg(F.array_distinct(F.flatten(F.collect_list("inner"))).alias("seeds"))
     own = found.where("source <> 'call'").select("path", "tok_no", F.when(F.col("source") == "member", F.col("parts")).otherwise(F.array_intersect("parts", _words("source_identifier"))).alias("seeds"))
     seen = whole.unionByName(own).select("path", F.col("tok_no").alias("ord"), none.alias("targets"), none.alias("idents"), "seeds")
     return made.unionByName(seen)

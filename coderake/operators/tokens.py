@@ -16,6 +16,8 @@ _COMMON = r"""|"[^"\n]*"|'[^'\n]*'|[A-Za-z_][\w.]*|[0-9]+|==|!=|<=|>=|&&|\|\||:=
 HASH_LEXER = r'''"""[\s\S]*?"""|\'\'\'[\s\S]*?\'\'\'|#[^\n]*'''.replace("\\'", "'") + _COMMON
 SLASH_LEXER = r"/\*[\s\S]*?\*/|//[^\n]*|`[^`]*`" + _COMMON
 KEYS = ("path", "language")
+#: What stands before the opening brace of a literal or a pattern; before that of a block stands something else.
+BEFORE_LITERALS = ("=", ":=", "(", ",", "[", "?", "return", "||", "&&", "const", "let", "var")
 
 
 def masked(text: Column) -> Column:
@@ -61,19 +63,38 @@ def chain_parts(mask: Column) -> Column:
     return F.filter(F.split(mask, r"\."), lambda p: p != "")
 
 
+def _with_units(rows: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """Adds unit_no, which counts the statements of one bracket level, and unit_end STRUCT<tok_no, stmt_no>, the last code
+    token of the statement and its stmt_no. Here braces of literals end nothing around them, nor does a block inside brackets."""
+    before = Window.partitionBy(*keys).orderBy("tok_no").rowsBetween(Window.unboundedPreceding, -1)
+    is_code = ~F.col("kind").isin("space", "newline", "comment")
+    last = lambda when, value: F.last(F.when(when, F.col(value)), ignorenulls=True).over(before)
+    rows = rows.withColumn("code_before", last(is_code, "mask")).withColumn("tok_before", last(is_code, "tok_no")).withColumn("mark_before", last(F.col("mask").isin("case", "default", ";", "{", "}", "?"), "mask"))
+    literal = (F.col("language") == "python") | F.col("code_before").isin(*BEFORE_LITERALS) | ((F.col("code_before") == ":") & ~F.coalesce(F.col("mark_before").isin("case", "default"), F.lit(False)))
+    ends = F.col("mask").isin(";", "}") | ((F.col("mask") == "{") & ~F.coalesce(literal, F.lit(False))) | (F.col("kind") == "newline")
+    rows = rows.withColumn("ends", ends).withColumn("unit_no", F.coalesce(F.count_if("ends").over(Window.partitionBy(*keys, "paren_depth", "brace_depth").orderBy("tok_no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    own = F.struct(F.when(is_code, F.col("tok_no")).otherwise(F.col("tok_before")).alias("tok_no"), "stmt_no")
+    unit_end = F.max(F.when(F.col("ends"), own)).over(Window.partitionBy(*keys, "paren_depth", "brace_depth", "unit_no"))
+    file_end = F.struct(F.max(F.when(is_code, F.col("tok_no"))).over(Window.partitionBy(*keys)).alias("tok_no"), F.max("stmt_no").over(Window.partitionBy(*keys)).alias("stmt_no"))
+    return rows.withColumn("unit_end", F.coalesce(unit_end, file_end)).drop("code_before", "tok_before", "mark_before", "ends")
+
+
 def code_tokens(rows: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """Tokens without white space and comments, with what the facts need: parts (of names), stmt_no, the neighbours'
-    text, close_tok of brackets, and for a closing bracket the tokens before its opening one."""
+    text, close_tok of brackets, outer_open (the opening bracket around a token), and for a closing bracket the tokens
+    before its opening one."""
     p = Window.partitionBy(*keys).orderBy("tok_no")
     # A line break inside brackets ends no statement; brackets inside a block start anew with it.
     ends = F.when((F.col("mask") == ";") | F.col("mask").isin("{", "}") | ((F.col("kind") == "newline") & (F.col("paren_depth") == 0)), 1).otherwise(0)
     stmt = F.coalesce(F.sum(ends).over(p.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("int")
-    code = rows.withColumn("stmt_no", stmt).where(~F.col("kind").isin("space", "newline", "comment"))
+    code = _with_units(rows.withColumn("stmt_no", stmt), keys).where(~F.col("kind").isin("space", "newline", "comment"))
     code = code.withColumn("parts", F.when(F.col("kind") == "name", chain_parts(F.col("mask"))))
     for name, shift in (("prev", 1), ("prev2", 2)):
         code = code.withColumn(name, F.lag("mask", shift).over(p))
     code = code.withColumn("prev_kind", F.lag("kind").over(p)).withColumn("prev_tok", F.lag("tok_no").over(p)).withColumn("prev_line", F.lag("line_no").over(p)).withColumn("prev_end", F.lag(F.col("off") + F.length("mask")).over(p))
-    code = code.withColumn("next", F.lead("mask").over(p)).withColumn("next_kind", F.lead("kind").over(p)).withColumn("next_off", F.lead("off").over(p))
+    code = code.withColumn("next", F.lead("mask").over(p)).withColumn("next_kind", F.lead("kind").over(p)).withColumn("next_off", F.lead("off").over(p)).withColumn("next_tok", F.lead("tok_no").over(p)).withColumn("next2_tok", F.lead("tok_no", 2).over(p))
+    level = Window.partitionBy(*keys, "paren_depth", "brace_depth").orderBy("tok_no")
+    code = code.withColumn("outer_open", F.last(F.when(F.col("prev").isin("(", "[", "{"), F.col("prev_tok")), ignorenulls=True).over(level))
     bracket = F.when(F.col("mask").isin("(", "[", ")", "]"), "paren").when(F.col("mask").isin("{", "}"), "brace").otherwise("none")
     opens = F.col("mask").isin("(", "[", "{").cast("int")
     pair = F.when(bracket == "paren", F.col("paren_depth") + opens).when(bracket == "brace", F.col("brace_depth") + opens).otherwise(0)
@@ -81,9 +102,13 @@ def code_tokens(rows: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
     b = Window.partitionBy(*keys, "bracket", "pair").orderBy("tok_no")
     close = F.when((F.col("bracket") != "none") & (opens == 1), F.lead("tok_no").over(b))
     code = code.withColumn("close_tok", close)
+    for name in ("stmt_no", "prev_tok"):
+        code = code.withColumn(f"close_{name}", F.when(F.col("close_tok").isNotNull(), F.lead(name).over(b)))
     for name in ("prev", "prev2", "prev_kind", "prev_tok", "prev_line"):
         code = code.withColumn(f"opener_{name}", F.when((F.col("bracket") == "paren") & (opens == 0), F.lag(name).over(b)))
-    return code.withColumn("next_close", F.lead("close_tok").over(p)).drop("bracket", "pair")
+    for name in ("tok", "stmt_no", "prev_tok"):
+        code = code.withColumn("next_close" if name == "tok" else f"next_close_{name}", F.lead(f"close_{name}").over(p))
+    return code.drop("bracket", "pair", "close_stmt_no", "close_prev_tok")
 
 
 def is_keyword(mask: Column) -> Column:

@@ -158,3 +158,32 @@ def test_vocabulary_tables(spark):
     assert voc.taint_terms(spark).count() == 34
     assert voc.sinks(spark, [("SQLI", "call", "run")]).count() == 22
     assert taint.TAINT_TERMS["sanitizer"][0] == "escape"
+
+
+#: Layouts in which literals, chains, declarations or one-line blocks hold what is tainted.
+LAYOUTS = {
+    "literal_argument.js": ('let y = req.body;\ndb.execute({text: "S" + y});\n', [("SQLI", 2)]),
+    "argument_after_a_callback.js": ("let y = req.body;\nrun.execute(function (e) { done(e); }, y);\n", [("SQLI", 2)]),
+    "sanitized_literal.js": ("let y = req.body;\ndb.execute(escape({text: y}), {a: 1});\n", []),
+    "literal_value.py": ('x = {\n    "a": request.args.get("q"),\n}\ncur.execute(x)\n', [("SQLI", 4)]),
+    "chain.py": ("a = b = input()\ncur.execute(b)\ncur.execute(a)\n", [("SQLI", 2), ("SQLI", 3)]),
+    "declarations.js": ("let a = 1, b = req.query.q;\ndb.execute(b);\ndb.execute(a);\n", [("SQLI", 2)]),
+    "pattern.js": ("const { a, b } = req.query;\ndb.execute(b);\n", [("SQLI", 2)]),
+    "one_line_block.py": ("if c: x = input()\ncur.execute(x)\ncur.execute(c)\n", [("SQLI", 2)]),
+    "tuple.py": ("a, b = 1, input()\ncur.execute(a)\n", [("SQLI", 2)]),
+    "case_block.js": ("switch (c) {\n  case 1: {\n    x = req.body\n    y = 2\n  }\n}\ndb.execute(x)\ndb.execute(y)\n", [("SQLI", 7)]),
+    "literal_with_function.js": ("let o = {\n  f: function (a) { return a; },\n  g: req.body,\n};\ndb.execute(o);\n", [("SQLI", 5)]),
+}
+
+
+def test_layouts(spark):
+    found = {}
+    for r in scan(raw(spark, *[(k, v[0]) for k, v in LAYOUTS.items()])).findings.collect():
+        found.setdefault(r["location"]["path"], []).append((r["rule_id"], r["location"]["line"]))
+    assert {k: sorted(v) for k, v in found.items()} == {k: v[1] for k, v in LAYOUTS.items() if v[1]}
+
+
+def test_one_row_for_each_sign(spark):
+    own = facts(texts(spark, ("p", "javascript", "let a = 1, b = c = f(2, 3), d;\n"), ("q", "python", "if c: x: int = 1\n")))
+    rows = own.assignments.join(own.code.select("path", "tok_no", "off"), ["path", "tok_no"]).orderBy("path", own.code["off"]).collect()
+    assert [(r["path"], r["targets"]) for r in rows] == [("p", ["a"]), ("p", ["b"]), ("p", ["c"]), ("q", ["x"])]
