@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import hashlib
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 TOOL = "coderake"
@@ -25,15 +28,19 @@ def text_blocks(found: DataFrame) -> DataFrame:
 
 
 def _listed(found: DataFrame, item: Column) -> DataFrame:
-    """One row with all items in report order. A single document holds all its findings by nature; use rows otherwise."""
+    """One row with all items in report order. For few findings; report_rows has any number."""
     keyed = F.struct("location.path", "location.line", "rule_id", "rule_no", "ord", item.alias("item"))
     return found.agg(F.transform(F.array_sort(F.collect_list(keyed)), lambda x: x["item"]).alias("items")).withColumn("one", F.lit(1))
 
 
+def _text_tail() -> Column:
+    return F.concat(F.lit("Suppressed findings: "), F.col("suppressed").cast("string"), F.lit("\nAuto-fixes applied: "), F.col("auto_fixes_applied").cast("string"), F.lit("\nAuto-fixes skipped: "), F.col("auto_fixes_skipped").cast("string"))
+
+
 def text_report(found: DataFrame, counts: DataFrame) -> DataFrame:
     """One row: the whole text report. found: kept findings; counts: the summary row."""
     rows = _listed(found, text_block()).join(counts.withColumn("one", F.lit(1)), "one")
-    tail = F.concat(F.lit("Suppressed findings: "), F.col("suppressed").cast("string"), F.lit("\nAuto-fixes applied: "), F.col("auto_fixes_applied").cast("string"), F.lit("\nAuto-fixes skipped: "), F.col("auto_fixes_skipped").cast("string"), F.lit("\n"))
+    tail = F.concat(_text_tail(), F.lit("\n"))
     return rows.select(F.concat(F.array_join(F.transform("items", lambda b: F.concat(b, F.lit("\n\n"))), ""), tail).alias("report"))
 
 
@@ -69,20 +76,71 @@ def sarif_rules(found: DataFrame) -> DataFrame:
     return found.groupBy("rule_id").agg(F.min(place).alias("first"), F.max_by(rule, place).alias("rule"))
 
 
+def _rules_listed(found: DataFrame) -> DataFrame:
+    """One row with the rules, of which there are few, in the order of first findings."""
+    return sarif_rules(found).agg(F.transform(F.array_sort(F.collect_list(F.struct("first", "rule"))), lambda x: x["rule"]).alias("rules"))
+
+
+def _sarif_tool() -> Column:
+    return F.struct(F.struct(F.lit(TOOL).alias("name"), F.lit(f"https://example.com/{TOOL}").alias("informationUri"), F.col("rules")).alias("driver"))
+
+
 def sarif_report(found: DataFrame) -> DataFrame:
-    listed = F.transform(F.array_sort(F.collect_list(F.struct("first", "rule"))), lambda x: x["rule"])
-    rules = sarif_rules(found).agg(listed.alias("rules")).withColumn("one", F.lit(1))
-    rows = _listed(found, sarif_result()).join(rules, "one")
-    driver = F.struct(F.lit(TOOL).alias("name"), F.lit(f"https://example.com/{TOOL}").alias("informationUri"), F.col("rules"))
-    run = F.struct(F.struct(driver.alias("driver")).alias("tool"), F.col("items").alias("results"))
+    rows = _listed(found, sarif_result()).join(_rules_listed(found).withColumn("one", F.lit(1)), "one")
+    run = F.struct(_sarif_tool().alias("tool"), F.col("items").alias("results"))
     return rows.select(F.to_json(F.struct(F.lit("2.1.0").alias("version"), F.lit(SCHEMA).alias("$schema"), F.array(run).alias("runs"))).alias("report"))
 
 
+#: What puts the rows of report_rows in order.
+PLACE = ("part", "path", "line", "rule_id", "rule_no", "ord", "nth")
+
+
+def report_rows(found: DataFrame, counts: DataFrame | None, how: str) -> DataFrame:
+    """PLACE, value: a report as rows that, in the order of PLACE and a line break after each, are the document; part 0 is
+    the header, part 1 has a row for each finding, part 2 is the footer. No task holds more than rows."""
+    plain = {"ignoreNullFields": "false"}
+    if how == "text":
+        item, head, foot = F.concat(text_block(), F.lit("\n")), None, counts.select(_text_tail().alias("value"))
+    elif how == "json":
+        item, foot = F.to_json(finding_struct(), plain), counts.select(F.lit("]}").alias("value"))
+        summary = F.to_json(F.struct("count", "suppressed", "auto_fixes_applied", "auto_fixes_skipped"), plain)
+        head = counts.select(F.concat(F.lit('{"summary":'), summary, F.lit(',"findings":[')).alias("value"))
+    else:
+        rules = _rules_listed(found)
+        item, foot = F.to_json(sarif_result()), rules.select(F.lit("]}]}").alias("value"))
+        head = rules.select(F.concat(F.lit(f'{{"version":"2.1.0","$schema":"{SCHEMA}","runs":[{{"tool":'), F.to_json(_sarif_tool()), F.lit(',"results":[')).alias("value"))
+    key = PLACE[1:-1]
+    rows = found.select("location.path", "location.line", "rule_id", "rule_no", "ord", item.alias("value"))
+    rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy(*key).orderBy("value")))
+    if how != "text":  # a comma before each item but the first
+        rows = rows.crossJoin(F.broadcast(rows.agg(F.min(F.struct(*key, "nth")).alias("least"))))
+        rows = rows.withColumn("value", F.when(F.struct(*key, "nth") == F.col("least"), F.col("value")).otherwise(F.concat(F.lit(","), F.col("value"))))
+    out = rows.select(F.lit(1).alias("part"), *PLACE[1:], "value")
+    for part, edge in ((0, head), (2, foot)):
+        if edge is not None:
+            out = out.unionByName(edge.withColumn("part", F.lit(part)), allowMissingColumns=True)
+    return out
+
+
+def report_md5(rows: DataFrame) -> DataFrame:
+    """One row, report_md5: the digest of the whole document. A digest takes the text in order, so one task reads all rows,
+    sorted with spills, but holds only a batch of them."""
+
+    def digest(batches):
+        md5 = hashlib.md5()
+        for batch in batches:
+            for value in batch.column(0).to_pylist():
+                md5.update(value.encode() + b"\n")
+        yield pa.RecordBatch.from_arrays([pa.array([md5.hexdigest()])], names=["report_md5"])
+
+    return rows.repartition(1).sortWithinPartitions(*PLACE).select("value").mapInArrow(digest, "report_md5 string")
+
+
 def write_report(found: DataFrame, counts: DataFrame, path: str, how: str = "text", mode: str = "error") -> None:
-    """Writes findings under path: text, json or sarif as one document, jsonl and parquet as rows by rule."""
+    """Writes findings under path: text, json or sarif as part files whose texts in the order of their names
+    are one document, jsonl and parquet as rows by rule."""
     if how in ("jsonl", "parquet"):
         rows = found.drop("rule_no", "ord")
         (rows.write.mode(mode).partitionBy("rule_id").json(path) if how == "jsonl" else rows.write.mode(mode).partitionBy("rule_id").parquet(path))
         return
-    made = {"json": lambda: json_report(found, counts), "sarif": lambda: sarif_report(found)}.get(how, lambda: text_report(found, counts))()
-    made.coalesce(1).write.mode(mode).text(path)
+    report_rows(found, counts, how if how in ("json", "sarif") else "text").orderBy(*PLACE).select("value").write.mode(mode).text(path)

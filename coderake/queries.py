@@ -388,33 +388,35 @@ _BLOCK = "'[' || severity || '/' || confidence || '] ' || rule_id || ': ' || tit
 @query(over("fnd", f"SELECT md5(string_agg({_BLOCK} || chr(10) || chr(10), '' ORDER BY path, line, rule_id, rule_no, ord) || 'Suppressed findings: ' || (SELECT count(*) FROM fnd WHERE suppressed) || chr(10) || 'Auto-fixes applied: 0' || chr(10) || 'Auto-fixes skipped: 0' || chr(10)) AS report_md5 FROM fnd WHERE NOT suppressed"))
 def o1_text_report(spark, d):
     rows = found(spark, d)
-    return rep.text_report(fnd.kept(rows), fnd.summary(rows, fnd.fix_counts(None, spark))).select(F.md5("report").alias("report_md5"))
+    return rep.report_md5(rep.report_rows(fnd.kept(rows), fnd.summary(rows, fnd.fix_counts(None, spark)), "text"))
 
 
 @query(over("fnd", "SELECT (SELECT count(*) FROM fnd WHERE NOT suppressed) AS count, (SELECT count(*) FROM fnd WHERE suppressed) AS suppressed, rule_id, severity, path, CAST(line AS INT) AS line, CAST(col AS INT) AS col, snippet, message, true AS fix_is_null FROM fnd WHERE NOT suppressed"))
 def o2_json_report(spark, d):
-    """The JSON document, read back."""
+    """The rows of the JSON document, read back."""
     rows = found(spark, d)
-    text = rep.json_report(fnd.kept(rows), fnd.summary(rows, fnd.fix_counts(None, spark)))
-    schema = "summary struct<count:bigint,suppressed:bigint>, findings array<struct<rule_id:string,severity:string,message:string,location:struct<path:string,line:int,column:int,snippet:string>,fix:string>>"
-    back = text.select(F.from_json("report", schema).alias("r")).select("r.summary.*", F.explode("r.findings").alias("f"))
+    text = rep.report_rows(fnd.kept(rows), fnd.summary(rows, fnd.fix_counts(None, spark)), "json")
+    head = text.where("part = 0").select(F.from_json(F.concat("value", F.lit("]}")), "summary struct<count:bigint,suppressed:bigint>").alias("r")).select("r.summary.*")
+    schema = "rule_id string, severity string, message string, location struct<path:string,line:int,column:int,snippet:string>, fix string"
+    back = text.where("part = 1").select(F.from_json(F.ltrim("value", F.lit(",")), schema).alias("f")).crossJoin(F.broadcast(head))
     return back.select("count", "suppressed", "f.rule_id", "f.severity", "f.location.path", F.col("f.location.line").alias("line"), F.col("f.location.column").alias("col"), F.col("f.location.snippet").alias("snippet"), "f.message", F.col("f.fix").isNull().alias("fix_is_null"))
 
 
 @query(over("fnd", "SELECT '2.1.0' AS version, rule_id, CASE severity WHEN 'High' THEN 'error' WHEN 'Medium' THEN 'warning' ELSE 'note' END AS level, path, CAST(line AS INT) AS line, CAST(col AS INT) AS col, snippet, message FROM fnd WHERE NOT suppressed"))
 def o3_sarif_report(spark, d):
-    """The SARIF document's results, read back."""
-    schema = "version string, runs array<struct<results:array<struct<ruleId:string,level:string,message:struct<text:string>,locations:array<struct<physicalLocation:struct<artifactLocation:struct<uri:string>,region:struct<startLine:int,startColumn:int,snippet:struct<text:string>>>>>>>>>"
-    back = rep.sarif_report(fnd.kept(found(spark, d))).select(F.from_json("report", schema).alias("r")).select("r.version", F.explode(F.col("r.runs")[0]["results"]).alias("x"))
+    """The rows of the SARIF document, read back."""
+    text = rep.report_rows(fnd.kept(found(spark, d)), None, "sarif")
+    head = text.where("part = 0").select(F.from_json(F.concat("value", F.lit("]}]}")), "version string").alias("r")).select("r.version")
+    schema = "ruleId string, level string, message struct<text:string>, locations array<struct<physicalLocation:struct<artifactLocation:struct<uri:string>,region:struct<startLine:int,startColumn:int,snippet:struct<text:string>>>>>"
+    back = text.where("part = 1").select(F.from_json(F.ltrim("value", F.lit(",")), schema).alias("x")).crossJoin(F.broadcast(head))
     at = F.col("x.locations")[0]["physicalLocation"]
     return back.select("version", F.col("x.ruleId").alias("rule_id"), "x.level", at["artifactLocation"]["uri"].alias("path"), at["region"]["startLine"].alias("line"), at["region"]["startColumn"].alias("col"), at["region"]["snippet"]["text"].alias("snippet"), F.col("x.message.text").alias("message"))
 
 
 @query(over("fnd", ", g AS (SELECT *, row_number() OVER (ORDER BY path, line, rule_id, rule_no, ord) AS n FROM fnd WHERE NOT suppressed) SELECT CAST(row_number() OVER (ORDER BY min(n)) - 1 AS INT) AS place, rule_id AS id, arg_max(title, n) AS name, arg_max(message, n) AS description, arg_max(severity, n) AS severity FROM g GROUP BY rule_id"))
 def o4_sarif_rules(spark, d):
-    """The SARIF document's rule list, read back with places."""
-    schema = "runs array<struct<tool:struct<driver:struct<rules:array<struct<id:string,name:string,fullDescription:struct<text:string>,properties:struct<severity:string>>>>>>>"
-    back = rep.sarif_report(fnd.kept(found(spark, d))).select(F.from_json("report", schema).alias("r")).select(F.posexplode(F.col("r.runs")[0]["tool"]["driver"]["rules"]).alias("place", "x"))
+    """The SARIF document's rule list with places."""
+    back = rep._rules_listed(fnd.kept(found(spark, d))).select(F.posexplode("rules").alias("place", "x"))
     return back.select("place", "x.id", "x.name", F.col("x.fullDescription.text").alias("description"), "x.properties.severity")
 
 

@@ -187,3 +187,21 @@ def test_one_row_for_each_sign(spark):
     own = facts(texts(spark, ("p", "javascript", "let a = 1, b = c = f(2, 3), d;\n"), ("q", "python", "if c: x: int = 1\n")))
     rows = own.assignments.join(own.code.select("path", "tok_no", "off"), ["path", "tok_no"]).orderBy("path", own.code["off"]).collect()
     assert [(r["path"], r["targets"]) for r in rows] == [("p", ["a"]), ("p", ["b"]), ("p", ["c"]), ("q", ["x"])]
+
+
+def test_reports_are_rows(spark, tmp_path):
+    done = scan(raw(spark, *[(f"p{i:03}.py", "x = req\ncur.execute(x)\nrender(x)\n") for i in range(40)]))
+    twice = done.findings.unionByName(done.findings.where("location.path = 'p000.py'"))  # equal findings stay
+    whole = {"text": rep.text_report(twice, done.summary), "json": rep.json_report(twice, done.summary), "sarif": rep.sarif_report(twice)}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # several parts of so few rows
+    for how, one in whole.items():
+        rep.write_report(twice, done.summary, f"{tmp_path}/{how}", how)
+        parts = sorted((tmp_path / how).glob("part-*"))
+        text = "".join(p.read_text() for p in parts)
+        assert len(parts) > 1 and sum(p.stat().st_size > 0 for p in parts) > 1
+        assert text == one.first()[0] if how == "text" else json.loads(text) == json.loads(one.first()[0])
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    nothing = done.findings.where("false")
+    for how in ("json", "sarif"):
+        rep.write_report(nothing, done.summary, f"{tmp_path}/no-{how}", how)
+        assert json.loads("".join(p.read_text() for p in sorted((tmp_path / f"no-{how}").glob("part-*"))))
