@@ -4,7 +4,7 @@ Trusted positives are sampled documents labelled good; the unlabelled side is sa
 web text whose labels, if any, are not looked at. A linear model on shape statistics of
 the whole text minimises the non-negative unbiased risk
 ``p R+(positives) + max(0, R-(unlabelled) - p R-(positives))`` with the logistic loss;
-the prior p is the share of good rows among the labelled training rows.
+the prior p is the share of good rows among all labelled training rows.
 
 Cases: a null text is scored as an empty one; without positives or unlabelled rows in
 the training part every score is the prior (0.5 without labels); labels for one id are
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from coderake.llm.common import fold, hash_share
 
-#: Rows that a model is fitted on, about, however many there are (both sides together).
+#: Rows of each side, labelled and unlabelled, that a model is fitted on, about, however many there are.
 SAMPLE = 40_000
 _CLASSES = [bytes(range(97, 123)), bytes(range(65, 91)), bytes(range(48, 58)), b" ", b"\n", b"\t\r\x0b\x0c", b".", b",", b";:", b"!", b"?", b"\"'`", b"()[]{}", b"<>", b"/\\", b"|", b"#", b"$", b"%", b"&", b"*", b"@~^", b"_=+", b"-", bytes(range(0x80, 0xC0)), bytes(range(0xC0, 0x100))]
 _KIND = np.full(256, len(_CLASSES), np.int64)
@@ -48,24 +48,31 @@ def features(text: str | None) -> np.ndarray:
     return np.concatenate([share, np.sqrt(share), np.minimum(1.0, 30 * share), more]).astype(np.float32)
 
 
-def _sample(docs: DataFrame, labels: DataFrame, rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """Features of sampled training rows, and their labels (nan: none). Ids are sampled by hash, so both tables give
-    the same ids; the sampled labels are bounded like the sample, and are few enough to broadcast."""
-    share = rows / max(1, docs.count())
-    kept = labels.where(hash_share(share, F.col("doc_id"), seed=4) & (fold(F.col("doc_id")) != 1)).groupBy("doc_id").agg(F.avg("quality").alias("quality"))
-    drawn = docs.where(hash_share(share, F.col("doc_id"), seed=4) & (fold(F.col("doc_id")) != 1)).select("doc_id", "text")
-    drawn = drawn.join(F.broadcast(kept), "doc_id", "left").select("text", "quality")
+def _sample(docs: DataFrame, labels: DataFrame, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, tuple[int, int, int]]:
+    """Features of sampled training rows, their labels (nan: none drawn), whether they are on the unlabelled side, and the
+    numbers of all training rows, labelled ones and good ones. Each side is sampled by its own share, so few labels among
+    many rows all count. Ids are sampled by hash; the sampled labels are bounded like the sample, and few enough to broadcast."""
+    training = fold(F.col("doc_id")) != 1
+    times = docs.where(training).groupBy("doc_id").agg(F.count("*").alias("n"))
+    found = times.join(labels.where(training).groupBy("doc_id").agg(F.avg("quality").alias("quality")).where("quality IS NOT NULL"), "doc_id")
+    counted = found.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("labelled"), F.coalesce(F.sum(F.when(F.col("quality") >= 0.5, F.col("n"))), F.lit(0)).alias("good")).first()
+    everything = docs.agg(F.count("*").alias("all"), F.count_if(training).alias("training")).first()
+    share, label_share = rows / max(1, everything["all"]), rows / max(1, counted["labelled"])
+    kept = found.where(hash_share(label_share, F.col("doc_id"), seed=4)).select("doc_id", "quality")
+    drawn = docs.where(training).select("doc_id", "text", F.coalesce(hash_share(share, F.col("doc_id"), seed=4), F.lit(False)).alias("unlabelled"))
+    drawn = drawn.join(F.broadcast(kept), "doc_id", "left").where("unlabelled OR quality IS NOT NULL").select("text", "quality", "unlabelled")
 
     def scan(batches):
         for batch in batches:
             found = np.array([features(t.as_py()) for t in batch.column(0)], np.float32).reshape(-1, N_FEATURES)
-            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in found], pa.binary()), batch.column(1)], names=["x", "quality"])
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in found], pa.binary()), batch.column(1), batch.column(2)], names=["x", "quality", "unlabelled"])
 
-    rows = drawn.mapInArrow(scan, "x binary, quality double").toArrow()
+    rows = drawn.mapInArrow(scan, "x binary, quality double, unlabelled boolean").toArrow()
     x = np.frombuffer(b"".join(rows.column("x").to_pylist()), np.float32).reshape(-1, N_FEATURES)
     y = np.array([np.nan if q is None else q for q in rows.column("quality").to_pylist()], float)
+    side = np.array(rows.column("unlabelled").to_pylist(), bool)
     order = np.lexsort(x.T)  # rows arrive in any order; sums of floats should not differ for it
-    return x[order].astype(float), y[order]
+    return x[order].astype(float), y[order], side[order], (everything["training"], counted["labelled"], counted["good"])
 
 
 def fit_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 600, rate: float = 0.05, decay: float = 1e-4) -> np.ndarray:
@@ -88,10 +95,10 @@ def fit_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: in
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
     """docs: (doc_id, text). labels: (doc_id, quality)."""
-    x, y = _sample(docs, labels, sample)
-    good, unlabelled, known = x[y >= 0.5], x, y[~np.isnan(y)]
-    prior = (np.sum(known >= 0.5) + 1) / (len(known) + 2)
-    if not len(good) or len(good) == len(x):
+    x, y, side, (training, labelled, n_good) = _sample(docs, labels, sample)
+    good, unlabelled = x[y >= 0.5], x[side]
+    prior = (n_good + 1) / (labelled + 2)
+    if not len(good) or not len(unlabelled) or n_good == training:
         return {"mean": np.zeros(N_FEATURES), "scale": np.ones(N_FEATURES), "w": np.append(np.zeros(N_FEATURES), np.log(prior / (1 - prior)))}
     mean, scale = unlabelled.mean(0), unlabelled.std(0) + 1e-3
     return {"mean": mean, "scale": scale, "w": fit_pu((good - mean) / scale, (unlabelled - mean) / scale, min(prior, 0.99))}
