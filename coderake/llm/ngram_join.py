@@ -7,34 +7,43 @@ asked for is each document's component under links.
 1. Order. Shingles are ordered by how often they occur (a fixed-size sketch of
    counts over all documents; any order is right, this one makes prefixes rare). Two
    sets that link share one of their first n - ceil(0.8 n) + 1 shingles.
-2. Groups. Under each shared prefix shingle every set is compared with one leader, in
-   a few rounds with other leaders; the components of the links found are the groups of
-   similar documents, dealt into chunks of some dozens.
-3. Matrix. (shingle, chunk) says that a chunk's sets have the shingle in a prefix. A set
-   looks up the chunks of other groups that share one with it, the smaller group asking
-   the larger. A chunk's token union is kept as a bitmap: tokens of the set whose bits are
-   not in it can't be in any member, which bounds the overlap with all of them. Only
-   chunks whose bound reaches 80 % of the set's size are opened.
-
-Each candidate pair is bounded by the two bitmaps in the same way, and what is left is
-compared exactly, whole set against whole set. Every link between two groups is found in
-3, every other one joins sets of one group already, so the components are exact, while a
-group of thousands of near copies costs a comparison with its leaders each and never all
-pairs. Whole sets are made again from the text, for the documents of such pairs only; a
-fixed-size filter of their ids spares shuffling the other texts.
+2. Groups. Under each shared prefix shingle every set is compared with two leaders: the
+   most central set, which shares most of its own prefix with others, and one by hash. A
+   component of 64 sets or more that these links make is a group whose members need no
+   further comparison; all other sets are grouped by the leader with which they share
+   most shingles, and by size. Groups are dealt into cells of about 2^15 shingles.
+3. Matrix. (shingle, group) says that sets of a group have the shingle in a prefix. A set
+   looks up the groups that share one with it, the smaller group asking the larger (sets
+   grouped by leader also ask their own group). In a task a cell's token union bounds the
+   overlap of each asking set with all of its members; only where that reaches 80 % of
+   the set's size is the cell opened, by an inverted index that counts exact overlaps. A
+   cell gives a spanning forest of the links found, never its pairs.
+
+A pair that links shares a prefix shingle, and under that shingle it is two sets (then one
+is the other's leader), two members of one component, or a set that asks the other's
+group: so the components are exact, and a group of thousands of near copies costs a
+comparison with its leaders each and, for those that do not link with these, with cells.
+Pairs of a set and its leader are bounded by bitmaps before whole sets meet. Whole sets
+are made again from the text, only for documents of such pairs and cells; a fixed-size
+filter of their ids spares making the others.
 
 Cases: a null or empty text, or one without words, has an empty set and is linked with
-nothing; with fewer words than n the whole sequence is the one shingle; repeated rows
-and equal texts are linked (one vertex, named by 64 bits of its set's mark); a row with a null id gets the component of its equals, null
-if they have no id either; an empty table gives an empty result. Only id and text are read.
+nothing (its component is its own id); with fewer words than n the whole sequence is the
+one shingle; repeated rows and equal texts are linked (one vertex, named by 64 bits of its
+set's mark); a row with a null id takes part like any other and gets the smallest id of
+its component, null if there is none; an empty table gives an empty result; very long
+texts are read in blocks. Only id and text are read.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from coderake.llm.common import saved
@@ -45,6 +54,12 @@ _RANDOM = np.random.Generator(np.random.PCG64(5)).integers(0, 1 << 64, 256, dtyp
 _BASE = 0x9E3779B97F4A7C15
 #: Counters of the sketch of shingle counts, and how many of them a row holds.
 BUCKET_BITS, CHUNK = 20, 1 << 16
+#: Words of a text that are hashed at once, and bytes of a word beyond which its digest stands for it.
+BLOCK_WORDS, LONG_WORD = 1 << 14, 256
+#: Bytes of text that a scan holds the sets of, about.
+PART_BYTES = 4 << 20
+#: Members from which a component is a group of its own, and shingles of a cell, about.
+CORE, CELL_SHINGLES = 64, 1 << 15
 
 
 class Shingler:
@@ -66,7 +81,10 @@ class Shingler:
         if not words:
             return np.empty(0, np.uint64)
         n = min(self.n, len(words))
-        raw = np.frombuffer(b" ".join(words), np.uint8)
+        return np.unique(np.concatenate([self._block(words[at : at + BLOCK_WORDS + n - 1], n) for at in range(0, len(words) - n + 1, BLOCK_WORDS)]))
+
+    def _block(self, words: list[bytes], n: int) -> np.ndarray:
+        raw = np.frombuffer(b" ".join(w if len(w) <= LONG_WORD else _shortened(w) for w in words), np.uint8)
         if len(raw) > self.size:
             self._grow(2 * len(raw))
         gaps = np.flatnonzero(raw == 32)
@@ -81,7 +99,12 @@ class Shingler:
             h ^= h >> np.uint64(32)
             h *= np.uint64(0xD6E8FEB86659FD93)
             h ^= h >> np.uint64(32)
-        return np.unique(h)
+        return h
+
+
+def _shortened(word: bytes) -> bytes:
+    """Stands for a very long word: a NUL and 32 digits."""
+    return b"\0" + hashlib.blake2b(word, digest_size=16).hexdigest().encode()
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
@@ -90,9 +113,14 @@ def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.view(np.int64)))
 
 
-def _parts(batch: pa.RecordBatch, rows: int = 1000):
-    for at in range(0, batch.num_rows, rows):
-        yield batch.slice(at, rows)
+def _parts(batch: pa.RecordBatch, text: int):
+    """Slices of a batch with about PART_BYTES of text each, whatever the number of rows."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
+    part = np.cumsum(sizes, dtype=np.int64) // PART_BYTES
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1), batch.num_rows]
+    for a, b in zip(cuts, cuts[1:]):
+        if b > a:
+            yield batch.slice(a, b - a)
 
 
 def _mark(found: np.ndarray) -> tuple[int, int]:
@@ -127,7 +155,7 @@ def set_marks(docs: DataFrame, n: int) -> tuple[DataFrame, np.ndarray]:
     def scan(batches):
         hashes, counts = Shingler(n), np.zeros(1 << BUCKET_BITS, np.int32)
         for batch in batches:
-            for part in _parts(batch):
+            for part in _parts(batch, 1):
                 sets = [hashes(t.as_py()) for t in part.column(1)]
                 if sets:
                     counts += np.bincount((np.concatenate(sets) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), minlength=len(counts)).astype(np.int32)
@@ -167,7 +195,7 @@ def prefixes(docs: DataFrame, n: int, percent: int, sketch: np.ndarray) -> DataF
     def scan(batches):
         hashes, order = Shingler(n), shipped.value
         for batch in batches:
-            for part in _parts(batch):
+            for part in _parts(batch, 0):
                 nodes, sizes, kept, bits = [], [], [], []
                 for text in part.column(0):
                     found = hashes(text.as_py())
@@ -189,8 +217,8 @@ FILTER_WORDS = 1 << 17
 
 
 def whole_sets(docs: DataFrame, distinct: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
-    """(node, tokens) of each given vertex: whole sets, made from the text of its first document. A few others may be
-    among them; joins with the pairs leave them out."""
+    """(node, tokens) of each given vertex: whole sets, made from the text of its first document, or of those without an
+    id. A few others may be among them; joins leave them out."""
     reps = distinct.join(nodes, distinct.sig1 == nodes.node, "left_semi").select(F.col("rep").alias("doc_id"))
     place = lambda: F.pmod(F.xxhash64("doc_id"), F.lit(64 * FILTER_WORDS))
     words = reps.select(place().alias("p")).groupBy(F.floor(F.col("p") / 64).cast("int").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(p % 64 AS int)))").alias("bits"))
@@ -204,34 +232,27 @@ def whole_sets(docs: DataFrame, distinct: DataFrame, nodes: DataFrame, n: int) -
         for batch in batches:
             at = batch.column(0).to_numpy()
             chosen = np.flatnonzero(on[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1))
-            for start in range(0, len(chosen), 500):
-                found = [hashes(batch.column(1)[int(i)].as_py()) for i in chosen[start : start + 500]]
-                found = [f for f in found if len(f)]
+            for part in _parts(batch.select(["text"]).take(pa.array(chosen)), 0):
+                found = [f for f in (hashes(t.as_py()) for t in part.column(0)) if len(f)]
                 yield pa.RecordBatch.from_arrays([pa.array([_mark(f)[0] for f in found], pa.int64()), _lists(found)], names=["node", "tokens"])
 
-    found = docs.where("doc_id IS NOT NULL").select(place().alias("place"), "text").mapInArrow(scan, "node long, tokens array<long>")
+    found = docs.select(place().alias("place"), "text").mapInArrow(scan, "node long, tokens array<long>")
     return found.dropDuplicates(["node"])
 
 
-def bounded(pairs: DataFrame, left: DataFrame, right: DataFrame, percent: int, members: bool) -> DataFrame:
-    """Pairs (a, b) that the bitmaps do not rule out. left: (a, na, bits_a); right: (b, nb, bits_b), where b is one set
-    if members is False, else a chunk's union."""
+def bounded(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of vertices that their bitmaps do not rule out. sketches: (node, n, bits)."""
     def scan(batches):
         for batch in batches:
             keep = []
             for na, x, nb, y in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4, 5))):
-                common = na - outside(x, y)
-                if members:
-                    keep.append(100 * common >= percent * na)
-                else:
-                    common = min(common, nb - outside(y, x))
-                    keep.append(100 * common >= percent * (na + nb - common))
+                common = min(na - outside(x, y), nb - outside(y, x))
+                keep.append(100 * common >= percent * (na + nb - common))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    sized = F.lit(True) if members else (100 * F.col("na") >= percent * F.col("nb")) & (100 * F.col("nb") >= percent * F.col("na"))
-    rows = pairs.join(left, "a").join(right, "b").where(sized).select("a", "b", "na", "bits_a", "nb", "bits_b")
-    kind = dict(pairs.dtypes)
-    return rows.mapInArrow(scan, f"a {kind['a']}, b {kind['b']}")
+    left = sketches.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("bits").alias("bits_a"))
+    right = sketches.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bits_b"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "bits_a", "nb", "bits_b").mapInArrow(scan, "a long, b long")
 
 
 def linked(pairs: DataFrame, docs: DataFrame, distinct: DataFrame, n: int, percent: int) -> DataFrame:
@@ -245,28 +266,25 @@ def linked(pairs: DataFrame, docs: DataFrame, distinct: DataFrame, n: int, perce
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id of every row of docs."""
+    """doc_id, n_shingles, component_id of every row of docs. The id may be of any type that has an order."""
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     marks, sketch = set_marks(docs, n)
     distinct = saved(marks.where("n_shingles > 0").groupBy("sig1", "sig2").agg(F.min("doc_id").alias("rep")), "distinct-sets")
 
     prefix = saved(prefixes(docs, n, percent, sketch), "prefixes")
-    tokens = prefix.select("node", "n", F.explode("prefix").alias("token"))
+    tokens = prefix.select("node", "n", F.size("prefix").alias("least"), F.explode("prefix").alias("token"))
     several = saved(tokens.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("token"), "tokens-of-several")
-    shared = saved(tokens.join(several, "token").distinct(), "shared-tokens")
+    # A document's own prefix, however long, is what a window here holds.
+    held = F.count("*").over(Window.partitionBy("node"))
+    shared = tokens.join(several, "token").distinct()
+    shared = saved(shared.select("token", "node", "n", (-F.floor(1000 * held / F.col("least"))).alias("rank")), "shared-tokens")
     sketches = saved(prefix.select("node", "n", "bits").dropDuplicates(["node"]).join(shared.select("node").distinct(), "node", "left_semi"), "bitmaps")
-    left = sketches.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("bits").alias("bits_a"))
-    right = sketches.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bits_b"))
 
-    rows, links, groups = shared, None, None
-    for seed in range(STAR_ROUNDS):
-        pairs = saved(bounded(_star_pairs(rows, seed, percent), left, right, percent, False), "candidates")
-        new = linked(pairs, docs, distinct, n, percent)
-        links = new if links is None else links.unionByName(new)
-        groups = saved(components(links), "groups")
-        rows, members = _grouped(shared, groups)
-    pairs = _between_groups(rows, members, sketches, left, right, percent)
-    links = links.unionByName(linked(pairs, docs, distinct, n, percent))
+    met, several = _leaders(shared, percent)
+    pairs = saved(bounded(met.where("fits").select(F.greatest("a", "l").alias("a"), F.least("a", "l").alias("b")).distinct(), sketches, percent), "candidates")
+    links = linked(pairs, docs, distinct, n, percent)
+    placed = _placed(sketches, met, components(links))
+    links = links.unionByName(_cell_links(shared, several, placed, docs, distinct, n, percent))
     roots = components(links).select(F.col("id").alias("sig1"), "root")
 
     # A component is named by the smallest document of its vertices.
@@ -276,63 +294,102 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
 
 
-#: Members of a chunk of a group, about, and rounds of comparisons with leaders.
-CHUNK_MEMBERS, STAR_ROUNDS = 64, 2
-
-
-def _star_pairs(rows: DataFrame, seed: int, percent: int) -> DataFrame:
-    """(a, b): each set under a shingle with the shingle's leader, one of its sets by hash, unless both are of one group
-    already or their sizes rule a link out. Leaders differ from shingle to shingle and from round to round, so a large
-    group soon grows together."""
-    own = ["node", "n", *(["grp"] if "grp" in rows.columns else [])]
-    draw = F.xxhash64("node", "token", F.lit(seed)).alias("d")
-    leaders = saved(rows.groupBy("token").agg(F.min(F.struct(draw, *own)).alias("l")), "leaders")
-    met = rows.join(leaders, "token").where(f"node <> l.node AND 100 * n >= {percent} * l.n AND 100 * l.n >= {percent} * n" + (" AND grp <> l.grp" if "grp" in own else ""))
-    return met.select(F.greatest("node", "l.node").alias("a"), F.least("node", "l.node").alias("b")).distinct()
-
-
-def _grouped(shared: DataFrame, groups: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows (token, node, n, grp, members, chunk) of shingles that several groups share, and (node, grp, members)."""
-    sizes = groups.groupBy("root").agg(F.count("*").alias("members"))
-    member = saved(groups.join(sizes, "root").select(F.col("id").alias("node"), F.col("root").alias("grp"), "members"), "members")
-    rows = shared.join(member, "node", "left").select("token", "node", "n", F.coalesce("grp", "node").alias("grp"), F.coalesce("members", F.lit(1)).alias("members"))
-    rows = saved(rows.withColumn("chunk", _chunk()), "grouped-tokens")
-    several = saved(rows.groupBy("token").agg(F.min("grp").alias("low"), F.max("grp").alias("high")).where("low <> high").select("token"), "tokens-of-several")
-    return saved(rows.join(several, "token"), "rows-of-several"), member
-
-
-def _chunk():
-    return F.pmod(F.xxhash64("node"), F.ceil(F.col("members") / CHUNK_MEMBERS)).cast("int")
-
-
-def _between_groups(rows: DataFrame, member: DataFrame, sketches: DataFrame, left: DataFrame, right: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs of sets in different groups that share a prefix shingle."""
-    cell = F.struct(F.col("members").alias("m"), F.col("grp").alias("g"), "chunk")
-    matrix = saved(rows.groupBy("token", cell.alias("b")).agg(F.min("n").alias("least"), F.max("n").alias("most")), "matrix")
-    # Of the chunk's members with this shingle one at least has to be of a fitting size.
-    asks = (F.struct("members", "grp") < F.struct("b.m", "b.g")) & (100 * F.col("n") >= percent * F.col("least")) & (100 * F.col("most") >= percent * F.col("n"))
-    asked = saved(rows.join(matrix, "token").where(asks).select(F.col("node").alias("a"), "b").distinct(), "asked")
-
-    # Token unions of the chunks: a chunk has some dozens of members, and one set alone is its own union.
-    inside = member.select("node", F.struct(F.col("members").alias("m"), F.col("grp").alias("g"), _chunk().alias("chunk")).alias("b"))
-    inside = saved(inside.join(asked.select("b").distinct(), "b", "left_semi"), "asked-members")
-    alone = asked.where("b.m = 1").select("b").distinct().select("b", F.col("b.g").alias("node"))
-
-    def union(part: pa.Table) -> pa.Table:
-        bits = part.column("bits").to_pylist()
-        width = min(map(len, bits))
-        total = np.bitwise_or.reduce([_folded(x, width) for x in bits])
-        return pa.table({"g": part.column("g")[:1], "chunk": part.column("chunk")[:1], "bits": pa.array([total.tobytes()], pa.binary())})
-
-    unions = inside.join(sketches, "node").select("b.g", "b.chunk", "bits").groupBy("g", "chunk").applyInArrow(union, "g long, chunk int, bits binary")
-    unions = unions.unionByName(alone.join(sketches, "node").select("b.g", "b.chunk", "bits"))
-    keyed = asked.select("a", F.struct("b.g", "b.chunk").alias("b"))
-    unions = saved(unions.select(F.struct("g", "chunk").alias("b"), F.lit(0).cast("long").alias("nb"), F.col("bits").alias("bits_b")), "unions")
-    opened = saved(bounded(keyed, left, unions, percent, True), "opened")
-
-    everyone = saved(inside.select(F.struct("b.g", "b.chunk").alias("b"), "node").unionByName(alone.select(F.struct("b.g", "b.chunk").alias("b"), "node")), "chunk-members")
-    pairs = opened.join(everyone, "b").select("a", F.col("node").alias("b")).distinct()
-    return saved(bounded(pairs, left, right, percent, False), "candidates")
+def _leaders(shared: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(a, l, times, fits): each set with the leaders of its shared shingles, how many of them the most central leader
+    leads, and whether their sizes allow a link; and the shingles of three sets or more."""
+    central = F.struct("rank", F.xxhash64("node", F.lit(1)).alias("h"), "node", "n")
+    drawn = F.struct(F.xxhash64("node", F.lit(2)).alias("h"), "node", "n")
+    leaders = saved(shared.groupBy("token").agg(F.min(central).alias("c"), F.min(drawn).alias("d"), F.count("*").alias("sets")), "leaders")
+    both = F.array(F.struct(F.col("c.node").alias("l"), F.col("c.n").alias("ln"), F.lit(1).alias("one")), F.struct(F.col("d.node").alias("l"), F.col("d.n").alias("ln"), F.lit(0).alias("one")))
+    rows = shared.join(leaders, "token").select(F.col("node").alias("a"), "n", F.explode(both).alias("x")).where("a <> x.l")
+    fits = (100 * F.col("n") >= percent * F.col("x.ln")) & (100 * F.col("x.ln") >= percent * F.col("n"))
+    met = rows.groupBy("a", F.col("x.l").alias("l"), fits.alias("fits")).agg(F.sum("x.one").alias("times"))
+    return saved(met, "met"), leaders.where("sets > 2").select("token")
+
+
+def _placed(sketches: DataFrame, met: DataFrame, groups: DataFrame) -> DataFrame:
+    """(node, n, g, members, cells): the group of each set, its members and cells. g is STRUCT<loose, root, size>: a large
+    component, or (loose) what shares most shingles with one leader, or with the component that leader is in, and is of
+    about one size."""
+    large = groups.groupBy("root").agg(F.count("*").alias("m")).where(f"m >= {CORE}")
+    core = saved(groups.join(large, "root").select(F.col("id").alias("node"), "root"), "cores")
+    home = met.groupBy(F.col("a").alias("node")).agg(F.max(F.struct("times", "l"))["l"].alias("l"))
+    led = core.select(F.col("node").alias("l"), F.col("root").alias("led"))
+    home = home.join(led, "l", "left").select("node", F.coalesce("led", "l").alias("home"))
+    rows = sketches.select("node", "n").join(core, "node", "left").join(home, "node", "left")
+    size = F.floor(F.log("n") / F.log(F.lit(1.25))).cast("int")
+    loose = F.col("root").isNull()
+    g = F.struct(loose.alias("loose"), F.coalesce("root", "home", "node").alias("root"), F.when(loose, size).otherwise(0).alias("size")).alias("g")
+    rows = saved(rows.select("node", "n", g), "in-groups")
+    sizes = rows.groupBy("g").agg(F.count("*").alias("members"), F.ceil(F.sum("n") / CELL_SHINGLES).cast("int").alias("cells"))
+    return saved(rows.join(sizes, "g").select("node", "n", "g", "members", "cells"), "placed")
+
+
+def _cell_links(shared: DataFrame, several: DataFrame, placed: DataFrame, docs: DataFrame, distinct: DataFrame, n: int, percent: int) -> DataFrame:
+    """Links (a, b) that join what is left apart: between groups, and inside those that are no components."""
+    rows = saved(shared.select("token", "node").join(several, "token").join(placed, "node"), "grouped-tokens")
+    apart = rows.groupBy("token").agg(F.min("g").alias("low"), F.max("g").alias("high")).where("low <> high OR low.loose").select("token")
+    rows = saved(rows.join(apart, "token"), "tokens-of-groups")
+    matrix = saved(rows.groupBy("token", F.col("g").alias("b"), F.col("members").alias("mb"), "cells").agg(F.min("n").alias("low"), F.max("n").alias("high")), "matrix")
+    asks = (F.struct("members", "g") < F.struct("mb", "b")) | ((F.col("g") == F.col("b")) & F.col("g.loose"))
+    # Of the group's members with this shingle one at least has to be of a fitting size.
+    fits = (100 * F.col("n") >= percent * F.col("low")) & (100 * F.col("high") >= percent * F.col("n"))
+    asked = rows.drop("cells").join(matrix, "token").where(asks & fits).select("node", "n", F.col("b").alias("g"), "cells").distinct()
+    asked = saved(asked, "asked")
+    # A cell that very many ask is asked in several parts.
+    parts = saved(asked.groupBy("g").agg(F.ceil(F.sum("n") / CELL_SHINGLES).cast("int").alias("parts")), "asked-groups")
+    cell = F.pmod(F.xxhash64("node", F.lit(3)), "cells").cast("int").alias("cell")
+    members = saved(placed.join(parts, "g").select("node", "g", cell, "parts"), "asked-members")
+    nodes = saved(asked.select("node").unionByName(members.select("node")).distinct(), "nodes")
+    whole = saved(whole_sets(docs, distinct, nodes, n), "whole-sets")
+    part = F.pmod(F.xxhash64("node", F.lit(4)), "parts").cast("int").alias("part")
+    asking = asked.join(parts, "g").join(whole, "node").select("node", "tokens", "g", part, F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell"))
+    again = whole.select(F.col("node").alias("node"), F.col("tokens").alias("tokens"))
+    inside = members.join(again, "node").select("node", "tokens", "g", "cell", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    keys = [F.col("g.loose").alias("loose"), F.col("g.root").alias("root"), F.col("g.size").alias("size"), "cell", "part"]
+    names = ["loose", "root", "size", "cell", "part"]
+
+    def compared(asking: pa.Table, inside: pa.Table) -> pa.Table:
+        if not asking.num_rows or not inside.num_rows:
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        sets = lambda t: (t.column("node").to_numpy(), [x.values.to_numpy().view(np.uint64) for x in t.column("tokens")])
+        found = cell_links(*sets(asking), *sets(inside), percent, inside.column("loose")[0].as_py())
+        return pa.table({"a": pa.array(found[:, 0], pa.int64()), "b": pa.array(found[:, 1], pa.int64())})
+
+    both = asking.select("node", "tokens", *keys).groupBy(*names).cogroup(inside.select(F.col("node").alias("node"), "tokens", *keys).groupBy(*names))
+    return saved(both.applyInArrow(compared, "a long, b long"), "links")
+
+
+def cell_links(asking: np.ndarray, sets: list[np.ndarray], inside: np.ndarray, members: list[np.ndarray], percent: int, loose: bool) -> np.ndarray:
+    """Links between asking sets and a cell's members: a spanning forest of them, or one for each asking set if the
+    members are of one component (not loose)."""
+    tokens, owner = np.concatenate(members), np.repeat(np.arange(len(members)), [len(m) for m in members])
+    order = np.argsort(tokens, kind="stable")
+    union, at, times = np.unique(tokens[order], return_index=True, return_counts=True)
+    owner, sizes = owner[order], np.array([len(m) for m in members])
+    root: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while root.get(x, x) != x:
+            x = root[x] = root.get(root[x], root[x])
+        return x
+
+    out = []
+    for node, own in zip(asking.tolist(), sets):
+        place = np.minimum(np.searchsorted(union, own), len(union) - 1)
+        place = place[union[place] == own]
+        # The union holds at most so many of the set's shingles: below the threshold no member can link.
+        if 100 * len(place) < percent * len(own):
+            continue
+        n = times[place]
+        common = np.bincount(owner[np.repeat(at[place] - np.cumsum(n) + n, n) + np.arange(n.sum())], minlength=len(members))
+        near = np.flatnonzero((100 * common >= percent * (len(own) + sizes - common)) & (inside != node))
+        for b in inside[near[:1] if not loose else near].tolist():
+            x, y = top(node), top(b)
+            if x != y:
+                root[max(x, y)] = min(x, y)
+                out.append((node, b))
+    return np.array(out, np.int64).reshape(-1, 2)
 
 
 def op5_ngram_jaccard(spark, sf_dir):
