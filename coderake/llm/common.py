@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +33,18 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, name: str, *order: Column) -> DataFrame:
+    """df with a column ``name``: each row's place, from 0, in this order. Rows are sorted in ranges, and each range begins
+    where the ones before it end, so no task sees all rows; only the ranges' sizes come to the driver."""
+    ranges = saved(df.orderBy(*order).select("*", F.monotonically_increasing_id().alias(name)), "ordered")
+    part, place = F.shiftright(name, 33), F.col(name).bitwiseAND(F.lit((1 << 33) - 1))
+    start, starts = 0, {}
+    for row in sorted(ranges.groupBy(part.alias("part")).count().collect()):
+        starts[row["part"]], start = start, start + row["count"]
+    begin = F.element_at(F.create_map(*[F.lit(x).cast("long") for pair in starts.items() for x in pair]), part) if starts else F.lit(0)
+    return ranges.withColumn(name, begin + place)
+
+
 def word_count(text: Column) -> Column:
     """Number of words of a text; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
@@ -44,5 +60,27 @@ def hash_share(share: float, *cols: Column, seed: int = 0) -> Column:
     return F.pmod(F.xxhash64(*cols, F.lit(seed)), F.lit(1 << 30)) < int(min(1.0, share) * (1 << 30))
 
 
+#: Bytes of text whose results a task holds at once, about.
+PART_BYTES = 4 << 20
+
+
+def parts(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with about PART_BYTES of text each (column number ``text``), whatever the number of rows."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
+    part = (np.cumsum(sizes, dtype=np.int64) + 64 * np.arange(len(sizes))) // PART_BYTES
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+    for a, b in zip(cuts, cuts[1:]):
+        if b > a:
+            yield batch.slice(a, b - a)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """name, or a longer one if df has such a column already, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

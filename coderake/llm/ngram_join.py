@@ -14,10 +14,12 @@ asked for is each document's component under links.
    most shingles, and by size. Groups are dealt into cells of about 2^15 shingles.
 3. Matrix. (shingle, group) says that sets of a group have the shingle in a prefix. A set
    looks up the groups that share one with it, the smaller group asking the larger (sets
-   grouped by leader also ask their own group). In a task a cell's token union bounds the
-   overlap of each asking set with all of its members; only where that reaches 80 % of
-   the set's size is the cell opened, by an inverted index that counts exact overlaps. A
-   cell gives a spanning forest of the links found, never its pairs.
+   grouped by leader also ask their own group). Sets travel to the cells of that group as
+   bitmaps. In a task the cell's token union, the bitmaps' sum, bounds the overlap of each
+   asking set with all members; only where that reaches 80 % of the set's size is the cell
+   opened, and the members' own bitmaps tell which sets can link at all. These come again
+   as whole sets, and an inverted index counts exact overlaps. A cell gives a spanning
+   forest of the links found, never its pairs.
 
 A pair that links shares a prefix shingle, and under that shingle it is two sets (then one
 is the other's leader), two members of one component, or a set that asks the other's
@@ -41,12 +43,11 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from coderake.llm.common import saved
+from coderake.llm.common import parts, saved
 from coderake.llm.components import components
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -56,8 +57,6 @@ _BASE = 0x9E3779B97F4A7C15
 BUCKET_BITS, CHUNK = 20, 1 << 16
 #: Words of a text that are hashed at once, and bytes of a word beyond which its digest stands for it.
 BLOCK_WORDS, LONG_WORD = 1 << 14, 256
-#: Bytes of text that a scan holds the sets of, about.
-PART_BYTES = 4 << 20
 #: Members from which a component is a group of its own, and shingles of a cell, about.
 CORE, CELL_SHINGLES = 64, 1 << 15
 
@@ -113,16 +112,6 @@ def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.view(np.int64)))
 
 
-def _parts(batch: pa.RecordBatch, text: int):
-    """Slices of a batch with about PART_BYTES of text each, whatever the number of rows."""
-    sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
-    part = np.cumsum(sizes, dtype=np.int64) // PART_BYTES
-    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1), batch.num_rows]
-    for a, b in zip(cuts, cuts[1:]):
-        if b > a:
-            yield batch.slice(a, b - a)
-
-
 def _mark(found: np.ndarray) -> tuple[int, int]:
     """128 bits that name a set; the first half is its vertex."""
     with np.errstate(over="ignore"):
@@ -155,7 +144,7 @@ def set_marks(docs: DataFrame, n: int) -> tuple[DataFrame, np.ndarray]:
     def scan(batches):
         hashes, counts = Shingler(n), np.zeros(1 << BUCKET_BITS, np.int32)
         for batch in batches:
-            for part in _parts(batch, 1):
+            for part in parts(batch, 1):
                 sets = [hashes(t.as_py()) for t in part.column(1)]
                 if sets:
                     counts += np.bincount((np.concatenate(sets) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), minlength=len(counts)).astype(np.int32)
@@ -195,7 +184,7 @@ def prefixes(docs: DataFrame, n: int, percent: int, sketch: np.ndarray) -> DataF
     def scan(batches):
         hashes, order = Shingler(n), shipped.value
         for batch in batches:
-            for part in _parts(batch, 0):
+            for part in parts(batch, 0):
                 nodes, sizes, kept, bits = [], [], [], []
                 for text in part.column(0):
                     found = hashes(text.as_py())
@@ -232,7 +221,7 @@ def whole_sets(docs: DataFrame, distinct: DataFrame, nodes: DataFrame, n: int) -
         for batch in batches:
             at = batch.column(0).to_numpy()
             chosen = np.flatnonzero(on[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1))
-            for part in _parts(batch.select(["text"]).take(pa.array(chosen)), 0):
+            for part in parts(batch.select(["text"]).take(pa.array(chosen)), 0):
                 found = [f for f in (hashes(t.as_py()) for t in part.column(0)) if len(f)]
                 yield pa.RecordBatch.from_arrays([pa.array([_mark(f)[0] for f in found], pa.int64()), _lists(found)], names=["node", "tokens"])
 
@@ -272,19 +261,20 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     distinct = saved(marks.where("n_shingles > 0").groupBy("sig1", "sig2").agg(F.min("doc_id").alias("rep")), "distinct-sets")
 
     prefix = saved(prefixes(docs, n, percent, sketch), "prefixes")
-    tokens = prefix.select("node", "n", F.size("prefix").alias("least"), F.explode("prefix").alias("token"))
+    tokens = prefix.select("node", "n", F.explode("prefix").alias("token"))
     several = saved(tokens.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("token"), "tokens-of-several")
     # A document's own prefix, however long, is what a window here holds.
     held = F.count("*").over(Window.partitionBy("node"))
     shared = tokens.join(several, "token").distinct()
-    shared = saved(shared.select("token", "node", "n", (-F.floor(1000 * held / F.col("least"))).alias("rank")), "shared-tokens")
+    least = F.col("n") - F.ceil(percent * F.col("n") / 100) + 1
+    shared = saved(shared.select("token", "node", "n", (-F.floor(1000 * held / least)).alias("rank")), "shared-tokens")
     sketches = saved(prefix.select("node", "n", "bits").dropDuplicates(["node"]).join(shared.select("node").distinct(), "node", "left_semi"), "bitmaps")
 
     met, several = _leaders(shared, percent)
     pairs = saved(bounded(met.where("fits").select(F.greatest("a", "l").alias("a"), F.least("a", "l").alias("b")).distinct(), sketches, percent), "candidates")
     links = linked(pairs, docs, distinct, n, percent)
     placed = _placed(sketches, met, components(links))
-    links = links.unionByName(_cell_links(shared, several, placed, docs, distinct, n, percent))
+    links = links.unionByName(_cell_links(shared, several, placed, sketches, docs, distinct, n, percent))
     roots = components(links).select(F.col("id").alias("sig1"), "root")
 
     # A component is named by the smallest document of its vertices.
@@ -325,7 +315,7 @@ def _placed(sketches: DataFrame, met: DataFrame, groups: DataFrame) -> DataFrame
     return saved(rows.join(sizes, "g").select("node", "n", "g", "members", "cells"), "placed")
 
 
-def _cell_links(shared: DataFrame, several: DataFrame, placed: DataFrame, docs: DataFrame, distinct: DataFrame, n: int, percent: int) -> DataFrame:
+def _cell_links(shared: DataFrame, several: DataFrame, placed: DataFrame, sketches: DataFrame, docs: DataFrame, distinct: DataFrame, n: int, percent: int) -> DataFrame:
     """Links (a, b) that join what is left apart: between groups, and inside those that are no components."""
     rows = saved(shared.select("token", "node").join(several, "token").join(placed, "node"), "grouped-tokens")
     apart = rows.groupBy("token").agg(F.min("g").alias("low"), F.max("g").alias("high")).where("low <> high OR low.loose").select("token")
@@ -338,16 +328,21 @@ def _cell_links(shared: DataFrame, several: DataFrame, placed: DataFrame, docs:
     asked = saved(asked, "asked")
     # A cell that very many ask is asked in several parts.
     parts = saved(asked.groupBy("g").agg(F.ceil(F.sum("n") / CELL_SHINGLES).cast("int").alias("parts")), "asked-groups")
-    cell = F.pmod(F.xxhash64("node", F.lit(3)), "cells").cast("int").alias("cell")
-    members = saved(placed.join(parts, "g").select("node", "g", cell, "parts"), "asked-members")
-    nodes = saved(asked.select("node").unionByName(members.select("node")).distinct(), "nodes")
-    whole = saved(whole_sets(docs, distinct, nodes, n), "whole-sets")
     part = F.pmod(F.xxhash64("node", F.lit(4)), "parts").cast("int").alias("part")
-    asking = asked.join(parts, "g").join(whole, "node").select("node", "tokens", "g", part, F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell"))
-    again = whole.select(F.col("node").alias("node"), F.col("tokens").alias("tokens"))
-    inside = members.join(again, "node").select("node", "tokens", "g", "cell", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    keys = [F.col("g.loose").alias("loose"), F.col("g.root").alias("root"), F.col("g.size").alias("size"), "cell", "part"]
-    names = ["loose", "root", "size", "cell", "part"]
+    cell = F.pmod(F.xxhash64("node", F.lit(3)), "cells").cast("int").alias("cell")
+    asking = asked.join(parts, "g").select("node", "g", part, F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell"))
+    inside = placed.join(parts, "g").select("node", "g", cell, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    everyone = saved(asking.select("*", F.lit(True).alias("asks")).unionByName(inside.select("*", F.lit(False).alias("asks"))), "in-cells")
+
+    def bounds(asking: pa.Table, inside: pa.Table) -> pa.Table:
+        sides = [(t.column("node").to_numpy(), t.column("n").to_numpy(), t.column("bits").to_pylist()) for t in (asking, inside)]
+        kept = cell_bounds(*sides[0], *sides[1], percent) if asking.num_rows and inside.num_rows else ([], [])
+        both = pa.concat_tables([asking.take(pa.array(kept[0], pa.int64())), inside.take(pa.array(kept[1], pa.int64()))])
+        return both.select(["node", *CELL, "asks"])
+
+    may = saved(_in_cells(everyone, sketches.select("node", "n", "bits"), bounds, f"node long, {CELL_TYPES}, asks boolean"), "opened")
+    may = may.select("node", F.struct("loose", "root", "size").alias("g"), "cell", "part", "asks")
+    whole = saved(whole_sets(docs, distinct, saved(may.select("node").distinct(), "nodes"), n), "whole-sets")
 
     def compared(asking: pa.Table, inside: pa.Table) -> pa.Table:
         if not asking.num_rows or not inside.num_rows:
@@ -356,8 +351,35 @@ def _cell_links(shared: DataFrame, several: DataFrame, placed: DataFrame, docs:
         found = cell_links(*sets(asking), *sets(inside), percent, inside.column("loose")[0].as_py())
         return pa.table({"a": pa.array(found[:, 0], pa.int64()), "b": pa.array(found[:, 1], pa.int64())})
 
-    both = asking.select("node", "tokens", *keys).groupBy(*names).cogroup(inside.select(F.col("node").alias("node"), "tokens", *keys).groupBy(*names))
-    return saved(both.applyInArrow(compared, "a long, b long"), "links")
+    return saved(_in_cells(may, whole, compared, "a long, b long"), "links")
+
+
+CELL = ["loose", "root", "size", "cell", "part"]
+CELL_TYPES = "loose boolean, root long, size int, cell int, part int"
+
+
+def _in_cells(everyone: DataFrame, sets: DataFrame, work, schema: str) -> DataFrame:
+    """work(asking, inside) for each cell and part, where the rows of everyone (node, g, cell, part, asks) carry what sets
+    has of their nodes. A cell's part has about twice CELL_SHINGLES shingles, or two sets if these are larger."""
+    rows = lambda side: everyone.where(side).join(sets, "node").select(F.col("node").alias("node"), *[F.col(c).alias(c) for c in sets.columns if c != "node"], F.col("g.loose").alias("loose"), F.col("g.root").alias("root"), F.col("g.size").alias("size"), F.col("cell").alias("cell"), F.col("part").alias("part"), F.col("asks").alias("asks"))
+    return rows("asks").groupBy(*CELL).cogroup(rows("NOT asks").groupBy(*CELL)).applyInArrow(work, schema)
+
+
+def cell_bounds(asking: np.ndarray, sizes: np.ndarray, bits: list[bytes], inside: np.ndarray, member_sizes: np.ndarray, member_bits: list[bytes], percent: int) -> tuple[list[int], list[int]]:
+    """Places of the asking sets, and of the members, that some set of the other side may link with, as far as bitmaps tell."""
+    width = min(map(len, [*bits, *member_bits]))
+    members = np.array([_folded(x, width) for x in member_bits])
+    union, apart, kept, met = np.bitwise_or.reduce(members), ~members, [], np.zeros(len(inside), bool)
+    for i, (node, n, own) in enumerate(zip(asking, sizes, bits)):
+        own = _folded(own, width)
+        if 100 * (n - np.bitwise_count(own & ~union).sum(dtype=np.int64)) < percent * n:
+            continue
+        common = np.minimum(n - np.bitwise_count(own & apart).sum(1, dtype=np.int64), member_sizes - np.bitwise_count(members & ~own).sum(1, dtype=np.int64))
+        near = (100 * common >= percent * (n + member_sizes - common)) & (inside != node)
+        if near.any():
+            kept.append(i)
+            met |= near
+    return kept, np.flatnonzero(met).tolist()
 
 
 def cell_links(asking: np.ndarray, sets: list[np.ndarray], inside: np.ndarray, members: list[np.ndarray], percent: int, loose: bool) -> np.ndarray:
