@@ -332,21 +332,19 @@ def _cell_links(shared: DataFrame, several: DataFrame, placed: DataFrame, sketch
     cell = F.pmod(F.xxhash64("node", F.lit(3)), "cells").cast("int").alias("cell")
     asking = asked.join(parts, "g").select("node", "g", part, F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell"))
     inside = placed.join(parts, "g").select("node", "g", cell, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    everyone = saved(asking.select("*", F.lit(True).alias("asks")).unionByName(inside.select("*", F.lit(False).alias("asks"))), "in-cells")
+    key = [F.xxhash64("g", "cell", "part").alias("key"), F.col("g.loose").alias("loose")]
+    everyone = saved(asking.select("node", *key, F.lit(True).alias("asks")).unionByName(inside.select("node", *key, F.lit(False).alias("asks"))), "in-cells")
 
     def bounds(asking: pa.Table, inside: pa.Table) -> pa.Table:
         sides = [(t.column("node").to_numpy(), t.column("n").to_numpy(), t.column("bits").to_pylist()) for t in (asking, inside)]
-        kept = cell_bounds(*sides[0], *sides[1], percent) if asking.num_rows and inside.num_rows else ([], [])
+        kept = cell_bounds(*sides[0], *sides[1], percent)
         both = pa.concat_tables([asking.take(pa.array(kept[0], pa.int64())), inside.take(pa.array(kept[1], pa.int64()))])
-        return both.select(["node", *CELL, "asks"])
+        return both.select(["node", "key", "loose", "asks"])
 
-    may = saved(_in_cells(everyone, sketches.select("node", "n", "bits"), bounds, f"node long, {CELL_TYPES}, asks boolean"), "opened")
-    may = may.select("node", F.struct("loose", "root", "size").alias("g"), "cell", "part", "asks")
+    may = saved(_in_cells(everyone, sketches.select("node", "n", "bits"), bounds, "node long, key long, loose boolean, asks boolean"), "opened")
     whole = saved(whole_sets(docs, distinct, saved(may.select("node").distinct(), "nodes"), n), "whole-sets")
 
     def compared(asking: pa.Table, inside: pa.Table) -> pa.Table:
-        if not asking.num_rows or not inside.num_rows:
-            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
         sets = lambda t: (t.column("node").to_numpy(), [x.values.to_numpy().view(np.uint64) for x in t.column("tokens")])
         found = cell_links(*sets(asking), *sets(inside), percent, inside.column("loose")[0].as_py())
         return pa.table({"a": pa.array(found[:, 0], pa.int64()), "b": pa.array(found[:, 1], pa.int64())})
@@ -354,15 +352,30 @@ def _cell_links(shared: DataFrame, several: DataFrame, placed: DataFrame, sketch
     return saved(_in_cells(may, whole, compared, "a long, b long"), "links")
 
 
-CELL = ["loose", "root", "size", "cell", "part"]
-CELL_TYPES = "loose boolean, root long, size int, cell int, part int"
+#: Rows of cells, about, that are handed to Python together: most cells are small.
+BIN_ROWS = 512
 
 
 def _in_cells(everyone: DataFrame, sets: DataFrame, work, schema: str) -> DataFrame:
-    """work(asking, inside) for each cell and part, where the rows of everyone (node, g, cell, part, asks) carry what sets
-    has of their nodes. A cell's part has about twice CELL_SHINGLES shingles, or two sets if these are larger."""
-    rows = lambda side: everyone.where(side).join(sets, "node").select(F.col("node").alias("node"), *[F.col(c).alias(c) for c in sets.columns if c != "node"], F.col("g.loose").alias("loose"), F.col("g.root").alias("root"), F.col("g.size").alias("size"), F.col("cell").alias("cell"), F.col("part").alias("part"), F.col("asks").alias("asks"))
-    return rows("asks").groupBy(*CELL).cogroup(rows("NOT asks").groupBy(*CELL)).applyInArrow(work, schema)
+    """work(asking, inside) for each cell's part, where the rows of everyone (node, key, loose, asks) carry what sets has of
+    their nodes. A part has about twice CELL_SHINGLES shingles, or two sets if these are larger."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    bins, out = max(1, -(-everyone.count() // BIN_ROWS)), to_arrow_schema(StructType.fromDDL(schema))
+    names = ["node", *(c for c in sets.columns if c != "node"), "key", "loose", "asks"]
+    rows = lambda side: everyone.where(side).join(sets, "node").select(*[F.col(c).alias(c) for c in names], F.pmod("key", F.lit(bins)).alias("bin"))
+
+    def each(asking: pa.Table, inside: pa.Table) -> pa.Table:
+        sides = [t.sort_by("key").combine_chunks() for t in (asking, inside)]
+        keys = [t.column("key").to_numpy() for t in sides]
+        found = []
+        for key in np.intersect1d(*keys):
+            parts = [t.slice(a := int(np.searchsorted(k, key)), int(np.searchsorted(k, key, "right")) - a) for t, k in zip(sides, keys)]
+            found.append(work(*parts).cast(out))
+        return pa.concat_tables(found) if found else out.empty_table()
+
+    return rows("asks").groupBy("bin").cogroup(rows("NOT asks").groupBy("bin")).applyInArrow(each, schema)
 
 
 def cell_bounds(asking: np.ndarray, sizes: np.ndarray, bits: list[bytes], inside: np.ndarray, member_sizes: np.ndarray, member_bits: list[bytes], percent: int) -> tuple[list[int], list[int]]:
