@@ -25,11 +25,20 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Bytes of rows that go to a Python worker at once: texts can be long, so a number of rows alone bounds nothing.
+BATCH_BYTES, BATCH_OPTION = "16m", "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """df written as a table in the shared folder and read back: its lineage ends there, and any executor can be lost."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/coderake/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(BATCH_OPTION, None)
+    spark.conf.set(BATCH_OPTION, BATCH_BYTES)
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(BATCH_OPTION, before) if before is not None else spark.conf.unset(BATCH_OPTION)
     return spark.read.schema(df.schema).parquet(path)
 
 
