@@ -6,11 +6,14 @@ words) go to the claims with the highest quotients claim / (2k + 1), which is th
 same as rounding claim / d for one common divisor d; d is found by counting seats
 for many divisors in one aggregate. A claim's quota then selects blocks of the
 shard's word stream: whole passes first, the rest by a seeded systematic draw, so
-a document's share follows from its place in the stream without listing blocks.
+a document's share follows from its place in the stream without listing blocks. As a
+stream's last block may be short, blocks are drawn for the quota's words, not its number
+of seats. A source whose target is its cap has no seats to win: it is taken cap times.
 
 Cases: a null text has no words; a null source is a source of its own; repeated
-rows are separate documents; a source without words has target 0; an empty table
-gives an empty result. Only the named columns are read, so other columns do no harm.
+rows are separate documents, and may differ in what is taken of them; a source without
+words has target 0; an empty table gives an empty result. Rows that share an id are dealt
+out by their texts. Only the named columns are read, so other columns do no harm.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from coderake.llm.common import WORD, saved, word_count
+from coderake.llm.common import WORD, numbered, saved, word_count
 
 
 def _key(source: str):
@@ -71,31 +74,34 @@ def mix(docs: DataFrame, weights: DataFrame, total_share: float = 1.5, cap: floa
 
     weights: (source, weight), one row per source. keep: columns of docs to carry along (default: none).
     """
-    light = docs.select(F.col(id_col).alias("doc_id"), _key(source_col).alias("skey"), word_count(F.col(text_col)).alias("size"))
-    sized = saved(light, "mix-sizes")
+    own = [F.col(id_col).alias("doc_id"), _key(source_col).alias("skey"), word_count(F.col(text_col)).alias("size"), F.xxhash64(F.col(id_col), F.col(text_col), F.lit(seed)).alias("draw")]
+    sized = saved(docs.select(*own), "mix-sizes")
     rated = weights.select(_key("source").alias("skey"), F.col("weight").cast("double").alias("weight"))
     sources = sized.groupBy("skey").agg(F.sum("size").alias("words"), F.count("*").alias("rows")).join(rated, "skey", "left").withColumn("weight", F.coalesce("weight", F.lit(0.0)))
     sources = targets(saved(sources, "mix-sources"), total_share, cap)
-    sources = sources.select("skey", F.col("words").alias("source_size"), "target", F.ceil(F.col("rows") / rows_per_shard).alias("shards"))
+    full = F.col("target") >= F.lit(float(cap)) * F.col("words")
+    sources = sources.select("skey", F.col("words").alias("source_size"), "target", full.alias("full"), F.ceil(F.col("rows") / rows_per_shard).alias("shards"))
 
-    draw = F.xxhash64(F.col("doc_id"), F.lit(seed))
-    shard = F.pmod(draw, F.col("shards")).alias("shard")
-    claims = sized.join(sources, "skey").select("skey", shard, "size", "source_size", "target").groupBy("skey", "shard").agg(F.sum("size").alias("claim_words"), F.first("source_size").alias("source_size"), F.first("target").alias("target"))
+    shard = F.pmod("draw", F.col("shards")).alias("shard")
+    claims = sized.join(sources, "skey").select("skey", shard, "size", "source_size", "target", "full").groupBy("skey", "shard", "source_size", "target", "full").agg(F.sum("size").alias("claim_words"))
     # Equal claims differ by a seeded trifle, so that no two quotients tie.
     trifle = 1 + F.pmod(F.xxhash64("skey", "shard", F.lit(seed)), F.lit(1 << 20)) * 2.0**-58
-    claims = saved(claims.where("claim_words > 0").select("skey", "shard", "claim_words", (F.col("target") * F.col("claim_words") / F.col("source_size") * trifle).alias("vote")), "mix-claims")
-    total = sources.agg(F.sum("target")).first()[0] or 0.0
-    found = divisor(claims, int(total / block_words + 0.5))
+    claims = saved(claims.where("claim_words > 0").select("skey", "shard", "claim_words", "full", (F.col("target") * F.col("claim_words") / F.col("source_size") * trifle).alias("vote")), "mix-claims")
+    total = sources.where("NOT full").agg(F.sum("target")).first()[0] or 0.0
+    found = divisor(claims.where("NOT full"), int(total / block_words + 0.5))
 
     blocks = F.ceil(F.col("claim_words") / block_words)
-    most = F.floor(F.lit(cap) * blocks).cast("long")
-    quota = F.least(F.floor(F.col("vote") / F.lit(found) + 0.5).cast("long"), most)
-    quotas = claims.select("skey", "shard", blocks.alias("claim_blocks"), quota.alias("quota"))
-    quotas = quotas.select("skey", "shard", "claim_blocks", F.expr("quota div claim_blocks").alias("passes"), F.expr("quota % claim_blocks").alias("drawn_blocks"), F.pmod(F.xxhash64(F.lit(seed), "skey", "shard"), "claim_blocks").alias("turn"))
+    seats = F.floor(F.col("vote") / F.lit(found) + 0.5)
+    most = F.lit(float(cap)) * F.col("claim_words")
+    quota = F.when(F.col("full"), most).otherwise(F.least(seats * block_words, most))
+    quotas = claims.select("skey", "shard", "claim_words", blocks.alias("claim_blocks"), quota.alias("quota"))
+    quotas = quotas.withColumn("passes", F.floor(F.col("quota") / F.col("claim_words"))).withColumn("drawn_blocks", F.floor((F.col("quota") / F.col("claim_words") - F.col("passes")) * F.col("claim_blocks") + 0.5))
+    whole = F.col("drawn_blocks") >= F.col("claim_blocks")
+    quotas = quotas.select("skey", "shard", "claim_blocks", (F.col("passes") + whole.cast("long")).alias("passes"), F.when(whole, 0).otherwise(F.col("drawn_blocks")).alias("drawn_blocks"), F.pmod(F.xxhash64(F.lit(seed), "skey", "shard"), "claim_blocks").alias("turn"))
 
     if keep:
-        sized = docs.select(F.col(id_col).alias("doc_id"), _key(source_col).alias("skey"), word_count(F.col(text_col)).alias("size"), F.struct(*[F.col(c) for c in keep]).alias("kept"))
-    stream = Window.partitionBy("skey", "shard").orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        sized = docs.select(*own, F.struct(*[F.col(f"`{c}`") for c in keep]).alias("kept"))
+    stream = Window.partitionBy("skey", "shard").orderBy("draw", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = sized.join(sources, "skey").select("*", shard).withColumn("end", F.sum("size").over(stream)).withColumn("start", F.col("end") - F.col("size"))
     rows = rows.join(quotas, ["skey", "shard"], "left").fillna(0, ["passes", "drawn_blocks", "turn"]).fillna(1, ["claim_blocks"])
     taken = F.col("passes") * F.col("size") + _drawn_before("end", block_words) - _drawn_before("start", block_words)
@@ -138,10 +144,9 @@ def mixed_documents(docs: DataFrame, weights: DataFrame, block_words: int = 32,
 
 
 def cyclic_weights(docs: DataFrame, cycle: tuple[int, ...] = (3, 1, 2), source_col: str = "source") -> DataFrame:
-    """(source, weight): sources by code point, null last, take the weights in turn. One row per source is ordered here."""
-    listed = docs.select(F.col(source_col).alias("source")).distinct()
-    place = F.row_number().over(Window.orderBy(F.col("source").isNull(), "source")) - 1
-    return listed.select("source", F.element_at(F.array(*[F.lit(w) for w in cycle]), (place % len(cycle) + 1).cast("int")).alias("weight"))
+    """(source, weight): sources by code point, null last, take the weights in turn."""
+    listed = numbered(docs.select(F.col(source_col).alias("source")).distinct(), "place", F.col("source").isNull(), F.col("source"))
+    return listed.select("source", F.element_at(F.array(*[F.lit(w) for w in cycle]), (F.col("place") % len(cycle) + 1).cast("int")).alias("weight"))
 
 
 def op1_source_mixing(spark, sf_dir):
