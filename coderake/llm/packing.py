@@ -1,4 +1,8 @@
-"""Best-fit packing of token sequences: bounded-space best-fit with a bitset of open bins.
+"""Best-fit packing of token sequences: bounded-space online best-fit with a bitset of open bins.
+
+Pieces are dealt to shards by hash, and a shard takes them in that order, as a stream: each
+goes to the open bin with the least free space that holds it. A fixed number of bins is open;
+when a piece fits in none of them and no more may be open, the fullest one closes first.
 
 Cases: a null text is an empty one; an empty document still has its end token, so
 it gives one piece; repeated rows and null ids are separate documents; an empty
@@ -15,10 +19,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from coderake.llm.common import saved
+from coderake.llm.common import parts, saved
 
-#: Chunks whose ids a Python worker remembers, from its first tasks on (about 200 MB); others are encoded when met.
-REMEMBERED = 800_000
+#: Chunks whose ids a Python worker remembers, from its first tasks on (about 60 MB), and how long they may be; others
+#: are encoded when met.
+REMEMBERED, REMEMBERED_LENGTH = 300_000, 64
+#: Bins open at once in a shard, what a shard's pieces may cost, and the cost of a piece besides its tokens.
+OPEN_BINS, SHARD_COST, PIECE_COST = 16, 1 << 22, 64
 
 
 def tokenizer_json(path: str | None = None) -> str:
@@ -63,7 +70,7 @@ class WordIds:
             missing = dict.fromkeys(c for c, ids in zip(chunks, found) if ids is None)
             new = self._encoded(missing, plain)
             if len(self.known) < REMEMBERED:
-                self.known |= new
+                self.known.update((c, ids) for c, ids in new.items() if len(c) <= REMEMBERED_LENGTH)
             found = [new[c] if ids is None else ids for c, ids in zip(chunks, found)]
         return b"".join(found)
 
@@ -114,28 +121,33 @@ def pieces(docs: DataFrame, tokenizer_path: str | None = None, max_tokens: int =
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         encode = word_ids(shipped.value)
         for batch in batches:
-            rows: dict[str, list] = {f.name: [] for f in fields[1:]}
-            origin = []
-            for n, text in enumerate(batch.column(1)):
-                ids = encode([text.as_py() or ""])[0] + end
-                for piece, at in enumerate(range(0, len(ids), step)):
-                    part = ids[at : at + step]
-                    origin.append(n)
-                    rows["piece"].append(piece)
-                    rows["start"].append(at // 4)
-                    rows["length"].append(len(part) // 4)
-                    rows["ids_crc32"].append(zlib.crc32(part))
-                    if with_ids:
-                        rows["ids"].append(part)
-            kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(origin, pa.int64())), *[pa.array(rows[f.name], k) for f, k in zip(fields[1:], kinds)]], names=[f.name for f in fields])
+            for part in parts(batch, 1):
+                yield rows_of(part, encode)
+
+    def rows_of(part, encode):
+        rows: dict[str, list] = {f.name: [] for f in fields[1:]}
+        origin = []
+        for n, text in enumerate(part.column(1)):
+            ids = encode([text.as_py() or ""])[0] + end
+            for piece, at in enumerate(range(0, len(ids), step)):
+                own = ids[at : at + step]
+                origin.append(n)
+                rows["piece"].append(piece)
+                rows["start"].append(at // 4)
+                rows["length"].append(len(own) // 4)
+                rows["ids_crc32"].append(zlib.crc32(own))
+                if with_ids:
+                    rows["ids"].append(own)
+        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+        return pa.RecordBatch.from_arrays([part.column(0).take(pa.array(origin, pa.int64())), *[pa.array(rows[f.name], k) for f, k in zip(fields[1:], kinds)]], names=[f.name for f in fields])
 
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(cut, T.StructType(fields))
 
 
-def best_fit(lengths: list[int], capacity: int, open_bins: int) -> tuple[list[int], list[int]]:
+def best_fit(lengths: list[int], capacity: int, open_bins: int, closed: list[int] | None = None) -> tuple[list[int], list[int]]:
     """Bin and offset of each item, in the given order. An item goes to the open bin with the least free space that
-    holds it. Bit f of ``free`` says that some open bin has f tokens free; with open_bins open, the fullest closes."""
+    holds it. Bit f of ``free`` says that some open bin has f tokens free; with open_bins open, the fullest closes.
+    closed: gets the bins that closed before they were full."""
     free, by_free, n_open, made = 0, {}, 0, 0
     bins, offsets = [], []
     for length in lengths:
@@ -150,10 +162,12 @@ def best_fit(lengths: list[int], capacity: int, open_bins: int) -> tuple[list[in
         else:
             if n_open == open_bins:
                 least = (free & -free).bit_length() - 1
-                by_free[least].pop()
+                gone = by_free[least].pop()
                 if not by_free[least]:
                     free ^= 1 << least
                 n_open -= 1
+                if closed is not None:
+                    closed.append(gone)
             at, space, made = made, capacity, made + 1
         bins.append(at)
         offsets.append(capacity - space)
@@ -164,27 +178,29 @@ def best_fit(lengths: list[int], capacity: int, open_bins: int) -> tuple[list[in
     return bins, offsets
 
 
-def pack(cut: DataFrame, max_tokens: int = 4096, open_bins: int = 1024, shard_tokens: int = 1 << 21) -> DataFrame:
-    """Adds sequence_id and offset to pieces. Pieces are dealt to shards of about shard_tokens tokens, one stream each,
-    longest first; a shard opens about as many bins as may be open at once, so few close before they are full."""
-    total = cut.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
-    shards = max(1, -(-total // shard_tokens))
+def pack(cut: DataFrame, max_tokens: int = 4096, open_bins: int = OPEN_BINS, shard_cost: int = SHARD_COST) -> DataFrame:
+    """Adds sequence_id and offset to pieces. A shard's pieces cost about shard_cost tokens, a few in each piece counted
+    for the piece itself, so that a shard of very short pieces is bounded too."""
+    total = cut.agg(F.coalesce(F.sum(F.col("length") + PIECE_COST), F.lit(0))).first()[0]
+    shards = max(1, -(-total // shard_cost))
     schema = T.StructType([*cut.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 
     def packed(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by([("length", "descending"), ("ids_crc32", "ascending"), ("piece", "ascending")])
+        rows = rows.sort_by("turn")
         bins, offsets = best_fit(rows.column("length").to_pylist(), max_tokens, open_bins)
         shard = rows.column("shard")[0].as_py()
         rows = rows.append_column("sequence_id", pa.array([(shard << 32) + b for b in bins], pa.int64()))
         return rows.append_column("offset", pa.array(offsets, pa.int64())).select(schema.names)
 
-    shard = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id()), F.lit(shards)).alias("shard")
-    return cut.select("*", shard).groupBy("shard").applyInArrow(packed, schema)
+    # cut is a written table, so a task that runs again sees the same rows in the same places.
+    turn = F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id())
+    dealt = cut.select("*", turn.alias("turn")).select("*", F.pmod("turn", F.lit(shards)).alias("shard"))
+    return dealt.groupBy("shard").applyInArrow(packed, schema)
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str | None = None, max_tokens: int = 4096, **options) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece of docs."""
-    return pack(saved(pieces(docs, tokenizer_path, max_tokens), "pieces"), max_tokens, **options)
+def pack_documents(docs: DataFrame, tokenizer_path: str | None = None, max_tokens: int = 4096, with_ids: bool = False, **options) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32, with with_ids the ids, sequence_id, offset of every piece of docs."""
+    return pack(saved(pieces(docs, tokenizer_path, max_tokens, with_ids=with_ids), "pieces"), max_tokens, **options)
 
 
 def op3_best_fit_packing(spark, sf_dir):
