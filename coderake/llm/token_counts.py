@@ -5,13 +5,19 @@ batch are inserted in a trie; walking it, the forward score of a prefix (best su
 probabilities of pieces, and how many pieces that takes) is computed once, however many
 words share the prefix, and the count at a word's end is stored. A document's count is
 the sum over its words. The trie is held as a sorted list of its words, so only the path
-from the root to the present node is in memory.
+from the root to the present node is in memory, and of that no more than KEPT_PATH nodes:
+what two longer words share beyond is computed for each, and a node further down needs
+only what the one before it has, so a word's length does not matter for memory.
+
+The public vocabulary ranks its pieces and has no probabilities; these follow Zipf's law of
+the ranks here (tokenizers are not trained), so counts are those of this unigram model and
+not of the file's own merges.
 
 A character that no piece covers costs one byte piece for each of its bytes. Of
 segmentations with equal scores the one with fewer pieces counts.
 
 Cases: a null or empty text has no words and no tokens; repeated rows and null ids are
-documents of their own; a very long word is one path; an empty table gives an empty
+documents of their own; a very long word is walked once; an empty table gives an empty
 result. Only id and text are read.
 """
 
@@ -24,10 +30,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from coderake.llm.common import parts
+
 #: The mark before a word, and the log probability of a byte that stands for itself.
 MARK, BYTE_SCORE = "▁", -18.0
-#: Words whose counts a Python worker remembers.
-REMEMBERED = 1_000_000
+#: Words whose counts a Python worker remembers (about 40 MB), how long they may be, and nodes of a path that are kept.
+REMEMBERED, REMEMBERED_LENGTH, KEPT_PATH = 300_000, 64, 256
 
 
 def unigram_pieces(path: str | None = None) -> dict[str, float]:
@@ -68,23 +76,25 @@ class SharedForward:
             while shared < top and path[shared] == text[shared]:
                 shared += 1
             del best[shared + 1 :], begun[shared + 1 :]
-            for c in text[shared:]:
-                score, pieces = best[-1]
-                size = len(c.encode())
-                found, alive = (score + size * BYTE_SCORE, pieces - size), []
-                for node, start in begun[-1]:
+            found, alive = best[-1], begun[-1]
+            for depth in range(shared, len(text)):
+                c = text[depth]
+                size, before = len(c.encode()), alive
+                found, alive = (found[0] + size * BYTE_SCORE, found[1] - size), []
+                for node, start in before:
                     node = node.get(c)
                     if node is not None:
                         alive.append((node, start))
                         if "" in node:
                             found = max(found, (start[0] + node[""], start[1] - 1))
-                best.append(found)
                 alive.append((self.vocabulary, found))
-                begun.append(alive)
-            path = text
-            out[word] = -best[-1][1]
+                if depth < KEPT_PATH:
+                    best.append(found)
+                    begun.append(alive)
+            path = text[:KEPT_PATH]
+            out[word] = -found[1]
         if len(self.known) < REMEMBERED:
-            self.known.update((w, out[w]) for w in new)
+            self.known.update((w, out[w]) for w in new if len(w) <= REMEMBERED_LENGTH)
         return out
 
 
@@ -103,8 +113,7 @@ def token_counts(docs: DataFrame, vocabulary: dict[str, float] | None = None, id
             _SHARED[mark] = SharedForward(shipped.value)
         forward = _SHARED[mark]
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for part in parts(batch, 1):
                 words = [(t.as_py() or "").split() for t in part.column(1)]
                 found = forward.counts(set().union(*words))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(w) for w in words], pa.int64()), pa.array([sum(map(found.__getitem__, w)) for w in words], pa.int64())], names=schema.names)
