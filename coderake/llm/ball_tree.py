@@ -1,19 +1,24 @@
 """Exact top-k search by inner product: a ball tree for each shard, branch and bound with a shared k-th score.
 
 Rows are dealt to shards by a seeded hash; each shard's tree is built once and written
-as one row of arrays. Queries come in bounded blocks that are broadcast. A block makes
-two passes over the trees: the first opens, for each query and shard, only the node
-with the highest bound, and the k-th best score found so far becomes shared knowledge;
-the second descends every tree from the root, dropping a node as soon as its bound
-``q . centre + |q| * radius`` falls below the query's current k-th score, opens leaves in
-order of their bounds, and raises the k-th score as it goes. Nothing is approximate:
-integer vectors give integer scores, and a node is dropped only if its bound is below
-the k-th score by more than rounding could explain.
-
-Cases: null vectors, and those with null or non-finite components, take no part, nor do
-vectors of another length than most; ties go to the smaller id; rows that share an id
-are candidates of their own, except for the query of that id; fewer candidates than k
-are all returned; an empty table gives an empty result. Other columns are not read.
+as one row of arrays. Queries are gathered into blocks, rows of arrays too, and a join of
+blocks and shards meets every query with every tree: one job, however many queries there
+are, in which a task holds one block and one tree. There are two such passes: the first
+opens, for each query and shard, only the leaf with the highest bound, and the k-th best
+score found so far becomes shared knowledge; the second descends every tree from the root,
+dropping a node as soon as its bound ``q . centre + |q| * radius`` falls below the query's
+current k-th score, opens leaves in order of their bounds, and raises the k-th score as it
+goes. Nothing is approximate: integer vectors give integer scores, and a node is dropped
+only if its bound is below the k-th score by more than rounding could explain.
+
+Cases: null vectors, and those with null or non-finite components, take no part, nor
+do those with a component above 1.7e305, which 1024 times is no number; vectors have an
+inner product with those of their own length only, so rows of each length are searched
+apart; ties go to the smaller id; an id that several query rows share is one query, that
+with the smallest vector; rows that share an id are candidates of their own, except for
+the query of that id; fewer candidates than k are all returned; an empty table gives an
+empty result. Where products could pass 2^53 they are summed as whole numbers of any size;
+scores outside of 64 bits are cut to their limits. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -26,9 +31,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from coderake.llm.common import saved
-from coderake.llm.vectors import best, common_width, matrix, query_blocks, usable
+from coderake.llm.vectors import best, matrix, one_each, packed, query_blocks, usable
 
-LEAF, SHARD, QUERY_BLOCK = 64, 2048, 4096
+#: Rows of a leaf, of a shard (at least and at most) and of a block of queries; what a float holds exactly.
+LEAF, SHARD, QUERY_BLOCK, EXACT = 64, (2048, 65_536), 2048, 2.0**53
 
 
 @dataclass
@@ -68,7 +74,8 @@ class BallTree:
     def bounds(self, queries: np.ndarray, norms: np.ndarray, nodes: np.ndarray) -> np.ndarray:
         """Upper bounds of inner products, queries by nodes, with room for rounding."""
         found = queries @ self.centre[nodes].T + norms[:, None] * self.radius[nodes]
-        return found + 1e-9 * (np.abs(found) + norms[:, None] * np.abs(self.radius[nodes])) + 1e-6
+        found = found + 1e-9 * (np.abs(found) + norms[:, None] * (np.abs(self.radius[nodes]) + np.linalg.norm(self.centre[nodes], axis=1))) + 1e-6
+        return np.where(np.isnan(found), np.inf, found)  # where squares overflow nothing is bounded
 
 
 class Best:
@@ -77,21 +84,29 @@ class Best:
     def __init__(self, n: int, k: int, kth: np.ndarray) -> None:
         self.k, self.kth, self.found = k, kth.astype(float).copy(), [[] for _ in range(n)]
 
-    def add(self, queries: np.ndarray, ids: np.ndarray, scores: np.ndarray, own: np.ndarray) -> None:
-        """scores: queries by ids. own: ids of the queries, which are no candidates of their own."""
-        scores = np.where(own[queries][:, None] == ids[None, :], -np.inf, scores)
-        for at in np.flatnonzero((scores >= self.kth[queries][:, None]).any(1)):
-            q, row = queries[at], scores[at]
-            keep = np.flatnonzero((row >= self.kth[q]) & (row > -np.inf))
-            held = sorted(self.found[q] + [(-int(row[i]), int(ids[i])) for i in keep])[: self.k]
+    def add(self, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, rows: np.ndarray, own: np.ndarray) -> None:
+        """vectors: of the queries. own: ids of all queries, which are no candidates of their own."""
+        scores = vectors @ rows.T
+        # Float sums may be off by this much, if a sum of absolute products passes what floats hold exactly.
+        size = np.linalg.norm(vectors, axis=1) * np.sqrt((rows**2).sum(1).max(initial=0.0))
+        room = np.where(size < EXACT, 0.0, 1e-12 * size)
+        same = own[queries][:, None] == ids[None, :]
+        may = ~(scores < (self.kth[queries] - room)[:, None]) & ~same
+        for at in np.flatnonzero(may.any(1)):
+            q, row, keep = queries[at], scores[at], np.flatnonzero(may[at])
+            if size[at] < EXACT:
+                new = [(-int(row[i]), int(ids[i])) for i in keep]
+            else:
+                new = [(-sum(int(x) * int(y) for x, y in zip(vectors[at], rows[i])), int(ids[i])) for i in keep]
+            held = sorted(self.found[q] + new)[: self.k]
             self.found[q] = held
             if len(held) == self.k:
-                self.kth[q] = max(self.kth[q], -held[-1][0])
+                self.kth[q] = max(self.kth[q], float(-held[-1][0]) * (1 - np.copysign(1e-15, -held[-1][0]) * (size[at] >= EXACT)))
 
     def rows(self, own: np.ndarray):
         for q, held in enumerate(self.found):
             for score, vec_id in held:
-                yield int(own[q]), vec_id, -score
+                yield int(own[q]), vec_id, max(-(1 << 63), min((1 << 63) - 1, -score))
 
 
 def probe(tree: BallTree, ids: np.ndarray, queries: np.ndarray, kth: np.ndarray, k: int) -> Best:
@@ -101,7 +116,7 @@ def probe(tree: BallTree, ids: np.ndarray, queries: np.ndarray, kth: np.ndarray,
     first = leaves[tree.bounds(queries, norms, leaves).argmax(1)]
     for node in np.unique(first):
         own, (a, b) = np.flatnonzero(first == node), (tree.low[node], tree.high[node])
-        out.add(own, tree.ids[a:b], queries[own] @ tree.rows[a:b].T, ids)
+        out.add(own, tree.ids[a:b], queries[own], tree.rows[a:b], ids)
     return out
 
 
@@ -135,24 +150,25 @@ def search(tree: BallTree, ids: np.ndarray, queries: np.ndarray, kth: np.ndarray
             break
         for node in np.unique(nodes[now]):
             own, (a, b) = asked[now[nodes[now] == node]], (tree.low[node], tree.high[node])
-            out.add(own, tree.ids[a:b], queries[own] @ tree.rows[a:b].T, ids)
+            out.add(own, tree.ids[a:b], queries[own], tree.rows[a:b], ids)
     return out
 
 
-def trees(rows: DataFrame, shard_rows: int, seed: int = 10) -> DataFrame:
-    """(shard, tree arrays): one row for each shard of about shard_rows rows. rows: (vec_id, vector)."""
-    shards = max(1, -(-rows.count() // shard_rows))
-
+def trees(rows: DataFrame, shards: int, seed: int = 10) -> DataFrame:
+    """(width, shard, tree arrays): one row for each shard and length of vectors. rows: (vec_id, vector)."""
     def build(part: pa.Table) -> pa.Table:
         part = part.sort_by("vec_id")
         t = BallTree.build(part.column("vec_id").to_numpy(), matrix(part.column("vector").combine_chunks()))
         arrays = [t.ids.astype(np.int64), t.rows.astype(np.float64), t.low.astype(np.int64), t.high.astype(np.int64), t.left.astype(np.int64), t.centre, t.radius]
-        return pa.table([pa.array([a.tobytes()], pa.binary()) for a in arrays], names=["ids", "rows", "low", "high", "children", "centre", "radius"])
+        return pa.table([part.column("width")[:1], part.column("shard")[:1], *map(packed, arrays)], names=["width", "shard", *TREE])
+
+    # Rows of one id may be many, and rows that repeat id and vector too: their place in the table spreads them.
+    shard = F.pmod(F.xxhash64("vec_id", "vector", F.monotonically_increasing_id(), F.lit(seed)), F.lit(shards)).cast("int").alias("shard")
+    dealt = rows.select("vec_id", "vector", F.size("vector").alias("width"), shard)
+    return dealt.groupBy("width", "shard").applyInArrow(build, "width int, shard int, " + ", ".join(f"{c} binary" for c in TREE))
+
 
-    # Rows of one id may be many; their vectors spread them.
-    shard = F.pmod(F.xxhash64("vec_id", "vector", F.lit(seed)), F.lit(shards)).alias("shard")
-    dealt = rows.select("vec_id", "vector", shard)
-    return dealt.groupBy("shard").applyInArrow(build, "ids binary, rows binary, low binary, high binary, children binary, centre binary, radius binary")
+TREE = ["ids", "rows", "low", "high", "children", "centre", "radius"]
 
 
 def _opened(row: dict, width: int) -> BallTree:
@@ -161,39 +177,43 @@ def _opened(row: dict, width: int) -> BallTree:
     return BallTree(whole("ids"), real("rows").reshape(-1, width), whole("low"), whole("high"), whole("children"), real("centre").reshape(-1, width), real("radius"))
 
 
-def top_k(rows: DataFrame, queries: DataFrame, k: int = 10, shard_rows: int = SHARD, query_block: int = QUERY_BLOCK) -> DataFrame:
-    """query_id, rank, vec_id, score. rows and queries: (vec_id, vector) with integral components."""
-    spark = rows.sparkSession
-    index = saved(trees(rows, shard_rows), "ball-trees")
-    index = index.repartition(max(1, min(index.count(), 4 * spark.sparkContext.defaultParallelism)))
-    out = None
-
-    def visited(ids, block, kth, how):
-        shipped = spark.sparkContext.broadcast((ids, block, kth))
+def top_k(rows: DataFrame, queries: DataFrame, k: int = 10, shard_rows: int | None = None, query_block: int = QUERY_BLOCK) -> DataFrame:
+    """query_id, rank, vec_id, score. rows and queries: (vec_id, vector) with integral components. shard_rows: rows of a
+    shard, about; by default so many that there are four shards a core, within the bounds SHARD."""
+    n = rows.count()
+    shard_rows = shard_rows or min(max(SHARD[0], n // (4 * rows.sparkSession.sparkContext.defaultParallelism)), SHARD[1])
+    shards = max(1, -(-n // shard_rows))
+    index = saved(trees(rows, shards), "ball-trees")
+    asked = saved(one_each(queries), "queries")
+    n = asked.count()
 
+    def pass_over(queries: DataFrame, how) -> DataFrame:
         def scan(batches):
-            own, vectors, least = shipped.value
             for batch in batches:
                 for row in batch.to_pylist():
-                    found = list(how(_opened(row, vectors.shape[1]), own, vectors, least, k).rows(own))
+                    own, vectors, known = np.frombuffer(row["own"], np.int64), np.frombuffer(row["queries"], np.float64).reshape(-1, row["width"]), np.frombuffer(row["known"], np.float64)
+                    found = list(how(_opened(row, row["width"]), own, vectors, known, k).rows(own))
                     yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in range(3)], names=["query_id", "vec_id", "score"])
 
-        return index.mapInArrow(scan, "query_id long, vec_id long, score long")
+        # Each block goes to each shard: a stated query set against all rows, in blocks.
+        blocks = query_blocks(queries, query_block, n).select("*", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
+        return blocks.join(index, ["width", "shard"]).mapInArrow(scan, "query_id long, vec_id long, score long")
+
+    first = best(pass_over(asked.withColumn("known", F.lit(float("-inf"))), probe), k, True).where(F.col("rank") == k)
+    kth = first.select(F.col("query_id").alias("vec_id"), F.when(F.abs("score") < EXACT, F.col("score").cast("double")).otherwise(float("-inf")).alias("known"))
+    asked = saved(asked.join(kth, "vec_id", "left").fillna(float("-inf"), ["known"]), "queries-and-bounds")
+    return best(pass_over(asked, search), k, True)
+
 
-    for ids, block in query_blocks(queries, query_block, "vec_id", "vector"):
-        none = np.full(len(ids), -np.inf)
-        first = best(visited(ids, block, none, probe), k, True).where(F.col("rank") == k).select("query_id", "score").toArrow()  # one row a query of the block
-        shared = dict(zip(first.column(0).to_pylist(), first.column(1).to_pylist()))
-        kth = np.array([shared.get(int(i), -np.inf) for i in ids], float)
-        part = saved(best(visited(ids, block, kth, search), k, True), "top-k")
-        out = part if out is None else out.unionByName(part)
-    return out if out is not None else spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+def _whole(x):
+    """floor(1024 * x) as double; numbers of 2^53 and more are whole already."""
+    y = 1024 * x.cast("double")
+    return F.when(F.abs(y) < EXACT, F.floor(y).cast("double")).otherwise(y)
 
 
 def op10_ball_tree_topk(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
-    rows = common_width(rows.where(usable(F.col("embedding"), zero=True)), "embedding")
-    rows = rows.select("vec_id", F.transform("embedding", lambda x: F.floor(1024 * x.cast("double")).cast("double")).alias("vector"))
+    rows = rows.select("vec_id", F.transform("embedding", _whole).alias("vector")).where(usable(F.col("vector"), zero=True))
     return top_k(rows, rows.where("vec_id % 100 = 0"))
 
 

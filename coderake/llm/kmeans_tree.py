@@ -1,17 +1,24 @@
 """Approximate nearest neighbours: a hierarchical k-means tree, read best bin first.
 
-The tree is fitted on a bounded sample; every row is then filed under a leaf, in
-chunks of a few dozen rows, so that no leaf gathers in one task. A query walks the tree
-through a priority queue of nodes by distance to their centres and visits leaves in
-that order. How many is calibrated: for sampled queries the true neighbours come from
-brute force over all rows, and the number of leaves is widened until the recall of
-these reaches the target. Distances are exact, in double precision.
-
-Cases: vectors that are null, zero, or hold null or non-finite components take no part,
-nor do those of another length than most; ties go to the smaller id; rows that share an
-id are candidates of their own, except for the query of that id; fewer candidates than k
-are all returned (then every leaf is visited); an empty table gives an empty result.
-Other columns are not read.
+The tree is fitted on a bounded sample; every row is then filed under a leaf. A query walks
+the tree through a priority queue of nodes by distance to their centres, opening a node only
+when it is the nearest left, and visits leaves in that order. How many is calibrated: for
+sampled queries the true neighbours come from brute force over all rows, and the number of
+leaves is widened until the recall of these reaches the target; beyond it a query goes on
+until the leaves it visits hold k rows and those that may be its own.
+
+Rows (query, leaf) are shuffled to the leaves they name: a leaf is dealt into chunks of rows
+and its queries into parts, and a task compares one chunk with one part. The first leaves
+give each query a k-th distance, and in its other leaves only rows that are not farther are
+worth a result row. Distances are exact, in double precision.
+
+Cases: vectors that are null, zero, or hold null or non-finite components take no part;
+vectors have a distance to those of their own length only, so rows of each length are
+searched apart, each with a tree of its own; ties go to the smaller id; an id that several
+query rows share is one query, that with the smallest vector; rows that share an id are
+candidates of their own, except for the query of that id; fewer candidates than k are all
+returned (then every leaf is visited); an empty table gives an empty result. Other columns
+are not read.
 """
 
 from __future__ import annotations
@@ -25,10 +32,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from coderake.llm.common import hash_share, saved
-from coderake.llm.vectors import best, common_width, matrix, usable
+from coderake.llm.vectors import best, matrix, one_each, usable
 
-#: Sampled rows that the tree is fitted on, sampled queries for calibration, their recall, and rows of a stored chunk.
-SAMPLE, CALIBRATION, RECALL, CHUNK, QUERY_BLOCK = 32_768, 256, 0.96, 64, 4096
+#: Sampled rows that the tree is fitted on, sampled queries for calibration, and their recall.
+SAMPLE, CALIBRATION, RECALL = 32_768, 256, 0.96
+#: Rows of a leaf's chunk, queries that meet it at once, and leaves visited before the wider visit.
+CHUNK, QUERY_BLOCK, FIRST = 2048, 2048, 4
 
 
 @dataclass
@@ -73,24 +82,27 @@ class KMeansTree:
             at += [(c, rows[nearest == i]) for i, c in enumerate(children) if (nearest == i).any()]
         return out
 
-    def order(self, x: np.ndarray, most: int) -> np.ndarray:
-        """The first ``most`` leaves of each row, best bin first."""
-        most, far = min(most, int((self.n == 0).sum())), _squares(x, self.centre)
-        out = np.zeros((len(x), most), np.int32)
-        for row, distance in enumerate(far):
-            queue, got = [(0.0, 0)], 0
-            while got < most:
-                _, node = heapq.heappop(queue)
-                while self.n[node]:
-                    children = range(self.first[node], self.first[node] + self.n[node])
-                    near = min(children, key=distance.__getitem__)
-                    for c in children:
-                        if c != near:
-                            heapq.heappush(queue, (distance[c], c))
-                    node = near
-                out[row, got] = self.leaf[node]
-                got += 1
-        return out
+    def order(self, x: np.ndarray, most: int, held: np.ndarray | None = None, least: int = 0) -> list[list[int]]:
+        """The first ``most`` leaves of each row, best bin first; more, until these hold ``least`` rows, if held (rows of
+        each leaf) is given."""
+        return [self._walk(row, most, held, least) for row in x]
+
+    def _walk(self, row: np.ndarray, most: int, held: np.ndarray | None, least: int) -> list[int]:
+        queue, got, rows = [(0.0, 0)], [], 0
+        while queue and (len(got) < most or rows < least):
+            _, node = heapq.heappop(queue)
+            while self.n[node]:
+                first, n = self.first[node], self.n[node]
+                far = ((self.centre[first : first + n] - row) ** 2).sum(1)
+                near = int(far.argmin())
+                for i, distance in enumerate(far.tolist()):
+                    if i != near:
+                        heapq.heappush(queue, (distance, int(first) + i))
+                node = first + near
+            got.append(int(self.leaf[node]))
+            if held is not None:
+                rows += held[got[-1]]
+        return got
 
 
 def _squares(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -116,6 +128,8 @@ def nearest(queries: np.ndarray, own: np.ndarray, rows: np.ndarray, ids: np.ndar
     limit = np.partition(rough, k - 1, axis=1)[:, k - 1] + room if rough.shape[1] > k else np.full(len(queries), np.inf)
     if within is not None:
         limit = np.minimum(limit, within**2 + room)
+    if not np.isfinite(room).all():  # squares overflow: all rows are tried
+        rough, limit = np.where(own[:, None] == ids[None, :], np.inf, 0.0), np.full(len(queries), 1.0)
     for i in np.flatnonzero((rough <= limit[:, None]).any(1)):
         near = np.flatnonzero((rough[i] <= limit[i]) & (rough[i] < np.inf))
         exact = np.sqrt(((rows[near] - queries[i]) ** 2).sum(1))
@@ -148,12 +162,21 @@ def brute_force(rows: DataFrame, ids: np.ndarray, queries: np.ndarray, k: int) -
 
 def neighbours(rows: DataFrame, queries: DataFrame, k: int = 10, sample: int = SAMPLE, calibration: int = CALIBRATION, recall: float = RECALL, query_block: int = QUERY_BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score of the k nearest found. rows and queries: (vec_id, vector)."""
-    spark = rows.sparkSession
-    n = rows.count()
-    if not n:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    drawn = rows.where(hash_share(sample / n, F.col("vec_id"), F.col("vector"), seed=2)).toArrow().sort_by("vec_id") if n > 64 else rows.toArrow().sort_by("vec_id")
-    tree = KMeansTree.fit(matrix(drawn.column("vector").combine_chunks()))
+    out = None
+    # The lengths that vectors have: one in a sound table, and few in any.
+    for row in rows.groupBy(F.size("vector").alias("width")).count().orderBy("width").collect():
+        own = F.size("vector") == row["width"]
+        part = _neighbours(rows.where(own), queries.where(own), row["count"], k, sample, calibration, recall, query_block)
+        out = part if out is None else out.unionByName(part)
+    return out if out is not None else rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+
+
+def _neighbours(rows: DataFrame, queries: DataFrame, n: int, k: int, sample: int, calibration: int, recall: float, query_block: int) -> DataFrame:
+    spark, place = rows.sparkSession, F.monotonically_increasing_id()
+    # Rows are drawn by their place too, so that copies of a row are drawn one by one and the sample stays bounded.
+    drawn = rows.where(hash_share(sample / n, F.col("vec_id"), F.col("vector"), place, seed=2)) if n > 64 else rows
+    drawn = drawn.toArrow().sort_by("vec_id")
+    tree = KMeansTree.fit(matrix((drawn if drawn.num_rows else rows.limit(1).toArrow()).column("vector").combine_chunks()))
     leaves, shipped = int((tree.n == 0).sum()), spark.sparkContext.broadcast(tree)
 
     def file(batches):
@@ -162,84 +185,64 @@ def neighbours(rows: DataFrame, queries: DataFrame, k: int = 10, sample: int = S
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaf, pa.int32())], names=["vec_id", "vector", "leaf"])
 
     filed = saved(rows.select("vec_id", "vector").mapInArrow(file, "vec_id long, vector array<double>, leaf int"), "filed")
-    sizes = filed.groupBy("leaf").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
-
-    def stored(part: pa.Table) -> pa.Table:
-        part = part.sort_by("vec_id")
-        ids, vectors = part.column("vec_id").to_numpy(), matrix(part.column("vector").combine_chunks())
-        return pa.table({"leaf": part.column("leaf")[:1], "ids": pa.array([ids.astype(np.int64).tobytes()], pa.binary()), "rows": pa.array([vectors.tobytes()], pa.binary())})
-
-    # A row a leaf, as many as the bounded sample gives: small enough to broadcast.
-    chunked = filed.join(F.broadcast(sizes), "leaf").select("leaf", "vec_id", "vector", F.pmod(F.xxhash64("vec_id", "vector"), "chunks").alias("chunk"))
-    index = saved(chunked.groupBy("leaf", "chunk").applyInArrow(stored, "leaf int, ids binary, rows binary"), "leaves")
-
+    held = np.zeros(leaves, np.int64)
+    for row in filed.groupBy("leaf").count().collect():  # a row a leaf, as many as the bounded sample gives
+        held[row["leaf"]] = row["count"]
     visits = calibrated(filed, tree, leaves, k, min(1.0, calibration / n), recall)
+    asked = one_each(queries)
+    # Rows of the query's own id are no candidates: at most so many more have to be visited for k that are.
+    times = filed.join(asked.select("vec_id"), "vec_id").groupBy("vec_id").agg(F.count("*").alias("copies"))
+    asked = saved(asked.join(times, "vec_id", "left").fillna(0, ["copies"]), "queries")
 
     def walk(batches):
         for batch in batches:
-            order = shipped.value.order(matrix(batch.column(1)), visits) if batch.num_rows else np.zeros((0, 1), np.int32)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x.tobytes() for x in order], pa.binary())], names=["vec_id", "vector", "leaves"])
-
-    walked = saved(queries.select("vec_id", "vector").mapInArrow(walk, "vec_id long, vector array<double>, leaves binary"), "walked")
-    out = None
-    for ids, block, order in _blocks(walked, query_block):
-        # The first leaves give a k-th distance; in the wider visit only rows that are not farther are worth a row.
-        first = best(index.mapInArrow(_visit(spark, ids, block, order[:, :FIRST], k, np.full(len(ids), np.inf)), FOUND), k, False)
-        reached = first.where(F.col("rank") == k).select("query_id", "score").toArrow()  # one row a query of the block
-        known = dict(zip(reached.column(0).to_pylist(), reached.column(1).to_pylist()))
-        within = np.array([known.get(int(i), np.inf) for i in ids])
-        part = saved(best(index.mapInArrow(_visit(spark, ids, block, order, k, within), FOUND), k, False), "nearest")
-        out = part if out is None else out.unionByName(part)
-    return out if out is not None else spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-
-
-def _blocks(walked: DataFrame, rows: int):
-    """Bounded blocks of queries with their leaves."""
-    n = walked.count()
-    blocks = max(1, -(-n // rows))
-    for block in range(blocks):
-        part = walked.where(F.pmod(F.xxhash64("vec_id", "vector"), F.lit(blocks)) == block).toArrow().sort_by("vec_id")
-        if part.num_rows:
-            order = np.frombuffer(b"".join(part.column("leaves").to_pylist()), np.int32).reshape(part.num_rows, -1)
-            yield part.column("vec_id").to_numpy(), matrix(part.column("vector").combine_chunks()), order
-
-
-#: Leaves visited before the wider visit.
-FIRST = 4
-
-
-def _visit(spark, ids, block, order, k, within):
-    shipped = spark.sparkContext.broadcast((ids, block, order, within))
-
-    def scan(batches):
-        own, vectors, leaves, limit = shipped.value
-        flat = leaves.ravel()
-        by_leaf = np.argsort(flat, kind="stable")
-        starts = flat[by_leaf]
-        for batch in batches:
-            for row in batch.to_pylist():
-                a, b = np.searchsorted(starts, row["leaf"], "left"), np.searchsorted(starts, row["leaf"], "right")
-                asked = by_leaf[a:b] // leaves.shape[1]
-                if len(asked):
-                    there = np.frombuffer(row["rows"], np.float64).reshape(-1, vectors.shape[1])
-                    yield _batch([(int(own[asked[i]]), v, s) for i, v, s in nearest(vectors[asked], own[asked], there, np.frombuffer(row["ids"], np.int64), k, limit[asked])])
-
-    return scan
+            own = zip(matrix(batch.column(1)), batch.column(2).to_pylist()) if batch.num_rows else ()
+            order = [shipped.value.order(x[None, :], visits, held, k + copies)[0] for x, copies in own]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(order, pa.list_(pa.int32()))], names=["vec_id", "vector", "leaves"])
+
+    walked = saved(asked.select("vec_id", "vector", "copies").mapInArrow(walk, "vec_id long, vector array<double>, leaves array<int>"), "walked")
+    asks = walked.select(F.explode("leaves").alias("leaf")).groupBy("leaf").agg(F.count("*").alias("asks"))
+    # As many rows as leaves, here and below.
+    chunks = spark.createDataFrame([(i, int(-(-x // CHUNK))) for i, x in enumerate(held) if x], "leaf int, chunks int")
+    parts = saved(asks.join(F.broadcast(chunks), "leaf").select("leaf", F.ceil(F.col("asks") / query_block).cast("int").alias("parts"), "chunks"), "leaves")
+    dealt = filed.join(F.broadcast(parts), "leaf").select("leaf", "vec_id", "vector", F.pmod(F.xxhash64("vec_id", "vector", F.monotonically_increasing_id()), "chunks").cast("int").alias("chunk"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    dealt = saved(dealt, "dealt")
+
+    def visit(walked: DataFrame) -> DataFrame:
+        def compared(asking: pa.Table, there: pa.Table) -> pa.Table:
+            if not asking.num_rows or not there.num_rows:
+                return pa.Table.from_batches([_batch([])])
+            asking = asking.sort_by("vec_id")
+            own, vectors = asking.column("vec_id").to_numpy(), matrix(asking.column("vector").combine_chunks())
+            found = nearest(vectors, own, matrix(there.column("vector").combine_chunks()), there.column("vec_id").to_numpy(), k, asking.column("known").to_numpy())
+            return pa.Table.from_batches([_batch([(int(own[i]), v, s) for i, v, s in found])])
+
+        asked = walked.select("vec_id", "vector", "known", F.explode("leaves").alias("leaf")).join(F.broadcast(parts), "leaf")
+        asked = asked.select("vec_id", "vector", "known", "leaf", F.pmod(F.xxhash64("vec_id"), "parts").cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
+        keys = ["leaf", "chunk", "part"]
+        return asked.groupBy(*keys).cogroup(dealt.groupBy(*keys)).applyInArrow(compared, FOUND)
+
+    inf = F.lit(float("inf"))
+    first = saved(best(visit(walked.select("vec_id", "vector", F.slice("leaves", 1, FIRST).alias("leaves"), inf.alias("known"))), k, False), "first-nearest")
+    known = first.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("known"))
+    wider = walked.where(F.size("leaves") > FIRST).select("vec_id", "vector", F.expr(f"slice(leaves, {FIRST + 1}, size(leaves) - {FIRST})").alias("leaves"))
+    wider = saved(wider.join(known, "vec_id", "left").select("vec_id", "vector", "leaves", F.coalesce("known", inf).alias("known")), "wider")
+    return best(first.drop("rank").unionByName(visit(wider)), k, False)
 
 
 def calibrated(filed: DataFrame, tree: KMeansTree, leaves: int, k: int, share: float, recall: float) -> int:
     """Leaves to visit so that sampled queries find this share of their true k nearest."""
-    asked = filed.where(hash_share(share, F.col("vec_id"), F.col("vector"), seed=22)).select("vec_id", "vector")
-    ids = asked.toArrow().sort_by("vec_id")
+    asked = filed.where(hash_share(share, F.col("vec_id"), F.col("vector"), F.monotonically_increasing_id(), seed=22)).select("vec_id", "vector")
+    ids = one_each(asked).toArrow().sort_by("vec_id")
     if not ids.num_rows:
         return leaves
     own, vectors = ids.column(0).to_numpy(), matrix(ids.column(1).combine_chunks())
     truth = brute_force(filed, own, vectors, k)
-    # Duplicates of a vector are filed under one leaf, so a neighbour's id finds its leaf.
-    where = filed.join(F.broadcast(truth.select("vec_id", "query_id")), "vec_id").select("query_id", "leaf").toArrow()
+    # Copies of a vector are filed under one leaf, so a neighbour's id finds its leaf.
+    where = filed.join(F.broadcast(truth.select("vec_id", "query_id").distinct()), "vec_id").select("query_id", "leaf", "vec_id").distinct().toArrow()
     place = np.zeros((len(own), leaves), np.int32)
-    order = tree.order(vectors, leaves)
-    np.put_along_axis(place, order, np.arange(leaves, dtype=np.int32)[None, :].repeat(len(own), 0), 1)
+    for i, order in enumerate(tree.order(vectors, leaves)):
+        place[i, order] = np.arange(leaves)
     at = {int(q): i for i, q in enumerate(own)}
     found = np.array([place[at[q], leaf] for q, leaf in zip(where.column(0).to_pylist(), where.column(1).to_pylist())])
     visits = 1
@@ -250,6 +253,6 @@ def calibrated(filed: DataFrame, tree: KMeansTree, leaves: int, k: int, share: f
 
 def op2_kmeans_tree_ann(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
-    rows = common_width(rows.where(usable(F.col("embedding"), zero=False)), "embedding")
+    rows = rows.where(usable(F.col("embedding"), zero=False))
     rows = rows.select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("vector"))
     return neighbours(rows, rows.where("vec_id % 100 = 0"))

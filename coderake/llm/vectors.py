@@ -1,4 +1,4 @@
-"""What the two vector searches share: vectors as arrays inside tasks, and merging of partial results."""
+"""What the two vector searches share: vectors as arrays inside tasks, blocks of queries, and merging of partial results."""
 
 from __future__ import annotations
 
@@ -20,22 +20,28 @@ def matrix(column: pa.Array, kind=np.float64) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
-def common_width(rows: DataFrame, vector: str) -> DataFrame:
-    """Only rows with the most frequent number of components (the smaller one of a tie): others can't be compared."""
-    width = rows.groupBy(F.size(vector).alias("w")).count().orderBy(F.desc("count"), "w").first()
-    return rows.where(F.size(vector) == (width["w"] if width else 0))
+def packed(x: np.ndarray) -> pa.Array:
+    """An array as one binary value."""
+    return pa.array([x.tobytes()], pa.binary())
 
 
-def query_blocks(queries: DataFrame, rows_per_block: int, id_col: str, vector_col: str):
-    """Blocks of about rows_per_block queries by hash: (ids, matrix), ordered by id. A block is bounded however many
-    queries there are, so it can be collected and broadcast; the driver never holds more than one."""
-    n = queries.count()
-    blocks = -(-n // rows_per_block)
-    for block in range(blocks):
-        part = queries.where(F.pmod(F.xxhash64(id_col), F.lit(blocks)) == block) if blocks > 1 else queries
-        found = part.select(id_col, vector_col).toArrow().sort_by(id_col)
-        if found.num_rows:
-            yield found.column(0).to_numpy(), matrix(found.column(1).combine_chunks())
+def one_each(queries: DataFrame) -> DataFrame:
+    """One query for each id: of rows that share it, that with the smallest vector. queries: (vec_id, vector)."""
+    return queries.groupBy("vec_id").agg(F.min("vector").alias("vector"))
+
+
+def query_blocks(queries: DataFrame, rows_per_block: int, n: int) -> DataFrame:
+    """(width, block, own, queries, known): queries (vec_id, vector, known) of one length gathered by hash into blocks of
+    about rows_per_block, as arrays in order of the ids. n: how many queries there are."""
+    blocks = max(1, -(-n // rows_per_block))
+
+    def gathered(part: pa.Table) -> pa.Table:
+        part = part.sort_by("vec_id")
+        arrays = [part.column("vec_id").to_numpy().astype(np.int64), matrix(part.column("vector").combine_chunks()), part.column("known").to_numpy().astype(np.float64)]
+        return pa.table([part.column("width")[:1], part.column("block")[:1], *map(packed, arrays)], names=["width", "block", "own", "queries", "known"])
+
+    rows = queries.select("vec_id", "vector", "known", F.size("vector").alias("width"), F.pmod(F.xxhash64("vec_id", F.lit(9)), F.lit(blocks)).cast("int").alias("block"))
+    return rows.groupBy("width", "block").applyInArrow(gathered, "width int, block int, own binary, queries binary, known binary")
 
 
 def best(found: DataFrame, k: int, descending: bool) -> DataFrame:
