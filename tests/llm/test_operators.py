@@ -235,10 +235,10 @@ def test_pipeline(spark):
 
 
 def test_quality_uses_sparse_labels(spark):
-    """Few labels among many rows all count, and so does each label for the prior, however small the sample is."""
+    """Few labels among many rows all count, however small the sample is."""
     docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, F.concat(F.lit("Plain words in a sentence, number "), F.col("id"), F.lit("."))).otherwise(F.concat(F.lit("$$$ ### !!! "), F.col("id"))).alias("text"))
     labels = spark.range(0, 4000, 101).select(F.col("id").alias("doc_id"), (F.col("id") % 2 == 0).cast("int").alias("quality"))
-    x, y, side, (training, labelled, good) = quality._sample(docs, labels, 200)
+    (good, weights), (unlabelled, _) = quality._sample(docs, labels, 200)
     known = labels.where(quality.fold(F.col("doc_id")) != 1)
-    assert (labelled, good) == (known.count(), known.where("quality = 1").count())
-    assert (~np.isnan(y)).sum() == labelled and 50 < side.sum() < 250 and training > 2500
+    assert len(good) == known.where("quality = 1").count() and (weights == 1).all()
+    assert 50 < len(unlabelled) < 250
