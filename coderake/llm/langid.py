@@ -7,8 +7,10 @@ whose two nearest codewords are about as near is flagged as ambiguous.
 
 Cases: a null text, or one without a letter, is ``und`` with score 0; without labelled
 rows everything is ``und``; with one language every text with letters is of it; a null
-lang teaches nothing; repeated rows count as often as they occur; an empty table gives
-an empty result. Only id, text and, to learn, lang are read.
+lang teaches nothing, nor do languages beyond the ``most`` frequent ones (ties by code
+point), so that a column of dirty names can't make the model grow without end; repeated
+rows count as often as they occur; an empty table gives an empty result; a text of any
+length is read whole. Only id, text and, to learn, lang are read.
 """
 
 from __future__ import annotations
@@ -18,10 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coderake.llm.common import fold
+from coderake.llm.common import fold, parts
 
-#: Training rows, about, however many there are (shared evenly by the languages, 40 each at least), and hashed n-grams.
-SAMPLE, DIMENSIONS = 4_000, 2_048
+#: Training rows, about, however many there are (shared evenly by the languages, EACH at least), hashed n-grams, and
+#: languages that a model has at most.
+SAMPLE, EACH, DIMENSIONS, LANGUAGES = 4_000, 16, 2_048, 1_000
 UNKNOWN = "und"
 
 
@@ -52,18 +55,20 @@ def codewords(n: int, seed: int = 6) -> np.ndarray:
     return best if best is not None else code
 
 
-def train(docs: DataFrame, sample: int = SAMPLE, steps: int = 120, rate: float = 1.0) -> dict:
+def train(docs: DataFrame, sample: int = SAMPLE, steps: int = 120, rate: float = 1.0, most: int = LANGUAGES) -> dict:
     """docs: (doc_id, text, lang). Learns from rows that are not held out."""
     rows = docs.where((fold(F.col("doc_id")) != 1) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # one row a language
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most).collect()}
     langs = sorted(counts)
     code = codewords(len(langs)) if langs else np.zeros((0, 0))
     model = {"langs": langs, "code": code, "w": np.zeros((DIMENSIONS + 1, code.shape[1])), "sure": np.ones(code.shape[1])}
     if len(langs) < 2:
         return model
-    each = max(40, sample // len(langs))
-    shares = F.coalesce(*[F.when(F.col("lang") == k, F.lit(min(1.0, each / n))) for k, n in counts.items()], F.lit(0.0)) if len(langs) <= 200 else F.lit(min(1.0, each * len(langs) / sum(counts.values())))
-    drawn = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(6)), F.lit(1 << 30)) < shares * (1 << 30)).select("text", "lang")
+    each = max(EACH, sample // len(langs))
+    # A row a language of the model.
+    shares = docs.sparkSession.createDataFrame([(k, min(1.0, each / n)) for k, n in counts.items()], "lang string, share double")
+    draw = F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id(), F.lit(6)), F.lit(1 << 30))
+    drawn = rows.select("text", "lang", draw.alias("draw")).join(F.broadcast(shares), "lang").where(F.col("draw") < F.col("share") * (1 << 30)).select("text", "lang")
 
     def scan(batches):
         for batch in batches:
@@ -71,6 +76,7 @@ def train(docs: DataFrame, sample: int = SAMPLE, steps: int = 120, rate: float =
 
     found = drawn.mapInArrow(scan, "x binary, lang string").toArrow()
     x = np.frombuffer(b"".join(found.column("x").to_pylist()), np.float32).reshape(-1, DIMENSIONS)
+    # Rows arrive in any order; sums of floats should not differ for it.
     at = {k: i for i, k in enumerate(langs)}
     y = np.array([at[k] for k in found.column("lang").to_pylist()], int)
     if not len(x):
@@ -104,8 +110,8 @@ def decode(model: dict, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return best, ranked[:, -1], ranked[:, -1] - (ranked[:, -2] if share.shape[1] > 1 else 0.0)
 
 
-def label(docs: DataFrame, model: dict, ambiguous_below: float = 0.05) -> DataFrame:
-    """Adds lang_pred, score and ambiguous as the last columns."""
+def label(docs: DataFrame, model: dict, ambiguous_below: float = 0.05, names: tuple[str, str, str] = ("lang_pred", "score", "ambiguous")) -> DataFrame:
+    """Adds lang_pred, score and ambiguous as the last columns, under the given names."""
     from pyspark.sql import types as T
 
     shipped, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
@@ -114,7 +120,7 @@ def label(docs: DataFrame, model: dict, ambiguous_below: float = 0.05) -> DataFr
         import regex
 
         letter, m = regex.compile(r"\p{L}").search, shipped.value
-        for batch in batches:
+        for batch in (part for whole in batches for part in parts(whole, at)):
             texts = [t.as_py() for t in batch.column(at)]
             pred, score, flag = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
             own = [i for i, t in enumerate(texts) if t and letter(t)] if m["langs"] else []
@@ -124,9 +130,9 @@ def label(docs: DataFrame, model: dict, ambiguous_below: float = 0.05) -> DataFr
                 for i, b in zip(part, best):
                     pred[i] = m["langs"][b]
                 score[part], flag[part] = share, lead < ambiguous_below
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred), pa.array(score), pa.array(flag)], names=[*batch.schema.names, "lang_pred", "score", "ambiguous"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred), pa.array(score), pa.array(flag)], names=[*batch.schema.names, *names])
 
-    more = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("ambiguous", T.BooleanType())]
+    more = [T.StructField(name, kind) for name, kind in zip(names, (T.StringType(), T.DoubleType(), T.BooleanType()))]
     return docs.mapInArrow(scan, T.StructType([*docs.schema.fields, *more]))
 
 
