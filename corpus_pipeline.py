@@ -1,11 +1,16 @@
-"""A training corpus from raw documents: quality, language, near copies, mixture, packing."""
+"""A training corpus from raw documents: quality, language, near copies, mixture, packing.
+
+Every stage but the last returns the columns of its input, whatever else these are: columns that a stage makes for
+itself get names that its input does not have. A row is a document of its own, also where it repeats another row or
+an id; a null id is an id like any other. An empty table gives an empty one at every stage.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coderake.llm.common import saved
+from coderake.llm.common import free_name, saved
 from coderake.llm.langid import label as label_language
 from coderake.llm.langid import train as train_language
 from coderake.llm.mixing import cyclic_weights, mixed_documents
@@ -16,39 +21,40 @@ from coderake.llm.quality import train as train_quality
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents that the classifier takes for good; the model learns from labels of this input."""
+    """Keeps the documents that the classifier takes for good (a score of 0.5 or more); the model learns from the labels of
+    this input. A null text is scored as an empty one. Without any labels every score is 0.5, and all stay."""
     model = train_quality(docs.select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality"))
-    return score_quality(docs, model).where("score >= 0.5").select(docs.columns)
+    own = free_name(docs, "quality_score")
+    return score_quality(docs, model, own).where(F.col(own) >= 0.5).drop(own)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents in a language that is told clearly: not those without letters, nor ambiguous ones."""
+    """Keeps documents in a language that is told clearly: not those without letters (null and empty texts among them),
+    nor ambiguous ones. The model learns from the input's own lang; without any, nothing is told and nothing stays."""
     model = train_language(docs.select("doc_id", "text", "lang"))
-    return label_language(docs, model).where("lang_pred <> 'und' AND NOT ambiguous").select(docs.columns)
+    names = free_name(docs, "language_found"), free_name(docs, "language_score"), free_name(docs, "language_unclear")
+    return label_language(docs, model, names=names).where((F.col(names[0]) != "und") & ~F.col(names[2])).drop(*names)
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near copies, that with the smallest id, and one row of it. Documents
-    without words are no copies of each other and all stay."""
-    found = near_duplicates(docs)
-    kept = saved(found.where((F.col("component_id") == F.col("doc_id")) | F.col("component_id").isNull()).select("doc_id", "n_shingles"), "kept")
-    named = kept.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles"))
-    rows = docs.join(named, "doc_id").select(*docs.columns, "n_shingles")
-    # Rows that repeat an id would all match it: one is enough, unless they have no words.
-    several = kept.where("n_shingles > 0").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    single = rows.join(several, "doc_id", "left_anti").select(docs.columns)
-    repeated = rows.join(several, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.struct("text", "source")).alias("row")).select("row.*")
-    return single.unionByName(repeated).unionByName(docs.where("doc_id IS NULL"))
+    """Keeps one row of each group of near copies: that with the smallest id, null last; of rows with one id the first as
+    written. Rows without words are no copies of each other and all stay."""
+    key = free_name(docs, "row_key")
+    rows = saved(docs.withColumn(key, F.monotonically_increasing_id()), "keyed")
+    named = rows.select(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col(key).alias("key")).alias("row"), "text")
+    kept = near_duplicates(named, id_col="row").where("component_id = doc_id").select(F.col("doc_id.key").alias(key))
+    return rows.join(kept, key, "left_semi").drop(key)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix of sources: whole passes over documents, and the words of blocks drawn once more."""
+    """The mix of sources: whole passes over documents, and the words of blocks drawn once more. A null source is a source;
+    a text without words has nothing that could be taken."""
     return mixed_documents(docs, cyclic_weights(docs))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each piece of a document lies in which training sequence."""
-    return pack_documents(docs)
+    """Each piece of a document with its token ids, and where it lies in which training sequence. A null text is empty."""
+    return pack_documents(docs, with_ids=True)
 
 
 STAGES = [("quality classifier", quality), ("language identification", language), ("n-gram Jaccard join", deduplicate), ("mixing sources", mixture), ("best-fit packing", packing)]
