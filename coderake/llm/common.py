@@ -83,6 +83,30 @@ def parts(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
             yield batch.slice(a, b - a)
 
 
+def tidy(scan):
+    """A scan for mapInArrow that gives Arrow's unused memory back at its end: Python workers go on to serve other tasks,
+    and what each of them keeps (some 100 MB) would add up beside the executor's own memory."""
+    def run(batches):
+        try:
+            yield from scan(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+
+    return run
+
+
+def tidy_groups(work):
+    """The same for functions of groups."""
+    def run(*tables):
+        try:
+            return work(*tables)
+        finally:
+            pa.default_memory_pool().release_unused()
+
+    # Spark tells functions of groups apart by their parameters.
+    return (lambda left, right: run(left, right)) if work.__code__.co_argcount == 2 else (lambda table: run(table))
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """name, or a longer one if df has such a column already, in any case of letters."""
     taken = {c.lower() for c in df.columns}

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coderake.llm.common import fold, parts
+from coderake.llm.common import fold, parts, tidy
 
 #: Training rows, about, however many there are (shared evenly by the languages, EACH at least), hashed n-grams, and
 #: languages that a model has at most.
@@ -74,7 +74,7 @@ def train(docs: DataFrame, sample: int = SAMPLE, steps: int = 120, rate: float =
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array([features(t.as_py()).tobytes() for t in batch.column(0)], pa.binary()), batch.column(1)], names=["x", "lang"])
 
-    found = drawn.mapInArrow(scan, "x binary, lang string").toArrow()
+    found = drawn.mapInArrow(tidy(scan), "x binary, lang string").toArrow()
     x = np.frombuffer(b"".join(found.column("x").to_pylist()), np.float32).reshape(-1, DIMENSIONS)
     # Rows arrive in any order; sums of floats should not differ for it.
     at = {k: i for i, k in enumerate(langs)}
@@ -133,7 +133,7 @@ def label(docs: DataFrame, model: dict, ambiguous_below: float = 0.05, names: tu
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred), pa.array(score), pa.array(flag)], names=[*batch.schema.names, *names])
 
     more = [T.StructField(name, kind) for name, kind in zip(names, (T.StringType(), T.DoubleType(), T.BooleanType()))]
-    return docs.mapInArrow(scan, T.StructType([*docs.schema.fields, *more]))
+    return docs.mapInArrow(tidy(scan), T.StructType([*docs.schema.fields, *more]))
 
 
 def languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> DataFrame:

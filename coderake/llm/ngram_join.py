@@ -47,7 +47,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from coderake.llm.common import parts, saved
+from coderake.llm.common import parts, saved, tidy, tidy_groups
 from coderake.llm.components import components
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -160,7 +160,7 @@ def set_marks(docs: DataFrame, n: int) -> tuple[DataFrame, np.ndarray]:
 
     id_type = docs.schema["doc_id"].dataType
     id_kind, names = to_arrow_type(id_type), ["doc_id", "n_shingles", "sig1", "sig2", "part", "chunk", "counts"]
-    out = saved(docs.mapInArrow(scan, f"doc_id {id_type.simpleString()}, n_shingles long, sig1 long, sig2 long, part int, chunk int, counts binary"), "set-marks")
+    out = saved(docs.mapInArrow(tidy(scan), f"doc_id {id_type.simpleString()}, n_shingles long, sig1 long, sig2 long, part int, chunk int, counts binary"), "set-marks")
 
     def added(rows: pa.Table) -> pa.Table:
         total = np.zeros(CHUNK, np.int64)
@@ -198,7 +198,7 @@ def prefixes(docs: DataFrame, n: int, percent: int, sketch: np.ndarray) -> DataF
                     bits.append(bitmap(found))
                 yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), _lists(kept), pa.array(bits, pa.binary())], names=["node", "n", "prefix", "bits"])
 
-    return docs.select("text").mapInArrow(scan, "node long, n long, prefix array<long>, bits binary")
+    return docs.select("text").mapInArrow(tidy(scan), "node long, n long, prefix array<long>, bits binary")
 
 
 #: Words of 64 bits in the filter of ids, whatever their number (1 MB).
@@ -225,7 +225,7 @@ def whole_sets(docs: DataFrame, distinct: DataFrame, nodes: DataFrame, n: int) -
                 found = [f for f in (hashes(t.as_py()) for t in part.column(0)) if len(f)]
                 yield pa.RecordBatch.from_arrays([pa.array([_mark(f)[0] for f in found], pa.int64()), _lists(found)], names=["node", "tokens"])
 
-    found = docs.select(place().alias("place"), "text").mapInArrow(scan, "node long, tokens array<long>")
+    found = docs.select(place().alias("place"), "text").mapInArrow(tidy(scan), "node long, tokens array<long>")
     return found.dropDuplicates(["node"])
 
 
@@ -241,7 +241,7 @@ def bounded(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
 
     left = sketches.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("bits").alias("bits_a"))
     right = sketches.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bits_b"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "bits_a", "nb", "bits_b").mapInArrow(scan, "a long, b long")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "bits_a", "nb", "bits_b").mapInArrow(tidy(scan), "a long, b long")
 
 
 def linked(pairs: DataFrame, docs: DataFrame, distinct: DataFrame, n: int, percent: int) -> DataFrame:
@@ -375,7 +375,7 @@ def _in_cells(everyone: DataFrame, sets: DataFrame, work, schema: str) -> DataFr
             found.append(work(*parts).cast(out))
         return pa.concat_tables(found) if found else out.empty_table()
 
-    return rows("asks").groupBy("bin").cogroup(rows("NOT asks").groupBy("bin")).applyInArrow(each, schema)
+    return rows("asks").groupBy("bin").cogroup(rows("NOT asks").groupBy("bin")).applyInArrow(tidy_groups(each), schema)
 
 
 def cell_bounds(asking: np.ndarray, sizes: np.ndarray, bits: list[bytes], inside: np.ndarray, member_sizes: np.ndarray, member_bits: list[bytes], percent: int) -> tuple[list[int], list[int]]:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from coderake.llm.common import parts, saved
+from coderake.llm.common import parts, saved, tidy, tidy_groups
 
 #: Chunks whose ids a Python worker remembers, from its first tasks on (about 60 MB), and how long they may be; others
 #: are encoded when met.
@@ -141,7 +141,7 @@ def pieces(docs: DataFrame, tokenizer_path: str | None = None, max_tokens: int =
         kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
         return pa.RecordBatch.from_arrays([part.column(0).take(pa.array(origin, pa.int64())), *[pa.array(rows[f.name], k) for f, k in zip(fields[1:], kinds)]], names=[f.name for f in fields])
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(cut, T.StructType(fields))
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(tidy(cut), T.StructType(fields))
 
 
 def best_fit(lengths: list[int], capacity: int, open_bins: int, closed: list[int] | None = None) -> tuple[list[int], list[int]]:
@@ -195,7 +195,7 @@ def pack(cut: DataFrame, max_tokens: int = 4096, open_bins: int = OPEN_BINS, sha
     # cut is a written table, so a task that runs again sees the same rows in the same places.
     turn = F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id())
     dealt = cut.select("*", turn.alias("turn")).select("*", F.pmod("turn", F.lit(shards)).alias("shard"))
-    return dealt.groupBy("shard").applyInArrow(packed, schema)
+    return dealt.groupBy("shard").applyInArrow(tidy_groups(packed), schema)
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str | None = None, max_tokens: int = 4096, with_ids: bool = False, **options) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coderake.llm.common import fold, hash_share, parts
+from coderake.llm.common import fold, hash_share, parts, tidy
 
 #: Rows of each side, labelled and unlabelled, that a model is fitted on, about, however many there are.
 SAMPLE = 40_000
@@ -73,7 +73,7 @@ def _sample(docs: DataFrame, labels: DataFrame, rows: int) -> tuple[tuple[np.nda
             found = np.array([features(t.as_py()) for t in batch.column(0)], np.float32).reshape(-1, N_FEATURES)
             yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in found], pa.binary()), batch.column(1), batch.column(2)], names=["x", "weight", "unlabelled"])
 
-    got = drawn.mapInArrow(scan, "x binary, weight double, unlabelled boolean").toArrow()
+    got = drawn.mapInArrow(tidy(scan), "x binary, weight double, unlabelled boolean").toArrow()
     x = np.frombuffer(b"".join(got.column("x").to_pylist()), np.float32).reshape(-1, N_FEATURES)
     weight = np.array([np.nan if w is None else w for w in got.column("weight").to_pylist()], float)
     side = np.array(got.column("unlabelled").to_pylist(), bool)
@@ -162,7 +162,7 @@ def score(docs: DataFrame, model: dict, name: str = "score") -> DataFrame:
 
     from pyspark.sql import types as T
 
-    return docs.mapInArrow(scan, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
+    return docs.mapInArrow(tidy(scan), T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from coderake.llm.common import parts
+from coderake.llm.common import parts, tidy
 
 #: The mark before a word, and the log probability of a byte that stands for itself.
 MARK, BYTE_SCORE = "▁", -18.0
@@ -118,7 +118,7 @@ def token_counts(docs: DataFrame, vocabulary: dict[str, float] | None = None, id
                 found = forward.counts(set().union(*words))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(w) for w in words], pa.int64()), pa.array([sum(map(found.__getitem__, w)) for w in words], pa.int64())], names=schema.names)
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(scan, schema)
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(tidy(scan), schema)
 
 
 def op8_token_counts(spark, sf_dir):
