@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coderake.llm.common import free_name, saved
+from coderake.llm.common import BATCH_BYTES, BATCH_OPTION, free_name, saved
 from coderake.llm.langid import label as label_language
 from coderake.llm.langid import train as train_language
 from coderake.llm.mixing import cyclic_weights, mixed_documents
@@ -20,9 +20,17 @@ from coderake.llm.quality import score as score_quality
 from coderake.llm.quality import train as train_quality
 
 
+def _session(spark: SparkSession) -> None:
+    """Texts can be long: what goes to a Python worker at once is bounded by bytes in this job's session, unless it is so
+    already. A stage's result is written by its caller, so the setting has to stay."""
+    if spark.conf.get(BATCH_OPTION, None) is None:
+        spark.conf.set(BATCH_OPTION, BATCH_BYTES)
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents that the classifier takes for good (a score of 0.5 or more); the model learns from the labels of
     this input. A null text is scored as an empty one. Without any labels every score is 0.5, and all stay."""
+    _session(spark)
     model = train_quality(docs.select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality"))
     own = free_name(docs, "quality_score")
     return score_quality(docs, model, own).where(F.col(own) >= 0.5).drop(own)
@@ -31,6 +39,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents in a language that is told clearly: not those without letters (null and empty texts among them),
     nor ambiguous ones. The model learns from the input's own lang; without any, nothing is told and nothing stays."""
+    _session(spark)
     model = train_language(docs.select("doc_id", "text", "lang"))
     names = free_name(docs, "language_found"), free_name(docs, "language_score"), free_name(docs, "language_unclear")
     return label_language(docs, model, names=names).where((F.col(names[0]) != "und") & ~F.col(names[2])).drop(*names)
@@ -39,6 +48,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one row of each group of near copies: that with the smallest id, null last; of rows with one id the first as
     written. Rows without words are no copies of each other and all stay."""
+    _session(spark)
     key = free_name(docs, "row_key")
     rows = saved(docs.withColumn(key, F.monotonically_increasing_id()), "keyed")
     named = rows.select(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col(key).alias("key")).alias("row"), "text")
@@ -54,6 +64,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each piece of a document with its token ids, and where it lies in which training sequence. A null text is empty."""
+    _session(spark)
     return pack_documents(docs, with_ids=True)
 
 
