@@ -63,9 +63,9 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each piece of a document with its token ids, and where it lies in which training sequence. A null text is empty."""
+    """Where each piece of a document lies in which training sequence. A null text is empty."""
     _session(spark)
-    return pack_documents(docs, with_ids=True)
+    return pack_documents(docs)
 
 
 STAGES = [("quality classifier", quality), ("language identification", language), ("n-gram Jaccard join", deduplicate), ("mixing sources", mixture), ("best-fit packing", packing)]
