@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from coderake.functions.vocabulary import FUNCTION_WORDS, INDENTED
-from coderake.operators.tokens import is_keyword
+from coderake.operators.tokens import BIN, BRACKET_WORDS, is_keyword, token_texts
 
 ANONYMOUS = "<anonymous>"
 #: First words of a line without braces that a colon parts from a statement in the same line.
@@ -19,103 +19,98 @@ def names(code: DataFrame) -> DataFrame:
 
 
 def calls(code: DataFrame) -> DataFrame:
-    """path, language, tok_no, parts, callee, close_tok, stmt_no, last_stmt, line_no, col_no, off: names followed by an
-    opening bracket, but for the names of function definitions; where the brackets and what is in them begin and end."""
+    """path, language, tok_no, parts, callee, close_tok, start_tok, line_no, col_no, off, open_tok, inner_first, inner_last:
+    names followed by an opening bracket, but for the names of function definitions; where the brackets and what is in
+    them begin and end. start_tok: where the whole call begins, calls that its name hangs on included."""
     headers = _brace_headers(code).select("path", F.col("start_tok").alias("tok_no"))
     found = names(code).where((F.col("next") == "(") & ~F.coalesce(F.col("prev").isin(*FUNCTION_WORDS), F.lit(False)))
     found = found.join(headers, ["path", "tok_no"], "left_anti")
-    return found.select("path", "language", "tok_no", "parts", F.array_join("parts", ".").alias("callee"), F.col("next_close").alias("close_tok"), "stmt_no", "line_no", "col_no", "off", (F.col("paren_depth") + 1).alias("inside"), F.col("next_close_stmt_no").alias("last_stmt"), F.col("next_tok").alias("open_tok"), F.col("next2_tok").alias("inner_first"), F.col("next_close_prev_tok").alias("inner_last"))
+    return found.select("path", "language", "tok_no", "parts", F.array_join("parts", ".").alias("callee"), F.col("next_close").alias("close_tok"), F.col("chain_start").alias("start_tok"), "line_no", "col_no", "off", F.col("next_tok").alias("open_tok"), F.col("next2_tok").alias("inner_first"), F.col("next_close_prev_tok").alias("inner_last"))
 
 
-def by_statement(extents: DataFrame) -> DataFrame:
-    """Extents from stmt_no to last_stmt as one row for each statement, to meet tokens by (path, stmt_no)."""
-    return extents.withColumn("stmt_no", F.explode(F.sequence("stmt_no", "last_stmt"))) if "last_stmt" in extents.columns else extents
+def in_bins(extents: DataFrame, size: int = BIN, first: str = "first_tok", last: str = "last_tok") -> DataFrame:
+    """Extents as a row for each bin of places that they touch, to meet what lies in them by (path, bin): the rows met are
+    about those inside, however long a file or a statement is."""
+    return extents.withColumn("bin", F.explode(F.sequence(F.expr(f"cast({first} div {size} AS int)"), F.expr(f"cast({last} div {size} AS int)"))))
 
 
 def arguments(code: DataFrame, found: DataFrame) -> DataFrame:
-    """path, call_tok, arg_no (from 1), first_tok, last_tok of each argument as far as it lies in the call's statement,
-    which any brace ends: what commas of the call's own depth part. Rules look at whole_arguments."""
-    inner = code.select("path", "stmt_no", F.col("tok_no").alias("t"), "mask", "paren_depth", "brace_depth")
-    own = found.select("path", "stmt_no", F.col("tok_no").alias("call_tok"), "close_tok", "inside")
-    rows = own.join(inner, ["path", "stmt_no"]).where("t > call_tok + 1 AND t < close_tok AND NOT (mask = '(' AND paren_depth < inside)")
-    comma = F.when((F.col("mask") == ",") & (F.col("paren_depth") == F.col("inside")), 1).otherwise(0)
-    so_far = Window.partitionBy("path", "call_tok").orderBy("t").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.withColumn("arg_no", F.sum(comma).over(so_far) + 1).where(comma == 0)
-    return rows.groupBy("path", "call_tok", "arg_no").agg(F.min("t").alias("first_tok"), F.max("t").alias("last_tok")).withColumn("arg_no", F.col("arg_no").cast("int"))
-
-
-def whole_arguments(code: DataFrame, found: DataFrame) -> DataFrame:
-    """path, call_tok, arg_no (from 1), first_tok, last_tok, stmt_no, last_stmt: all that lies between the commas of the
-    call's own brackets, literals and blocks included."""
-    commas = code.where("mask = ',' AND outer_open IS NOT NULL").select("path", F.col("outer_open").alias("open_tok"), F.col("tok_no").alias("sep"), F.col("prev_tok").alias("last_tok"), "next_tok")
-    own = found.where("close_tok IS NOT NULL").select("path", "open_tok", F.col("tok_no").alias("call_tok"), "stmt_no", "last_stmt", "close_tok", "inner_first", "inner_last")
-    columns = ["path", "call_tok", "stmt_no", "last_stmt", "inner_first", "sep", "last_tok", "next_tok"]
+    """path, call_tok, arg_no (from 1), first_tok, last_tok: all that lies between the commas of the call's own brackets,
+    literals and blocks included."""
+    commas = code.where("mask = ',' AND outer IS NOT NULL").select("path", F.col("outer.tok").alias("open_tok"), F.col("tok_no").alias("sep"), F.col("prev_tok").alias("last_tok"), "next_tok")
+    own = found.where("close_tok IS NOT NULL").select("path", "open_tok", F.col("tok_no").alias("call_tok"), "close_tok", "inner_first", "inner_last")
+    columns = ["path", "call_tok", "inner_first", "sep", "last_tok", "next_tok"]
     parted = own.join(commas, ["path", "open_tok"]).where("sep < close_tok").select(columns)
-    closed = own.select("path", "call_tok", "stmt_no", "last_stmt", "inner_first", F.col("close_tok").alias("sep"), F.col("inner_last").alias("last_tok"), F.lit(None).cast("int").alias("next_tok"))
+    closed = own.select("path", "call_tok", "inner_first", F.col("close_tok").alias("sep"), F.col("inner_last").alias("last_tok"), F.lit(None).cast("int").alias("next_tok"))
     w = Window.partitionBy("path", "call_tok").orderBy("sep")
     rows = parted.unionByName(closed).withColumn("arg_no", F.row_number().over(w)).withColumn("first_tok", F.coalesce(F.lag("next_tok").over(w), "inner_first"))
-    return rows.where("first_tok <= last_tok").select("path", "call_tok", "arg_no", "first_tok", "last_tok", "stmt_no", "last_stmt")
+    return rows.where("first_tok <= last_tok").select("path", "call_tok", "arg_no", "first_tok", "last_tok")
 
 
 def _signs(code: DataFrame) -> DataFrame:
-    """Signs of assignments, with left_first, left_end (not included) and left_stmt of what is assigned to, value_start, value_end and last_stmt.
-    A sign's targets begin after the sign, the comma of a further declaration or the block's colon before it, and end
-    at a type's colon. A value ends with its statement, or before the comma of the next declaration."""
+    """Signs of assignments, with left_first and left_end (not included) of what is assigned to, value_start and value_end.
+    A statement stands in a file or a block, wherever that is, or in the brackets of a word like for or while. A sign's
+    targets begin after the sign, the comma of a further declaration or the block's colon before it, and end at a type's
+    colon. A value ends with its statement, or before the comma of the next declaration."""
     adjacent = (F.col("prev_end") == F.col("off")) & F.col("prev").isin(*"+-*/%&|^<>!~?:=")
     arrow = (F.col("next") == ">") & (F.col("next_off") == F.col("off") + 1)
     is_sign = F.col("mask").isin("=", ":=") & ~F.coalesce(adjacent, F.lit(False)) & ~F.coalesce(arrow, F.lit(False))
-    unit = Window.partitionBy("path", "brace_depth", "unit_no")
+    unit = Window.partitionBy("path", "paren_depth", "brace_depth", "unit_no")
     before = unit.orderBy("tok_no").rowsBetween(Window.unboundedPreceding, -1)
     indented = F.col("language").isin(*INDENTED)
+    in_brackets = (F.col("outer.mask") == "(") & F.col("outer.before").isin(*BRACKET_WORDS) & ~indented
     # Only what stands at the statement's own bracket level parts it.
-    rows = code.where("paren_depth = 0").withColumn("sign", is_sign).withColumn("head", F.first("mask").over(unit.orderBy("tok_no")))
+    rows = code.where(F.col("outer").isNull() | (F.col("outer.mask") == "{") | in_brackets).withColumn("sign", is_sign).withColumn("head", F.first("mask").over(unit.orderBy("tok_no")))
     rows = rows.withColumn("colon", F.min(F.when(F.col("mask") == ":", F.struct("tok_no", "prev_tok"))).over(unit))
     rows = rows.withColumn("colon", F.when((indented & F.col("head").isin(*BLOCK_WORDS)) | F.col("head").isin("case", "default"), F.col("colon")))
     at_colon = F.coalesce(F.col("tok_no") == F.col("colon.tok_no"), F.lit(False))
     parts = F.col("sign") | at_colon | ((F.col("mask") == ",") & ~indented & (F.count_if("sign").over(before) > 0))
     rows = rows.withColumn("parts_here", parts).withColumn("segment", F.coalesce(F.count_if("parts_here").over(before), F.lit(0)))
     rows = rows.withColumn("opened", F.last(F.when(F.col("parts_here"), F.struct("mask", "prev_tok")), ignorenulls=True).over(before))
-    own = Window.partitionBy("path", "brace_depth", "unit_no", "segment")
-    rows = rows.withColumn("left_first", F.min("tok_no").over(own)).withColumn("left_stmt", F.min("stmt_no").over(own)).withColumn("type_at", F.min(F.when((F.col("mask") == ":") & ~at_colon, F.col("tok_no"))).over(own))
+    own = Window.partitionBy("path", "paren_depth", "brace_depth", "unit_no", "segment")
+    rows = rows.withColumn("left_first", F.min("tok_no").over(own)).withColumn("type_at", F.min(F.when((F.col("mask") == ":") & ~at_colon, F.col("tok_no"))).over(own))
     rows = rows.where("sign").withColumn("comma", F.when(F.col("opened.mask") == ",", F.col("opened.prev_tok")))
     next_comma = F.min("comma").over(unit.orderBy("tok_no").rowsBetween(1, Window.unboundedFollowing))
-    value_end = F.least("unit_end.tok_no", next_comma, F.when(F.col("colon.tok_no") > F.col("tok_no"), F.col("colon.prev_tok")))
-    return rows.select("path", "language", "tok_no", "stmt_no", "left_first", F.least("tok_no", "type_at").alias("left_end"), "left_stmt", F.col("next_tok").alias("value_start"), value_end.alias("value_end"), F.col("unit_end.stmt_no").alias("last_stmt")).where("value_start <= value_end")
+    # A bracket that closes after the value is none of it.
+    closes = F.when(F.col("outer").isNotNull() & F.col("unit_mask").isin(")", "}"), F.col("unit_prev")).otherwise(F.col("unit_end"))
+    ends = code.select("path", F.col("tok_no").alias("unit_end"), F.col("mask").alias("unit_mask"), F.col("prev_tok").alias("unit_prev"))
+    rows = rows.withColumn("next_comma", next_comma).join(ends, ["path", "unit_end"])
+    value_end = F.least(closes, "next_comma", F.when(F.col("colon.tok_no") > F.col("tok_no"), F.col("colon.prev_tok")))
+    return rows.select("path", "language", "tok_no", "left_first", (F.least("tok_no", "type_at") - 1).alias("left_last"), F.col("next_tok").alias("value_start"), value_end.alias("value_end")).where("value_start <= value_end")
 
 
 def assignments(code: DataFrame) -> DataFrame:
-    """path, language, tok_no (of the sign), stmt_no, last_stmt, start_tok, targets, target_chain, value_start, value_end,
-    line_no, col_no, off (of the target): one row for each sign = or := outside brackets."""
+    """path, language, tok_no (of the sign), start_tok, targets, target_chain, value_start, value_end, line_no, col_no, off
+    (of the target): one row for each sign = or := of a statement, wherever it stands."""
     signs = _signs(code)
-    left = by_statement(signs.select("path", F.col("tok_no").alias("sign"), F.col("left_stmt").alias("stmt_no"), F.col("stmt_no").alias("last_stmt"), "left_first", "left_end"))
-    rows = left.join(names(code).select("path", "stmt_no", F.col("tok_no").alias("t"), "parts", "line_no", "col_no", "off"), ["path", "stmt_no"]).where("t >= left_first AND t < left_end")
+    left = in_bins(signs.select("path", F.col("tok_no").alias("sign"), F.col("left_first").alias("first_tok"), F.col("left_last").alias("last_tok")).where("first_tok <= last_tok"))
+    rows = left.join(names(code).select("path", "bin", F.col("tok_no").alias("t"), "parts", "line_no", "col_no", "off"), ["path", "bin"]).where("t BETWEEN first_tok AND last_tok")
     found = rows.groupBy("path", F.col("sign").alias("tok_no")).agg(
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("parts")))).alias("targets"),
         F.max(F.struct("t", "parts")).alias("target"),
         F.min(F.struct("t", "line_no", "col_no", "off")).alias("first"),
     )
-    return signs.join(found, ["path", "tok_no"]).select("path", "language", "tok_no", "stmt_no", "last_stmt", F.col("first.t").alias("start_tok"), "targets", F.col("target.parts").alias("target_chain"), "value_start", "value_end", F.col("first.line_no").alias("line_no"), F.col("first.col_no").alias("col_no"), F.col("first.off").alias("off"))
+    return signs.join(found, ["path", "tok_no"]).select("path", "language", "tok_no", F.col("first.t").alias("start_tok"), "targets", F.col("target.parts").alias("target_chain"), "value_start", "value_end", F.col("first.line_no").alias("line_no"), F.col("first.col_no").alias("col_no"), F.col("first.off").alias("off"))
 
 
 def extent_identifiers(code: DataFrame, extents: DataFrame) -> DataFrame:
-    """Adds names (distinct, sorted) to extents (path, stmt_no, key, first_tok, last_tok): the identifiers inside."""
-    inner = names(code).select("path", "stmt_no", F.col("tok_no").alias("t"), "parts")
-    rows = by_statement(extents).join(inner, ["path", "stmt_no"]).where("t BETWEEN first_tok AND last_tok")
+    """Adds names (distinct, sorted) to extents (path, key, first_tok, last_tok): the identifiers inside."""
+    inner = names(code).select("path", "bin", F.col("tok_no").alias("t"), "parts")
+    rows = in_bins(extents).join(inner, ["path", "bin"]).where("t BETWEEN first_tok AND last_tok")
     return rows.groupBy("path", "key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("parts")))).alias("names"))
 
 
-def snippet(text, start_off, end_off):
-    """The stripped original text of an extent in code points."""
-    return F.regexp_replace(F.substring(text, start_off + 1, end_off - start_off), r"^\s+|\s+$", "")
-
-
 def located(files: DataFrame, code: DataFrame, extents: DataFrame) -> DataFrame:
-    """Adds location STRUCT<path, line, column, snippet> to extents with path, first_tok, last_tok."""
-    at = code.select("path", F.col("tok_no").alias("first_tok"), "line_no", "col_no", F.col("off").alias("from_off"))
-    to = code.select("path", F.col("tok_no").alias("last_tok"), (F.col("off") + F.length("mask")).alias("to_off"))
-    rows = extents.join(at, ["path", "first_tok"]).join(to, ["path", "last_tok"]).join(files.select("path", F.col("text").alias("file_text")), "path")
-    where = F.struct("path", F.col("line_no").alias("line"), F.col("col_no").alias("column"), snippet(F.col("file_text"), F.col("from_off"), F.col("to_off")).alias("snippet"))
-    return rows.select(*extents.columns, where.alias("location"))
+    """Adds location STRUCT<path, line, column, snippet> to extents with path, first_tok, last_tok. The extents of a file
+    come together, and each takes its slice of the file's array of tokens: the text is met once."""
+    at = code.select("path", F.col("tok_no").alias("first_tok"), "line_no", "col_no")
+    rows = extents.join(at, ["path", "first_tok"]).join(code.select("path", F.col("tok_no").alias("last_tok")), ["path", "last_tok"])
+    listed = rows.groupBy("path").agg(F.collect_list(F.struct(*[c for c in extents.columns if c != "path"], "line_no", "col_no")).alias("extents"))
+    rows = listed.join(files.select("path", token_texts(F.col("text"), F.col("language")).alias("texts")), "path")
+    whole = lambda e: F.array_join(F.slice("texts", e["first_tok"] + 1, e["last_tok"] - e["first_tok"] + 1), "")
+    cut = F.transform("extents", lambda e: F.struct(e.alias("e"), F.regexp_replace(whole(e), r"^\s+|\s+$", "").alias("snippet")))
+    rows = rows.select("path", F.explode(cut).alias("x")).select("path", "x.e.*", F.struct("path", F.col("x.e.line_no").alias("line"), F.col("x.e.col_no").alias("column"), "x.snippet").alias("location"))
+    return rows.select(*extents.columns, "location")
 
 
 def _brace_headers(code: DataFrame) -> DataFrame:
@@ -142,6 +137,15 @@ def indented_lines(code: DataFrame) -> DataFrame:
     return rows.where("f.paren_depth = 0").select("path", "line_no", (F.col("f.col_no") - 1).alias("indent"), F.col("f.mask").alias("first"), F.col("f.tok_no").alias("tok_no"), "last_tok")
 
 
+def next_outside(lines: DataFrame, heads: DataFrame) -> DataFrame:
+    """(path, start_line, depth, n): for heads (path, start_line, depth) at lines of that indentation, the next line of no
+    more, as STRUCT<line_no, before, first, indent>. Lines meet each indentation that heads of their file have."""
+    depths = heads.select("path", "depth").distinct()
+    w = Window.partitionBy("path", "depth").orderBy("line_no")
+    rows = lines.join(depths, "path").where("indent <= depth").withColumn("n", F.lead(F.struct("line_no", "before", "first", "indent")).over(w))
+    return rows.where("indent = depth").select("path", F.col("line_no").alias("start_line"), "depth", "n")
+
+
 def functions(code: DataFrame) -> DataFrame:
     """path, language, name, start_tok, end_tok, start_line, end_line, top_level, depth."""
     ends = code.select("path", F.col("tok_no").alias("close_tok"), F.col("line_no").alias("end_line"))
@@ -150,10 +154,8 @@ def functions(code: DataFrame) -> DataFrame:
     lines = indented_lines(code).withColumn("before", F.lag("line_no").over(Window.partitionBy("path").orderBy("line_no")))
     heads = code.where((F.col("mask") == "def") & F.col("language").isin(*INDENTED)).select("path", "language", F.when(F.col("next_kind") == "name", F.col("next")).otherwise(ANONYMOUS).alias("name"), F.col("tok_no").alias("start_tok"), F.col("line_no").alias("start_line"))
     heads = heads.join(lines.select("path", F.col("line_no").alias("start_line"), F.col("indent").alias("depth")), ["path", "start_line"])
-    after = lines.select("path", "line_no", "indent", "first", "before")
-    follow = heads.join(after, "path").where("line_no > start_line AND indent <= depth").groupBy("path", "start_tok").agg(F.min(F.struct("line_no", "before", "first", "indent")).alias("n"))
     last = lines.groupBy("path").agg(F.max("line_no").alias("file_end"))
-    rows = heads.join(follow, ["path", "start_tok"], "left").join(last, "path")
+    rows = heads.join(next_outside(lines, heads), ["path", "start_line", "depth"], "left").join(last, "path")
     closed = (F.col("language") == "ruby") & (F.col("n.first") == "end") & (F.col("n.indent") == F.col("depth"))
     rows = rows.withColumn("end_line", F.coalesce(F.when(closed, F.col("n.line_no")).otherwise(F.col("n.before")), F.col("file_end")))
     tails = code.groupBy("path", F.col("line_no").alias("end_line")).agg(F.max("tok_no").alias("end_tok"))

@@ -6,13 +6,13 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import cached_property
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from coderake.functions.vocabulary import BRANCHES, INDENTED, RULE_LANGUAGES, RULE_TEXT, SINKS
 from coderake.operators import facts as fact
 from coderake.operators import taint
-from coderake.operators.tokens import code_tokens, tokens
+from coderake.operators.tokens import BIN, code_tokens, tokens
 from coderake.plans.tables import written
 from coderake.sources.files import LINE_END
 
@@ -47,10 +47,6 @@ class Facts:
     def arguments(self) -> DataFrame:
         return self._kept(fact.arguments(self.code, self.calls))
 
-    @cached_property
-    def whole_arguments(self) -> DataFrame:
-        return self._kept(fact.whole_arguments(self.code, self.calls))
-
     @cached_property
     def assignments(self) -> DataFrame:
         return self._kept(fact.assignments(self.code))
@@ -79,16 +75,16 @@ def sink_calls(facts: Facts, rule_id: str) -> DataFrame:
     """Calls whose last or whole name is a sink's, with a tainted argument: path, first_tok, last_tok."""
     wanted = facts.sink_names(rule_id, "call")
     found = applying(facts.calls, rule_id).where(F.element_at("parts", -1).isin(*wanted) | F.col("callee").isin(*wanted))
-    inside = facts.whole_arguments.join(found.select("path", F.col("tok_no").alias("call_tok")), ["path", "call_tok"])
-    extents = inside.select("path", "stmt_no", "last_stmt", F.struct("call_tok", "arg_no").alias("key"), "first_tok", "last_tok")
+    inside = facts.arguments.join(found.select("path", F.col("tok_no").alias("call_tok")), ["path", "call_tok"])
+    extents = inside.select("path", F.struct("call_tok", "arg_no").alias("key"), "first_tok", "last_tok")
     hit = taint.tainted_extents(facts.code, facts.calls, extents, facts.tainted, facts.more).select("path", F.col("key.call_tok").alias("tok_no")).distinct()
-    return found.join(hit, ["path", "tok_no"]).select("path", "language", F.col("tok_no").alias("first_tok"), F.col("close_tok").alias("last_tok"))
+    return found.join(hit, ["path", "tok_no"]).select("path", "language", F.col("start_tok").alias("first_tok"), F.col("close_tok").alias("last_tok"))
 
 
 def sink_assignments(facts: Facts, rule_id: str) -> DataFrame:
     """Assignments to a sink property whose value is tainted."""
     found = applying(facts.assignments, rule_id).where(F.element_at("target_chain", -1).isin(*facts.sink_names(rule_id, "property")))
-    extents = found.select("path", "stmt_no", "last_stmt", F.col("tok_no").alias("key"), F.col("value_start").alias("first_tok"), F.col("value_end").alias("last_tok"))
+    extents = found.select("path", F.col("tok_no").alias("key"), F.col("value_start").alias("first_tok"), F.col("value_end").alias("last_tok"))
     hit = taint.tainted_extents(facts.code, facts.calls, extents, facts.tainted, facts.more).withColumnRenamed("key", "tok_no")
     return found.join(hit, ["path", "tok_no"]).select("path", "language", F.col("start_tok").alias("first_tok"), F.col("value_end").alias("last_tok"))
 
@@ -112,8 +108,11 @@ def cross_site_scripting(facts: Facts) -> DataFrame:
 def secret_lines(texts: DataFrame, *keys: str) -> DataFrame:
     """keys, line_no, column, match: credential words with a non-empty literal, by line, in code or plain text."""
     rows = texts.where(F.regexp_like("text", F.lit(SECRET))).select(*keys, F.posexplode(F.split("text", LINE_END)).alias("n", "line"))
-    rows = rows.select(*keys, (F.col("n") + 1).alias("line_no"), "line", F.posexplode(F.regexp_extract_all("line", F.lit(SECRET), F.lit(0))).alias("nth", "match"))
-    return rows.select(*keys, "line_no", (F.octet_length(F.expr("substring(line, 1, instr(line, match) - 1)")) + 1).cast("int").alias("column"), "nth", "match")
+    # What stands between the matches gives the place of each, also where the same text occurs before.
+    found, between = F.regexp_extract_all("line", F.lit(SECRET), F.lit(0)), F.split("line", SECRET, -1)
+    rows = rows.select(*keys, (F.col("n") + 1).alias("line_no"), found.alias("found"), between.alias("between"), F.posexplode(found).alias("nth", "match"))
+    before = F.concat(F.array_join(F.slice("between", 1, F.col("nth") + 1), ""), F.array_join(F.slice("found", 1, F.col("nth")), ""))
+    return rows.select(*keys, "line_no", (F.octet_length(before) + 1).cast("int").alias("column"), "nth", "match")
 
 
 def hardcoded_secret(facts: Facts) -> DataFrame:
@@ -125,33 +124,37 @@ def hardcoded_secret(facts: Facts) -> DataFrame:
 def cyclomatic(code: DataFrame, functions: DataFrame) -> DataFrame:
     """path, start_tok, cyclomatic: one more than the branches inside, those of nested functions included."""
     signs = [b for b in BRANCHES if not b[0].isalpha()]
-    branch = code.where((F.col("kind") == "name") & F.col("mask").isin(*[b for b in BRANCHES if b[0].isalpha()]) | F.col("mask").isin(*signs)).select(F.col("path").alias("b_path"), F.col("tok_no").alias("t"))
-    spans = functions.select("path", "start_tok", "end_tok")
-    inside = (F.col("path") == F.col("b_path")) & F.col("t").between(F.col("start_tok"), F.col("end_tok"))
-    return spans.join(branch, inside, "left").groupBy("path", "start_tok").agg((F.count("t") + 1).cast("int").alias("cyclomatic"))
+    isin = (F.col("kind") == "name") & F.col("mask").isin(*[b for b in BRANCHES if b[0].isalpha()]) | F.col("mask").isin(*signs)
+    # Branches up to the function's end, less those before it.
+    upto = F.count_if(isin).over(Window.partitionBy("path").orderBy("tok_no"))
+    counted = code.select("path", F.col("tok_no").alias("t"), upto.alias("upto"), isin.cast("int").alias("own"))
+    rows = functions.select("path", "start_tok", "end_tok").join(counted.select("path", F.col("t").alias("start_tok"), (F.col("upto") - F.col("own")).alias("before")), ["path", "start_tok"])
+    return rows.join(counted.select("path", F.col("t").alias("end_tok"), "upto"), ["path", "end_tok"]).select("path", "start_tok", (F.col("upto") - F.col("before") + 1).cast("int").alias("cyclomatic"))
 
 
 def line_levels(lines: DataFrame) -> DataFrame:
-    """path, line_no, level: how many enclosing lines of less indentation a line has, by a fold over a stack."""
-    listed = lines.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("line_no", "indent"))).alias("l"))
-    state = F.struct(F.array().cast("array<int>").alias("stack"), F.array().cast("array<struct<line_no:int,level:int>>").alias("out"))
-
-    def step(s, x):
-        open_ones = F.filter(s["stack"], lambda i: i < x["indent"])
-        return F.struct(F.concat(open_ones, F.array(x["indent"])).alias("stack"), F.concat(s["out"], F.array(F.struct(x["line_no"].alias("line_no"), F.size(open_ones).alias("level")))).alias("out"))
-
-    return listed.select("path", F.explode(F.aggregate("l", state, step, lambda s: s["out"])).alias("x")).select("path", "x.line_no", "x.level")
+    """path, line_no, level: how many enclosing lines of less indentation a line has. A line encloses a later one if the
+    last line before that of no more than its indentation is itself; so each line asks once for each lesser indentation."""
+    depths = lines.groupBy("path").agg(F.collect_set("indent").alias("depths"))
+    w = Window.partitionBy("path", "depth").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
+    rows = lines.select("path", "line_no", "indent").join(depths, "path").select("path", "line_no", "indent", F.explode("depths").alias("depth"))
+    rows = rows.withColumn("last", F.last(F.when(F.col("indent") <= F.col("depth"), F.col("indent")), ignorenulls=True).over(w))
+    inside = (F.col("depth") < F.col("indent")) & (F.col("last") == F.col("depth"))
+    return rows.groupBy("path", "line_no").agg(F.count_if(inside).cast("int").alias("level"))
 
 
 def max_nesting(code: DataFrame, functions: DataFrame) -> DataFrame:
     """path, start_tok, max_nesting: blocks inside blocks, the body being the first."""
     literal = F.coalesce(F.col("prev").isin("=", "(", ",", ":", "[", "?", "return"), F.lit(False))
-    blocks = code.where((F.col("mask") == "{") & ~literal & ~F.col("language").isin(*INDENTED)).select("path", F.col("tok_no").alias("t"), (F.col("brace_depth") + 1).alias("level"))
+    blocks = code.where((F.col("mask") == "{") & ~literal & ~F.col("language").isin(*INDENTED)).select("path", "bin", F.col("tok_no").alias("t"), (F.col("brace_depth") + 1).alias("level"))
     spans = functions.select("path", "language", "start_tok", "end_tok", "start_line", "end_line", "depth")
-    braced = spans.where(~F.col("language").isin(*INDENTED)).join(blocks, "path").where("t BETWEEN start_tok AND end_tok").groupBy("path", "start_tok").agg((F.max("level") - F.max("depth")).cast("int").alias("max_nesting"))
+    braced = fact.in_bins(spans.where(~F.col("language").isin(*INDENTED)), first="start_tok", last="end_tok").join(blocks, ["path", "bin"]).where("t BETWEEN start_tok AND end_tok")
+    braced = braced.groupBy("path", "start_tok").agg((F.max("level") - F.max("depth")).cast("int").alias("max_nesting"))
     levels = line_levels(fact.indented_lines(code))
     heads = levels.select("path", F.col("line_no").alias("start_line"), F.col("level").alias("head_level"))
-    plain = spans.where(F.col("language").isin(*INDENTED)).join(heads, ["path", "start_line"]).join(levels, "path").where("line_no > start_line AND line_no <= end_line").groupBy("path", "start_tok").agg((F.max("level") - F.max("head_level")).cast("int").alias("max_nesting"))
+    placed = levels.withColumn("bin", F.expr(f"cast(line_no div {BIN} AS int)"))
+    plain = fact.in_bins(spans.where(F.col("language").isin(*INDENTED)).join(heads, ["path", "start_line"]), first="start_line", last="end_line")
+    plain = plain.join(placed, ["path", "bin"]).where("line_no > start_line AND line_no <= end_line").groupBy("path", "start_tok").agg((F.max("level") - F.max("head_level")).cast("int").alias("max_nesting"))
     return braced.unionByName(plain)
 
 

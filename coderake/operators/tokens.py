@@ -1,8 +1,9 @@
 """Code as a token relation: one row per token, made with regular expressions, windows and no parser.
 
-Escapes are masked at equal length before lexing, and member signs between names become
-dots, so the lexers need single character classes only and no text can exhaust the
-regex engine's stack. Tokens cover the text; the original comes back by position.
+Before lexing, each escape and each member sign between names becomes private-use characters, one for
+one, so the lexers need single character classes only, no text can exhaust the regex engine's stack,
+and a token's original text comes back by translating it: no token row carries its file's text, and
+the work grows in proportion to a file's size. Tokens cover the text.
 """
 
 from __future__ import annotations
@@ -18,14 +19,72 @@ SLASH_LEXER = r"/\*[\s\S]*?\*/|//[^\n]*|`[^`]*`" + _COMMON
 KEYS = ("path", "language")
 #: What stands before the opening brace of a literal or a pattern; before that of a block stands something else.
 BEFORE_LITERALS = ("=", ":=", "(", ",", "[", "?", "return", "||", "&&", "const", "let", "var")
+#: Words whose brackets hold statements, so that a sign in them assigns.
+BRACKET_WORDS = ("for", "if", "while", "switch", "until", "foreach", "using", "try", "with")
+#: Tokens that meet in joins are bucketed by so many places.
+BIN = 64
+
+# Private-use characters that stand for escapes and signs. A text that has some of the first range gets the second; one
+# that has some of both shows theirs as what they would stand for.
+_RANGES = (0xE000, 0xE800)
+_ASCII = [c for c in range(128) if c != 10]
+_SIGNS = {"->": (1, 2), "::": (3, 4), "?.": (5, 6)}
+
+
+def _private(base: int) -> tuple[str, str, str]:
+    """Private characters, what they stand for, and what a mask shows for them."""
+    marks = [(0, "\\", "~"), *[(128 + c, chr(c), "~") for c in _ASCII], *[(n, c, ".") for sign, ns in _SIGNS.items() for n, c in zip(ns, sign)]]
+    return "".join(chr(base + n) for n, _, _ in marks), "".join(c for _, c, _ in marks), "".join(m for _, _, m in marks)
+
+
+def _second(text: Column) -> Column:
+    return F.regexp_like(text, F.lit(f"[{chr(_RANGES[0])}-{chr(_RANGES[0] + 255)}]"))
+
+
+def marked(text: Column, base: int = _RANGES[0]) -> Column:
+    """The text with escapes and the signs ->, :: and ?. between names as private characters."""
+    plain = "".join(map(chr, _ASCII))
+    hidden = "".join(chr(base + 128 + c) for c in _ASCII)
+    escape = chr(base)
+    # What follows a backslash is escaped, backslashes first: they pair from the left.
+    paired = F.replace(text, F.lit("\\\\"), F.lit(escape + chr(base + 128 + 92)))
+    pieces = F.split(paired, r"\\", -1)
+    first = lambda p: F.substring(p, 1, 1)
+    closed = F.transform(pieces, lambda p, i: F.when(i == 0, p).when((p == "") | (first(p) == "\n"), F.concat(F.lit("\\"), p)).otherwise(F.concat(F.lit(escape), F.translate(first(p), plain, hidden), F.substring(p, F.lit(2), F.length(p)))))
+    text = F.when(F.contains(text, F.lit("\\")), F.array_join(closed, "")).otherwise(text)
+    for sign, (one, two) in _SIGNS.items():
+        text = F.regexp_replace(text, rf"(?<=\w){sign.replace('?', '[?]').replace('.', '[.]')}(?=[A-Za-z_])", chr(base + one) + chr(base + two))
+    return text
 
 
 def masked(text: Column) -> Column:
     """The text with escapes as ``~~`` and the signs ->, :: and ?. between names as two dots."""
-    text = F.regexp_replace(text, r"\\[^\n]", "~~")
-    for _ in range(2):  # a one-letter name ends one chain sign and begins the next
-        text = F.regexp_replace(text, r"(\w)(?:->|::|\?\.)([A-Za-z_])", "$1..$2")
-    return text
+    return F.when(_second(text), _shown(marked(text, _RANGES[1]), _RANGES[1])).otherwise(_shown(marked(text), _RANGES[0]))
+
+
+def _translated(text: Column, base: int, to: int) -> Column:
+    private = _private(base)
+    return F.when(F.regexp_like(text, F.lit(f"[{chr(base)}-{chr(base + 255)}]")), F.translate(text, private[0], private[to])).otherwise(text)
+
+
+def _shown(text: Column, base: int) -> Column:
+    return _translated(text, base, 2)
+
+
+def raw_tokens(text: Column, language: Column) -> Column:
+    """A text's tokens as an array, with private characters as in ``marked``."""
+    def lexed(base: int) -> Column:
+        own = lambda lexer: lexer.replace(r"[\w.]", f"[\\w.{chr(base + 1)}-{chr(base + 6)}]")
+        found = marked(text, base)
+        return F.when(language.isin(*INDENTED), F.regexp_extract_all(found, F.lit(own(HASH_LEXER)), F.lit(0))).otherwise(F.regexp_extract_all(found, F.lit(own(SLASH_LEXER)), F.lit(0)))
+
+    return F.when(_second(text), lexed(_RANGES[1])).otherwise(lexed(_RANGES[0]))
+
+
+def token_texts(text: Column, language: Column) -> Column:
+    """A text's tokens as an array of their original texts."""
+    back = lambda base: F.transform(raw_tokens(text, language), lambda t: _translated(t, base, 1))
+    return F.when(_second(text), back(_RANGES[1])).otherwise(back(_RANGES[0]))
 
 
 def kind(token: Column) -> Column:
@@ -37,16 +96,18 @@ def kind(token: Column) -> Column:
 def tokens(files: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """keys, tok_no, kind, text, mask, off (code points), line_no, col_no (bytes, from 1), paren_depth and brace_depth
     (before the token). files: keys and text; the rows of a file are dealt out together once, for all windows here."""
-    lexed = F.when(F.col("language").isin(*INDENTED), F.regexp_extract_all(masked(F.col("text")), F.lit(HASH_LEXER), F.lit(0))).otherwise(F.regexp_extract_all(masked(F.col("text")), F.lit(SLASH_LEXER), F.lit(0)))
-    rows = files.repartition(keys[0]).select(*keys, "text", F.posexplode(lexed).alias("tok_no", "mask"))
+    # What is made of the whole text comes before the explosion, or it would be made again for each token.
+    rows = files.repartition(keys[0]).select(*keys, _second(F.col("text")).alias("second"), raw_tokens(F.col("text"), F.col("language")).alias("raws"))
+    rows = rows.select(*keys, "second", F.posexplode("raws").alias("tok_no", "raw"))
+    either = lambda to: F.when(F.col("second"), _translated(F.col("raw"), _RANGES[1], to)).otherwise(_translated(F.col("raw"), _RANGES[0], to))
+    rows = rows.select(*keys, "tok_no", either(2).alias("mask"), either(1).alias("source"))
     before = Window.partitionBy(*keys).orderBy("tok_no").rowsBetween(Window.unboundedPreceding, -1)
     so_far = lambda what: F.coalesce(F.sum(what).over(before), F.lit(0)).cast("int")
-    rows = rows.withColumn("off", so_far(F.length("mask"))).withColumn("source", F.substring(F.col("text"), F.col("off") + 1, F.length("mask")))
-    rows = rows.withColumn("byte_off", so_far(F.octet_length("source"))).withColumn("line_no", so_far(F.length("mask") - F.length(F.replace(F.col("mask"), F.lit("\n")))) + 1)
+    step = lambda opening, closing: F.when(F.col("mask").isin(*opening), 1).when(F.col("mask").isin(*closing), -1).otherwise(0)
+    rows = rows.select("*", so_far(F.length("mask")).alias("off"), so_far(F.octet_length("source")).alias("byte_off"), (so_far(F.length("mask") - F.length(F.replace(F.col("mask"), F.lit("\n")))) + 1).alias("line_no"), so_far(step("([", ")]")).alias("paren_depth"), so_far(step("{", "}")).alias("brace_depth"))
     after_break = F.col("byte_off") + F.octet_length("source") - F.octet_length(F.substring_index("source", "\n", -1))
     line_start = F.coalesce(F.max(F.when(F.contains("mask", F.lit("\n")), after_break)).over(before), F.lit(0))
-    step = lambda opening, closing: F.when(F.col("mask").isin(*opening), 1).when(F.col("mask").isin(*closing), -1).otherwise(0)
-    return rows.select(*keys, "tok_no", kind(F.col("mask")).alias("kind"), F.col("source").alias("text"), "mask", "off", "line_no", (F.col("byte_off") - line_start + 1).cast("int").alias("col_no"), so_far(step("([", ")]")).alias("paren_depth"), so_far(step("{", "}")).alias("brace_depth"))
+    return rows.select(*keys, "tok_no", kind(F.col("mask")).alias("kind"), F.col("source").alias("text"), "mask", "off", "line_no", (F.col("byte_off") - line_start + 1).cast("int").alias("col_no"), "paren_depth", "brace_depth")
 
 
 def of_kinds(rows: DataFrame, *kinds: str) -> DataFrame:
@@ -64,51 +125,55 @@ def chain_parts(mask: Column) -> Column:
 
 
 def _with_units(rows: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """Adds unit_no, which counts the statements of one bracket level, and unit_end STRUCT<tok_no, stmt_no>, the last code
-    token of the statement and its stmt_no. Here braces of literals end nothing around them, nor does a block inside brackets."""
+    """Adds unit_no, which counts the statements of one bracket level, and unit_end, the last code token of the statement.
+    Braces of literals end nothing around them; a bracket's end closes the statement in it."""
     before = Window.partitionBy(*keys).orderBy("tok_no").rowsBetween(Window.unboundedPreceding, -1)
     is_code = ~F.col("kind").isin("space", "newline", "comment")
     last = lambda when, value: F.last(F.when(when, F.col(value)), ignorenulls=True).over(before)
-    rows = rows.withColumn("code_before", last(is_code, "mask")).withColumn("tok_before", last(is_code, "tok_no")).withColumn("mark_before", last(F.col("mask").isin("case", "default", ";", "{", "}", "?"), "mask"))
+    rows = rows.select("*", last(is_code, "mask").alias("code_before"), last(is_code, "tok_no").alias("tok_before"), last(F.col("mask").isin("case", "default", ";", "{", "}", "?"), "mask").alias("mark_before"))
     literal = (F.col("language") == "python") | F.col("code_before").isin(*BEFORE_LITERALS) | ((F.col("code_before") == ":") & ~F.coalesce(F.col("mark_before").isin("case", "default"), F.lit(False)))
-    ends = F.col("mask").isin(";", "}") | ((F.col("mask") == "{") & ~F.coalesce(literal, F.lit(False))) | (F.col("kind") == "newline")
-    rows = rows.withColumn("ends", ends).withColumn("unit_no", F.coalesce(F.count_if("ends").over(Window.partitionBy(*keys, "paren_depth", "brace_depth").orderBy("tok_no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    own = F.struct(F.when(is_code, F.col("tok_no")).otherwise(F.col("tok_before")).alias("tok_no"), "stmt_no")
-    unit_end = F.max(F.when(F.col("ends"), own)).over(Window.partitionBy(*keys, "paren_depth", "brace_depth", "unit_no"))
-    file_end = F.struct(F.max(F.when(is_code, F.col("tok_no"))).over(Window.partitionBy(*keys)).alias("tok_no"), F.max("stmt_no").over(Window.partitionBy(*keys)).alias("stmt_no"))
+    ends = F.col("mask").isin(";", "}", ")", "]") | ((F.col("mask") == "{") & ~F.coalesce(literal, F.lit(False))) | (F.col("kind") == "newline")
+    level = [*keys, "paren_depth", "brace_depth"]
+    rows = rows.withColumn("ends", ends).withColumn("unit_no", F.coalesce(F.count_if("ends").over(Window.partitionBy(*level).orderBy("tok_no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    unit_end = F.max(F.when(F.col("ends"), F.when(is_code, F.col("tok_no")).otherwise(F.col("tok_before")))).over(Window.partitionBy(*level, "unit_no"))
+    file_end = F.max(F.when(is_code, F.col("tok_no"))).over(Window.partitionBy(*keys))
     return rows.withColumn("unit_end", F.coalesce(unit_end, file_end)).drop("code_before", "tok_before", "mark_before", "ends")
 
 
 def code_tokens(rows: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
-    """Tokens without white space and comments, with what the facts need: parts (of names), stmt_no, the neighbours'
-    text, close_tok of brackets, outer_open (the opening bracket around a token), and for a closing bracket the tokens
-    before its opening one."""
+    """Tokens without white space and comments, with what the facts need: parts (of names), bin, the neighbours' text,
+    close_tok of brackets, outer (the opening bracket around a token, and what stands before that), chain_start (where the
+    chain of members, calls and subscripts begins that a token continues), and for a closing bracket the tokens before
+    its opening one."""
     p = Window.partitionBy(*keys).orderBy("tok_no")
-    # A line break inside brackets ends no statement; brackets inside a block start anew with it.
-    ends = F.when((F.col("mask") == ";") | F.col("mask").isin("{", "}") | ((F.col("kind") == "newline") & (F.col("paren_depth") == 0)), 1).otherwise(0)
-    stmt = F.coalesce(F.sum(ends).over(p.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("int")
-    code = _with_units(rows.withColumn("stmt_no", stmt), keys).where(~F.col("kind").isin("space", "newline", "comment"))
-    code = code.withColumn("parts", F.when(F.col("kind") == "name", chain_parts(F.col("mask"))))
-    for name, shift in (("prev", 1), ("prev2", 2)):
-        code = code.withColumn(name, F.lag("mask", shift).over(p))
-    code = code.withColumn("prev_kind", F.lag("kind").over(p)).withColumn("prev_tok", F.lag("tok_no").over(p)).withColumn("prev_line", F.lag("line_no").over(p)).withColumn("prev_end", F.lag(F.col("off") + F.length("mask")).over(p))
-    code = code.withColumn("next", F.lead("mask").over(p)).withColumn("next_kind", F.lead("kind").over(p)).withColumn("next_off", F.lead("off").over(p)).withColumn("next_tok", F.lead("tok_no").over(p)).withColumn("next2_tok", F.lead("tok_no", 2).over(p))
+    code = _with_units(rows, keys).where(~F.col("kind").isin("space", "newline", "comment"))
+    code = code.withColumn("parts", F.when(F.col("kind") == "name", chain_parts(F.col("mask")))).withColumn("bin", F.expr(f"tok_no div {BIN}").cast("int"))
+    beside = {"prev": ("mask", -1), "prev2": ("mask", -2), "prev_kind": ("kind", -1), "prev_tok": ("tok_no", -1), "prev_line": ("line_no", -1), "next": ("mask", 1), "next_kind": ("kind", 1), "next_off": ("off", 1), "next_tok": ("tok_no", 1), "next2_tok": ("tok_no", 2)}
+    at = lambda c, n: F.lead(c, n).over(p) if n > 0 else F.lag(c, -n).over(p)
+    code = code.select("*", *[at(c, n).alias(name) for name, (c, n) in beside.items()], F.lag(F.col("off") + F.length("mask")).over(p).alias("prev_end"))
     level = Window.partitionBy(*keys, "paren_depth", "brace_depth").orderBy("tok_no")
-    code = code.withColumn("outer_open", F.last(F.when(F.col("prev").isin("(", "[", "{"), F.col("prev_tok")), ignorenulls=True).over(level))
+    opener = F.struct(F.col("prev_tok").alias("tok"), F.col("prev").alias("mask"), F.col("prev2").alias("before"))
+    code = code.withColumn("outer", F.last(F.when(F.col("prev").isin("(", "[", "{"), opener), ignorenulls=True).over(level))
+    # At the file's own level nothing is around a token, whatever came before.
+    code = code.withColumn("outer", F.when((F.col("paren_depth") != 0) | (F.col("brace_depth") != 0), F.col("outer")))
+    is_name, closed = F.col("kind") == "name", F.col("prev").isin(")", "]")
+    called = F.col("mask").isin("(", "[") & (((F.col("prev_kind") == "name") & ~is_keyword(F.col("prev"))) | closed)
+    arrow = ((F.col("mask") == "-") & (F.col("next") == ">") & closed) | ((F.col("mask") == ">") & (F.col("prev") == "-") & F.col("prev2").isin(")", "]")) | (is_name & (F.col("prev") == ">") & (F.col("prev2") == "-"))
+    goes_on = (F.col("mask") == ".") | (is_name & F.col("prev").isin(".", "new")) | called | arrow
+    code = code.withColumn("chain_start", F.last(F.when(~F.coalesce(goes_on, F.lit(False)), F.col("tok_no")), ignorenulls=True).over(level.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     bracket = F.when(F.col("mask").isin("(", "[", ")", "]"), "paren").when(F.col("mask").isin("{", "}"), "brace").otherwise("none")
     opens = F.col("mask").isin("(", "[", "{").cast("int")
     pair = F.when(bracket == "paren", F.col("paren_depth") + opens).when(bracket == "brace", F.col("brace_depth") + opens).otherwise(0)
     code = code.withColumn("bracket", bracket).withColumn("pair", pair)
-    b = Window.partitionBy(*keys, "bracket", "pair").orderBy("tok_no")
+    # Other tokens have no bracket to match: each is a group of its own.
+    b = Window.partitionBy(*keys, "bracket", "pair", F.when(F.col("bracket") == "none", F.col("tok_no")).otherwise(-1)).orderBy("tok_no")
     close = F.when((F.col("bracket") != "none") & (opens == 1), F.lead("tok_no").over(b))
-    code = code.withColumn("close_tok", close)
-    for name in ("stmt_no", "prev_tok"):
-        code = code.withColumn(f"close_{name}", F.when(F.col("close_tok").isNotNull(), F.lead(name).over(b)))
+    code = code.withColumn("close_tok", close).withColumn("close_prev_tok", F.when(F.col("close_tok").isNotNull(), F.lead("prev_tok").over(b)))
     for name in ("prev", "prev2", "prev_kind", "prev_tok", "prev_line"):
         code = code.withColumn(f"opener_{name}", F.when((F.col("bracket") == "paren") & (opens == 0), F.lag(name).over(b)))
-    for name in ("tok", "stmt_no", "prev_tok"):
+    for name in ("tok", "prev_tok"):
         code = code.withColumn("next_close" if name == "tok" else f"next_close_{name}", F.lead(f"close_{name}").over(p))
-    return code.drop("bracket", "pair", "close_stmt_no", "close_prev_tok")
+    return code.drop("bracket", "pair", "close_prev_tok")
 
 
 def is_keyword(mask: Column) -> Column:

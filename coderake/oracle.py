@@ -3,9 +3,16 @@
 from __future__ import annotations
 
 from coderake.functions.vocabulary import BRANCHES, FUNCTION_WORDS, IGNORED_PARTS, INDENTED, KEYWORDS, LANGUAGE_EXTENSIONS, RULE_LANGUAGES, RULE_TEXT, SEVERITY_RANK, SINKS, TAINT_TERMS
-from coderake.operators.tokens import HASH_LEXER, SLASH_LEXER
 from coderake.sources.fixture import CODE_FILES
 
+# The two lexers once more, written out on their own.
+_REST = r"""|"[^"\n]*"|'[^'\n]*'|[A-Za-z_][0-9A-Za-z_.]*|[0-9]+|[=!<>]=|&&|\|\||:=|[ \t]+|[\s\S]"""
+HASH_LEXER = '"""[\\s\\S]*?"""|' + r"'''[\s\S]*?'''|#[^\n]*" + _REST
+SLASH_LEXER = r"/\*[\s\S]*?\*/|//[^\n]*|`[^`]*`" + _REST
+BLOCK_WORDS = ("if", "elif", "else", "for", "while", "with", "try", "except", "finally", "match", "case", "class", "def", "async")
+BRACKET_WORDS = ("for", "if", "while", "switch", "until", "foreach", "using", "try", "with")
+BEFORE_LITERALS = ("=", ":=", "(", ",", "[", "?", "return", "||", "&&", "const", "let", "var")
+
 
 def q(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
@@ -19,6 +26,8 @@ def array(items) -> str:
     return f"[{words(items)}]"
 
 
+#: Credential words with a literal, as a string of SQL.
+SECRET = "'(?i)(?:token|secret|password|passwd|api_?key|credential)\\w*\\s*[:=]\\s*(?:\"[^\"\\n]+\"|''[^''\\n]+'')'"
 LANG = "CASE " + " ".join(f"WHEN lower(regexp_extract(path, '[^/](\\.[^./]+)$', 1)) IN ({words(es)}) THEN {q(k)}" for k, es in LANGUAGE_EXTENSIONS.items()) + " END"
 SIGN = r"regexp_replace({}, '([A-Za-z0-9_])(?:->|::|\?\.)([A-Za-z_])', '\1..\2', 'g')"
 MASK = SIGN.format(SIGN.format(r"regexp_replace(text, '\\[^\n]', '~~', 'g')"))
@@ -31,8 +40,7 @@ CTES = {
     "t1": "(SELECT *, CAST(coalesce(sum(length(mask)) OVER w, 0) AS INT) AS off, CAST(1 + coalesce(sum(length(mask) - length(replace(mask, chr(10), ''))) OVER w, 0) AS INT) AS line_no, CAST(coalesce(sum((mask IN ('(', '['))::INT - (mask IN (')', ']'))::INT) OVER w, 0) AS INT) AS paren_depth, CAST(coalesce(sum((mask = '{')::INT - (mask = '}')::INT) OVER w, 0) AS INT) AS brace_depth FROM t0 WINDOW w AS (PARTITION BY path ORDER BY tok_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))",
     "t2": "(SELECT *, substring(file_text, off + 1, length(mask)) AS text, strlen(substring(file_text, 1, off)) - strlen(regexp_replace(substring(file_text, 1, off), '[^\\n]*$', '')) + 1 AS col_no FROM t1)",
     "tok": "(SELECT path, language, CAST(tok_no AS INT) AS tok_no, CASE WHEN mask = chr(10) THEN 'newline' WHEN mask LIKE '#%' OR mask LIKE '//%' OR mask LIKE '/*%' THEN 'comment' WHEN length(mask) > 1 AND mask[1] IN ('\"', '''', '`') THEN 'string' WHEN regexp_matches(mask, '^[A-Za-z_]') THEN 'name' WHEN regexp_matches(mask, '^[0-9]') THEN 'number' WHEN regexp_matches(mask, '^[ \\t\\r]') THEN 'space' ELSE 'op' END AS kind, text, mask, off, line_no, CAST(col_no AS INT) AS col_no, paren_depth, brace_depth FROM t2)",
-    "st": "(SELECT *, CAST(coalesce(sum((mask IN (';', '{', '}') OR (kind = 'newline' AND paren_depth = 0))::INT) OVER (PARTITION BY path ORDER BY tok_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INT) AS stmt_no FROM tok)",
-    "c0": "(SELECT *, CASE WHEN kind = 'name' THEN list_filter(string_split(mask, '.'), lambda p: p <> '') END AS parts, lag(mask) OVER w AS prev, lag(mask, 2) OVER w AS prev2, lag(kind) OVER w AS prev_kind, lag(tok_no) OVER w AS prev_tok, lag(line_no) OVER w AS prev_line, lag(off + length(mask)) OVER w AS prev_end, lead(mask) OVER w AS next, lead(kind) OVER w AS next_kind, lead(off) OVER w AS next_off, lead(tok_no) OVER w AS next_tok FROM st WHERE kind NOT IN ('space', 'newline', 'comment') WINDOW w AS (PARTITION BY path ORDER BY tok_no))",
+    "c0": "(SELECT *, CASE WHEN kind = 'name' THEN list_filter(string_split(mask, '.'), lambda p: p <> '') END AS parts, lag(mask) OVER w AS prev, lag(mask, 2) OVER w AS prev2, lag(kind) OVER w AS prev_kind, lag(tok_no) OVER w AS prev_tok, lag(tok_no, 2) OVER w AS prev2_tok, lag(line_no) OVER w AS prev_line, lag(off + length(mask)) OVER w AS prev_end, lead(mask) OVER w AS next, lead(kind) OVER w AS next_kind, lead(off) OVER w AS next_off, lead(tok_no) OVER w AS next_tok FROM tok WHERE kind NOT IN ('space', 'newline', 'comment') WINDOW w AS (PARTITION BY path ORDER BY tok_no))",
     # The match of an opening bracket: the first closing one after it at its own inner depth.
     "pr": "(SELECT o.path, o.tok_no AS open_tok, min(c.tok_no) AS close_tok FROM c0 o JOIN c0 c ON o.path = c.path AND c.tok_no > o.tok_no AND ((o.mask IN ('(', '[') AND c.mask IN (')', ']') AND c.paren_depth = o.paren_depth + 1) OR (o.mask = '{' AND c.mask = '}' AND c.brace_depth = o.brace_depth + 1)) GROUP BY 1, 2)",
     "heads": f"""(
@@ -49,12 +57,31 @@ CTES = {
       SELECT b.path, b.language, '<anonymous>', b.prev_tok, b.prev_line, b.tok_no, b.brace_depth, bp.close_tok FROM c0 b JOIN pr bp ON bp.path = b.path AND bp.open_tok = b.tok_no WHERE b.mask = '{{' AND b.prev = '>' AND b.prev2 = '=' AND b.language NOT IN ({words(INDENTED)})
     )""",
     "nm": f"(SELECT * FROM c0 WHERE kind = 'name' AND mask NOT IN ({words(KEYWORDS)}))",
-    "calls": f"(SELECT n.path, n.language, n.tok_no, n.parts, array_to_string(n.parts, '.') AS callee, pr.close_tok, n.stmt_no, n.line_no, n.col_no, n.paren_depth + 1 AS inside FROM nm n LEFT JOIN pr ON pr.path = n.path AND pr.open_tok = n.next_tok WHERE n.next = '(' AND coalesce(n.prev, '') NOT IN ({words(FUNCTION_WORDS)}) AND NOT EXISTS (SELECT 1 FROM heads h WHERE h.path = n.path AND h.start_tok = n.tok_no))",
-    "ar": "(SELECT c.path, c.tok_no AS call_tok, t.tok_no AS t, t.mask = ',' AND t.paren_depth = c.inside AS comma, CAST(1 + sum((t.mask = ',' AND t.paren_depth = c.inside)::INT) OVER (PARTITION BY c.path, c.tok_no ORDER BY t.tok_no) AS INT) AS arg_no FROM calls c JOIN c0 t ON t.path = c.path AND t.stmt_no = c.stmt_no AND t.tok_no > c.tok_no + 1 AND t.tok_no < c.close_tok WHERE NOT (t.mask = '(' AND t.paren_depth < c.inside))",
+    # Where a call begins: back over a member sign to the call or bracket it hangs on, as often as that goes.
+    "back": f"(SELECT c.path, c.tok_no, CASE WHEN o.prev_kind = 'name' AND o.prev NOT IN ({words(KEYWORDS)}) THEN o.prev_tok ELSE p.open_tok END AS pos FROM c0 c JOIN pr p ON p.path = c.path AND p.close_tok = CASE WHEN c.prev = '.' AND c.prev2 = ')' THEN c.prev2_tok END JOIN c0 o ON o.path = p.path AND o.tok_no = p.open_tok WHERE c.kind = 'name')",
+    "hang": "(SELECT path, tok_no, tok_no AS pos FROM nm WHERE next = '(' UNION ALL SELECT h.path, h.tok_no, b.pos FROM hang h JOIN back b ON b.path = h.path AND b.tok_no = h.pos)",
+    "begun": "(SELECT h.path, h.tok_no, CASE WHEN c.prev = 'new' THEN c.prev_tok ELSE c.tok_no END AS start_tok FROM (SELECT path, tok_no, min(pos) AS pos FROM hang GROUP BY 1, 2) h JOIN c0 c ON c.path = h.path AND c.tok_no = h.pos)",
+    "calls": f"(SELECT n.path, n.language, n.tok_no, n.parts, array_to_string(n.parts, '.') AS callee, pr.close_tok, n.next_tok AS open_tok, g.start_tok, n.line_no, n.col_no FROM nm n JOIN begun g ON g.path = n.path AND g.tok_no = n.tok_no LEFT JOIN pr ON pr.path = n.path AND pr.open_tok = n.next_tok WHERE n.next = '(' AND coalesce(n.prev, '') NOT IN ({words(FUNCTION_WORDS)}) AND NOT EXISTS (SELECT 1 FROM heads h WHERE h.path = n.path AND h.start_tok = n.tok_no))",
+    # The innermost bracket around each token, line breaks included.
+    "oo": "(SELECT t.path, t.language, t.tok_no, t.mask, t.kind, coalesce(max(o.open_tok), -1) AS o FROM tok t LEFT JOIN pr o ON o.path = t.path AND o.open_tok < t.tok_no AND o.close_tok > t.tok_no WHERE t.kind NOT IN ('space', 'comment') GROUP BY ALL)",
+    "ar": "(SELECT c.path, c.tok_no AS call_tok, t.tok_no AS t, t.mask = ',' AND t.o = c.open_tok AS comma, CAST(1 + sum((t.mask = ',' AND t.o = c.open_tok)::INT) OVER (PARTITION BY c.path, c.tok_no ORDER BY t.tok_no) AS INT) AS arg_no FROM calls c JOIN oo t ON t.path = c.path AND t.kind <> 'newline' AND t.tok_no > c.open_tok AND t.tok_no < c.close_tok)",
     "args": "(SELECT path, call_tok, arg_no, min(t) AS first_tok, max(t) AS last_tok FROM ar WHERE NOT comma GROUP BY 1, 2, 3)",
-    "sg": "(SELECT path, language, stmt_no, min(tok_no) AS tok_no FROM c0 WHERE mask IN ('=', ':=') AND paren_depth = 0 AND NOT coalesce(prev_end = off AND prev IN ('+', '-', '*', '/', '%', '&', '|', '^', '<', '>', '!', '~', '?', ':', '='), false) AND NOT coalesce(next = '>' AND next_off = off + 1, false) GROUP BY 1, 2, 3)",
-    "lf": f"(SELECT s.path, s.tok_no AS sign, c.* EXCLUDE (path) FROM sg s JOIN c0 c ON c.path = s.path AND c.stmt_no = s.stmt_no WHERE c.kind = 'name' AND c.mask NOT IN ({words(KEYWORDS)}) AND c.tok_no < s.tok_no AND c.tok_no < coalesce((SELECT min(x.tok_no) FROM c0 x WHERE x.path = s.path AND x.stmt_no = s.stmt_no AND x.mask = ':'), s.tok_no))",
-    "asg": "(SELECT s.path, s.language, s.tok_no, s.stmt_no, l.start_tok, l.targets, l.target_chain, l.line_no, l.col_no, v.value_start, v.value_end FROM sg s JOIN (SELECT path, sign, min(tok_no) AS start_tok, list_sort(list_distinct(flatten(list(parts)))) AS targets, arg_max(parts, tok_no) AS target_chain, arg_min(line_no, tok_no) AS line_no, arg_min(col_no, tok_no) AS col_no FROM lf GROUP BY 1, 2) l ON l.path = s.path AND l.sign = s.tok_no JOIN (SELECT s2.path, s2.tok_no AS sign, min(c.tok_no) AS value_start, max(c.tok_no) AS value_end FROM sg s2 JOIN c0 c ON c.path = s2.path AND c.stmt_no = s2.stmt_no AND c.tok_no > s2.tok_no GROUP BY 1, 2) v ON v.path = s.path AND v.sign = s.tok_no)",
+    # Statements are what lies between the ends in one bracket: semicolons, line breaks, braces that open a block.
+    "bd": f"(SELECT t.path, t.o, t.tok_no, t.kind FROM oo t LEFT JOIN c0 c ON c.path = t.path AND c.tok_no = t.tok_no WHERE t.mask = ';' OR t.kind = 'newline' OR (t.mask = '{{' AND t.language <> 'python' AND coalesce(c.prev, '') NOT IN ({words(BEFORE_LITERALS)}) AND NOT (coalesce(c.prev, '') = ':' AND coalesce((SELECT arg_max(m.mask, m.tok_no) FROM c0 m WHERE m.path = t.path AND m.tok_no < t.tok_no AND m.mask IN ('case', 'default', ';', '{{', '}}', '?')), '') NOT IN ('case', 'default'))))",
+    "sg0": f"(SELECT c.path, c.language, c.tok_no, c.next_tok, t.o FROM c0 c JOIN oo t ON t.path = c.path AND t.tok_no = c.tok_no LEFT JOIN c0 b ON b.path = c.path AND b.tok_no = t.o WHERE c.mask IN ('=', ':=') AND NOT coalesce(c.prev_end = c.off AND c.prev IN ('+', '-', '*', '/', '%', '&', '|', '^', '<', '>', '!', '~', '?', ':', '='), false) AND NOT coalesce(c.next = '>' AND c.next_off = c.off + 1, false) AND (t.o = -1 OR b.mask = '{{' OR (b.mask = '(' AND b.prev IN ({words(BRACKET_WORDS)}) AND c.language NOT IN ({words(INDENTED)}))))",
+    "sg1": "(SELECT s.*, coalesce((SELECT max(b.tok_no) FROM bd b WHERE b.path = s.path AND b.o = s.o AND b.tok_no < s.tok_no), s.o) AS u0, (SELECT min(b.tok_no) FROM bd b WHERE b.path = s.path AND b.o = s.o AND b.tok_no > s.tok_no) AS u1 FROM sg0 s)",
+    "sg2": f"(SELECT s.*, CASE WHEN (s.language IN ({words(INDENTED)}) AND h.mask IN ({words(BLOCK_WORDS)})) OR h.mask IN ('case', 'default') THEN (SELECT min(x.tok_no) FROM oo x WHERE x.path = s.path AND x.o = s.o AND x.mask = ':' AND x.tok_no > s.u0 AND x.tok_no < coalesce(s.u1, 2147483647)) END AS colon FROM sg1 s JOIN oo h ON h.path = s.path AND h.tok_no = (SELECT min(x.tok_no) FROM oo x WHERE x.path = s.path AND x.o = s.o AND x.kind <> 'newline' AND x.tok_no > s.u0))",
+    "sg3": f"(SELECT s.*, (SELECT max(x.tok_no) FROM oo x WHERE x.path = s.path AND x.o = s.o AND x.mask = ',' AND x.tok_no < s.tok_no AND x.tok_no > (SELECT min(y.tok_no) FROM sg2 y WHERE y.path = s.path AND y.o = s.o AND y.u0 = s.u0) AND s.language NOT IN ({words(INDENTED)})) AS comma, (SELECT max(y.tok_no) FROM sg2 y WHERE y.path = s.path AND y.o = s.o AND y.u0 = s.u0 AND y.tok_no < s.tok_no) AS sign0 FROM sg2 s)",
+    "sg4": "(SELECT s.*, greatest(u0, coalesce(comma, -1), coalesce(sign0, -1), CASE WHEN colon < tok_no THEN colon ELSE -1 END) AS part FROM sg3 s)",
+    "sg": """(SELECT s.path, s.language, s.tok_no, s.next_tok AS value_start,
+        (SELECT min(x.tok_no) FROM oo x WHERE x.path = s.path AND x.o = s.o AND x.kind <> 'newline' AND x.tok_no > s.part) AS left_first,
+        coalesce((SELECT min(x.tok_no) FROM oo x WHERE x.path = s.path AND x.o = s.o AND x.mask = ':' AND x.tok_no > s.part AND x.tok_no < s.tok_no), s.tok_no) AS left_end,
+        least(CASE WHEN s.u1 IS NOT NULL AND s.u1 < coalesce(e.close_tok, 2147483647) THEN (SELECT max(c.tok_no) FROM c0 c WHERE c.path = s.path AND c.tok_no <= s.u1) WHEN e.close_tok IS NOT NULL THEN (SELECT max(c.tok_no) FROM c0 c WHERE c.path = s.path AND c.tok_no < e.close_tok) ELSE (SELECT max(c.tok_no) FROM c0 c WHERE c.path = s.path) END,
+          (SELECT max(c.tok_no) FROM c0 c WHERE c.path = s.path AND c.tok_no < (SELECT min(y.comma) FROM sg4 y WHERE y.path = s.path AND y.o = s.o AND y.u0 = s.u0 AND y.tok_no > s.tok_no AND y.part = y.comma)),
+          (SELECT max(c.tok_no) FROM c0 c WHERE c.path = s.path AND c.tok_no < s.colon AND s.colon > s.tok_no)) AS value_end
+        FROM sg4 s LEFT JOIN pr e ON e.path = s.path AND e.open_tok = s.o)""",
+    "lf": "(SELECT s.path, s.tok_no AS sign, c.* EXCLUDE (path) FROM sg s JOIN nm c ON c.path = s.path AND c.tok_no >= s.left_first AND c.tok_no < s.left_end)",
+    "asg": "(SELECT s.path, s.language, s.tok_no, l.start_tok, l.targets, l.target_chain, l.line_no, l.col_no, s.value_start, s.value_end FROM sg s JOIN (SELECT path, sign, min(tok_no) AS start_tok, list_sort(list_distinct(flatten(list(parts)))) AS targets, arg_max(parts, tok_no) AS target_chain, arg_min(line_no, tok_no) AS line_no, arg_min(col_no, tok_no) AS col_no FROM lf GROUP BY 1, 2) l ON l.path = s.path AND l.sign = s.tok_no WHERE s.value_start <= s.value_end)",
     "ln0": f"(SELECT path, line_no, min(tok_no) AS tok_no, max(tok_no) AS last_tok FROM c0 WHERE language IN ({words(INDENTED)}) GROUP BY 1, 2)",
     "ln": "(SELECT l.path, l.line_no, c.col_no - 1 AS indent, c.mask AS first, l.tok_no, l.last_tok FROM ln0 l JOIN c0 c ON c.path = l.path AND c.tok_no = l.tok_no WHERE c.paren_depth = 0)",
     "ih": f"(SELECT c.path, c.language, CASE WHEN c.next_kind = 'name' THEN c.next ELSE '<anonymous>' END AS name, c.tok_no AS start_tok, c.line_no AS start_line, l.indent AS depth, (SELECT min(x.line_no) FROM ln x WHERE x.path = c.path AND x.line_no > c.line_no AND x.indent <= l.indent) AS follow FROM c0 c JOIN ln l ON l.path = c.path AND l.line_no = c.line_no WHERE c.mask = 'def' AND c.language IN ({words(INDENTED)}))",
@@ -73,16 +100,16 @@ CTES = {
         WHEN list_has_any(n.parts, {array(TAINT_TERMS['source_identifier'])}) THEN 'identifier' END AS source
       FROM nm n LEFT JOIN calls k ON k.path = n.path AND k.tok_no = n.tok_no)""",
     "sz": f"(SELECT path, tok_no AS a, close_tok AS b FROM calls WHERE callee IN ({words(TAINT_TERMS['sanitizer'])}))",
-    "ex": "(SELECT path, stmt_no, 'v' AS what, tok_no AS key, 0 AS arg_no, value_start AS first_tok, value_end AS last_tok FROM asg UNION ALL SELECT a.path, c.stmt_no, 'a', a.call_tok, a.arg_no, a.first_tok, a.last_tok FROM args a JOIN calls c ON c.path = a.path AND c.tok_no = a.call_tok)",
-    "lvn": "(SELECT e.path, e.what, e.key, e.arg_no, n.tok_no AS t, n.parts, n.source IS NOT NULL AS is_source FROM ex e JOIN nc n ON n.path = e.path AND n.stmt_no = e.stmt_no AND n.tok_no BETWEEN e.first_tok AND e.last_tok WHERE NOT EXISTS (SELECT 1 FROM sz WHERE sz.path = e.path AND sz.a >= e.first_tok AND sz.b <= e.last_tok AND n.tok_no BETWEEN sz.a AND sz.b))",
+    "ex": "(SELECT path, 'v' AS what, tok_no AS key, 0 AS arg_no, value_start AS first_tok, value_end AS last_tok FROM asg UNION ALL SELECT path, 'a', call_tok, arg_no, first_tok, last_tok FROM args)",
+    "lvn": "(SELECT e.path, e.what, e.key, e.arg_no, n.tok_no AS t, n.parts, n.source IS NOT NULL AS is_source FROM ex e JOIN nc n ON n.path = e.path AND n.tok_no BETWEEN e.first_tok AND e.last_tok WHERE NOT EXISTS (SELECT 1 FROM sz WHERE sz.path = e.path AND sz.a >= e.first_tok AND sz.b <= e.last_tok AND n.tok_no BETWEEN sz.a AND sz.b))",
     "ev": f"""(SELECT *, row_number() OVER (PARTITION BY path ORDER BY ord, targets, idents, seeds) AS k FROM (
         SELECT a.path, a.start_tok AS ord, CASE WHEN coalesce(l.src, false) THEN [] ELSE a.targets END AS targets, coalesce(l.idents, []) AS idents, CASE WHEN l.src THEN a.targets ELSE [] END AS seeds
           FROM asg a LEFT JOIN (SELECT path, key, list_distinct(flatten(list(parts))) AS idents, bool_or(is_source) AS src FROM lvn WHERE what = 'v' GROUP BY 1, 2) l ON l.path = a.path AND l.key = a.tok_no
-        UNION ALL SELECT s.path, s.tok_no, [], [], CASE s.source WHEN 'call' THEN (SELECT list_distinct(flatten(list(i.parts))) FROM nm i WHERE i.path = s.path AND i.stmt_no = s.stmt_no AND i.tok_no BETWEEN s.tok_no AND s.close_tok) WHEN 'member' THEN s.parts ELSE list_filter(s.parts, lambda p: p IN ({words(TAINT_TERMS['source_identifier'])})) END FROM nc s WHERE s.source IS NOT NULL))""",
+        UNION ALL SELECT s.path, s.tok_no, [], [], CASE s.source WHEN 'call' THEN (SELECT list_distinct(flatten(list(i.parts))) FROM nm i WHERE i.path = s.path AND i.tok_no BETWEEN s.tok_no AND s.close_tok) WHEN 'member' THEN s.parts ELSE list_filter(s.parts, lambda p: p IN ({words(TAINT_TERMS['source_identifier'])})) END FROM nc s WHERE s.source IS NOT NULL))""",
     "fold": f"(SELECT path, 0::BIGINT AS k, []::VARCHAR[] AS names FROM (SELECT DISTINCT path FROM ev) UNION ALL SELECT f.path, e.k, list_distinct(list_concat(list_concat(f.names, e.seeds), CASE WHEN list_has_any(e.idents, f.names) OR list_has_any(e.idents, {array(TAINT_TERMS['source_identifier'])}) THEN e.targets ELSE [] END)) FROM fold f JOIN ev e ON e.path = f.path AND e.k = f.k + 1)",
     "tainted": "(SELECT path, list_sort(arg_max(names, k)) AS names FROM fold GROUP BY 1)",
     "hit": f"(SELECT DISTINCT l.path, l.what, l.key, l.arg_no FROM lvn l LEFT JOIN tainted t ON t.path = l.path WHERE l.is_source OR list_has_any(l.parts, {array(TAINT_TERMS['source_identifier'])}) OR coalesce(list_has_any(l.parts, t.names), false))",
-    "sinks": "(" + " UNION ALL ".join(f"SELECT path, {q(r)} AS rule_id, {no} AS rule_no, tok_no AS first_tok, close_tok AS last_tok FROM calls WHERE language IN ({words(RULE_LANGUAGES[r])}) AND (parts[-1] IN ({words(SINKS[r, 'call'])}) OR callee IN ({words(SINKS[r, 'call'])})) AND EXISTS (SELECT 1 FROM hit WHERE hit.path = calls.path AND hit.what = 'a' AND hit.key = calls.tok_no)" for no, r in enumerate(("SQLI", "XSS"))) + f" UNION ALL SELECT path, 'XSS', 1, start_tok, value_end FROM asg WHERE language IN ({words(RULE_LANGUAGES['XSS'])}) AND target_chain[-1] IN ({words(SINKS['XSS', 'property'])}) AND EXISTS (SELECT 1 FROM hit WHERE hit.path = asg.path AND hit.what = 'v' AND hit.key = asg.tok_no))",
+    "sinks": "(" + " UNION ALL ".join(f"SELECT path, {q(r)} AS rule_id, {no} AS rule_no, 'call' AS what, start_tok AS first_tok, close_tok AS last_tok FROM calls WHERE language IN ({words(RULE_LANGUAGES[r])}) AND (parts[-1] IN ({words(SINKS[r, 'call'])}) OR callee IN ({words(SINKS[r, 'call'])})) AND EXISTS (SELECT 1 FROM hit WHERE hit.path = calls.path AND hit.what = 'a' AND hit.key = calls.tok_no)" for no, r in enumerate(("SQLI", "XSS"))) + f" UNION ALL SELECT path, 'XSS', 1, 'assignment', start_tok, value_end FROM asg WHERE language IN ({words(RULE_LANGUAGES['XSS'])}) AND target_chain[-1] IN ({words(SINKS['XSS', 'property'])}) AND EXISTS (SELECT 1 FROM hit WHERE hit.path = asg.path AND hit.what = 'v' AND hit.key = asg.tok_no))",
     "vio": "(SELECT *, list_filter([CASE WHEN cyclomatic > 15 THEN 'cyclomatic ' || cyclomatic || ' > 15' END, CASE WHEN max_nesting > 4 THEN 'nesting ' || max_nesting || ' > 4' END, CASE WHEN line_count > 80 THEN 'lines ' || line_count || ' > 80' END], lambda x: x IS NOT NULL) AS violated FROM mt WHERE cyclomatic > 15 OR max_nesting > 4 OR line_count > 80)",
     "sl": "(SELECT path, generate_subscripts(lines, 1) AS line_no, unnest(lines) AS line FROM (SELECT path, string_split_regex(text, '\\r\\n|[\\n\\r\\x0b\\x0c\\x1c\\x1d\\x1e\\x{85}\\x{2028}\\x{2029}]') AS lines FROM src))",
     "raw": f"""(
@@ -90,12 +117,12 @@ CTES = {
         FROM sinks s JOIN c0 a ON a.path = s.path AND a.tok_no = s.first_tok JOIN c0 b ON b.path = s.path AND b.tok_no = s.last_tok JOIN src x ON x.path = s.path
       UNION ALL SELECT v.path, 'COMPLEXITY', 3, v.start_tok, a.line_no, a.col_no, regexp_replace(substring(x.text, a.off + 1, b.off + length(b.mask) - a.off), '^\\s+|\\s+$', '', 'g'), 'Function ''' || v.name || ''' exceeds configured thresholds: ' || array_to_string(v.violated, ', ')
         FROM vio v JOIN c0 a ON a.path = v.path AND a.tok_no = v.start_tok JOIN c0 b ON b.path = v.path AND b.tok_no = v.end_tok JOIN src x ON x.path = v.path
-      UNION ALL SELECT path, 'HARDCODED_SECRET', 2, line_no * 1000 + n - 1, line_no, strlen(substring(line, 1, instr(line, m) - 1)) + 1, m, {q(RULE_TEXT['HARDCODED_SECRET'][1])}
-        FROM (SELECT path, line_no, line, generate_subscripts(ms, 1) AS n, unnest(ms) AS m FROM (SELECT *, regexp_extract_all(line, '(?i)(?:token|secret|password|passwd|api_?key|credential)\\w*\\s*[:=]\\s*(?:"[^"\\n]+"|''[^''\\n]+'')') AS ms FROM sl))
+      UNION ALL SELECT path, 'HARDCODED_SECRET', 2, line_no * 1000 + n - 1, line_no, strlen(array_to_string(string_split_regex(line, {SECRET})[1:n], '') || array_to_string(ms[1:n - 1], '')) + 1, m, {q(RULE_TEXT['HARDCODED_SECRET'][1])}
+        FROM (SELECT path, line_no, line, ms, generate_subscripts(ms, 1) AS n, unnest(ms) AS m FROM (SELECT *, regexp_extract_all(line, {SECRET}) AS ms FROM sl))
     )""",
     "fnd": f"(SELECT r.*, CASE rule_id {' '.join(f'WHEN {q(k)} THEN {q(v[0])}' for k, v in RULE_TEXT.items())} END AS title, CASE rule_id {' '.join(f'WHEN {q(k)} THEN {q(v[2])}' for k, v in RULE_TEXT.items())} END AS remediation, CASE rule_id {' '.join(f'WHEN {q(k)} THEN {q(v[3][0])}' for k, v in RULE_TEXT.items())} END AS reference, CASE rule_id WHEN 'COMPLEXITY' THEN 'Medium' ELSE 'High' END AS severity, CASE rule_id WHEN 'COMPLEXITY' THEN 'Low' WHEN 'HARDCODED_SECRET' THEN 'High' ELSE 'Medium' END AS confidence, EXISTS (SELECT 1 FROM sl WHERE sl.path = r.path AND sl.line_no IN (r.line, r.line - 1) AND contains(sl.line, 'scan:ignore')) AS suppressed FROM raw r)",
 }
-ALWAYS = {"lx", "tok", "c0", "pr", "heads", "calls", "asg", "ln", "fn", "lv", "nc", "lvn", "ev", "tainted", "hit", "raw", "fnd", "mt"}
+ALWAYS = {"lx", "tok", "c0", "pr", "heads", "nm", "back", "begun", "calls", "oo", "bd", "sg0", "sg1", "sg2", "sg3", "sg4", "sg", "args", "asg", "ln", "fn", "lv", "nc", "lvn", "ev", "tainted", "hit", "raw", "fnd", "mt"}
 RANK = "CASE severity " + " ".join(f"WHEN {q(k)} THEN {v}" for k, v in SEVERITY_RANK.items()) + " ELSE 0 END"
 
 
@@ -103,5 +130,5 @@ def over(last: str, select: str) -> str:
     """A query over the relations up to ``last``."""
     names = list(CTES)
     used = names[: names.index(last) + 1]
-    head = "WITH RECURSIVE " if "fold" in used else "WITH "
+    head = "WITH RECURSIVE " if {"fold", "hang"} & set(used) else "WITH "
     return head + ", ".join(f"{n} AS {'MATERIALIZED ' if n in ALWAYS else ''}{CTES[n]}" for n in used) + " " + select

@@ -14,10 +14,10 @@ from coderake.operators import reports as rep
 from coderake.operators import rules as rul
 from coderake.operators import taint
 from coderake.operators import tokens as tkn
-from coderake.oracle import LANG, RANK, array, over, q, words
+from coderake.oracle import LANG, RANK, SECRET, SLASH_LEXER, array, over, q, words
 from coderake.plans import policy as pol
 from coderake.plans.scan import source_texts
-from coderake.plans.tables import shared_dir
+from coderake.plans.tables import shared_dir, written
 from coderake.sources import files as src
 from coderake.sources.fixture import code_files
 
@@ -43,6 +43,12 @@ def found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _SCANS[key]
 
 
+def forget() -> None:
+    """Drops what is kept for the queries of a session: they make facts and findings anew, also if a table has changed."""
+    _FACTS.clear()
+    _SCANS.clear()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -67,11 +73,13 @@ def query(sql: str | None = None):
 # S: sources
 
 
-@query("SELECT concat('/data/', path) AS path, CAST(strlen(text) AS BIGINT) AS size FROM (" + over("cf", "SELECT path, text FROM cf") + ")")
+@query(over("cf", "SELECT concat('d', CAST(p_partkey % 50 AS VARCHAR)) AS folder, CAST(sum(strlen(text) + 1) AS BIGINT) AS size FROM cf GROUP BY 1"))
 def s1_source_files(spark, d):
-    """A table of files under URIs, as the binary reader gives them."""
-    files = code_files(spark, d).select(F.concat(F.lit("file:///data/"), F.col("path")).alias("path"), F.col("text").cast("binary").alias("content"))
-    return files.select(src.plain_path(F.col("path")).alias("path"), F.octet_length("content").cast("long").alias("size"))
+    """The derived code as real files in fifty folders, found again by the recursive scan; each text ends with a line break."""
+    root = f"{shared_dir(spark)}/coderake/files-{uuid.uuid4().hex}"
+    code_files(spark, d).select(F.concat(F.lit("d"), F.col("p_partkey") % 50).alias("folder"), "text").repartition("folder").write.partitionBy("folder").text(root)
+    files = src.read_files(spark, root).select(F.regexp_extract("path", "/folder=([^/]+)/", 1).alias("folder"), "size")
+    return files.where("folder <> ''").groupBy("folder").agg(F.sum("size").alias("size"))
 
 
 @query(over("cf", f"SELECT path FROM cf WHERE NOT list_has_any(string_split(path, '/'), {array(voc.IGNORED_PARTS)})"))
@@ -167,7 +175,7 @@ def p6_assignments(spark, d):
     return facts(spark, d).assignments.select("path", "tok_no", F.array_join("targets", ",").alias("targets"), F.array_join("target_chain", ".").alias("chain"), "value_start", "value_end")
 
 
-@query(over("asg", "SELECT a.path, a.tok_no AS assigned, array_to_string(list_sort(list_distinct(flatten(list(n.parts)))), ',') AS names FROM asg a JOIN nm n ON n.path = a.path AND n.stmt_no = a.stmt_no AND n.tok_no BETWEEN a.value_start AND a.value_end GROUP BY 1, 2"))
+@query(over("asg", "SELECT a.path, a.tok_no AS assigned, array_to_string(list_sort(list_distinct(flatten(list(n.parts)))), ',') AS names FROM asg a JOIN nm n ON n.path = a.path AND n.tok_no BETWEEN a.value_start AND a.value_end GROUP BY 1, 2"))
 def p7_identifiers(spark, d):
     own = facts(spark, d)
     return fact.extent_identifiers(own.code, taint._value_extents(own.assignments)).select("path", F.col("key").alias("assigned"), F.array_join("names", ",").alias("names"))
@@ -190,13 +198,13 @@ def p10_code_only(spark, d):
     return tkn.code_only(facts(spark, d).tokens).groupBy("path").agg(F.count("*").alias("n_code"), F.sum(F.length("text")).alias("code_chars"))
 
 
-_DOC_LEXED = "WITH t AS (SELECT doc_id, unnest(regexp_extract_all(regexp_replace(regexp_replace(regexp_replace(text, '\\\\[^\\n]', '~~', 'g'), '([A-Za-z0-9_])(?:->|::|\\?\\.)([A-Za-z_])', '\\1..\\2', 'g'), '([A-Za-z0-9_])(?:->|::|\\?\\.)([A-Za-z_])', '\\1..\\2', 'g'), " + q(tkn.SLASH_LEXER) + ")) AS mask FROM documents) SELECT doc_id, count(*) AS n_tokens, CAST(sum(length(mask)) AS BIGINT) AS n_chars, count(*) FILTER (regexp_matches(mask, '^[A-Za-z_]')) AS n_names FROM t GROUP BY 1"
+_DOC_LEXED = "WITH t AS (SELECT doc_id, unnest(regexp_extract_all(regexp_replace(regexp_replace(regexp_replace(text, '\\\\[^\\n]', '~~', 'g'), '([A-Za-z0-9_])(?:->|::|\\?\\.)([A-Za-z_])', '\\1..\\2', 'g'), '([A-Za-z0-9_])(?:->|::|\\?\\.)([A-Za-z_])', '\\1..\\2', 'g'), " + q(SLASH_LEXER) + ")) AS mask FROM documents) SELECT doc_id, count(*) AS n_tokens, CAST(sum(length(mask)) AS BIGINT) AS n_chars, count(*) FILTER (regexp_matches(mask, '^[A-Za-z_]')) AS n_names FROM t GROUP BY 1"
 
 
 @query(_DOC_LEXED)
 def p1_document_tokens(spark, d):
     """Tokens over whole documents; they cover each text."""
-    lexed = F.explode(F.regexp_extract_all(tkn.masked(F.col("text")), F.lit(tkn.SLASH_LEXER), F.lit(0))).alias("mask")
+    lexed = F.explode(tkn.raw_tokens(F.col("text"), F.lit("java"))).alias("mask")
     rows = table(spark, d, "documents").select("doc_id", lexed)
     return rows.groupBy("doc_id").agg(F.count("*").alias("n_tokens"), F.sum(F.length("mask")).alias("n_chars"), F.count_if(tkn.kind(F.col("mask")) == "name").alias("n_names"))
 
@@ -247,21 +255,19 @@ def r1_sql_injection(spark, d):
     return flat(rul.sql_injection(facts(spark, d)))
 
 
-@query(over("sinks", "SELECT path, first_tok FROM sinks JOIN calls USING (path) WHERE rule_id = 'XSS' AND calls.tok_no = first_tok"))
+@query(over("sinks", "SELECT path, first_tok FROM sinks WHERE rule_id = 'XSS' AND what = 'call'"))
 def r2_xss_calls(spark, d):
     return rul.sink_calls(facts(spark, d), "XSS").select("path", "first_tok")
 
 
-@query(over("sinks", "SELECT path, first_tok FROM sinks JOIN asg USING (path) WHERE rule_id = 'XSS' AND asg.start_tok = first_tok"))
+@query(over("sinks", "SELECT path, first_tok FROM sinks WHERE rule_id = 'XSS' AND what = 'assignment'"))
 def r3_xss_assignments(spark, d):
     return rul.sink_assignments(facts(spark, d), "XSS").select("path", "first_tok")
 
 
-SECRET_SQL = "'(?i)(?:token|secret|password|passwd|api_?key|credential)\\w*\\s*[:=]\\s*(?:\"[^\"\\n]+\"|''[^''\\n]+'')'"
-
-
-@query(f"""SELECT doc_id, CAST(line_no AS INT) AS line_no, CAST(strlen(substring(line, 1, instr(line, m) - 1)) + 1 AS INT) AS col, m AS match FROM (SELECT doc_id, line_no, line, unnest(regexp_extract_all(line, {SECRET_SQL})) AS m FROM
-  (SELECT doc_id, generate_subscripts(l, 1) AS line_no, unnest(l) AS line FROM (SELECT doc_id, string_split_regex(text, '\\r\\n|[\\n\\r\\x0b\\x0c\\x1c\\x1d\\x1e\\x{{85}}\\x{{2028}}\\x{{2029}}]') AS l FROM documents)))""")
+@query(f"""SELECT doc_id, CAST(line_no AS INT) AS line_no, CAST(strlen(array_to_string(string_split_regex(line, {SECRET})[1:n], '') || array_to_string(ms[1:n - 1], '')) + 1 AS INT) AS col, m AS match
+  FROM (SELECT doc_id, line_no, line, ms, generate_subscripts(ms, 1) AS n, unnest(ms) AS m FROM (SELECT *, regexp_extract_all(line, {SECRET}) AS ms FROM
+  (SELECT doc_id, generate_subscripts(l, 1) AS line_no, unnest(l) AS line FROM (SELECT doc_id, string_split_regex(text, '\\r\\n|[\\n\\r\\x0b\\x0c\\x1c\\x1d\\x1e\\x{{85}}\\x{{2028}}\\x{{2029}}]') AS l FROM documents))))""")
 def r4_hardcoded_secret(spark, d):
     """Secrets in all documents."""
     return rul.secret_lines(table(spark, d, "documents"), "doc_id").select("doc_id", "line_no", F.col("column").alias("col"), "match")
@@ -335,7 +341,7 @@ def f3_kept(spark, d):
 def f4_ordered(spark, d):
     """The report's order; a total order needs ranges of rows, whose sizes give each row its place."""
     rows = fnd.ordered(fnd.kept(found(spark, d))).withColumn("part", F.spark_partition_id()).withColumn("id", F.monotonically_increasing_id())
-    rows = rows.persist()
+    rows = written(rows, "ordered")
     sizes = {r["part"]: r["count"] for r in rows.groupBy("part").count().collect()}  # one row a partition
     start, starts = 0, []
     for p in sorted(sizes):
@@ -396,21 +402,21 @@ def o2_json_report(spark, d):
     """The rows of the JSON document, read back."""
     rows = found(spark, d)
     text = rep.report_rows(fnd.kept(rows), fnd.summary(rows, fnd.fix_counts(None, spark)), "json")
-    head = text.where("part = 0").select(F.from_json(F.concat("value", F.lit("]}")), "summary struct<count:bigint,suppressed:bigint>").alias("r")).select("r.summary.*")
+    head = text.where("part = 0").select(F.from_json(F.concat("value", F.lit("]}")), "summary struct<count:bigint,suppressed:bigint>").alias("r")).select("r.summary.*").first()
     schema = "rule_id string, severity string, message string, location struct<path:string,line:int,column:int,snippet:string>, fix string"
-    back = text.where("part = 1").select(F.from_json(F.ltrim("value", F.lit(",")), schema).alias("f")).crossJoin(F.broadcast(head))
-    return back.select("count", "suppressed", "f.rule_id", "f.severity", "f.location.path", F.col("f.location.line").alias("line"), F.col("f.location.column").alias("col"), F.col("f.location.snippet").alias("snippet"), "f.message", F.col("f.fix").isNull().alias("fix_is_null"))
+    back = text.where("part = 1").select(F.from_json(F.ltrim("value", F.lit(",")), schema).alias("f"))
+    return back.select(F.lit(head["count"]).alias("count"), F.lit(head["suppressed"]).alias("suppressed"), "f.rule_id", "f.severity", "f.location.path", F.col("f.location.line").alias("line"), F.col("f.location.column").alias("col"), F.col("f.location.snippet").alias("snippet"), "f.message", F.col("f.fix").isNull().alias("fix_is_null"))
 
 
 @query(over("fnd", "SELECT '2.1.0' AS version, rule_id, CASE severity WHEN 'High' THEN 'error' WHEN 'Medium' THEN 'warning' ELSE 'note' END AS level, path, CAST(line AS INT) AS line, CAST(col AS INT) AS col, snippet, message FROM fnd WHERE NOT suppressed"))
 def o3_sarif_report(spark, d):
     """The rows of the SARIF document, read back."""
     text = rep.report_rows(fnd.kept(found(spark, d)), None, "sarif")
-    head = text.where("part = 0").select(F.from_json(F.concat("value", F.lit("]}]}")), "version string").alias("r")).select("r.version")
+    head = text.where("part = 0").select(F.from_json(F.concat("value", F.lit("]}]}")), "version string").alias("r")).select("r.version").first()
     schema = "ruleId string, level string, message struct<text:string>, locations array<struct<physicalLocation:struct<artifactLocation:struct<uri:string>,region:struct<startLine:int,startColumn:int,snippet:struct<text:string>>>>>"
-    back = text.where("part = 1").select(F.from_json(F.ltrim("value", F.lit(",")), schema).alias("x")).crossJoin(F.broadcast(head))
+    back = text.where("part = 1").select(F.from_json(F.ltrim("value", F.lit(",")), schema).alias("x"))
     at = F.col("x.locations")[0]["physicalLocation"]
-    return back.select("version", F.col("x.ruleId").alias("rule_id"), "x.level", at["artifactLocation"]["uri"].alias("path"), at["region"]["startLine"].alias("line"), at["region"]["startColumn"].alias("col"), at["region"]["snippet"]["text"].alias("snippet"), F.col("x.message.text").alias("message"))
+    return back.select(F.lit(head["version"]).alias("version"), F.col("x.ruleId").alias("rule_id"), "x.level", at["artifactLocation"]["uri"].alias("path"), at["region"]["startLine"].alias("line"), at["region"]["startColumn"].alias("col"), at["region"]["snippet"]["text"].alias("snippet"), F.col("x.message.text").alias("message"))
 
 
 @query(over("fnd", ", g AS (SELECT *, row_number() OVER (ORDER BY path, line, rule_id, rule_no, ord) AS n FROM fnd WHERE NOT suppressed) SELECT CAST(row_number() OVER (ORDER BY min(n)) - 1 AS INT) AS place, rule_id AS id, arg_max(title, n) AS name, arg_max(message, n) AS description, arg_max(severity, n) AS severity FROM g GROUP BY rule_id"))

@@ -23,6 +23,11 @@ _HASH = r"""concat(
   CASE WHEN p_partkey % 6 < 3 THEN concat('                    try:', chr(10), '                        if a or b:', chr(10), '                            a = 1', chr(10)) ELSE concat('                    a = 2', chr(10)) END,
   '    def inner(c):', chr(10), '        return c', chr(10),
   '    return a', chr(10),
+  'if a: d = alias', chr(10),
+  'b = c = d', chr(10),
+  'con.cursor().execute(', chr(10), '  "SELECT " + b)', chr(10),
+  'box = {"k": y, "l": [1, 2]}', chr(10),
+  'db.query(text=box)', chr(10),
   'last = 1', chr(10))"""
 
 _SLASH = r"""concat(
@@ -41,6 +46,11 @@ _SLASH = r"""concat(
   '        } while (a);', chr(10), '      }', chr(10), '    }', chr(10), '  }', chr(10),
   '  run(a); const g = (c) => { return c; };', chr(10),
   '}', chr(10),
+  'app.get("/u", (req, res) => {', chr(10),
+  '  const id = ', CASE WHEN p_partkey % 3 = 0 THEN 'req.query.id' ELSE '"1"' END, ', box = { text: "S" + id, n: [1, 2] };', chr(10),
+  '  m = k = id', chr(10), '  db.execute(box, k); open(m).query({ sql: m });', chr(10),
+  '  for (let i = m; i < 3; i++) { el.outerHTML = i; }', chr(10),
+  '});', chr(10),
   'void tail(int q) { q = 1; }', chr(10))"""
 
 #: code_files(p_partkey, path, text): an ignored folder for each seventh file, eight suffixes of which one is unknown.
