@@ -58,9 +58,9 @@ def divisor(claims: DataFrame, seats: int) -> float:
     low, high = votes / (seats + n + 1), min(2 * most + 1, votes / (seats - n) if seats > 2 * n else float("inf"))
     for _ in range(12):
         tried = [low * (high / low) ** (i / 33) for i in range(1, 33)]
-        counts = claims.agg(*[F.sum(F.floor(F.col("vote") / F.lit(d) + 0.5)).alias(f"c{i}") for i, d in enumerate(tried)]).first()
+        counts = list(claims.agg(*[F.sum(F.floor(F.col("vote") / F.lit(d) + 0.5)) for d in tried]).first())
         if seats in counts:
-            return tried[list(counts).index(seats)]
+            return tried[counts.index(seats)]
         low = max([low, *(d for d, c in zip(tried, counts) if c > seats)])
         high = min([high, *(d for d, c in zip(tried, counts) if c < seats)])
         if high <= low * (1 + 1e-14):

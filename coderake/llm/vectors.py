@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 
 def usable(vector: Column, zero: bool) -> Column:
-    """Not null, with finite components only, of which one at least is not 0 unless zero is True."""
+    """Not null or empty, with finite components only, of which one at least is not 0 unless zero is True."""
     finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return vector.isNotNull() & F.coalesce(finite, F.lit(False)) & (F.lit(zero) | F.exists(vector, lambda x: x != 0))
+    return vector.isNotNull() & (F.size(vector) > 0) & F.coalesce(finite, F.lit(False)) & (F.lit(zero) | F.exists(vector, lambda x: x != 0))
 
 
 def matrix(column: pa.Array, kind=np.float64) -> np.ndarray:
