@@ -1,21 +1,24 @@
 """Chat formatting by schema fingerprints, with DataFrame functions only.
 
 A record is a VARIANT of any layout. Its fingerprint is a hash of its nested field
-paths, types left out. A table of mappings, declared as data, says for each known
-fingerprint where the turns are; records are routed by comparing fingerprints, and
-one with an unknown fingerprint gives null turns.
+paths, types and ignorable fields (ids, names, origins) left out. A table of mappings,
+declared as data, says for each known fingerprint where the turns are; records are routed
+by comparing fingerprints. One with an unknown fingerprint has null turns, layout and
+text, and ``unknown_layouts`` reports how many there are of each.
 
 Template: ``<|turn|>role`` newline, text, ``<|end|>`` newline. A text that holds a
 control string gets one backslash more after the string's first character; reading
 back takes one away, so every text comes back as it was.
 
-Cases: null texts and roles are empty; turns that tie are ordered by role and text;
+Cases: null texts and roles are empty; an empty list of turns is a known layout and gives
+no turns and an empty text; a null record is of an unknown layout; turns that tie are ordered by role and text;
 repeated rows are turns of their own; a conversation without rows does not exist;
 an empty table leaves conversation -1 alone; other columns are not read.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -27,6 +30,9 @@ START, END = "<|turn|>", "<|end|>"
 CONTROL = r"([<\[])(\\*)(/?INST\]|/?s>|/?SYS>>|\|[^|<>\n]*\|>)"
 ESCAPED = r"([<\[])\\(\\*)(/?INST\]|/?s>|/?SYS>>|\|[^|<>\n]*\|>)"
 TURN = "array<struct<role:string,text:string>>"
+#: Fields that say nothing about a record's layout, wherever they stand in it, if they are scalars.
+IGNORABLE = ("id", "conv_id", "conversation_id", "name", "source", "origin", "lang", "language", "timestamp", "created", "model", "category", "weight")
+_SCALAR = r"(?:STRING|VOID|BIGINT|DOUBLE|FLOAT|BOOLEAN|DATE|TIMESTAMP|DECIMAL\([0-9,]*\))"
 
 
 @dataclass(frozen=True)
@@ -58,8 +64,9 @@ MAPPINGS = (
 
 
 def _paths(schema: Column) -> Column:
-    """A schema text without its scalar types: the nested field names alone."""
-    return F.regexp_replace(schema, r": (?:STRING|VOID|BIGINT|DOUBLE|BOOLEAN|DECIMAL\([0-9,]*\))", "")
+    """A schema text without its scalar types and ignorable fields: the nested names of the others alone."""
+    kept = F.regexp_replace(schema, rf"\b(?:{'|'.join(IGNORABLE)}): {_SCALAR}(?:, |(?=>))", "")
+    return F.regexp_replace(F.regexp_replace(kept, ", >", ">"), f": {_SCALAR}", "")
 
 
 def fingerprint(record: Column) -> Column:
@@ -67,12 +74,23 @@ def fingerprint(record: Column) -> Column:
     return F.sha2(_paths(F.schema_of_variant(record)), 256)
 
 
+def _known(mark: Column, m: Mapping) -> Column:
+    """Whether a fingerprint is that of a mapping's layout, or of the same one with an empty list."""
+    examples = [m.example] + ([re.sub(r"ARRAY<OBJECT<[^<>]*>>", "ARRAY<VOID>", m.example)] if m.turns else [])
+    return mark.isin(*[F.sha2(_paths(F.lit(e)), 256) for e in examples])
+
+
+def layout(record: Column, mappings: tuple[Mapping, ...] = MAPPINGS) -> Column:
+    """The name of the mapping of a record's fingerprint; null for an unknown layout."""
+    mark = fingerprint(record)
+    return F.coalesce(*[F.when(_known(mark, m), F.lit(m.name)) for m in mappings])
+
+
 def canonical_turns(record: Column, mappings: tuple[Mapping, ...] = MAPPINGS) -> Column:
     """array<struct<role,text>> of a record by the mapping of its fingerprint; null for an unknown layout."""
     mark, out = fingerprint(record), None
     for m in mappings:
-        known = mark == F.sha2(_paths(F.lit(m.example)), 256)
-        out = F.when(known, _turns(record, m)) if out is None else out.when(known, _turns(record, m))
+        out = F.when(_known(mark, m), _turns(record, m)) if out is None else out.when(_known(mark, m), _turns(record, m))
     return out
 
 
@@ -118,11 +136,17 @@ def loss_spans(turns: Column) -> Column:
 
 
 def format_chats(records: DataFrame, record_col: str = "record", mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
-    """Adds fingerprint, turns, formatted and loss_spans to rows with a VARIANT record."""
-    with_turns = records.select("*", fingerprint(F.col(record_col)).alias("fingerprint"), canonical_turns(F.col(record_col), mappings).alias("turns"))
+    """Adds fingerprint, layout, turns, formatted and loss_spans to rows with a VARIANT record."""
+    with_turns = records.select("*", fingerprint(F.col(record_col)).alias("fingerprint"), layout(F.col(record_col), mappings).alias("layout"), canonical_turns(F.col(record_col), mappings).alias("turns"))
     return with_turns.select("*", formatted(F.col("turns")).alias("formatted"), loss_spans(F.col("turns")).alias("loss_spans"))
 
 
+def unknown_layouts(done: DataFrame, record_col: str = "record") -> DataFrame:
+    """fingerprint, records, example (a schema): the layouts of formatted rows that no mapping knows. To take one in,
+    declare a mapping with its example."""
+    return done.where("layout IS NULL").groupBy("fingerprint").agg(F.count("*").alias("records"), F.min(F.schema_of_variant(record_col)).alias("example"))
+
+
 def read_back(text: Column) -> Column:
     """array<struct<role,text>> of a training text."""
     blocks = F.filter(F.split(text, r"<\|turn\|>"), lambda b: F.length(b) > 0)

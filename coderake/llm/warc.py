@@ -1,9 +1,12 @@
 """WARC archives with revisit records: equal payloads are stored once.
 
-Headers alone are shuffled by payload digest; of the records with one digest the
-one with the largest id is the response and the others revisit it; archives are
-written with fresh headers and read back record by record through Content-Length.
-Payloads shorter than ``min_bytes`` are always stored.
+Headers alone are shuffled by payload digest to find originals: of the records with one
+digest the one with the largest id is the response and the others revisit it. A second
+join by digest brings each page its decision; there, a table of originals with copies that
+is small enough for Spark to broadcast spares shuffling payloads, else these move once.
+Archives are written with fresh headers, one gzip stream a file (no member a record, so a
+reader goes through a file from its start), and read back record by record through
+Content-Length. Payloads shorter than ``min_bytes`` are always stored.
 
 Cases: a null payload is empty; a null id is the smallest and writes no id header;
 repeated rows of the response's id are responses, too; a line break in a URL is

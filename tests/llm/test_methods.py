@@ -328,3 +328,52 @@ def test_parts_bound_bytes():
     cut = list(parts(batch, 0))
     assert sum(p.num_rows for p in cut) == 15 and len(cut) > 1
     assert pa.Table.from_batches(cut).column(0).to_pylist() == batch.column(0).to_pylist()
+
+
+# Chat
+
+
+def test_layouts_with_more_fields_and_unknown_ones(spark):
+    from coderake.llm import chat
+
+    cases = [
+        ('{"messages": [{"role": "user", "content": "a"}], "id": "7"}', "messages", [("user", "a")]),
+        ('{"id": 7, "messages": [{"role": "user", "content": "a", "name": "n"}, {"role": "assistant", "content": "b"}], "source": "s"}', "messages", [("user", "a"), ("assistant", "b")]),
+        ('{"messages": []}', "messages", []),
+        ('{"conversations": [], "id": 3}', "from_value", []),
+        ('{"conversations": [{"from": "human", "value": null}]}', "from_value", [("user", "")]),
+        ('{"completion": "y", "lang": "en", "prompt": "x"}', "prompt_completion", [("user", "x"), ("assistant", "y")]),
+        ('{"id": 1, "question": "x"}', None, None),
+        ('{"name": "n", "question": "z"}', None, None),
+        ('{"messages": {"role": "user"}}', None, None),
+        ("[]", None, None),
+        (None, None, None),
+    ]
+    rows = spark.createDataFrame([(i, j, "e") for i, (j, _, _) in enumerate(cases)] + [(0, cases[0][0], "e")], "n int, json string, escaped string").select("n", "escaped", F.parse_json("json").alias("record"))
+    done = chat.format_chats(rows)
+    got = {r["n"]: (r["layout"], None if r["turns"] is None else [tuple(t) for t in r["turns"]]) for r in done.select("n", "layout", "turns").collect()}
+    assert got == {i: (name, turns) for i, (_, name, turns) in enumerate(cases)}
+    assert done.where("layout IS NULL AND formatted IS NOT NULL").count() == 0 and done.where("n = 2 AND formatted = ''").count() == 1
+    assert sorted(r["records"] for r in chat.unknown_layouts(done).collect()) == [1, 1, 1, 2]
+    assert chat.format_chats(rows.limit(0)).count() == 0
+
+
+def test_chat_rows_that_repeat(spark, tmp_path):
+    from coderake.llm import chat
+
+    rows = [(1, 0, "user", "a <|end|> </s>", 1, "x")] * 2 + [(1, 1, "assistant", None, 1, "x"), (None, None, None, None, 2, "y")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, record int, turns string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r["conv_id"]: (r["n_turns"], r["loss_chars"]) for r in chat.op7_chat_format(spark, str(tmp_path)).collect()}
+    assert got == {1: (3, 0), None: (1, 0), -1: (2, 21)}
+
+
+def test_archives_of_repeated_rows(spark, tmp_path):
+    from coderake.llm import warc
+
+    rows = [(5, "u", "same", 1), (5, "u", "same", 1), (3, "v\r\nX: y", "same", 1), (None, None, "same", 1), (4, "w", None, 1), (2, "w", "", 1), (9, "z", "é" * 50_000 + "\r\n\r\nWARC/1.1\r\n", 1)]
+    warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string, payload int"), f"{tmp_path}/a")
+    got = sorted(((r["page_id"], r["record_type"], r["refers_to"], r["payload"]) for r in warc.read_archives(spark, f"{tmp_path}/a").collect()), key=str)
+    want = [(5, "response", None, "same"), (5, "response", None, "same"), (3, "revisit", 5, None), (None, "revisit", 5, None), (4, "response", None, ""), (2, "revisit", 4, None), (9, "response", None, rows[-1][2])]
+    assert got == sorted(want, key=str)
+    warc.write_archives(spark.createDataFrame([], "page_id long, url string, html string"), f"{tmp_path}/b")
+    assert warc.read_archives(spark, f"{tmp_path}/b").count() == 0
