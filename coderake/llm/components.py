@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from coderake.llm.common import saved
 
 
+#: Rounds after which something must be wrong.
+MOST_ROUNDS = 100
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, root): the smallest id that each id with an edge can reach. edges: (a, b), in any order, repeats allowed.
 
@@ -17,7 +21,8 @@ def components(edges: DataFrame) -> DataFrame:
     """
     edges = saved(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     mark = None
-    while True:
+    # Each round brings the distance to the root down by a constant factor: some ten rounds do for any table.
+    for _ in range(MOST_ROUNDS):
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == mark or not now[0]:
             break
@@ -28,5 +33,7 @@ def components(edges: DataFrame) -> DataFrame:
         least = saved(edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "small-star")
         hung = edges.join(least.where("n > 1"), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = saved(least.select("u", F.col("m").alias("v")).unionByName(hung).distinct(), "edges")
+    else:
+        raise RuntimeError(f"components did not settle in {MOST_ROUNDS} rounds")
     roots = edges.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct()
     return edges.select(F.col("u").alias("id"), F.col("v").alias("root")).unionByName(roots)
