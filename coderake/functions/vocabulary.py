@@ -76,7 +76,7 @@ RULE_TEXT = {
     "SQLI": ("Tainted input may reach a SQL call", "Input that a user controls seems to reach a SQL call; pass it as a parameter instead of building the statement from it.", "Bind values as parameters of a prepared statement.", ["https://owasp.org/www-community/attacks/SQL_Injection"]),
     "XSS": ("Tainted input may reach an HTML sink", "Input that a user controls seems to reach an HTML sink; encode it before it is rendered.", "Encode output for its context or sanitize it with a vetted library.", ["https://owasp.org/www-community/attacks/xss/"]),
     "HARDCODED_SECRET": ("Credential in source text", "A literal seems to hold a credential; move it to a secret store.", "Read credentials from the environment or a secret store, and rotate this one.", ["https://owasp.org/www-community/vulnerabilities/Use_of_hard-coded_password"]),
-    "COMPLEXITY": ("Function exceeds complexity thresholds", "", "Split the function, reduce its nesting and simplify its control flow.", ["https://owasp.org/www-community/controls/Code_Review"]),
+    "COMPLEXITY": ("Function over its complexity limits", "", "Split the function, reduce its nesting and simplify its control flow.", ["https://owasp.org/www-community/controls/Code_Review"]),
 }
 
 

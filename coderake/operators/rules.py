@@ -184,7 +184,7 @@ def complexity_locations(facts: Facts, found: DataFrame) -> DataFrame:
 
 def complexity(facts: Facts) -> DataFrame:
     found = complexity_locations(facts, violations(applying(facts.metrics, "COMPLEXITY"), facts.thresholds))
-    message = F.concat(F.lit("Function '"), F.col("name"), F.lit("' exceeds configured thresholds: "), F.array_join("violated", ", "))
+    message = F.concat(F.lit("Function '"), F.col("name"), F.lit("' is over its limits: "), F.array_join("violated", ", "))
     return _finding("COMPLEXITY", found, message)
 
 

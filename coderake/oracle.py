@@ -115,7 +115,7 @@ CTES = {
     "raw": f"""(
       SELECT s.path, s.rule_id, s.rule_no, s.first_tok AS ord, a.line_no AS line, a.col_no AS col, regexp_replace(substring(x.text, a.off + 1, b.off + length(b.mask) - a.off), '^\\s+|\\s+$', '', 'g') AS snippet, CASE s.rule_id {' '.join(f"WHEN {q(r)} THEN {q(RULE_TEXT[r][1])}" for r in ('SQLI', 'XSS'))} END AS message
         FROM sinks s JOIN c0 a ON a.path = s.path AND a.tok_no = s.first_tok JOIN c0 b ON b.path = s.path AND b.tok_no = s.last_tok JOIN src x ON x.path = s.path
-      UNION ALL SELECT v.path, 'COMPLEXITY', 3, v.start_tok, a.line_no, a.col_no, regexp_replace(substring(x.text, a.off + 1, b.off + length(b.mask) - a.off), '^\\s+|\\s+$', '', 'g'), 'Function ''' || v.name || ''' exceeds configured thresholds: ' || array_to_string(v.violated, ', ')
+      UNION ALL SELECT v.path, 'COMPLEXITY', 3, v.start_tok, a.line_no, a.col_no, regexp_replace(substring(x.text, a.off + 1, b.off + length(b.mask) - a.off), '^\\s+|\\s+$', '', 'g'), 'Function ''' || v.name || ''' is over its limits: ' || array_to_string(v.violated, ', ')
         FROM vio v JOIN c0 a ON a.path = v.path AND a.tok_no = v.start_tok JOIN c0 b ON b.path = v.path AND b.tok_no = v.end_tok JOIN src x ON x.path = v.path
       UNION ALL SELECT path, 'HARDCODED_SECRET', 2, line_no * 1000 + n - 1, line_no, strlen(array_to_string(string_split_regex(line, {SECRET})[1:n], '') || array_to_string(ms[1:n - 1], '')) + 1, m, {q(RULE_TEXT['HARDCODED_SECRET'][1])}
         FROM (SELECT path, line_no, line, ms, generate_subscripts(ms, 1) AS n, unnest(ms) AS m FROM (SELECT *, regexp_extract_all(line, {SECRET}) AS ms FROM sl))
