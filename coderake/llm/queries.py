@@ -38,3 +38,10 @@ QUERIES["op2_kmeans_tree_ann"] = op2_kmeans_tree_ann
 from coderake.llm.token_counts import op8_token_counts  # noqa: E402
 
 QUERIES["op8_token_counts"] = op8_token_counts
+
+from coderake.llm.best_position import OP13_SQL, op13_best_position  # noqa: E402
+from coderake.llm.fim import OP12_SQL, op12_fill_in_middle  # noqa: E402
+from coderake.llm.golay import op11_simhash_golay  # noqa: E402
+
+QUERIES |= {"op11_simhash_golay": op11_simhash_golay, "op12_fill_in_middle": op12_fill_in_middle, "op13_best_position": op13_best_position}
+ORACLE_SQL |= {"op12_fill_in_middle": OP12_SQL, "op13_best_position": OP13_SQL}
