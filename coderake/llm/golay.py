@@ -7,9 +7,10 @@ link when at most four bits differ. Finding the links:
    bits lies within three bits of exactly one codeword. The codewords of a segment and of all words one bit away from it
    are its near codewords, six at most; two segments that differ in two bits or fewer have a word between them that is
    within one bit of both, so they share a near codeword. Of four errors in three segments, either one segment has none,
-   and then another has at most two: keys join a whole segment and a near codeword of another. Or each has some, and
-   then two have one each: keys join the codeword of one segment with a near codeword of another, and the other way
-   round. A fingerprint has some sixty keys, and fingerprints that link share one of them.
+   and then another has at most two: keys join a whole segment and a near codeword of another. Or each has some; then
+   two have one each, which leaves one half of each as it was, and the third has at most two: keys join halves of two
+   segments and a near codeword of the third. A fingerprint has some ninety keys of 33 bits or more, few of which
+   unlike fingerprints share, and fingerprints that link share one.
 2. Join. Keys that one fingerprint has alone are dropped. Buckets of at most BUCKET fingerprints are searched in tasks,
    many small ones together: what is found is verified by counting bits, and a bucket gives a spanning forest, never
    its pairs.
@@ -115,14 +116,13 @@ class Keys:
 
     def __call__(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(keys, places of their fingerprints)."""
-        at, whole, own, near, valid = np.arange(len(prints)), [], [], [], []
+        at, whole, near, valid = np.arange(len(prints)), [], [], []
         for low, width in SEGMENTS:
             v = (prints >> np.uint64(low)).astype(np.int64) & ((1 << width) - 1)
             table, counts = self.tables[width]
             rest = self.code.remainder(v)
             whole.append(v)
-            own.append(self.code.index(v))
-            near.append(own[-1][:, None] ^ table[rest])
+            near.append(self.code.index(v)[:, None] ^ table[rest])
             valid.append(np.arange(6) < counts[rest][:, None])
         keys, places = [], []
 
@@ -133,9 +133,11 @@ class Keys:
 
         for kind, (i, j) in enumerate(permutations(range(3), 2)):
             add(kind, whole[i][:, None], near[j], valid[j])
-        for kind, (i, j) in enumerate(combinations(range(3), 2), 6):
-            add(kind, own[i][:, None], near[j], valid[j])
-            add(kind, near[i][:, 1:], own[j][:, None], valid[i][:, 1:])  # the first is both segments' own codeword again
+        halves = [(v >> 11, (v & 0x7FF) | 1 << 11) for v in whole]  # told apart by a bit
+        for kind, (i, j, k) in enumerate(((1, 2, 0), (0, 2, 1), (0, 1, 2)), 6):
+            for one in halves[i]:
+                for other in halves[j]:
+                    add(kind, ((one << 12) | other)[:, None], near[k], valid[k])
         return np.concatenate(keys), np.concatenate(places)
 
 
