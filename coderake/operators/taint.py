@@ -7,6 +7,7 @@ source; what stands inside a call of a sanitizer within the expression is not li
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -70,19 +71,33 @@ def events(code: DataFrame, calls: DataFrame, assigned: DataFrame, more: dict[st
 
 
 def tainted_names(found: DataFrame) -> DataFrame:
-    """(path, names): a fold over each file's events with the names tainted so far. A file's events are bounded by its size."""
+    """(path, names): the names that are tainted once a file's events have passed in the order of the text. Whether an event
+    taints depends on all before it, so a file's events are passed in turn; a set of names is asked and added to, which
+    takes the same time however many names there are (an expression over arrays would copy them at each event). A file's
+    events are bounded by its size."""
     listed = found.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("ord", "targets", "idents", "seeds"))).alias("events"))
-    known = _words("source_identifier")
+    known = set(TAINT_TERMS["source_identifier"])
 
-    def step(names_so_far, e):
-        hit = F.arrays_overlap(e["idents"], names_so_far) | F.arrays_overlap(e["idents"], known)
-        return F.array_union(F.array_union(names_so_far, e["seeds"]), F.when(hit, e["targets"]).otherwise(F.array().cast("array<string>")))
+    def passed(events: list[dict]) -> list[str]:
+        names: set[str] = set()
+        for e in events:
+            if not known.isdisjoint(e["idents"]) or not names.isdisjoint(e["idents"]):
+                names.update(e["targets"])
+            names.update(e["seeds"])
+        return sorted(names, key=str.encode)
 
-    return listed.select("path", F.array_sort(F.aggregate("events", F.array().cast("array<string>"), step)).alias("names"))
+    def scan(batches):
+        for batch in batches:
+            names = pa.array((passed(e.as_py()) for e in batch.column(1)), pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), names], names=["path", "names"])
+
+    return listed.mapInArrow(scan, "path string, names array<string>")
 
 
 def tainted_extents(code: DataFrame, calls: DataFrame, extents: DataFrame, tainted: DataFrame, more: dict[str, list[str]] | None = None) -> DataFrame:
     """(path, key) of extents that are tainted, given all tainted names of the file."""
-    live = live_names(code, calls, extents, more).join(tainted, "path", "left")
-    hit = F.col("is_source") | F.arrays_overlap("parts", _words("source_identifier")) | F.coalesce(F.arrays_overlap("parts", "names"), F.lit(False))
-    return live.where(hit).select("path", "key").distinct()
+    live = live_names(code, calls, extents, more)
+    at_once = live.where(F.col("is_source") | F.arrays_overlap("parts", _words("source_identifier"))).select("path", "key")
+    named = tainted.select("path", F.explode("names").alias("name"))
+    by_name = live.select("path", "key", F.explode("parts").alias("name")).join(named, ["path", "name"], "left_semi").select("path", "key")
+    return at_once.unionByName(by_name).distinct()
