@@ -64,8 +64,10 @@ DEFAULT_POLICY = {
 }
 # End of the fixed values.
 
-#: Languages whose comments start with a number sign and whose blocks follow indentation; the rest use slashes and braces.
-INDENTED = ["python", "ruby"]
+#: First words of a line that a colon may part from a statement in the same line, where blocks follow indentation.
+BLOCK_WORDS = ["if", "elif", "else", "for", "while", "with", "try", "except", "finally", "match", "case", "class", "def", "async"]
+#: Words whose brackets hold statements, so that a sign in them assigns.
+BRACKET_WORDS = ["for", "if", "while", "switch", "until", "foreach", "using", "try", "with"]
 FUNCTION_WORDS = ["def", "function", "func", "fn", "fun"]
 #: Words of code that name nothing: never callees, targets or identifiers.
 KEYWORDS = ["if", "elif", "elsif", "else", "unless", "for", "foreach", "while", "until", "do", "try", "catch", "except", "finally", "with", "switch", "case", "when", "match", "loop", "select", "return", "yield", "await", "async", "new", "delete", "typeof", "in", "is", "and", "or", "not", "const", "let", "var", "val", "mut", "def", "function", "func", "fn", "fun", "class", "import", "from", "as", "end", "begin", "rescue", "raise", "throw", "throws", "pass", "break", "continue", "lambda", "public", "private", "static", "final", "void", "int", "string", "bool", "True", "False", "None", "true", "false", "null", "nil"]
@@ -80,15 +82,6 @@ RULE_TEXT = {
 }
 
 
-def lang_ext(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(e, k) for k, es in LANGUAGE_EXTENSIONS.items() for e in es], "ext string, language string")
-
-
-def lang_keyword(spark: SparkSession) -> DataFrame:
-    roles = {"keyword": KEYWORDS, "function": FUNCTION_WORDS, "branch": BRANCHES}
-    return spark.createDataFrame([(k, w, r) for k in LANGUAGE_EXTENSIONS for r, ws in roles.items() for w in ws], "language string, keyword string, role string")
-
-
 def taint_terms(spark: SparkSession, more: dict[str, list[str]] | None = None) -> DataFrame:
     return spark.createDataFrame([(t, r) for d in (TAINT_TERMS, more or {}) for r, ts in d.items() for t in ts], "term string, role string")
 

@@ -2,30 +2,43 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from coderake.functions.vocabulary import FUNCTION_WORDS, INDENTED
-from coderake.operators.tokens import BIN, BRACKET_WORDS, is_keyword, token_texts
+from coderake.functions.languages import BUILT_IN, Languages, has
+from coderake.operators.tokens import BIN, one_statement, token_texts
 
 ANONYMOUS = "<anonymous>"
-#: First words of a line without braces that a colon parts from a statement in the same line.
-BLOCK_WORDS = ("if", "elif", "else", "for", "while", "with", "try", "except", "finally", "match", "case", "class", "def", "async")
 
 
 def names(code: DataFrame) -> DataFrame:
     """Name tokens that are no keywords."""
-    return code.where((F.col("kind") == "name") & ~is_keyword(F.col("mask")))
+    return code.where((F.col("kind") == "name") & ~has("roles", "keyword"))
 
 
 def calls(code: DataFrame) -> DataFrame:
     """path, language, tok_no, parts, callee, close_tok, start_tok, line_no, col_no, off, open_tok, inner_first, inner_last:
     names followed by an opening bracket, but for the names of function definitions; where the brackets and what is in
-    them begin and end. start_tok: where the whole call begins, calls that its name hangs on included."""
+    them begin and end. start_tok: where the whole call begins, calls that its name hangs on included. Where brackets may
+    be left out, also names followed by an operand: the arguments end with the statement, the last of them is close_tok,
+    and open_tok is null."""
     headers = _brace_headers(code).select("path", F.col("start_tok").alias("tok_no"))
-    found = names(code).where((F.col("next") == "(") & ~F.coalesce(F.col("prev").isin(*FUNCTION_WORDS), F.lit(False)))
-    found = found.join(headers, ["path", "tok_no"], "left_anti")
-    return found.select("path", "language", "tok_no", "parts", F.array_join("parts", ".").alias("callee"), F.col("next_close").alias("close_tok"), F.col("chain_start").alias("start_tok"), "line_no", "col_no", "off", F.col("next_tok").alias("open_tok"), F.col("next2_tok").alias("inner_first"), F.col("next_close_prev_tok").alias("inner_last"))
+    named = names(code).where(~has("prev_roles", "function"))
+    found = named.where((F.col("next") == "(") & one_statement(F.col("line_no"), F.col("next_line"))).join(headers, ["path", "tok_no"], "left_anti")
+    own = ["path", "language", "tok_no", "parts", F.array_join("parts", ".").alias("callee")]
+    place = [F.col("chain_start").alias("start_tok"), "line_no", "col_no", "off"]
+    inside = [F.col("next_tok").alias("open_tok"), F.col("next2_tok").alias("inner_first"), F.col("next_close_prev_tok").alias("inner_last"), F.lit(None).cast("struct<paren_depth:int,brace_depth:int,unit_no:bigint>").alias("unit")]
+    bare = named.where(F.col("bare") & _before_operand() & (F.col("next_tok") <= F.col("unit_last")))
+    operands = [F.lit(None).cast("int").alias("open_tok"), F.col("next_tok").alias("inner_first"), F.col("unit_last").alias("inner_last"), F.struct("paren_depth", "brace_depth", "unit_no").alias("unit")]
+    return found.select(*own, F.col("next_close").alias("close_tok"), *place, *inside).unionByName(bare.select(*own, F.col("unit_last").alias("close_tok"), *place, *operands))
+
+
+def _before_operand() -> Column:
+    """Whether blanks and then an operand follow a name in its line."""
+    gap = (F.col("next_line") == F.col("line_no")) & (F.col("next_off") > F.col("off") + F.length("mask"))
+    word = (F.col("next_kind") == "name") & (~has("next_roles", "keyword") | (has("next_roles", "value") & ~has("next_roles", "closer")))
+    symbol = (F.col("next") == ":") & (F.col("next2_off") == F.col("next_off") + 1)
+    return F.coalesce(gap & (word | symbol | F.col("next_kind").isin("number", "string") | F.col("next").isin("[", "@", "$")), F.lit(False))
 
 
 def in_bins(extents: DataFrame, size: int = BIN, first: str = "first_tok", last: str = "last_tok") -> DataFrame:
@@ -38,12 +51,16 @@ def arguments(code: DataFrame, found: DataFrame) -> DataFrame:
     """path, call_tok, arg_no (from 1), first_tok, last_tok: all that lies between the commas of the call's own brackets,
     literals and blocks included."""
     commas = code.where("mask = ',' AND outer IS NOT NULL").select("path", F.col("outer.tok").alias("open_tok"), F.col("tok_no").alias("sep"), F.col("prev_tok").alias("last_tok"), "next_tok")
-    own = found.where("close_tok IS NOT NULL").select("path", "open_tok", F.col("tok_no").alias("call_tok"), "close_tok", "inner_first", "inner_last")
+    own = found.where("close_tok IS NOT NULL AND open_tok IS NOT NULL").select("path", "open_tok", F.col("tok_no").alias("call_tok"), "close_tok", "inner_first", "inner_last")
     columns = ["path", "call_tok", "inner_first", "sep", "last_tok", "next_tok"]
     parted = own.join(commas, ["path", "open_tok"]).where("sep < close_tok").select(columns)
     closed = own.select("path", "call_tok", "inner_first", F.col("close_tok").alias("sep"), F.col("inner_last").alias("last_tok"), F.lit(None).cast("int").alias("next_tok"))
     w = Window.partitionBy("path", "call_tok").orderBy("sep")
-    rows = parted.unionByName(closed).withColumn("arg_no", F.row_number().over(w)).withColumn("first_tok", F.coalesce(F.lag("next_tok").over(w), "inner_first"))
+    # Without brackets, commas of the same statement at the same level part them.
+    open_commas = code.where("bare AND mask = ','").select("path", F.struct("paren_depth", "brace_depth", "unit_no").alias("unit"), F.col("tok_no").alias("sep"), F.col("prev_tok").alias("last_tok"), "next_tok")
+    bare = found.where("unit IS NOT NULL").select("path", "unit", F.col("tok_no").alias("call_tok"), "close_tok", "inner_first").join(open_commas, ["path", "unit"]).where("sep > inner_first AND sep < close_tok").select(columns)
+    closed = closed.unionByName(found.where("unit IS NOT NULL").select("path", F.col("tok_no").alias("call_tok"), "inner_first", (F.col("close_tok") + 1).alias("sep"), F.col("inner_last").alias("last_tok"), F.lit(None).cast("int").alias("next_tok")))
+    rows = parted.unionByName(bare).unionByName(closed).withColumn("arg_no", F.row_number().over(w)).withColumn("first_tok", F.coalesce(F.lag("next_tok").over(w), "inner_first"))
     return rows.where("first_tok <= last_tok").select("path", "call_tok", "arg_no", "first_tok", "last_tok")
 
 
@@ -57,12 +74,12 @@ def _signs(code: DataFrame) -> DataFrame:
     is_sign = F.col("mask").isin("=", ":=") & ~F.coalesce(adjacent, F.lit(False)) & ~F.coalesce(arrow, F.lit(False))
     unit = Window.partitionBy("path", "paren_depth", "brace_depth", "unit_no")
     before = unit.orderBy("tok_no").rowsBetween(Window.unboundedPreceding, -1)
-    indented = F.col("language").isin(*INDENTED)
-    in_brackets = (F.col("outer.mask") == "(") & F.col("outer.before").isin(*BRACKET_WORDS) & ~indented
+    indented = F.col("blocks") != "braces"
+    in_brackets = (F.col("outer.mask") == "(") & has("outer.before", "bracket") & ~indented
     # Only what stands at the statement's own bracket level parts it.
-    rows = code.where(F.col("outer").isNull() | (F.col("outer.mask") == "{") | in_brackets).withColumn("sign", is_sign).withColumn("head", F.first("mask").over(unit.orderBy("tok_no")))
+    rows = code.where(F.col("outer").isNull() | (F.col("outer.mask") == "{") | in_brackets).withColumn("sign", is_sign).withColumn("head", F.first(F.struct("mask", "roles")).over(unit.orderBy("tok_no")))
     rows = rows.withColumn("colon", F.min(F.when(F.col("mask") == ":", F.struct("tok_no", "prev_tok"))).over(unit))
-    rows = rows.withColumn("colon", F.when((indented & F.col("head").isin(*BLOCK_WORDS)) | F.col("head").isin("case", "default"), F.col("colon")))
+    rows = rows.withColumn("colon", F.when((indented & has("head.roles", "head")) | F.col("head.mask").isin("case", "default"), F.col("colon")))
     at_colon = F.coalesce(F.col("tok_no") == F.col("colon.tok_no"), F.lit(False))
     parts = F.col("sign") | at_colon | ((F.col("mask") == ",") & ~indented & (F.count_if("sign").over(before) > 0))
     rows = rows.withColumn("parts_here", parts).withColumn("segment", F.coalesce(F.count_if("parts_here").over(before), F.lit(0)))
@@ -71,11 +88,8 @@ def _signs(code: DataFrame) -> DataFrame:
     rows = rows.withColumn("left_first", F.min("tok_no").over(own)).withColumn("type_at", F.min(F.when((F.col("mask") == ":") & ~at_colon, F.col("tok_no"))).over(own))
     rows = rows.where("sign").withColumn("comma", F.when(F.col("opened.mask") == ",", F.col("opened.prev_tok")))
     next_comma = F.min("comma").over(unit.orderBy("tok_no").rowsBetween(1, Window.unboundedFollowing))
-    # A bracket that closes after the value is none of it.
-    closes = F.when(F.col("outer").isNotNull() & F.col("unit_mask").isin(")", "}"), F.col("unit_prev")).otherwise(F.col("unit_end"))
-    ends = code.select("path", F.col("tok_no").alias("unit_end"), F.col("mask").alias("unit_mask"), F.col("prev_tok").alias("unit_prev"))
-    rows = rows.withColumn("next_comma", next_comma).join(ends, ["path", "unit_end"])
-    value_end = F.least(closes, "next_comma", F.when(F.col("colon.tok_no") > F.col("tok_no"), F.col("colon.prev_tok")))
+    value_end = F.least("unit_end", "next_comma", F.when(F.col("colon.tok_no") > F.col("tok_no"), F.col("colon.prev_tok")))
+    rows = rows.withColumn("next_comma", next_comma)
     return rows.select("path", "language", "tok_no", "left_first", (F.least("tok_no", "type_at") - 1).alias("left_last"), F.col("next_tok").alias("value_start"), value_end.alias("value_end")).where("value_start <= value_end")
 
 
@@ -100,13 +114,13 @@ def extent_identifiers(code: DataFrame, extents: DataFrame) -> DataFrame:
     return rows.groupBy("path", "key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("parts")))).alias("names"))
 
 
-def located(files: DataFrame, code: DataFrame, extents: DataFrame) -> DataFrame:
+def located(files: DataFrame, code: DataFrame, extents: DataFrame, languages: Languages = BUILT_IN) -> DataFrame:
     """Adds location STRUCT<path, line, column, snippet> to extents with path, first_tok, last_tok. The extents of a file
     come together, and each takes its slice of the file's array of tokens: the text is met once."""
     at = code.select("path", F.col("tok_no").alias("first_tok"), "line_no", "col_no")
     rows = extents.join(at, ["path", "first_tok"]).join(code.select("path", F.col("tok_no").alias("last_tok")), ["path", "last_tok"])
     listed = rows.groupBy("path").agg(F.collect_list(F.struct(*[c for c in extents.columns if c != "path"], "line_no", "col_no")).alias("extents"))
-    rows = listed.join(files.select("path", token_texts(F.col("text"), F.col("language")).alias("texts")), "path")
+    rows = listed.join(token_texts(files.select("path", "language", "text"), languages), "path")
     whole = lambda e: F.array_join(F.slice("texts", e["first_tok"] + 1, e["last_tok"] - e["first_tok"] + 1), "")
     cut = F.transform("extents", lambda e: F.struct(e.alias("e"), F.regexp_replace(whole(e), r"^\s+|\s+$", "").alias("snippet")))
     rows = rows.select("path", F.explode(cut).alias("x")).select("path", "x.e.*", F.struct("path", F.col("x.e.line_no").alias("line"), F.col("x.e.col_no").alias("column"), "x.snippet").alias("location"))
@@ -117,23 +131,23 @@ def _brace_headers(code: DataFrame) -> DataFrame:
     """Functions of languages with braces: path, name, start_tok, start_line, body_tok, close_tok, depth."""
     p = Window.partitionBy("path").orderBy("tok_no")
     d = Window.partitionBy("path", "brace_depth").orderBy(F.desc("tok_no")).rowsBetween(Window.unboundedPreceding, -1)
-    braced = code.where(~F.col("language").isin(*INDENTED))
+    braced = code.where("blocks = 'braces'")
     upto = lambda sign, value: F.last(F.when(F.col("mask") == sign, F.col(value)), ignorenulls=True).over(d)
     rows = braced.withColumn("body_tok", upto("{", "tok_no")).withColumn("body_close", upto("{", "close_tok")).withColumn("stop", upto(";", "tok_no"))
-    for name in ("prev", "prev2", "prev_kind", "prev_tok", "prev_line"):
+    for name in ("prev", "prev_kind", "prev_tok", "prev_line", "prev_roles", "prev2_roles"):
         rows = rows.withColumn(f"head_{name}", F.lag(f"opener_{name}").over(p))
-    word = F.col("mask").isin(*FUNCTION_WORDS) & (F.col("kind") == "name") & F.col("body_tok").isNotNull() & (F.col("body_tok") < F.coalesce("stop", F.lit(2**31 - 1)))
+    word = has("roles", "function") & (F.col("kind") == "name") & F.col("body_tok").isNotNull() & (F.col("body_tok") < F.coalesce("stop", F.lit(2**31 - 1)))
     name = F.when(F.col("next_kind") == "name", F.col("next")).otherwise(ANONYMOUS)
     by_word = rows.where(word).select("path", "language", name.alias("name"), F.col("tok_no").alias("start_tok"), F.col("line_no").alias("start_line"), "body_tok", F.col("body_close").alias("close_tok"), F.col("brace_depth").alias("depth"))
-    opened = (F.col("mask") == "{") & (F.col("prev") == ")") & (F.col("head_prev_kind") == "name") & ~is_keyword(F.col("head_prev")) & ~F.coalesce(F.col("head_prev2").isin(*FUNCTION_WORDS), F.lit(False))
+    opened = (F.col("mask") == "{") & (F.col("prev") == ")") & (F.col("head_prev_kind") == "name") & ~has("head_prev_roles", "keyword") & ~has("head_prev2_roles", "function")
     bare = rows.where(opened).select("path", "language", F.col("head_prev").alias("name"), F.col("head_prev_tok").alias("start_tok"), F.col("head_prev_line").alias("start_line"), F.col("tok_no").alias("body_tok"), "close_tok", F.col("brace_depth").alias("depth"))
     arrow = rows.where((F.col("mask") == "{") & (F.col("prev") == ">") & (F.col("prev2") == "=")).select("path", "language", F.lit(ANONYMOUS).alias("name"), F.col("prev_tok").alias("start_tok"), F.col("prev_line").alias("start_line"), F.col("tok_no").alias("body_tok"), "close_tok", F.col("brace_depth").alias("depth"))
     return by_word.unionByName(bare).unionByName(arrow).where("close_tok IS NOT NULL")
 
 
 def indented_lines(code: DataFrame) -> DataFrame:
-    """Lines with code of languages without braces that begin a statement: path, line_no, indent, first, tok_no, last_tok."""
-    rows = code.where(F.col("language").isin(*INDENTED)).groupBy("path", "line_no").agg(F.min(F.struct("tok_no", "mask", "col_no", "paren_depth")).alias("f"), F.max("tok_no").alias("last_tok"))
+    """Lines with code of languages with indented blocks that begin a statement: path, line_no, indent, first, tok_no, last_tok."""
+    rows = code.where("blocks = 'indent'").groupBy("path", "line_no").agg(F.min(F.struct("tok_no", "mask", "col_no", "paren_depth")).alias("f"), F.max("tok_no").alias("last_tok"))
     return rows.where("f.paren_depth = 0").select("path", "line_no", (F.col("f.col_no") - 1).alias("indent"), F.col("f.mask").alias("first"), F.col("f.tok_no").alias("tok_no"), "last_tok")
 
 
@@ -146,18 +160,42 @@ def next_outside(lines: DataFrame, heads: DataFrame) -> DataFrame:
     return rows.where("indent = depth").select("path", F.col("line_no").alias("start_line"), "depth", "n")
 
 
+def word_blocks(code: DataFrame) -> DataFrame:
+    """path, language, tok_no, mask, next, next_kind, roles, line_no, depth (before it), close (tok_no and line_no of what ends
+    it, or null): words that open a block where words do. A word behind a statement, as in ``return if a``, opens none,
+    nor does a loop's own ``do``, a key or a symbol, or a member's name. Words pair up by depth, however lines are indented."""
+    rows = code.where("blocks = 'words' AND kind = 'name'").where(has("roles", "opener") | has("roles", "closer"))
+    key = (F.col("next") == ":") & (F.col("next_off") == F.col("off") + F.length("mask"))
+    symbol = (F.col("prev") == ":") & (F.col("prev_end") == F.col("off"))
+    rows = rows.where(~F.coalesce(key | symbol | (F.col("prev") == "."), F.lit(False)))
+    opens = has("roles", "opener") & ~(has("roles", "modifier") & F.col("behind"))
+    rows = rows.withColumn("opens", opens).where(F.col("opens") | has("roles", "closer"))
+    in_loop = F.count_if(F.col("opens") & has("roles", "loop")).over(Window.partitionBy("path", "paren_depth", "brace_depth", "unit_no").orderBy("tok_no").rowsBetween(Window.unboundedPreceding, -1)) > 0
+    rows = rows.withColumn("in_loop", in_loop).where(~(F.col("in_loop") & (F.col("mask") == "do")))
+    step = F.when(F.col("opens"), 1).otherwise(-1)
+    depth = F.coalesce(F.sum(step).over(Window.partitionBy("path").orderBy("tok_no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("int")
+    rows = rows.withColumn("depth", depth).withColumn("level", F.col("depth") + F.col("opens").cast("int"))
+    following = F.lead(F.struct("tok_no", "line_no", "opens")).over(Window.partitionBy("path", "level").orderBy("tok_no"))
+    rows = rows.withColumn("following", following).where("opens")
+    return rows.select("path", "language", "tok_no", "mask", "next", "next_kind", "roles", "line_no", "depth", F.when(~F.col("following.opens"), F.col("following")).alias("close"))
+
+
 def functions(code: DataFrame) -> DataFrame:
-    """path, language, name, start_tok, end_tok, start_line, end_line, top_level, depth."""
+    """path, language, blocks, name, start_tok, end_tok, start_line, end_line, top_level, depth."""
+    columns = ["path", "language", "blocks", "name", "start_tok", "end_tok", "start_line", "end_line", (F.col("depth") == 0).alias("top_level"), "depth"]
     ends = code.select("path", F.col("tok_no").alias("close_tok"), F.col("line_no").alias("end_line"))
-    braced = _brace_headers(code).join(ends, ["path", "close_tok"]).select("path", "language", "name", "start_tok", F.col("close_tok").alias("end_tok"), "start_line", "end_line", (F.col("depth") == 0).alias("top_level"), "depth")
+    braced = _brace_headers(code).join(ends, ["path", "close_tok"]).withColumn("end_tok", F.col("close_tok")).withColumn("blocks", F.lit("braces"))
+
+    name = F.when(F.col("next_kind") == "name", F.col("next")).otherwise(ANONYMOUS).alias("name")
+    by_words = word_blocks(code).where(has("roles", "function")).where("close IS NOT NULL")
+    by_words = by_words.select("path", "language", F.lit("words").alias("blocks"), name, F.col("tok_no").alias("start_tok"), F.col("close.tok_no").alias("end_tok"), F.col("line_no").alias("start_line"), F.col("close.line_no").alias("end_line"), "depth")
 
     lines = indented_lines(code).withColumn("before", F.lag("line_no").over(Window.partitionBy("path").orderBy("line_no")))
-    heads = code.where((F.col("mask") == "def") & F.col("language").isin(*INDENTED)).select("path", "language", F.when(F.col("next_kind") == "name", F.col("next")).otherwise(ANONYMOUS).alias("name"), F.col("tok_no").alias("start_tok"), F.col("line_no").alias("start_line"))
+    heads = code.where("blocks = 'indent'").where(has("roles", "function")).select("path", "language", name, F.col("tok_no").alias("start_tok"), F.col("line_no").alias("start_line"))
     heads = heads.join(lines.select("path", F.col("line_no").alias("start_line"), F.col("indent").alias("depth")), ["path", "start_line"])
     last = lines.groupBy("path").agg(F.max("line_no").alias("file_end"))
     rows = heads.join(next_outside(lines, heads), ["path", "start_line", "depth"], "left").join(last, "path")
-    closed = (F.col("language") == "ruby") & (F.col("n.first") == "end") & (F.col("n.indent") == F.col("depth"))
-    rows = rows.withColumn("end_line", F.coalesce(F.when(closed, F.col("n.line_no")).otherwise(F.col("n.before")), F.col("file_end")))
+    rows = rows.withColumn("end_line", F.coalesce("n.before", "file_end")).withColumn("blocks", F.lit("indent"))
     tails = code.groupBy("path", F.col("line_no").alias("end_line")).agg(F.max("tok_no").alias("end_tok"))
-    plain = rows.join(tails, ["path", "end_line"]).select("path", "language", "name", "start_tok", "end_tok", "start_line", "end_line", (F.col("depth") == 0).alias("top_level"), "depth")
-    return braced.unionByName(plain)
+    plain = rows.join(tails, ["path", "end_line"])
+    return braced.select(columns).unionByName(by_words.select(columns)).unionByName(plain.select(columns))

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import hashlib
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from coderake.plans.tables import written
+
 TOOL = "coderake"
 SCHEMA = "https://json.schemastore.org/sarif-2.1.0.json"
 
@@ -22,42 +21,14 @@ def text_block(_: None = None) -> Column:
     return F.concat_ws("\n", line("[", F.col("severity"), "/", F.col("confidence"), "] ", F.col("rule_id"), ": ", F.col("title")), line("  Location: ", loc("path"), ":", loc("line").cast("string"), ":", loc("column").cast("string")), line("  Snippet: ", loc("snippet")), line("  Message: ", F.col("message")), line("  Remediation: ", F.col("remediation")), refs, fix)
 
 
-def text_blocks(found: DataFrame) -> DataFrame:
-    """One row of text for each finding, with its order: what scales; the counters are a row of their own."""
-    return found.select("location.path", "location.line", "rule_id", "rule_no", "ord", text_block().alias("block"))
-
-
-def _listed(found: DataFrame, item: Column) -> DataFrame:
-    """One row with all items in report order. For few findings; report_rows has any number."""
-    keyed = F.struct("location.path", "location.line", "rule_id", "rule_no", "ord", item.alias("item"))
-    return found.agg(F.transform(F.array_sort(F.collect_list(keyed)), lambda x: x["item"]).alias("items")).withColumn("one", F.lit(1))
-
-
 def _text_tail() -> Column:
     return F.concat(F.lit("Suppressed findings: "), F.col("suppressed").cast("string"), F.lit("\nAuto-fixes applied: "), F.col("auto_fixes_applied").cast("string"), F.lit("\nAuto-fixes skipped: "), F.col("auto_fixes_skipped").cast("string"))
 
 
-def text_report(found: DataFrame, counts: DataFrame) -> DataFrame:
-    """One row: the whole text report. found: kept findings; counts: the summary row."""
-    rows = _listed(found, text_block()).join(counts.withColumn("one", F.lit(1)), "one")
-    tail = F.concat(_text_tail(), F.lit("\n"))
-    return rows.select(F.concat(F.array_join(F.transform("items", lambda b: F.concat(b, F.lit("\n\n"))), ""), tail).alias("report"))
-
-
 def finding_struct() -> Column:
     return F.struct("rule_id", "title", "severity", "confidence", "message", "location", "remediation", "references", "fix")
 
 
-def json_rows(found: DataFrame) -> DataFrame:
-    return found.select(F.to_json(finding_struct(), {"ignoreNullFields": "false"}).alias("value"))
-
-
-def json_report(found: DataFrame, counts: DataFrame) -> DataFrame:
-    rows = _listed(found, finding_struct()).join(counts.withColumn("one", F.lit(1)), "one")
-    own = F.struct(F.struct("count", "suppressed", "auto_fixes_applied", "auto_fixes_skipped").alias("summary"), F.col("items").alias("findings"))
-    return rows.select(F.to_json(own, {"ignoreNullFields": "false"}).alias("report"))
-
-
 def sarif_level(severity: Column) -> Column:
     return F.when(F.lower(severity).isin("critical", "high"), "error").when(F.lower(severity) == "medium", "warning").otherwise("note")
 
@@ -85,12 +56,6 @@ def _sarif_tool() -> Column:
     return F.struct(F.struct(F.lit(TOOL).alias("name"), F.lit(f"https://example.com/{TOOL}").alias("informationUri"), F.col("rules")).alias("driver"))
 
 
-def sarif_report(found: DataFrame) -> DataFrame:
-    rows = _listed(found, sarif_result()).join(_rules_listed(found).withColumn("one", F.lit(1)), "one")
-    run = F.struct(_sarif_tool().alias("tool"), F.col("items").alias("results"))
-    return rows.select(F.to_json(F.struct(F.lit("2.1.0").alias("version"), F.lit(SCHEMA).alias("$schema"), F.array(run).alias("runs"))).alias("report"))
-
-
 #: What puts the rows of report_rows in order.
 PLACE = ("part", "path", "line", "rule_id", "rule_no", "ord", "nth")
 
@@ -122,18 +87,29 @@ def report_rows(found: DataFrame, counts: DataFrame | None, how: str) -> DataFra
     return out
 
 
-def report_md5(rows: DataFrame) -> DataFrame:
-    """One row, report_md5: the digest of the whole document. A digest takes the text in order, so one task reads all rows,
-    sorted with spills, but holds only a batch of them."""
-
-    def digest(batches):
-        md5 = hashlib.md5()
-        for batch in batches:
-            for value in batch.column(0).to_pylist():
-                md5.update(value.encode() + b"\n")
-        yield pa.RecordBatch.from_arrays([pa.array([md5.hexdigest()])], names=["report_md5"])
-
-    return rows.repartition(1).sortWithinPartitions(*PLACE).select("value").mapInArrow(digest, "report_md5 string")
+def with_offsets(rows: DataFrame) -> DataFrame:
+    """Rows of report_rows with ``at``, the byte at which each begins in the document. Rows are sorted in ranges; a range
+    begins where those before it end, and its rows are added up inside it: no task sees more than a range, and only the
+    ranges' sizes come to the driver."""
+    ranges = written(rows.orderBy(*PLACE).select("*", F.monotonically_increasing_id().alias("id")), "report")
+    size = F.octet_length("value").cast("long") + 1
+    part = F.shiftright("id", 33)
+    start, starts = 0, {}
+    for row in sorted(ranges.groupBy(part.alias("part")).agg(F.sum(size).alias("size")).collect()):
+        starts[row["part"]], start = start, start + row["size"]
+    begin = F.element_at(F.create_map(*[F.lit(x).cast("long") for pair in starts.items() for x in pair]), part) if starts else F.lit(0).cast("long")
+    inside = Window.partitionBy("part").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
+    rows = ranges.withColumn("part_", F.col("part")).withColumn("part", part).withColumn("at", begin + F.coalesce(F.sum(size).over(inside), F.lit(0)))
+    return rows.withColumn("part", F.col("part_")).drop("part_", "id")
+
+
+def report_digest(rows: DataFrame) -> DataFrame:
+    """One row (n_rows, n_bytes, digest) for the whole document: each row is digested together with its place in bytes, and
+    the digests are added up, so parts of a document can be digested anywhere and in any order; a row that is missing,
+    changed or moved changes the sum."""
+    own = F.conv(F.substring(F.md5(F.concat(F.col("at").cast("string"), F.lit(":"), F.col("value")).cast("binary")), 1, 15), 16, 10).cast("decimal(38,0)")
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    return with_offsets(rows).agg(F.count("*").alias("n_rows"), total(F.octet_length("value").cast("long") + 1).alias("n_bytes"), total(own).cast("string").alias("digest"))
 
 
 def write_report(found: DataFrame, counts: DataFrame, path: str, how: str = "text", mode: str = "error") -> None:

@@ -9,7 +9,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from coderake.functions.vocabulary import BRANCHES, INDENTED, RULE_LANGUAGES, RULE_TEXT, SINKS
+from coderake.functions.languages import BUILT_IN, Languages, has
+from coderake.functions.vocabulary import RULE_TEXT, SINKS
 from coderake.operators import facts as fact
 from coderake.operators import taint
 from coderake.operators.tokens import BIN, code_tokens, tokens
@@ -24,7 +25,8 @@ class Facts:
     """Lazily planned facts about files (path, language, text). persisted: write tokens and facts, which most rules read,
     to the shared folder as they are first needed."""
 
-    def __init__(self, files: DataFrame, sanitizers: list[str] = (), sinks: list[tuple[str, str, str]] = (), thresholds: tuple[int, int, int] = (15, 4, 80), location_mode: str = "function", persisted: bool = False) -> None:
+    def __init__(self, files: DataFrame, sanitizers: list[str] = (), sinks: list[tuple[str, str, str]] = (), thresholds: tuple[int, int, int] = (15, 4, 80), location_mode: str = "function", persisted: bool = False, languages: Languages = BUILT_IN) -> None:
+        self.languages = languages
         self.files, self.more, self.more_sinks = files, {"sanitizer": list(sanitizers)}, list(sinks)
         self.thresholds, self.location_mode, self.persisted = thresholds, location_mode, persisted
 
@@ -33,11 +35,11 @@ class Facts:
 
     @cached_property
     def tokens(self) -> DataFrame:
-        return self._kept(tokens(self.files))
+        return self._kept(tokens(self.files, languages=self.languages))
 
     @cached_property
     def code(self) -> DataFrame:
-        return self._kept(code_tokens(self.tokens))
+        return self._kept(code_tokens(self.tokens, languages=self.languages))
 
     @cached_property
     def calls(self) -> DataFrame:
@@ -63,18 +65,21 @@ class Facts:
     def tainted(self) -> DataFrame:
         return self._kept(taint.tainted_names(taint.events(self.code, self.calls, self.assignments, self.more)))
 
+    def located(self, extents: DataFrame) -> DataFrame:
+        return fact.located(self.files, self.code, extents, self.languages)
+
     def sink_names(self, rule_id: str, kind: str) -> list[str]:
         return SINKS.get((rule_id, kind), []) + [n for r, k, n in self.more_sinks if (r, k) == (rule_id, kind)]
 
 
-def applying(rows: DataFrame, rule_id: str) -> DataFrame:
-    return rows.where(F.col("language").isin(*RULE_LANGUAGES[rule_id]))
+def applying(rows: DataFrame, rule_id: str, languages: Languages = BUILT_IN) -> DataFrame:
+    return rows.where(F.col("language").isin(*languages.under(rule_id)))
 
 
 def sink_calls(facts: Facts, rule_id: str) -> DataFrame:
     """Calls whose last or whole name is a sink's, with a tainted argument: path, first_tok, last_tok."""
     wanted = facts.sink_names(rule_id, "call")
-    found = applying(facts.calls, rule_id).where(F.element_at("parts", -1).isin(*wanted) | F.col("callee").isin(*wanted))
+    found = applying(facts.calls, rule_id, facts.languages).where(F.element_at("parts", -1).isin(*wanted) | F.col("callee").isin(*wanted))
     inside = facts.arguments.join(found.select("path", F.col("tok_no").alias("call_tok")), ["path", "call_tok"])
     extents = inside.select("path", F.struct("call_tok", "arg_no").alias("key"), "first_tok", "last_tok")
     hit = taint.tainted_extents(facts.code, facts.calls, extents, facts.tainted, facts.more).select("path", F.col("key.call_tok").alias("tok_no")).distinct()
@@ -83,7 +88,7 @@ def sink_calls(facts: Facts, rule_id: str) -> DataFrame:
 
 def sink_assignments(facts: Facts, rule_id: str) -> DataFrame:
     """Assignments to a sink property whose value is tainted."""
-    found = applying(facts.assignments, rule_id).where(F.element_at("target_chain", -1).isin(*facts.sink_names(rule_id, "property")))
+    found = applying(facts.assignments, rule_id, facts.languages).where(F.element_at("target_chain", -1).isin(*facts.sink_names(rule_id, "property")))
     extents = found.select("path", F.col("tok_no").alias("key"), F.col("value_start").alias("first_tok"), F.col("value_end").alias("last_tok"))
     hit = taint.tainted_extents(facts.code, facts.calls, extents, facts.tainted, facts.more).withColumnRenamed("key", "tok_no")
     return found.join(hit, ["path", "tok_no"]).select("path", "language", F.col("start_tok").alias("first_tok"), F.col("value_end").alias("last_tok"))
@@ -97,12 +102,12 @@ def _finding(rule_id: str, rows: DataFrame, message=None) -> DataFrame:
 
 def sql_injection(facts: Facts) -> DataFrame:
     rows = sink_calls(facts, "SQLI")
-    return _finding("SQLI", fact.located(facts.files, facts.code, rows.withColumn("ord", F.col("first_tok"))))
+    return _finding("SQLI", facts.located(rows.withColumn("ord", F.col("first_tok"))))
 
 
 def cross_site_scripting(facts: Facts) -> DataFrame:
     rows = sink_calls(facts, "XSS").unionByName(sink_assignments(facts, "XSS"))
-    return _finding("XSS", fact.located(facts.files, facts.code, rows.withColumn("ord", F.col("first_tok"))))
+    return _finding("XSS", facts.located(rows.withColumn("ord", F.col("first_tok"))))
 
 
 def secret_lines(texts: DataFrame, *keys: str) -> DataFrame:
@@ -116,15 +121,14 @@ def secret_lines(texts: DataFrame, *keys: str) -> DataFrame:
 
 
 def hardcoded_secret(facts: Facts) -> DataFrame:
-    rows = secret_lines(applying(facts.files, "HARDCODED_SECRET"), "path")
+    rows = secret_lines(applying(facts.files, "HARDCODED_SECRET", facts.languages), "path")
     where = F.struct("path", F.col("line_no").alias("line"), "column", F.col("match").alias("snippet"))
     return _finding("HARDCODED_SECRET", rows.select("path", where.alias("location"), (F.col("line_no") * 1000 + F.col("nth")).alias("ord")))
 
 
 def cyclomatic(code: DataFrame, functions: DataFrame) -> DataFrame:
     """path, start_tok, cyclomatic: one more than the branches inside, those of nested functions included."""
-    signs = [b for b in BRANCHES if not b[0].isalpha()]
-    isin = (F.col("kind") == "name") & F.col("mask").isin(*[b for b in BRANCHES if b[0].isalpha()]) | F.col("mask").isin(*signs)
+    isin = has("roles", "branch") & F.col("kind").isin("name", "op")
     # Branches up to the function's end, less those before it.
     upto = F.count_if(isin).over(Window.partitionBy("path").orderBy("tok_no"))
     counted = code.select("path", F.col("tok_no").alias("t"), upto.alias("upto"), isin.cast("int").alias("own"))
@@ -146,14 +150,15 @@ def line_levels(lines: DataFrame) -> DataFrame:
 def max_nesting(code: DataFrame, functions: DataFrame) -> DataFrame:
     """path, start_tok, max_nesting: blocks inside blocks, the body being the first."""
     literal = F.coalesce(F.col("prev").isin("=", "(", ",", ":", "[", "?", "return"), F.lit(False))
-    blocks = code.where((F.col("mask") == "{") & ~literal & ~F.col("language").isin(*INDENTED)).select("path", "bin", F.col("tok_no").alias("t"), (F.col("brace_depth") + 1).alias("level"))
-    spans = functions.select("path", "language", "start_tok", "end_tok", "start_line", "end_line", "depth")
-    braced = fact.in_bins(spans.where(~F.col("language").isin(*INDENTED)), first="start_tok", last="end_tok").join(blocks, ["path", "bin"]).where("t BETWEEN start_tok AND end_tok")
+    blocks = code.where((F.col("mask") == "{") & ~literal & (F.col("blocks") == "braces")).select("path", "bin", F.col("tok_no").alias("t"), (F.col("brace_depth") + 1).alias("level"))
+    blocks = blocks.unionByName(fact.word_blocks(code).select("path", F.expr(f"cast(tok_no div {BIN} AS int)").alias("bin"), F.col("tok_no").alias("t"), (F.col("depth") + 1).alias("level")))
+    spans = functions.select("path", "blocks", "start_tok", "end_tok", "start_line", "end_line", "depth")
+    braced = fact.in_bins(spans.where("blocks <> 'indent'"), first="start_tok", last="end_tok").join(blocks, ["path", "bin"]).where("t BETWEEN start_tok AND end_tok")
     braced = braced.groupBy("path", "start_tok").agg((F.max("level") - F.max("depth")).cast("int").alias("max_nesting"))
     levels = line_levels(fact.indented_lines(code))
     heads = levels.select("path", F.col("line_no").alias("start_line"), F.col("level").alias("head_level"))
     placed = levels.withColumn("bin", F.expr(f"cast(line_no div {BIN} AS int)"))
-    plain = fact.in_bins(spans.where(F.col("language").isin(*INDENTED)).join(heads, ["path", "start_line"]), first="start_line", last="end_line")
+    plain = fact.in_bins(spans.where("blocks = 'indent'").join(heads, ["path", "start_line"]), first="start_line", last="end_line")
     plain = plain.join(placed, ["path", "bin"]).where("line_no > start_line AND line_no <= end_line").groupBy("path", "start_tok").agg((F.max("level") - F.max("head_level")).cast("int").alias("max_nesting"))
     return braced.unionByName(plain)
 
@@ -174,7 +179,7 @@ def violations(metrics: DataFrame, thresholds: tuple[int, int, int] = (15, 4, 80
 def complexity_locations(facts: Facts, found: DataFrame) -> DataFrame:
     """Where a function is reported: at itself, or with location_mode root_fallback at the file's first token, with the
     whole file as the snippet, unless it is top level."""
-    own = fact.located(facts.files, facts.code, found.withColumnRenamed("start_tok", "first_tok").withColumnRenamed("end_tok", "last_tok")).withColumnRenamed("first_tok", "ord")
+    own = facts.located(found.withColumnRenamed("start_tok", "first_tok").withColumnRenamed("end_tok", "last_tok")).withColumnRenamed("first_tok", "ord")
     if facts.location_mode == "function":
         return own
     root = own.where("NOT top_level").join(facts.files.select("path", "text"), "path")
@@ -183,7 +188,7 @@ def complexity_locations(facts: Facts, found: DataFrame) -> DataFrame:
 
 
 def complexity(facts: Facts) -> DataFrame:
-    found = complexity_locations(facts, violations(applying(facts.metrics, "COMPLEXITY"), facts.thresholds))
+    found = complexity_locations(facts, violations(applying(facts.metrics, "COMPLEXITY", facts.languages), facts.thresholds))
     message = F.concat(F.lit("Function '"), F.col("name"), F.lit("' is over its limits: "), F.array_join("violated", ", "))
     return _finding("COMPLEXITY", found, message)
 

@@ -1,9 +1,10 @@
 """Code as a token relation: one row per token, made with regular expressions, windows and no parser.
 
 Before lexing, each escape and each member sign between names becomes private-use characters, one for
-one, so the lexers need single character classes only, no text can exhaust the regex engine's stack,
-and a token's original text comes back by translating it: no token row carries its file's text, and
-the work grows in proportion to a file's size. Tokens cover the text.
+one, so the lexers loop over single characters or possessively, no text can exhaust the regex engine's
+stack, and a token's original text comes back by translating it: no token row carries its file's text,
+and the work grows in proportion to a file's size. Tokens cover the text. Which lexer reads a file, and
+what its words mean, comes from joins with the rows of languages.
 """
 
 from __future__ import annotations
@@ -11,18 +12,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from coderake.functions.vocabulary import INDENTED, KEYWORDS
+from coderake.functions.languages import BUILT_IN, Languages, has
 
-_COMMON = r"""|"[^"\n]*"|'[^'\n]*'|[A-Za-z_][\w.]*|[0-9]+|==|!=|<=|>=|&&|\|\||:=|[ \t]+|[\s\S]"""
-HASH_LEXER = r'''"""[\s\S]*?"""|\'\'\'[\s\S]*?\'\'\'|#[^\n]*'''.replace("\\'", "'") + _COMMON
-SLASH_LEXER = r"/\*[\s\S]*?\*/|//[^\n]*|`[^`]*`" + _COMMON
+#: A lexer for texts in no language: comments and strings as many languages have them.
+PLAIN_LEXER = r"""/\*[\s\S]*?\*/|//[^\n]*|`[^`]*`|"[^"\n]*"|'[^'\n]*'|[A-Za-z_][\w.]*|[0-9]+|==|!=|<=|>=|&&|\|\||:=|[ \t]+|[\s\S]"""
 KEYS = ("path", "language")
 #: What stands before the opening brace of a literal or a pattern; before that of a block stands something else.
 BEFORE_LITERALS = ("=", ":=", "(", ",", "[", "?", "return", "||", "&&", "const", "let", "var")
-#: Words whose brackets hold statements, so that a sign in them assigns.
-BRACKET_WORDS = ("for", "if", "while", "switch", "until", "foreach", "using", "try", "with")
+#: A line that ends with one of these goes on in the next one.
+GOES_ON = (",", "=", ":=", "+", "-", "*", "&&", "||", ".")
 #: Tokens that meet in joins are bucketed by so many places.
 BIN = 64
+#: Kinds of tokens that are no code.
+TRIVIA = ("space", "newline", "comment", "heredoc")
 
 # Private-use characters that stand for escapes and signs. A text that has some of the first range gets the second; one
 # that has some of both shows theirs as what they would stand for.
@@ -57,57 +59,72 @@ def marked(text: Column, base: int = _RANGES[0]) -> Column:
     return text
 
 
-def masked(text: Column) -> Column:
-    """The text with escapes as ``~~`` and the signs ->, :: and ?. between names as two dots."""
-    return F.when(_second(text), _shown(marked(text, _RANGES[1]), _RANGES[1])).otherwise(_shown(marked(text), _RANGES[0]))
-
-
 def _translated(text: Column, base: int, to: int) -> Column:
     private = _private(base)
     return F.when(F.regexp_like(text, F.lit(f"[{chr(base)}-{chr(base + 255)}]")), F.translate(text, private[0], private[to])).otherwise(text)
 
 
-def _shown(text: Column, base: int) -> Column:
-    return _translated(text, base, 2)
-
-
-def raw_tokens(text: Column, language: Column) -> Column:
-    """A text's tokens as an array, with private characters as in ``marked``."""
+def plain_tokens(text: Column) -> Column:
+    """A text's tokens as an array, in no language, with private characters as in ``marked``."""
     def lexed(base: int) -> Column:
-        own = lambda lexer: lexer.replace(r"[\w.]", f"[\\w.{chr(base + 1)}-{chr(base + 6)}]")
-        found = marked(text, base)
-        return F.when(language.isin(*INDENTED), F.regexp_extract_all(found, F.lit(own(HASH_LEXER)), F.lit(0))).otherwise(F.regexp_extract_all(found, F.lit(own(SLASH_LEXER)), F.lit(0)))
+        return F.regexp_extract_all(marked(text, base), F.lit(PLAIN_LEXER.replace(r"[\w.]", f"[\\w.{chr(base + 1)}-{chr(base + 6)}]")), F.lit(0))
 
     return F.when(_second(text), lexed(_RANGES[1])).otherwise(lexed(_RANGES[0]))
 
 
-def token_texts(text: Column, language: Column) -> Column:
-    """A text's tokens as an array of their original texts."""
-    back = lambda base: F.transform(raw_tokens(text, language), lambda t: _translated(t, base, 1))
-    return F.when(_second(text), back(_RANGES[1])).otherwise(back(_RANGES[0]))
+def plain_kind(token: Column) -> Column:
+    """Whether a plain token is a name, a comment or a string; null for what is none."""
+    first = F.substring(token, 1, 1)
+    comment = token.startswith("//") | token.startswith("/*")
+    return F.when(comment, "comment").when(first.isin('"', "'", "`") & (F.length(token) > 1), "string").when(F.regexp_like(first, F.lit("[A-Za-z_]")), "name")
 
 
-def kind(token: Column) -> Column:
-    first = F.substring(token, 1, 1)
-    comment = (first == "#") & (F.length(token) > 0) | token.startswith("//") | token.startswith("/*")
-    return F.when(token == "\n", "newline").when(comment, "comment").when(first.isin('"', "'", "`") & (F.length(token) > 1), "string").when(F.regexp_like(first, F.lit("[A-Za-z_]")), "name").when(F.regexp_like(first, F.lit("[0-9]")), "number").when(F.trim(F.regexp_replace(first, r"[\t\r]", " ")) == "", "space").otherwise("op")
+def lexed(files: DataFrame, languages: Languages = BUILT_IN) -> DataFrame:
+    """files (language, text and others) without text, and with blocks, bare, second (the range of private characters) and raws:
+    the tokens in one array. A file's lexer comes with its language's row."""
+    # A row for each language: small by nature.
+    rows = files.join(F.broadcast(languages.lexers(files.sparkSession, _RANGES)), "language").withColumn("second", _second(F.col("text")))
+    # Written once for each file: the arrays below read it several times.
+    rows = rows.withColumn("marks", F.when(F.col("second"), marked(F.col("text"), _RANGES[1])).otherwise(marked(F.col("text"), _RANGES[0])))
+    rows = rows.withColumn("lexer", F.when(F.col("second"), F.col("lexer2")).otherwise(F.col("lexer"))).drop("text", "lexer2")
+    rows = rows.withColumn("raws", F.regexp_extract_all("marks", "lexer", F.lit(0))).drop("marks")
+    if languages.heredocs:
+        rows = rows.withColumn("raws", F.when(F.col("language").isin(*languages.heredocs) & F.exists("raws", _is_heredoc), F.flatten(F.transform("raws", _parted))).otherwise(F.col("raws")))
+    return rows.drop("lexer")
+
+
+def _is_heredoc(token: Column) -> Column:
+    return token.startswith("<<") & (F.length(token) > 2)
+
 
+def _parted(token: Column) -> Column:
+    """A heredoc's opener, the tokens of the rest of its line, and its body with the line break before it."""
+    opener = F.regexp_extract(token, r"^<<[~-]?(['\"]?)\w+\1", 0)
+    after = F.instr(token, "\n")
+    rest = F.substring(token, F.length(opener) + 1, after - F.length(opener) - 1)
+    parts = F.concat(F.array(opener), F.regexp_extract_all(rest, F.col("lexer"), F.lit(0)), F.array(F.substring(token, after, F.length(token))))
+    return F.when(_is_heredoc(token), parts).otherwise(F.array(token))
 
-def tokens(files: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
-    """keys, tok_no, kind, text, mask, off (code points), line_no, col_no (bytes, from 1), paren_depth and brace_depth
+
+def token_texts(files: DataFrame, languages: Languages = BUILT_IN) -> DataFrame:
+    """(path, texts): each file's tokens as an array of their original texts."""
+    back = lambda base: F.transform("raws", lambda t: _translated(t, base, 1))
+    return lexed(files, languages).select("path", F.when(F.col("second"), back(_RANGES[1])).otherwise(back(_RANGES[0])).alias("texts"))
+
+
+def tokens(files: DataFrame, keys: tuple[str, ...] = KEYS, languages: Languages = BUILT_IN) -> DataFrame:
+    """keys, blocks, bare, tok_no, kind, text, mask, off (code points), line_no, col_no (bytes, from 1), paren_depth and brace_depth
     (before the token). files: keys and text; the rows of a file are dealt out together once, for all windows here."""
-    # What is made of the whole text comes before the explosion, or it would be made again for each token.
-    rows = files.repartition(keys[0]).select(*keys, _second(F.col("text")).alias("second"), raw_tokens(F.col("text"), F.col("language")).alias("raws"))
-    rows = rows.select(*keys, "second", F.posexplode("raws").alias("tok_no", "raw"))
+    rows = lexed(files.repartition(keys[0]), languages).select(*keys, "blocks", "bare", "second", F.posexplode("raws").alias("tok_no", "raw"))
     either = lambda to: F.when(F.col("second"), _translated(F.col("raw"), _RANGES[1], to)).otherwise(_translated(F.col("raw"), _RANGES[0], to))
-    rows = rows.select(*keys, "tok_no", either(2).alias("mask"), either(1).alias("source"))
+    rows = rows.select(*keys, "blocks", "bare", "tok_no", either(2).alias("mask"), either(1).alias("source"))
     before = Window.partitionBy(*keys).orderBy("tok_no").rowsBetween(Window.unboundedPreceding, -1)
     so_far = lambda what: F.coalesce(F.sum(what).over(before), F.lit(0)).cast("int")
     step = lambda opening, closing: F.when(F.col("mask").isin(*opening), 1).when(F.col("mask").isin(*closing), -1).otherwise(0)
     rows = rows.select("*", so_far(F.length("mask")).alias("off"), so_far(F.octet_length("source")).alias("byte_off"), (so_far(F.length("mask") - F.length(F.replace(F.col("mask"), F.lit("\n")))) + 1).alias("line_no"), so_far(step("([", ")]")).alias("paren_depth"), so_far(step("{", "}")).alias("brace_depth"))
     after_break = F.col("byte_off") + F.octet_length("source") - F.octet_length(F.substring_index("source", "\n", -1))
     line_start = F.coalesce(F.max(F.when(F.contains("mask", F.lit("\n")), after_break)).over(before), F.lit(0))
-    return rows.select(*keys, "tok_no", kind(F.col("mask")).alias("kind"), F.col("source").alias("text"), "mask", "off", "line_no", (F.col("byte_off") - line_start + 1).cast("int").alias("col_no"), "paren_depth", "brace_depth")
+    return rows.select(*keys, "blocks", "bare", "tok_no", languages.kind(F.col("mask")).alias("kind"), F.col("source").alias("text"), "mask", "off", "line_no", (F.col("byte_off") - line_start + 1).cast("int").alias("col_no"), "paren_depth", "brace_depth")
 
 
 def of_kinds(rows: DataFrame, *kinds: str) -> DataFrame:
@@ -116,7 +133,7 @@ def of_kinds(rows: DataFrame, *kinds: str) -> DataFrame:
 
 def code_only(rows: DataFrame) -> DataFrame:
     """Tokens that are code: strings and comments carry no names."""
-    return rows.where(~F.col("kind").isin("string", "comment", "space", "newline"))
+    return rows.where(~F.col("kind").isin("string", *TRIVIA))
 
 
 def chain_parts(mask: Column) -> Column:
@@ -124,40 +141,62 @@ def chain_parts(mask: Column) -> Column:
     return F.filter(F.split(mask, r"\."), lambda p: p != "")
 
 
+def _ends_value(kind: Column, mask: Column, roles: Column) -> Column:
+    """Whether an expression may end with this token."""
+    return ((kind == "name") & (~has(roles, "keyword") | has(roles, "value"))) | kind.isin("number", "string") | mask.isin(")", "]", "}")
+
+
 def _with_units(rows: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """Adds unit_no, which counts the statements of one bracket level, and unit_end, the last code token of the statement.
-    Braces of literals end nothing around them; a bracket's end closes the statement in it."""
+    """Adds unit_no, which counts the statements of one bracket level, unit_end, the last code token of the statement (with
+    the sign that ends it, but for the bracket around it), and unit_last, the last one without. Braces of literals end
+    nothing around them; a bracket's end closes the statement in it; a line does not end it where more must follow. Where
+    words make blocks, these and words behind a statement end it too."""
     before = Window.partitionBy(*keys).orderBy("tok_no").rowsBetween(Window.unboundedPreceding, -1)
-    is_code = ~F.col("kind").isin("space", "newline", "comment")
-    last = lambda when, value: F.last(F.when(when, F.col(value)), ignorenulls=True).over(before)
-    rows = rows.select("*", last(is_code, "mask").alias("code_before"), last(is_code, "tok_no").alias("tok_before"), last(F.col("mask").isin("case", "default", ";", "{", "}", "?"), "mask").alias("mark_before"))
-    literal = (F.col("language") == "python") | F.col("code_before").isin(*BEFORE_LITERALS) | ((F.col("code_before") == ":") & ~F.coalesce(F.col("mark_before").isin("case", "default"), F.lit(False)))
-    ends = F.col("mask").isin(";", "}", ")", "]") | ((F.col("mask") == "{") & ~F.coalesce(literal, F.lit(False))) | (F.col("kind") == "newline")
+    is_code = ~F.col("kind").isin(*TRIVIA)
+    rows = rows.select("*", F.last(F.when(is_code, F.struct("mask", "tok_no", "kind", "roles", "line_no")), ignorenulls=True).over(before).alias("b"), F.last(F.when(F.col("mask").isin("case", "default", ";", "{", "}", "?"), F.col("mask")), ignorenulls=True).over(before).alias("mark_before"))
+    literal = (F.col("blocks") == "indent") | F.col("b.mask").isin(*BEFORE_LITERALS) | ((F.col("b.mask") == ":") & ~F.coalesce(F.col("mark_before").isin("case", "default"), F.lit(False)))
+    behind = F.coalesce((F.col("b.line_no") == F.col("line_no")) & _ends_value(F.col("b.kind"), F.col("b.mask"), F.col("b.roles")), F.lit(False))
+    named = (F.col("kind") == "name") & ~F.coalesce(F.col("b.mask") == ".", F.lit(False))
+    word_ends = (F.col("blocks") == "words") & named & (has("roles", "end") | (has("roles", "modifier") & behind))
+    line_ends = (F.col("kind") == "heredoc") | ((F.col("kind") == "newline") & ~F.coalesce(F.col("b.mask").isin(*GOES_ON), F.lit(False)))
+    ends = F.col("mask").isin(";", "}", ")", "]") | ((F.col("mask") == "{") & ~F.coalesce(literal, F.lit(False))) | line_ends | word_ends
     level = [*keys, "paren_depth", "brace_depth"]
-    rows = rows.withColumn("ends", ends).withColumn("unit_no", F.coalesce(F.count_if("ends").over(Window.partitionBy(*level).orderBy("tok_no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    unit_end = F.max(F.when(F.col("ends"), F.when(is_code, F.col("tok_no")).otherwise(F.col("tok_before")))).over(Window.partitionBy(*level, "unit_no"))
+    rows = rows.withColumn("behind", behind).withColumn("word_ends", word_ends).withColumn("ends", ends)
+    rows = rows.withColumn("unit_no", F.coalesce(F.count_if("ends").over(Window.partitionBy(*level).orderBy("tok_no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    unit = Window.partitionBy(*level, "unit_no")
+    around = F.col("mask").isin(")", "}") & ((F.col("paren_depth") != 0) | (F.col("brace_depth") != 0))
+    unit_end = F.max(F.when(F.col("ends"), F.when(is_code & ~F.col("word_ends") & ~around, F.col("tok_no")).otherwise(F.col("b.tok_no")))).over(unit)
+    unit_last = F.max(F.when(F.col("ends"), F.col("b.tok_no"))).over(unit)
     file_end = F.max(F.when(is_code, F.col("tok_no"))).over(Window.partitionBy(*keys))
-    return rows.withColumn("unit_end", F.coalesce(unit_end, file_end)).drop("code_before", "tok_before", "mark_before", "ends")
+    return rows.withColumn("unit_end", F.coalesce(unit_end, file_end)).withColumn("unit_last", F.coalesce(unit_last, file_end)).drop("b", "mark_before", "ends", "word_ends")
 
 
-def code_tokens(rows: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
-    """Tokens without white space and comments, with what the facts need: parts (of names), bin, the neighbours' text,
-    close_tok of brackets, outer (the opening bracket around a token, and what stands before that), chain_start (where the
-    chain of members, calls and subscripts begins that a token continues), and for a closing bracket the tokens before
-    its opening one."""
+def one_statement(line: Column, next_line: Column) -> Column:
+    """Whether a bracket on the second line may continue what stands on the first: a line break parts them where blocks have
+    no braces, but for what stands in brackets where lines are indented."""
+    return (F.col("blocks") == "braces") | (line == next_line) | ((F.col("blocks") == "indent") & ((F.col("paren_depth") > 0) | (F.col("brace_depth") > 0)))
+
+
+def code_tokens(rows: DataFrame, keys: tuple[str, ...] = KEYS, languages: Languages = BUILT_IN) -> DataFrame:
+    """Tokens without white space, comments and bodies of heredocs, with what the facts need: roles (of words), parts (of
+    names), bin, the neighbours' text, close_tok of brackets, outer (the opening bracket around a token, and what stands
+    before that), chain_start (where the chain of members, calls and subscripts begins that a token continues), behind
+    (it follows an expression on its line), and for a closing bracket the tokens before its opening one."""
     p = Window.partitionBy(*keys).orderBy("tok_no")
-    code = _with_units(rows, keys).where(~F.col("kind").isin("space", "newline", "comment"))
+    # A row for each word of each language: small by nature.
+    worded = rows.join(F.broadcast(languages.words(rows.sparkSession)), ["language", "mask"], "left").withColumn("roles", F.coalesce("roles", F.lit(0)))
+    code = _with_units(worded, keys).where(~F.col("kind").isin(*TRIVIA))
     code = code.withColumn("parts", F.when(F.col("kind") == "name", chain_parts(F.col("mask")))).withColumn("bin", F.expr(f"tok_no div {BIN}").cast("int"))
-    beside = {"prev": ("mask", -1), "prev2": ("mask", -2), "prev_kind": ("kind", -1), "prev_tok": ("tok_no", -1), "prev_line": ("line_no", -1), "next": ("mask", 1), "next_kind": ("kind", 1), "next_off": ("off", 1), "next_tok": ("tok_no", 1), "next2_tok": ("tok_no", 2)}
+    beside = {"prev": ("mask", -1), "prev2": ("mask", -2), "prev_kind": ("kind", -1), "prev_tok": ("tok_no", -1), "prev_line": ("line_no", -1), "prev_roles": ("roles", -1), "prev2_roles": ("roles", -2), "next": ("mask", 1), "next_kind": ("kind", 1), "next_off": ("off", 1), "next_tok": ("tok_no", 1), "next_line": ("line_no", 1), "next_roles": ("roles", 1), "next2_tok": ("tok_no", 2), "next2_off": ("off", 2)}
     at = lambda c, n: F.lead(c, n).over(p) if n > 0 else F.lag(c, -n).over(p)
     code = code.select("*", *[at(c, n).alias(name) for name, (c, n) in beside.items()], F.lag(F.col("off") + F.length("mask")).over(p).alias("prev_end"))
     level = Window.partitionBy(*keys, "paren_depth", "brace_depth").orderBy("tok_no")
-    opener = F.struct(F.col("prev_tok").alias("tok"), F.col("prev").alias("mask"), F.col("prev2").alias("before"))
+    opener = F.struct(F.col("prev_tok").alias("tok"), F.col("prev").alias("mask"), F.col("prev2_roles").alias("before"))
     code = code.withColumn("outer", F.last(F.when(F.col("prev").isin("(", "[", "{"), opener), ignorenulls=True).over(level))
     # At the file's own level nothing is around a token, whatever came before.
     code = code.withColumn("outer", F.when((F.col("paren_depth") != 0) | (F.col("brace_depth") != 0), F.col("outer")))
     is_name, closed = F.col("kind") == "name", F.col("prev").isin(")", "]")
-    called = F.col("mask").isin("(", "[") & (((F.col("prev_kind") == "name") & ~is_keyword(F.col("prev"))) | closed)
+    called = F.col("mask").isin("(", "[") & one_statement(F.col("prev_line"), F.col("line_no")) & (((F.col("prev_kind") == "name") & ~has("prev_roles", "keyword")) | closed)
     arrow = ((F.col("mask") == "-") & (F.col("next") == ">") & closed) | ((F.col("mask") == ">") & (F.col("prev") == "-") & F.col("prev2").isin(")", "]")) | (is_name & (F.col("prev") == ">") & (F.col("prev2") == "-"))
     goes_on = (F.col("mask") == ".") | (is_name & F.col("prev").isin(".", "new")) | called | arrow
     code = code.withColumn("chain_start", F.last(F.when(~F.coalesce(goes_on, F.lit(False)), F.col("tok_no")), ignorenulls=True).over(level.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
@@ -169,12 +208,8 @@ def code_tokens(rows: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
     b = Window.partitionBy(*keys, "bracket", "pair", F.when(F.col("bracket") == "none", F.col("tok_no")).otherwise(-1)).orderBy("tok_no")
     close = F.when((F.col("bracket") != "none") & (opens == 1), F.lead("tok_no").over(b))
     code = code.withColumn("close_tok", close).withColumn("close_prev_tok", F.when(F.col("close_tok").isNotNull(), F.lead("prev_tok").over(b)))
-    for name in ("prev", "prev2", "prev_kind", "prev_tok", "prev_line"):
+    for name in ("prev", "prev_kind", "prev_tok", "prev_line", "prev_roles", "prev2_roles"):
         code = code.withColumn(f"opener_{name}", F.when((F.col("bracket") == "paren") & (opens == 0), F.lag(name).over(b)))
     for name in ("tok", "prev_tok"):
         code = code.withColumn("next_close" if name == "tok" else f"next_close_{name}", F.lead(f"close_{name}").over(p))
     return code.drop("bracket", "pair", "close_prev_tok")
-
-
-def is_keyword(mask: Column) -> Column:
-    return mask.isin(*KEYWORDS)

@@ -14,7 +14,7 @@ from coderake.operators import reports as rep
 from coderake.operators import rules as rul
 from coderake.operators import taint
 from coderake.operators import tokens as tkn
-from coderake.oracle import LANG, RANK, SECRET, SLASH_LEXER, array, over, q, words
+from coderake.oracle import LANG, PLAIN_LEXER, RANK, SECRET, array, over, q, words
 from coderake.plans import policy as pol
 from coderake.plans.scan import source_texts
 from coderake.plans.tables import shared_dir, written
@@ -135,6 +135,24 @@ def s7_policy_overlay(spark, d):
     return pol.overlay(voc.default_policy(spark), _overrides(spark, d), "c_custkey").select("c_custkey", "key_path", "value")
 
 
+#: A nested document for each customer, in SQL that both engines read.
+_DOCUMENT = """concat('{"thresholds":{"complexity":{"max_cyclomatic":', CAST(c_nationkey AS varchar(9)), CASE WHEN c_custkey % 2 = 0 THEN ',"own":{"deep":{"er":true}}' ELSE '' END, '}},',
+  CASE WHEN c_custkey % 5 = 0 THEN '"rules":{"severities":"none","enabled":["XSS","SQLI"]},' WHEN c_custkey % 5 = 1 THEN '"rules":{"severities":{"SQLI":"Low","OWN":"High"},"confidence":{}},' ELSE '' END,
+  CASE WHEN c_custkey % 7 = 0 THEN concat('"reporting":{"format":{"style":"', c_mktsegment, '","lines":[1,2.5,"x"]}},') ELSE '' END,
+  '"version":', CAST(c_custkey % 3 AS varchar(9)), '}')"""
+_DEFAULT_DOCUMENT = """{"rules":{"enabled":["SQLI","XSS","HARDCODED_SECRET","COMPLEXITY"],"severities":{"SQLI":"High","XSS":"High","HARDCODED_SECRET":"High","COMPLEXITY":"Medium"},"confidence":{"SQLI":"Medium","XSS":"Medium","HARDCODED_SECRET":"High","COMPLEXITY":"Low"}},
+  "thresholds":{"complexity":{"max_cyclomatic":15,"max_nesting":4,"max_function_lines":80}},"languages":{"enabled":["c","cpp","csharp","go","java","kotlin","javascript","typescript","python","ruby","rust","swift"]},
+  "suppression":{"inline_comment":"scan:ignore"},"reporting":{"format":"text","fail_on_severity":"High"}}"""
+
+
+@query(f"""WITH m AS (SELECT c_custkey, json_merge_patch('{_DEFAULT_DOCUMENT}'::JSON, {_DOCUMENT}::JSON) AS j FROM customer), t AS (SELECT m.c_custkey, t.* FROM m, json_tree(m.j) t)
+  SELECT c_custkey, substring(fullkey, 3) AS key_path, CASE type WHEN 'ARRAY' THEN array_to_string(json_extract_string(value, '$[*]'), ',') ELSE json_extract_string(value, '$') END AS value FROM t WHERE type <> 'OBJECT' AND fullkey NOT LIKE '%[%'""")
+def s7_policy_documents(spark, d):
+    """Each customer's nested document merged over the defaults."""
+    documents = spark.sql(f"SELECT c_custkey, {_DOCUMENT.replace('{', '{{').replace('}', '}}')} AS document FROM {{customer}}", customer=table(spark, d, "customer"))
+    return pol.merged(documents, "c_custkey")
+
+
 @query("""SELECT p_partkey, rule_id, CASE rule_id WHEN 'COMPLEXITY' THEN 'Medium' WHEN 'SQLI' THEN 'High' WHEN 'XSS' THEN 'High' ELSE 'Medium' END AS severity,
   CASE rule_id WHEN 'COMPLEXITY' THEN 'Low' ELSE 'Medium' END AS confidence FROM (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'SQLI' WHEN 1 THEN 'XSS' WHEN 2 THEN 'COMPLEXITY' ELSE 'OWN_RULE' END AS rule_id FROM part)""")
 def s8_rating_lookup(spark, d):
@@ -190,23 +208,23 @@ def p8_functions(spark, d):
 def p9_locations(spark, d):
     own = facts(spark, d)
     extents = own.calls.select("path", F.col("tok_no").alias("first_tok"), F.col("close_tok").alias("last_tok"))
-    return fact.located(own.files, own.code, extents).select("path", F.col("first_tok").alias("tok_no"), F.col("location.line").alias("line"), F.col("location.column").alias("col"), F.col("location.snippet").alias("snippet"))
+    return own.located(extents).select("path", F.col("first_tok").alias("tok_no"), F.col("location.line").alias("line"), F.col("location.column").alias("col"), F.col("location.snippet").alias("snippet"))
 
 
-@query(over("tok", "SELECT path, count(*) AS n_code, CAST(sum(length(text)) AS BIGINT) AS code_chars FROM tok WHERE kind NOT IN ('string', 'comment', 'space', 'newline') GROUP BY 1"))
+@query(over("tok", "SELECT path, count(*) AS n_code, CAST(sum(length(text)) AS BIGINT) AS code_chars FROM tok WHERE kind NOT IN ('string', 'comment', 'space', 'newline', 'heredoc') GROUP BY 1"))
 def p10_code_only(spark, d):
     return tkn.code_only(facts(spark, d).tokens).groupBy("path").agg(F.count("*").alias("n_code"), F.sum(F.length("text")).alias("code_chars"))
 
 
-_DOC_LEXED = "WITH t AS (SELECT doc_id, unnest(regexp_extract_all(regexp_replace(regexp_replace(regexp_replace(text, '\\\\[^\\n]', '~~', 'g'), '([A-Za-z0-9_])(?:->|::|\\?\\.)([A-Za-z_])', '\\1..\\2', 'g'), '([A-Za-z0-9_])(?:->|::|\\?\\.)([A-Za-z_])', '\\1..\\2', 'g'), " + q(SLASH_LEXER) + ")) AS mask FROM documents) SELECT doc_id, count(*) AS n_tokens, CAST(sum(length(mask)) AS BIGINT) AS n_chars, count(*) FILTER (regexp_matches(mask, '^[A-Za-z_]')) AS n_names FROM t GROUP BY 1"
+_DOC_LEXED = "WITH t AS (SELECT doc_id, unnest(regexp_extract_all(regexp_replace(regexp_replace(regexp_replace(text, '\\\\[^\\n]', '~~', 'g'), '([A-Za-z0-9_])(?:->|::|\\?\\.)([A-Za-z_])', '\\1..\\2', 'g'), '([A-Za-z0-9_])(?:->|::|\\?\\.)([A-Za-z_])', '\\1..\\2', 'g'), " + q(PLAIN_LEXER) + ")) AS mask FROM documents) SELECT doc_id, count(*) AS n_tokens, CAST(sum(length(mask)) AS BIGINT) AS n_chars, count(*) FILTER (regexp_matches(mask, '^[A-Za-z_]')) AS n_names FROM t GROUP BY 1"
 
 
 @query(_DOC_LEXED)
 def p1_document_tokens(spark, d):
     """Tokens over whole documents; they cover each text."""
-    lexed = F.explode(tkn.raw_tokens(F.col("text"), F.lit("java"))).alias("mask")
+    lexed = F.explode(tkn.plain_tokens(F.col("text"))).alias("mask")
     rows = table(spark, d, "documents").select("doc_id", lexed)
-    return rows.groupBy("doc_id").agg(F.count("*").alias("n_tokens"), F.sum(F.length("mask")).alias("n_chars"), F.count_if(tkn.kind(F.col("mask")) == "name").alias("n_names"))
+    return rows.groupBy("doc_id").agg(F.count("*").alias("n_tokens"), F.sum(F.length("mask")).alias("n_chars"), F.count_if(tkn.plain_kind(F.col("mask")) == "name").alias("n_names"))
 
 
 # T: taint
@@ -391,10 +409,17 @@ def f8_summary(spark, d):
 _BLOCK = "'[' || severity || '/' || confidence || '] ' || rule_id || ': ' || title || chr(10) || '  Location: ' || path || ':' || line || ':' || col || chr(10) || '  Snippet: ' || snippet || chr(10) || '  Message: ' || message || chr(10) || '  Remediation: ' || remediation || chr(10) || '  References:' || chr(10) || '    - ' || reference"
 
 
-@query(over("fnd", f"SELECT md5(string_agg({_BLOCK} || chr(10) || chr(10), '' ORDER BY path, line, rule_id, rule_no, ord) || 'Suppressed findings: ' || (SELECT count(*) FROM fnd WHERE suppressed) || chr(10) || 'Auto-fixes applied: 0' || chr(10) || 'Auto-fixes skipped: 0' || chr(10)) AS report_md5 FROM fnd WHERE NOT suppressed"))
+_TEXT_ROWS = f""", b AS (SELECT 0 AS part, path, line, rule_id, rule_no, ord, {_BLOCK} || chr(10) AS value FROM fnd WHERE NOT suppressed
+  UNION ALL SELECT 1, NULL, NULL, NULL, NULL, NULL, 'Suppressed findings: ' || (SELECT count(*) FROM fnd WHERE suppressed) || chr(10) || 'Auto-fixes applied: 0' || chr(10) || 'Auto-fixes skipped: 0'),
+  o AS (SELECT value, CAST(coalesce(sum(strlen(value) + 1) OVER (ORDER BY part, path, line, rule_id, rule_no, ord, value ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS place FROM b)
+  SELECT count(*) AS n_rows, CAST(sum(strlen(value) + 1) AS BIGINT) AS n_bytes, CAST(sum(CAST('0x' || md5(place || ':' || value)[1:15] AS HUGEINT)) AS VARCHAR) AS digest FROM o"""
+
+
+@query(over("fnd", _TEXT_ROWS))
 def o1_text_report(spark, d):
+    """The digest of the whole report, in order."""
     rows = found(spark, d)
-    return rep.report_md5(rep.report_rows(fnd.kept(rows), fnd.summary(rows, fnd.fix_counts(None, spark)), "text"))
+    return rep.report_digest(rep.report_rows(fnd.kept(rows), fnd.summary(rows, fnd.fix_counts(None, spark)), "text"))
 
 
 @query(over("fnd", "SELECT (SELECT count(*) FROM fnd WHERE NOT suppressed) AS count, (SELECT count(*) FROM fnd WHERE suppressed) AS suppressed, rule_id, severity, path, CAST(line AS INT) AS line, CAST(col AS INT) AS col, snippet, message, true AS fix_is_null FROM fnd WHERE NOT suppressed"))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coderake.functions.vocabulary import IGNORED_PARTS, LANGUAGE_EXTENSIONS, lang_ext
+from coderake.functions.languages import BUILT_IN
+from coderake.functions.vocabulary import IGNORED_PARTS, LANGUAGE_EXTENSIONS
 
 #: What ends a line, as in universal line splitting.
 LINE_END = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
@@ -32,7 +33,7 @@ def not_ignored(files: DataFrame, root: str | None = None, ignored: list[str] =
 
 def with_language(files: DataFrame, extensions: DataFrame | None = None) -> DataFrame:
     """Adds language by the last suffix, in lower case; files of no known language go."""
-    known = extensions if extensions is not None else lang_ext(files.sparkSession)
+    known = extensions if extensions is not None else BUILT_IN.extensions(files.sparkSession)
     suffix = F.lower(F.regexp_extract("path", r"[^/](\.[^./]+)$", 1))
     # The dimension has a row for each suffix: small by nature.
     return files.withColumn("ext", suffix).join(F.broadcast(known), "ext").drop("ext")

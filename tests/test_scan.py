@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from coderake.functions import vocabulary as voc
+from coderake.functions.languages import BUILT_IN
 from coderake.operators import findings as fnd
 from coderake.operators import reports as rep
 from coderake.operators import rules as rul
@@ -15,6 +16,7 @@ from coderake.plans import policy as pol
 from coderake.plans.scan import scan
 from coderake.sources import files as src
 from coderake.streaming.incremental import file_stream, scan_stream
+from tests import whole_reports as whole
 
 
 def texts(spark, *rows):
@@ -122,11 +124,11 @@ def test_gate(spark, severity, threshold, code):
 
 def test_reports_and_writers(spark, tmp_path):
     done = scan(raw(spark, ("p.py", "x = req\ncur.execute(x)\nrender(x)\n")))
-    text = rep.text_report(done.findings, done.summary).first()[0]
+    text = whole.text_report(done.findings, done.summary).first()[0]
     assert text.startswith("[High/Medium] SQLI: ") and text.endswith("Auto-fixes skipped: 0\n") and "  Snippet: render(x)\n" in text
-    document = json.loads(rep.json_report(done.findings, done.summary).first()[0])
+    document = json.loads(whole.json_report(done.findings, done.summary).first()[0])
     assert document["summary"]["count"] == 2 and document["findings"][0]["fix"] is None
-    sarif = json.loads(rep.sarif_report(done.findings).first()[0])
+    sarif = json.loads(whole.sarif_report(done.findings).first()[0])
     assert [r["id"] for r in sarif["runs"][0]["tool"]["driver"]["rules"]] == ["SQLI", "XSS"] and sarif["$schema"]
     for how in ("text", "json", "sarif", "jsonl", "parquet"):
         rep.write_report(done.findings, done.summary, f"{tmp_path}/{how}", how)
@@ -142,7 +144,7 @@ def test_scan_of_a_folder_and_of_nothing(spark, tmp_path):
     assert [r["path"].rsplit("/", 1)[1] for r in done.left_out.collect()] == ["big.py"]
     nothing = scan(raw(spark).limit(0))
     assert nothing.found.count() == 0 and nothing.gate.first()["exit_code"] == 0
-    assert rep.text_report(nothing.findings, nothing.summary).first()[0].startswith("Suppressed findings: 0")
+    assert whole.text_report(nothing.findings, nothing.summary).first()[0].startswith("Suppressed findings: 0")
 
 
 def test_stream_of_files(spark, tmp_path):
@@ -154,7 +156,7 @@ def test_stream_of_files(spark, tmp_path):
 
 
 def test_vocabulary_tables(spark):
-    assert voc.lang_ext(spark).count() == 23
+    assert BUILT_IN.extensions(spark).count() == 23
     assert voc.taint_terms(spark).count() == 34
     assert voc.sinks(spark, [("SQLI", "call", "run")]).count() == 22
     assert taint.TAINT_TERMS["sanitizer"][0] == "escape"
@@ -192,9 +194,9 @@ def test_one_row_for_each_sign(spark):
 def test_reports_are_rows(spark, tmp_path):
     done = scan(raw(spark, *[(f"p{i:03}.py", "x = req\ncur.execute(x)\nrender(x)\n") for i in range(40)]))
     twice = done.findings.unionByName(done.findings.where("location.path = 'p000.py'"))  # equal findings stay
-    whole = {"text": rep.text_report(twice, done.summary), "json": rep.json_report(twice, done.summary), "sarif": rep.sarif_report(twice)}
+    documents = {"text": whole.text_report(twice, done.summary), "json": whole.json_report(twice, done.summary), "sarif": whole.sarif_report(twice)}
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # several parts of so few rows
-    for how, one in whole.items():
+    for how, one in documents.items():
         rep.write_report(twice, done.summary, f"{tmp_path}/{how}", how)
         parts = sorted((tmp_path / how).glob("part-*"))
         text = "".join(p.read_text() for p in parts)
@@ -205,3 +207,44 @@ def test_reports_are_rows(spark, tmp_path):
     for how in ("json", "sarif"):
         rep.write_report(nothing, done.summary, f"{tmp_path}/no-{how}", how)
         assert json.loads("".join(p.read_text() for p in sorted((tmp_path / f"no-{how}").glob("part-*"))))
+
+
+def test_nested_policy_documents(spark):
+    defaults = {r["key_path"]: r["value"] for r in pol.loaded(spark).collect()}
+    cases = {
+        "none": ({}, {}),
+        "deep": ({"thresholds": {"complexity": {"max_nesting": 9}}, "own": {"a": {"b": [1, "x", True], "c": 1.5}}}, {"thresholds.complexity.max_nesting": "9", "own.a.b": "1,x,true", "own.a.c": "1.5"}),
+        "scalar over branch": ({"rules": {"severities": None}}, {**{k: ... for k in defaults if k.startswith("rules.severities.")}, "rules.severities": None}),
+        "branch over scalar": ({"reporting": {"format": {"style": "x"}}}, {"reporting.format": ..., "reporting.format.style": "x"}),
+        "hollow over scalar": ({"reporting": {"format": {}}, "rules": {}}, {"reporting.format": ...}),
+        "list replaces": ({"rules": {"enabled": ["XSS"]}}, {"rules.enabled": "XSS"}),
+        "empty list": ({"languages": {"enabled": []}}, {"languages.enabled": ""}),
+        "dotted key": ({"a.b": {"c": 1}}, {"a\\.b.c": "1"}),
+    }
+    bad = [("broken", "{"), ("list", "[1]"), ("null", None)]
+    documents = spark.createDataFrame([(k, json.dumps(d)) for k, (d, _) in cases.items()] + bad, "team string, document string")
+    got = {}
+    for r in pol.merged(documents, "team").collect():
+        got.setdefault(r["team"], {})[r["key_path"]] = r["value"]
+    for k, (_, changes) in cases.items():
+        want = {p: v for p, v in {**defaults, **changes}.items() if v is not ...}
+        assert got.get(k, defaults if k == "none" else None) == want, k
+    assert sorted(r["team"] for r in pol.malformed(documents, "team").collect()) == ["broken", "list", "null"]
+    assert pol.merged(documents.limit(0), "team").count() == 0
+    over = pol.leaves(spark.createDataFrame([('{"rules": {"enabled": ["XSS"]}}',)], "document string")).where("NOT hollow").drop("hollow")
+    assert hits(scan(raw(spark, ("p.py", "x = req\ncur.execute(x)\nrender(x)\n")), over).found) == [("XSS", 3)]
+
+
+def test_digest_of_a_report(spark):
+    done = scan(raw(spark, *[(f"p{i:03}.py", "x = req\ncur.execute(x)\nrender(x) # é\n") for i in range(30)]))
+    for how in ("text", "json", "sarif"):
+        rows = rep.report_rows(done.findings, done.summary, how)
+        placed = rep.with_offsets(rows).orderBy(*rep.PLACE).collect()
+        document, whole_document = "", ""
+        for r in placed:
+            assert r["at"] == len(document.encode())
+            document += r["value"] + "\n"
+        spread = rep.report_digest(rows.repartition(7)).first()
+        assert spread == rep.report_digest(rows).first() and spread["n_bytes"] == len(document.encode()) and spread["n_rows"] == len(placed)
+        assert rep.report_digest(rep.report_rows(done.findings.where("location.path <> 'p007.py'"), done.summary, how)).first()["digest"] != spread["digest"]
+    assert rep.report_digest(rows.limit(0)).first()["n_rows"] == 0
