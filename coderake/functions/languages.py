@@ -178,35 +178,28 @@ class Languages:
     def extensions(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame([(v, k) for k, r, v, *_ in self.rows if r == "extension"], "ext string, language string")
 
-    def _spoken(self, languages: list[str]) -> Column:
-        return F.lit(True) if set(languages) >= set(self.names) else F.col("language").isin(*languages)
-
-    def _opened(self, named: dict[str, list[tuple[str, str, str]]], mask: Column, but: tuple[str, ...] = ()) -> Column:
-        """Whether a token is one of these, by how it begins."""
-        by: dict[tuple[str, str], list[str]] = {}
+    def _opening(self, named: dict[str, list[tuple[str, str, str]]], more: str) -> str:
+        """A regular expression for a language, a blank and the beginning of its comments or strings. What follows the opener
+        matches ``more``; where the quote may begin something else, the closing quote follows too."""
+        by: dict[str, list[str]] = {}
         for k, rows in named.items():
-            for opens, _, how in rows:
-                if how not in but:
-                    by.setdefault((opens, "char" if how == "char" else ""), []).append(k)
-        found = F.lit(False)
-        for (opens, how), languages in sorted(by.items()):
-            longer = F.length(mask) > len(opens) if how != "char" else (F.length(mask) > 2) & mask.endswith(opens)
-            found = found | (mask.startswith(opens) & longer & self._spoken(languages))
-        return found
+            opens = sorted((o if how != "char" else "", c, o) for o, c, how in rows)
+            own = "|".join([re.escape(o) + more for o, *_ in opens if o] + [rf"{re.escape(q)}[\s\S]+{re.escape(c)}$" for o, c, q in opens if not o])
+            by.setdefault(own, []).append(re.escape(k))
+        return "^(?:" + "|".join(f"(?:{'|'.join(ks)}) (?:{own})" for own, ks in sorted(by.items())) + ")" if by else "^$"
 
     def kind(self, mask: Column) -> Column:
         """newline, comment, string, heredoc (a body, with the line break before it), name, number, space or op."""
-        first = F.substring(mask, 1, 1)
-        line = {k: [r for r in rows if r[1] == "\n"] for k, rows in self.comments.items()}
-        alone = F.lit(False)
-        for opens in sorted({o for rows in line.values() for o, *_ in rows}):
-            alone = alone | ((mask == opens) & self._spoken([k for k, rows in line.items() if any(o == opens for o, *_ in rows)]))
-        plain = (F.length(mask) == 1) & ~first.isin("\n", " ", "\t", "\r", "\x0b", "\x0c") & ~F.regexp_like(first, F.lit("[A-Za-z0-9_]")) & ~alone
+        first, size = F.substring(mask, 1, 1), F.length(mask)
+        opened = F.concat(F.col("language"), F.lit(" "), mask)
         # No string or comment that begins with a letter ends with one.
         named = F.regexp_like(F.concat(first, F.substring(mask, -1, 1)), F.lit(r"^[A-Za-z_][\w.]$"))
-        out = F.when(named, "name").when(mask == "\n", "newline").when(mask.startswith("\n"), "heredoc").when(plain, "op")
-        out = out.when(alone | self._opened(self.comments, mask), "comment").when(self._opened(self.strings, mask), "string")
-        return out.when(F.regexp_like(first, F.lit("[0-9]")), "number").when(F.trim(F.regexp_replace(first, r"[\t\r]", " ")) == "", "space").otherwise("op")
+        alone = {o for rows in self.comments.values() for o, c, _ in rows if c == "\n" and len(o) == 1}
+        blank = F.regexp_like(first, F.lit(r"^[ \t\r]"))
+        out = F.when(named, "name").when(mask == "\n", "newline").when(blank, "space")
+        out = out.when((size == 1) & ~first.isin("", *alone), F.when(F.regexp_like(first, F.lit("^[0-9]")), "number").otherwise("op")).when(first == "\n", "heredoc")
+        out = out.when(F.regexp_like(opened, F.lit(self._opening(self.comments, ""))), "comment").when(F.regexp_like(opened, F.lit(self._opening(self.strings, r"[\s\S]"))), "string")
+        return out.when(F.regexp_like(first, F.lit("^[0-9]")), "number").otherwise("op")
 
     @cached_property
     def heredocs(self) -> list[str]:

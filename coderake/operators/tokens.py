@@ -61,7 +61,13 @@ def marked(text: Column, base: int = _RANGES[0]) -> Column:
 
 def _translated(text: Column, base: int, to: int) -> Column:
     private = _private(base)
-    return F.when(F.regexp_like(text, F.lit(f"[{chr(base)}-{chr(base + 255)}]")), F.translate(text, private[0], private[to])).otherwise(text)
+    return F.when(F.octet_length(text) == F.length(text), text).otherwise(F.translate(text, private[0], private[to]))
+
+
+def _back(text: Column, to: int) -> Column:
+    """The same, by the private characters of the text's file (a column): a short expression, as it runs for each token, and
+    Java compiles no method of more than 8,000 bytes. Plain ASCII has no private characters."""
+    return F.when(F.octet_length(text) == F.length(text), text).otherwise(F.call_function("translate", text, F.col("private"), F.lit(_private(_RANGES[0])[to])))
 
 
 def plain_tokens(text: Column) -> Column:
@@ -113,18 +119,24 @@ def token_texts(files: DataFrame, languages: Languages = BUILT_IN) -> DataFrame:
 
 
 def tokens(files: DataFrame, keys: tuple[str, ...] = KEYS, languages: Languages = BUILT_IN) -> DataFrame:
-    """keys, blocks, bare, tok_no, kind, text, mask, off (code points), line_no, col_no (bytes, from 1), paren_depth and brace_depth
-    (before the token). files: keys and text; the rows of a file are dealt out together once, for all windows here."""
-    rows = lexed(files.repartition(keys[0]), languages).select(*keys, "blocks", "bare", "second", F.posexplode("raws").alias("tok_no", "raw"))
-    either = lambda to: F.when(F.col("second"), _translated(F.col("raw"), _RANGES[1], to)).otherwise(_translated(F.col("raw"), _RANGES[0], to))
-    rows = rows.select(*keys, "blocks", "bare", "tok_no", either(2).alias("mask"), either(1).alias("source"))
+    """keys, blocks, bare, tok_no, kind, text, mask, off (code points), line_no, col_no (bytes, from 1), paren_depth,
+    brace_depth and breaks (line breaks that are tokens; all three before the token). files: keys and text; the rows of a
+    file are dealt out together once, for all windows here."""
+    # As many parts as other shuffles have at first: texts are small beside their tokens, so parts that look small are not
+    # to be put together.
+    parts = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = lexed(files.repartition(parts, keys[0]), languages).withColumn("private", F.when(F.col("second"), _private(_RANGES[1])[0]).otherwise(_private(_RANGES[0])[0]))
+    # Not posexplode: Spark would infer that the array has items, and lex each text once more to see that, before the texts
+    # are dealt out.
+    rows = rows.select(*keys, "blocks", "bare", "private", F.posexplode_outer("raws").alias("tok_no", "raw")).where("tok_no IS NOT NULL")
+    rows = rows.select(*keys, "blocks", "bare", "tok_no", _back(F.col("raw"), 2).alias("mask"), _back(F.col("raw"), 1).alias("source"))
     before = Window.partitionBy(*keys).orderBy("tok_no").rowsBetween(Window.unboundedPreceding, -1)
     so_far = lambda what: F.coalesce(F.sum(what).over(before), F.lit(0)).cast("int")
     step = lambda opening, closing: F.when(F.col("mask").isin(*opening), 1).when(F.col("mask").isin(*closing), -1).otherwise(0)
-    rows = rows.select("*", so_far(F.length("mask")).alias("off"), so_far(F.octet_length("source")).alias("byte_off"), (so_far(F.length("mask") - F.length(F.replace(F.col("mask"), F.lit("\n")))) + 1).alias("line_no"), so_far(step("([", ")]")).alias("paren_depth"), so_far(step("{", "}")).alias("brace_depth"))
+    rows = rows.select("*", so_far(F.length("mask")).alias("off"), so_far(F.octet_length("source")).alias("byte_off"), (so_far(F.length("mask") - F.length(F.replace(F.col("mask"), F.lit("\n")))) + 1).alias("line_no"), so_far(step("([", ")]")).alias("paren_depth"), so_far(step("{", "}")).alias("brace_depth"), so_far(F.col("mask").startswith("\n").cast("int")).alias("breaks"))
     after_break = F.col("byte_off") + F.octet_length("source") - F.octet_length(F.substring_index("source", "\n", -1))
     line_start = F.coalesce(F.max(F.when(F.contains("mask", F.lit("\n")), after_break)).over(before), F.lit(0))
-    return rows.select(*keys, "blocks", "bare", "tok_no", languages.kind(F.col("mask")).alias("kind"), F.col("source").alias("text"), "mask", "off", "line_no", (F.col("byte_off") - line_start + 1).cast("int").alias("col_no"), "paren_depth", "brace_depth")
+    return rows.select(*keys, "blocks", "bare", "tok_no", languages.kind(F.col("mask")).alias("kind"), F.col("source").alias("text"), "mask", "off", "line_no", (F.col("byte_off") - line_start + 1).cast("int").alias("col_no"), "paren_depth", "brace_depth", "breaks")
 
 
 def of_kinds(rows: DataFrame, *kinds: str) -> DataFrame:
@@ -146,29 +158,44 @@ def _ends_value(kind: Column, mask: Column, roles: Column) -> Column:
     return ((kind == "name") & (~has(roles, "keyword") | has(roles, "value"))) | kind.isin("number", "string") | mask.isin(")", "]", "}")
 
 
-def _with_units(rows: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+def _with_units(code: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     """Adds unit_no, which counts the statements of one bracket level, unit_end, the last code token of the statement (with
-    the sign that ends it, but for the bracket around it), and unit_last, the last one without. Braces of literals end
-    nothing around them; a bracket's end closes the statement in it; a line does not end it where more must follow. Where
-    words make blocks, these and words behind a statement end it too."""
-    before = Window.partitionBy(*keys).orderBy("tok_no").rowsBetween(Window.unboundedPreceding, -1)
-    is_code = ~F.col("kind").isin(*TRIVIA)
-    rows = rows.select("*", F.last(F.when(is_code, F.struct("mask", "tok_no", "kind", "roles", "line_no")), ignorenulls=True).over(before).alias("b"), F.last(F.when(F.col("mask").isin("case", "default", ";", "{", "}", "?"), F.col("mask")), ignorenulls=True).over(before).alias("mark_before"))
-    literal = (F.col("blocks") == "indent") | F.col("b.mask").isin(*BEFORE_LITERALS) | ((F.col("b.mask") == ":") & ~F.coalesce(F.col("mark_before").isin("case", "default"), F.lit(False)))
-    behind = F.coalesce((F.col("b.line_no") == F.col("line_no")) & _ends_value(F.col("b.kind"), F.col("b.mask"), F.col("b.roles")), F.lit(False))
-    named = (F.col("kind") == "name") & ~F.coalesce(F.col("b.mask") == ".", F.lit(False))
+    the sign that ends it, but for the bracket around it), unit_last, the last one without, behind, and what the level's
+    order gives: outer and chain_start. Braces of literals end nothing around them; a bracket's end closes the statement in
+    it; a line does not end it where more must follow. Where words make blocks, these and words behind a statement end it
+    too. A line break stands at the level of the code token after it, so that code tokens tell all statements apart."""
+    literal = (F.col("blocks") == "indent") | F.col("prev").isin(*BEFORE_LITERALS) | ((F.col("prev") == ":") & ~F.coalesce(F.col("mark_before").isin("case", "default"), F.lit(False)))
+    behind = F.coalesce((F.col("prev_line") == F.col("line_no")) & _ends_value(F.col("prev_kind"), F.col("prev"), F.col("prev_roles")), F.lit(False))
+    named = (F.col("kind") == "name") & ~F.coalesce(F.col("prev") == ".", F.lit(False))
     word_ends = (F.col("blocks") == "words") & named & (has("roles", "end") | (has("roles", "modifier") & behind))
-    line_ends = (F.col("kind") == "heredoc") | ((F.col("kind") == "newline") & ~F.coalesce(F.col("b.mask").isin(*GOES_ON), F.lit(False)))
-    ends = F.col("mask").isin(";", "}", ")", "]") | ((F.col("mask") == "{") & ~F.coalesce(literal, F.lit(False))) | line_ends | word_ends
-    level = [*keys, "paren_depth", "brace_depth"]
-    rows = rows.withColumn("behind", behind).withColumn("word_ends", word_ends).withColumn("ends", ends)
-    rows = rows.withColumn("unit_no", F.coalesce(F.count_if("ends").over(Window.partitionBy(*level).orderBy("tok_no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    unit = Window.partitionBy(*level, "unit_no")
-    around = F.col("mask").isin(")", "}") & ((F.col("paren_depth") != 0) | (F.col("brace_depth") != 0))
-    unit_end = F.max(F.when(F.col("ends"), F.when(is_code & ~F.col("word_ends") & ~around, F.col("tok_no")).otherwise(F.col("b.tok_no")))).over(unit)
-    unit_last = F.max(F.when(F.col("ends"), F.col("b.tok_no"))).over(unit)
-    file_end = F.max(F.when(is_code, F.col("tok_no"))).over(Window.partitionBy(*keys))
-    return rows.withColumn("unit_end", F.coalesce(unit_end, file_end)).withColumn("unit_last", F.coalesce(unit_last, file_end)).drop("b", "mark_before", "ends", "word_ends")
+    begins = F.coalesce((F.col("breaks") > F.col("prev_breaks")) & ~F.col("prev").isin(*GOES_ON), F.lit(False))
+    ends = F.col("mask").isin(";", "}", ")", "]") | ((F.col("mask") == "{") & ~F.coalesce(literal, F.lit(False)))
+    rows = code.select("*", behind.alias("behind"), word_ends.alias("word_ends"), (ends | word_ends).alias("ends"), begins.alias("begins"))
+
+    levels = [*keys, "paren_depth", "brace_depth"]
+    level = Window.partitionBy(*levels).orderBy("tok_no")
+    before, upto = level.rowsBetween(Window.unboundedPreceding, -1), level.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    opener = F.struct(F.col("prev_tok").alias("tok"), F.col("prev").alias("mask"), F.col("prev2_roles").alias("before"))
+    is_name, closed = F.col("kind") == "name", F.col("prev").isin(")", "]")
+    called = F.col("mask").isin("(", "[") & one_statement(F.col("prev_line"), F.col("line_no")) & (((F.col("prev_kind") == "name") & ~has("prev_roles", "keyword")) | closed)
+    arrow = ((F.col("mask") == "-") & (F.col("next") == ">") & closed) | ((F.col("mask") == ">") & (F.col("prev") == "-") & F.col("prev2").isin(")", "]")) | (is_name & (F.col("prev") == ">") & (F.col("prev2") == "-"))
+    goes_on = (F.col("mask") == ".") | (is_name & F.col("prev").isin(".", "new")) | called | arrow
+    rows = rows.select(
+        "*",
+        (F.coalesce(F.count_if("ends").over(before), F.lit(0)) + F.count_if("begins").over(upto)).alias("unit_no"),
+        F.lead(F.when(F.col("begins"), F.col("prev_tok"))).over(level).alias("broken_at"),
+        F.last(F.when(F.col("prev").isin("(", "[", "{"), opener), ignorenulls=True).over(level).alias("outer"),
+        F.last(F.when(~F.coalesce(goes_on, F.lit(False)), F.col("tok_no")), ignorenulls=True).over(upto).alias("chain_start"),
+    )
+    # At the file's own level nothing is around a token, whatever came before.
+    deep = (F.col("paren_depth") != 0) | (F.col("brace_depth") != 0)
+    unit = Window.partitionBy(*levels, "unit_no")
+    around = F.col("mask").isin(")", "}") & deep
+    own_end = F.when(F.col("ends"), F.when(~F.col("word_ends") & ~around, F.col("tok_no")).otherwise(F.col("prev_tok"))).otherwise(F.col("broken_at"))
+    own_last = F.when(F.col("ends"), F.col("prev_tok")).otherwise(F.col("broken_at"))
+    file_end = F.max("tok_no").over(Window.partitionBy(*keys))
+    rows = rows.withColumns({"outer": F.when(deep, F.col("outer")), "unit_end": F.coalesce(F.max(own_end).over(unit), file_end), "unit_last": F.coalesce(F.max(own_last).over(unit), file_end)})
+    return rows.drop("mark_before", "ends", "word_ends", "begins", "broken_at", "breaks", "prev_breaks")
 
 
 def one_statement(line: Column, next_line: Column) -> Column:
@@ -184,32 +211,20 @@ def code_tokens(rows: DataFrame, keys: tuple[str, ...] = KEYS, languages: Langua
     (it follows an expression on its line), and for a closing bracket the tokens before its opening one."""
     p = Window.partitionBy(*keys).orderBy("tok_no")
     # A row for each word of each language: small by nature.
-    worded = rows.join(F.broadcast(languages.words(rows.sparkSession)), ["language", "mask"], "left").withColumn("roles", F.coalesce("roles", F.lit(0)))
-    code = _with_units(worded, keys).where(~F.col("kind").isin(*TRIVIA))
-    code = code.withColumn("parts", F.when(F.col("kind") == "name", chain_parts(F.col("mask")))).withColumn("bin", F.expr(f"tok_no div {BIN}").cast("int"))
-    beside = {"prev": ("mask", -1), "prev2": ("mask", -2), "prev_kind": ("kind", -1), "prev_tok": ("tok_no", -1), "prev_line": ("line_no", -1), "prev_roles": ("roles", -1), "prev2_roles": ("roles", -2), "next": ("mask", 1), "next_kind": ("kind", 1), "next_off": ("off", 1), "next_tok": ("tok_no", 1), "next_line": ("line_no", 1), "next_roles": ("roles", 1), "next2_tok": ("tok_no", 2), "next2_off": ("off", 2)}
+    code = rows.where(~F.col("kind").isin(*TRIVIA)).drop("text").join(F.broadcast(languages.words(rows.sparkSession)), ["language", "mask"], "left").withColumn("roles", F.coalesce("roles", F.lit(0)))
+    beside = {"prev": ("mask", -1), "prev2": ("mask", -2), "prev_kind": ("kind", -1), "prev_tok": ("tok_no", -1), "prev_line": ("line_no", -1), "prev_roles": ("roles", -1), "prev2_roles": ("roles", -2), "prev_breaks": ("breaks", -1), "next": ("mask", 1), "next_kind": ("kind", 1), "next_off": ("off", 1), "next_tok": ("tok_no", 1), "next_line": ("line_no", 1), "next_roles": ("roles", 1), "next2_tok": ("tok_no", 2), "next2_off": ("off", 2)}
     at = lambda c, n: F.lead(c, n).over(p) if n > 0 else F.lag(c, -n).over(p)
-    code = code.select("*", *[at(c, n).alias(name) for name, (c, n) in beside.items()], F.lag(F.col("off") + F.length("mask")).over(p).alias("prev_end"))
-    level = Window.partitionBy(*keys, "paren_depth", "brace_depth").orderBy("tok_no")
-    opener = F.struct(F.col("prev_tok").alias("tok"), F.col("prev").alias("mask"), F.col("prev2_roles").alias("before"))
-    code = code.withColumn("outer", F.last(F.when(F.col("prev").isin("(", "[", "{"), opener), ignorenulls=True).over(level))
-    # At the file's own level nothing is around a token, whatever came before.
-    code = code.withColumn("outer", F.when((F.col("paren_depth") != 0) | (F.col("brace_depth") != 0), F.col("outer")))
-    is_name, closed = F.col("kind") == "name", F.col("prev").isin(")", "]")
-    called = F.col("mask").isin("(", "[") & one_statement(F.col("prev_line"), F.col("line_no")) & (((F.col("prev_kind") == "name") & ~has("prev_roles", "keyword")) | closed)
-    arrow = ((F.col("mask") == "-") & (F.col("next") == ">") & closed) | ((F.col("mask") == ">") & (F.col("prev") == "-") & F.col("prev2").isin(")", "]")) | (is_name & (F.col("prev") == ">") & (F.col("prev2") == "-"))
-    goes_on = (F.col("mask") == ".") | (is_name & F.col("prev").isin(".", "new")) | called | arrow
-    code = code.withColumn("chain_start", F.last(F.when(~F.coalesce(goes_on, F.lit(False)), F.col("tok_no")), ignorenulls=True).over(level.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    mark = F.last(F.when(F.col("mask").isin("case", "default", ";", "{", "}", "?"), F.col("mask")), ignorenulls=True).over(p.rowsBetween(Window.unboundedPreceding, -1))
+    code = code.select("*", *[at(c, n).alias(name) for name, (c, n) in beside.items()], F.lag(F.col("off") + F.length("mask")).over(p).alias("prev_end"), mark.alias("mark_before"))
+    code = _with_units(code, keys)
     bracket = F.when(F.col("mask").isin("(", "[", ")", "]"), "paren").when(F.col("mask").isin("{", "}"), "brace").otherwise("none")
     opens = F.col("mask").isin("(", "[", "{").cast("int")
     pair = F.when(bracket == "paren", F.col("paren_depth") + opens).when(bracket == "brace", F.col("brace_depth") + opens).otherwise(0)
-    code = code.withColumn("bracket", bracket).withColumn("pair", pair)
+    code = code.select("*", bracket.alias("bracket"), pair.alias("pair"), (opens == 1).alias("opens"))
     # Other tokens have no bracket to match: each is a group of its own.
     b = Window.partitionBy(*keys, "bracket", "pair", F.when(F.col("bracket") == "none", F.col("tok_no")).otherwise(-1)).orderBy("tok_no")
-    close = F.when((F.col("bracket") != "none") & (opens == 1), F.lead("tok_no").over(b))
-    code = code.withColumn("close_tok", close).withColumn("close_prev_tok", F.when(F.col("close_tok").isNotNull(), F.lead("prev_tok").over(b)))
-    for name in ("prev", "prev_kind", "prev_tok", "prev_line", "prev_roles", "prev2_roles"):
-        code = code.withColumn(f"opener_{name}", F.when((F.col("bracket") == "paren") & (opens == 0), F.lag(name).over(b)))
-    for name in ("tok", "prev_tok"):
-        code = code.withColumn("next_close" if name == "tok" else f"next_close_{name}", F.lead(f"close_{name}").over(p))
-    return code.drop("bracket", "pair", "close_prev_tok")
+    closing = lambda c: F.when((F.col("bracket") != "none") & F.col("opens"), F.lead(c).over(b))
+    opening = lambda c: F.when((F.col("bracket") == "paren") & ~F.col("opens"), F.lag(c).over(b)).alias(f"opener_{c}")
+    code = code.select("*", closing("tok_no").alias("close_tok"), closing("prev_tok").alias("close_prev_tok"), *map(opening, ("prev", "prev_kind", "prev_tok", "prev_line", "prev_roles", "prev2_roles")))
+    code = code.select("*", F.lead("close_tok").over(p).alias("next_close"), F.lead("close_prev_tok").over(p).alias("next_close_prev_tok"), F.when(F.col("kind") == "name", chain_parts(F.col("mask"))).alias("parts"), F.expr(f"cast(tok_no div {BIN} AS int)").alias("bin"))
+    return code.drop("bracket", "pair", "opens", "close_prev_tok")

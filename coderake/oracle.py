@@ -110,7 +110,7 @@ CTES = {
     )""",
     "nm": f"(SELECT c.* FROM c0 c WHERE kind = 'name' AND NOT {keyword('language', 'mask')})",
     "oo": "(SELECT t.path, t.language, t.tok_no, t.mask, t.kind, coalesce(max(o.open_tok), -1) AS o FROM tok t LEFT JOIN pr o ON o.path = t.path AND o.open_tok < t.tok_no AND o.close_tok > t.tok_no WHERE t.kind NOT IN ('space', 'comment') GROUP BY ALL)",
-    "bd": f"(SELECT t.path, t.o, t.tok_no, t.kind FROM oo t LEFT JOIN c0 c ON c.path = t.path AND c.tok_no = t.tok_no LEFT JOIN (SELECT path, tok_no, lag(CASE WHEN kind NOT IN ('newline', 'heredoc') THEN mask END IGNORE NULLS) OVER (PARTITION BY path ORDER BY tok_no) AS before FROM oo) l ON l.path = t.path AND l.tok_no = t.tok_no WHERE t.mask = ';' OR t.kind = 'heredoc' OR (t.kind = 'newline' AND coalesce(l.before, '') NOT IN ({words(GOES_ON)})) OR coalesce({WORD_ENDS}, false) OR (t.mask = '{{' AND t.language <> 'python' AND coalesce(c.prev, '') NOT IN ({words(BEFORE_LITERALS)}) AND NOT (coalesce(c.prev, '') = ':' AND coalesce((SELECT arg_max(m.mask, m.tok_no) FROM c0 m WHERE m.path = t.path AND m.tok_no < t.tok_no AND m.mask IN ('case', 'default', ';', '{{', '}}', '?')), '') NOT IN ('case', 'default'))))",
+    "bd": f"(SELECT t.path, t.o, t.tok_no, t.kind FROM oo t LEFT JOIN c0 c ON c.path = t.path AND c.tok_no = t.tok_no LEFT JOIN (SELECT path, tok_no, lag(CASE WHEN kind NOT IN ('newline', 'heredoc') THEN mask END IGNORE NULLS) OVER (PARTITION BY path ORDER BY tok_no) AS before FROM oo) l ON l.path = t.path AND l.tok_no = t.tok_no WHERE t.mask = ';' OR (t.kind IN ('newline', 'heredoc') AND coalesce(l.before, '') NOT IN ({words(GOES_ON)})) OR coalesce({WORD_ENDS}, false) OR (t.mask = '{{' AND t.language <> 'python' AND coalesce(c.prev, '') NOT IN ({words(BEFORE_LITERALS)}) AND NOT (coalesce(c.prev, '') = ':' AND coalesce((SELECT arg_max(m.mask, m.tok_no) FROM c0 m WHERE m.path = t.path AND m.tok_no < t.tok_no AND m.mask IN ('case', 'default', ';', '{{', '}}', '?')), '') NOT IN ('case', 'default'))))",
     # Where a call begins: back over a member sign to the call or bracket it hangs on, as often as that goes.
     "back": f"(SELECT c.path, c.tok_no, CASE WHEN o.prev_kind = 'name' AND NOT {keyword('o.language', 'o.prev')} AND {same_statement('o.prev_line', 'o.line_no', 'o')} THEN o.prev_tok ELSE p.open_tok END AS pos FROM c0 c JOIN pr p ON p.path = c.path AND p.close_tok = CASE WHEN c.prev = '.' AND c.prev2 = ')' THEN c.prev2_tok END JOIN c0 o ON o.path = p.path AND o.tok_no = p.open_tok WHERE c.kind = 'name')",
     "hang": "(SELECT path, tok_no, tok_no AS pos FROM nm WHERE next = '(' OR language = 'ruby' UNION ALL SELECT h.path, h.tok_no, b.pos FROM hang h JOIN back b ON b.path = h.path AND b.tok_no = h.pos)",

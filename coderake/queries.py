@@ -222,8 +222,8 @@ _DOC_LEXED = "WITH t AS (SELECT doc_id, unnest(regexp_extract_all(regexp_replace
 @query(_DOC_LEXED)
 def p1_document_tokens(spark, d):
     """Tokens over whole documents; they cover each text."""
-    lexed = F.explode(tkn.plain_tokens(F.col("text"))).alias("mask")
-    rows = table(spark, d, "documents").select("doc_id", lexed)
+    lexed = F.explode_outer(tkn.plain_tokens(F.col("text"))).alias("mask")  # an inner one would lex each text twice
+    rows = table(spark, d, "documents").select("doc_id", lexed).where("mask IS NOT NULL")
     return rows.groupBy("doc_id").agg(F.count("*").alias("n_tokens"), F.sum(F.length("mask")).alias("n_chars"), F.count_if(tkn.plain_kind(F.col("mask")) == "name").alias("n_names"))
 
 

@@ -53,5 +53,6 @@ def code_lines(files: DataFrame, *keys: str) -> DataFrame:
     keys = keys or ("path", "language")
     parts = F.split("text", LINE_END)
     kept = F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
-    rows = files.where(F.length("text") > 0).select(*keys, F.posexplode(kept).alias("n", "line"))
+    # Not posexplode: a filter on the array's size would be inferred, and each text split twice.
+    rows = files.where(F.length("text") > 0).select(*keys, F.posexplode_outer(kept).alias("n", "line")).where("n IS NOT NULL")
     return rows.select(*keys, (F.col("n") + 1).alias("line_no"), "line")
