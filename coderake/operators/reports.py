@@ -91,16 +91,14 @@ def with_offsets(rows: DataFrame) -> DataFrame:
     """Rows of report_rows with ``at``, the byte at which each begins in the document. Rows are sorted in ranges; a range
     begins where those before it end, and its rows are added up inside it: no task sees more than a range, and only the
     ranges' sizes come to the driver."""
-    ranges = written(rows.orderBy(*PLACE).select("*", F.monotonically_increasing_id().alias("id")), "report")
+    ranges = written(rows.orderBy(*PLACE).select("*", F.monotonically_increasing_id().alias("id")), "report").withColumn("range_no", F.shiftright("id", 33))
     size = F.octet_length("value").cast("long") + 1
-    part = F.shiftright("id", 33)
     start, starts = 0, {}
-    for row in sorted(ranges.groupBy(part.alias("part")).agg(F.sum(size).alias("size")).collect()):
-        starts[row["part"]], start = start, start + row["size"]
-    begin = F.element_at(F.create_map(*[F.lit(x).cast("long") for pair in starts.items() for x in pair]), part) if starts else F.lit(0).cast("long")
-    inside = Window.partitionBy("part").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
-    rows = ranges.withColumn("part_", F.col("part")).withColumn("part", part).withColumn("at", begin + F.coalesce(F.sum(size).over(inside), F.lit(0)))
-    return rows.withColumn("part", F.col("part_")).drop("part_", "id")
+    for row in sorted(ranges.groupBy("range_no").agg(F.sum(size).alias("size")).collect()):
+        starts[row["range_no"]], start = start, start + row["size"]
+    begin = F.element_at(F.create_map(*[F.lit(x).cast("long") for pair in starts.items() for x in pair]), F.col("range_no")) if starts else F.lit(0).cast("long")
+    inside = Window.partitionBy("range_no").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
+    return ranges.withColumn("at", begin + F.coalesce(F.sum(size).over(inside), F.lit(0))).drop("range_no", "id")
 
 
 def report_digest(rows: DataFrame) -> DataFrame:

@@ -39,7 +39,8 @@ class Facts:
 
     @cached_property
     def code(self) -> DataFrame:
-        return self._kept(code_tokens(self.tokens, languages=self.languages))
+        # Not from the written tokens: texts are dealt out and ordered once for both, and most rules need no other token.
+        return self._kept(code_tokens(tokens(self.files, languages=self.languages), languages=self.languages))
 
     @cached_property
     def calls(self) -> DataFrame:
@@ -112,7 +113,7 @@ def cross_site_scripting(facts: Facts) -> DataFrame:
 
 def secret_lines(texts: DataFrame, *keys: str) -> DataFrame:
     """keys, line_no, column, match: credential words with a non-empty literal, by line, in code or plain text."""
-    rows = texts.where(F.regexp_like("text", F.lit(SECRET))).select(*keys, F.posexplode(F.split("text", LINE_END)).alias("n", "line"))
+    rows = texts.where(F.regexp_like("text", F.lit(SECRET))).select(*keys, F.posexplode_outer(F.split("text", LINE_END)).alias("n", "line"))
     # What stands between the matches gives the place of each, also where the same text occurs before.
     found, between = F.regexp_extract_all("line", F.lit(SECRET), F.lit(0)), F.split("line", SECRET, -1)
     rows = rows.select(*keys, (F.col("n") + 1).alias("line_no"), found.alias("found"), between.alias("between"), F.posexplode(found).alias("nth", "match"))
