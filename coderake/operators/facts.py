@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from coderake.functions.languages import BUILT_IN, Languages, has
-from coderake.operators.tokens import BIN, one_statement, token_texts
+from coderake.operators.elements import enclosing
+from coderake.operators.tokens import one_statement, token_texts
 
 ANONYMOUS = "<anonymous>"
 
@@ -41,12 +42,6 @@ def _before_operand() -> Column:
     return F.coalesce(gap & (word | symbol | F.col("next_kind").isin("number", "string") | F.col("next").isin("[", "@", "$")), F.lit(False))
 
 
-def in_bins(extents: DataFrame, size: int = BIN, first: str = "first_tok", last: str = "last_tok") -> DataFrame:
-    """Extents as a row for each bin of places that they touch, to meet what lies in them by (path, bin): the rows met are
-    about those inside, however long a file or a statement is."""
-    return extents.withColumn("bin", F.explode(F.sequence(F.expr(f"cast({first} div {size} AS int)"), F.expr(f"cast({last} div {size} AS int)"))))
-
-
 def arguments(code: DataFrame, found: DataFrame) -> DataFrame:
     """path, call_tok, arg_no (from 1), first_tok, last_tok: all that lies between the commas of the call's own brackets,
     literals and blocks included."""
@@ -97,9 +92,9 @@ def assignments(code: DataFrame) -> DataFrame:
     """path, language, tok_no (of the sign), start_tok, targets, target_chain, value_start, value_end, line_no, col_no, off
     (of the target): one row for each sign = or := of a statement, wherever it stands."""
     signs = _signs(code)
-    left = in_bins(signs.select("path", F.col("tok_no").alias("sign"), F.col("left_first").alias("first_tok"), F.col("left_last").alias("last_tok")).where("first_tok <= last_tok"))
-    rows = left.join(names(code).select("path", "bin", F.col("tok_no").alias("t"), "parts", "line_no", "col_no", "off"), ["path", "bin"]).where("t BETWEEN first_tok AND last_tok")
-    found = rows.groupBy("path", F.col("sign").alias("tok_no")).agg(
+    left = signs.select("path", F.col("tok_no").alias("key"), F.col("left_first").alias("first_tok"), F.col("left_last").alias("last_tok"))
+    rows = enclosing(left, names(code).select("path", F.col("tok_no").alias("t"), "parts", "line_no", "col_no", "off"))
+    found = rows.groupBy("path", F.col("key").alias("tok_no")).agg(
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("parts")))).alias("targets"),
         F.max(F.struct("t", "parts")).alias("target"),
         F.min(F.struct("t", "line_no", "col_no", "off")).alias("first"),
@@ -109,8 +104,7 @@ def assignments(code: DataFrame) -> DataFrame:
 
 def extent_identifiers(code: DataFrame, extents: DataFrame) -> DataFrame:
     """Adds names (distinct, sorted) to extents (path, key, first_tok, last_tok): the identifiers inside."""
-    inner = names(code).select("path", "bin", F.col("tok_no").alias("t"), "parts")
-    rows = in_bins(extents).join(inner, ["path", "bin"]).where("t BETWEEN first_tok AND last_tok")
+    rows = enclosing(extents, names(code).select("path", F.col("tok_no").alias("t"), "parts"))
     return rows.groupBy("path", "key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("parts")))).alias("names"))
 
 
@@ -145,10 +139,17 @@ def _brace_headers(code: DataFrame) -> DataFrame:
     return by_word.unionByName(bare).unionByName(arrow).where("close_tok IS NOT NULL")
 
 
+def _last_line(line: str, mask: str) -> Column:
+    """The line in which a token ends."""
+    return F.col(line) + F.length(mask) - F.length(F.replace(F.col(mask), F.lit("\n")))
+
+
 def indented_lines(code: DataFrame) -> DataFrame:
-    """Lines with code of languages with indented blocks that begin a statement: path, line_no, indent, first, tok_no, last_tok."""
-    rows = code.where("blocks = 'indent'").groupBy("path", "line_no").agg(F.min(F.struct("tok_no", "mask", "col_no", "paren_depth")).alias("f"), F.max("tok_no").alias("last_tok"))
-    return rows.where("f.paren_depth = 0").select("path", "line_no", (F.col("f.col_no") - 1).alias("indent"), F.col("f.mask").alias("first"), F.col("f.tok_no").alias("tok_no"), "last_tok")
+    """Lines with code of languages with indented blocks that begin a statement, in no bracket: path, line_no, indent, first, tok_no, last_tok,
+    before (tok_no of the code token before the line, and line_no, where that ends)."""
+    before = F.struct(F.col("prev_tok").alias("tok_no"), _last_line("prev_line", "prev").cast("int").alias("line_no")).alias("before")
+    rows = code.where("blocks = 'indent'").groupBy("path", "line_no").agg(F.min(F.struct("tok_no", "mask", "col_no", "paren_depth", "brace_depth", before)).alias("f"), F.max("tok_no").alias("last_tok"))
+    return rows.where("f.paren_depth = 0 AND f.brace_depth = 0").select("path", "line_no", (F.col("f.col_no") - 1).alias("indent"), F.col("f.mask").alias("first"), F.col("f.tok_no").alias("tok_no"), "last_tok", "f.before")
 
 
 def next_outside(lines: DataFrame, heads: DataFrame) -> DataFrame:
@@ -190,12 +191,11 @@ def functions(code: DataFrame) -> DataFrame:
     by_words = word_blocks(code).where(has("roles", "function")).where("close IS NOT NULL")
     by_words = by_words.select("path", "language", F.lit("words").alias("blocks"), name, F.col("tok_no").alias("start_tok"), F.col("close.tok_no").alias("end_tok"), F.col("line_no").alias("start_line"), F.col("close.line_no").alias("end_line"), "depth")
 
-    lines = indented_lines(code).withColumn("before", F.lag("line_no").over(Window.partitionBy("path").orderBy("line_no")))
+    lines = indented_lines(code)
     heads = code.where("blocks = 'indent'").where(has("roles", "function")).select("path", "language", name, F.col("tok_no").alias("start_tok"), F.col("line_no").alias("start_line"))
     heads = heads.join(lines.select("path", F.col("line_no").alias("start_line"), F.col("indent").alias("depth")), ["path", "start_line"])
-    last = lines.groupBy("path").agg(F.max("line_no").alias("file_end"))
-    rows = heads.join(next_outside(lines, heads), ["path", "start_line", "depth"], "left").join(last, "path")
-    rows = rows.withColumn("end_line", F.coalesce("n.before", "file_end")).withColumn("blocks", F.lit("indent"))
-    tails = code.groupBy("path", F.col("line_no").alias("end_line")).agg(F.max("tok_no").alias("end_tok"))
-    plain = rows.join(tails, ["path", "end_line"])
+    # A function ends with the last token before the next line outside, in whichever line a bracket or string lets that stand.
+    last = code.where("blocks = 'indent'").groupBy("path").agg(F.max(F.struct("tok_no", _last_line("line_no", "mask").cast("int").alias("line_no"))).alias("file_end"))
+    rows = heads.join(next_outside(lines, heads), ["path", "start_line", "depth"], "left").join(last, "path").withColumn("end", F.coalesce("n.before", "file_end"))
+    plain = rows.withColumn("end_line", F.col("end.line_no")).withColumn("end_tok", F.col("end.tok_no")).withColumn("blocks", F.lit("indent"))
     return braced.select(columns).unionByName(by_words.select(columns)).unionByName(plain.select(columns))

@@ -13,7 +13,8 @@ from coderake.functions.languages import BUILT_IN, Languages, has
 from coderake.functions.vocabulary import RULE_TEXT, SINKS
 from coderake.operators import facts as fact
 from coderake.operators import taint
-from coderake.operators.tokens import BIN, code_tokens, tokens
+from coderake.operators.elements import elements, enclosing
+from coderake.operators.tokens import code_tokens, tokens
 from coderake.plans.tables import written
 from coderake.sources.files import LINE_END
 
@@ -58,6 +59,10 @@ class Facts:
     def functions(self) -> DataFrame:
         return self._kept(fact.functions(self.code))
 
+    @cached_property
+    def elements(self) -> DataFrame:
+        return self._kept(elements(fact.names(self.code), self.calls, self.arguments, self.assignments, self.functions))
+
     @cached_property
     def metrics(self) -> DataFrame:
         return self._kept(function_metrics(self))
@@ -151,17 +156,15 @@ def line_levels(lines: DataFrame) -> DataFrame:
 def max_nesting(code: DataFrame, functions: DataFrame) -> DataFrame:
     """path, start_tok, max_nesting: blocks inside blocks, the body being the first."""
     literal = F.coalesce(F.col("prev").isin("=", "(", ",", ":", "[", "?", "return"), F.lit(False))
-    blocks = code.where((F.col("mask") == "{") & ~literal & (F.col("blocks") == "braces")).select("path", "bin", F.col("tok_no").alias("t"), (F.col("brace_depth") + 1).alias("level"))
-    blocks = blocks.unionByName(fact.word_blocks(code).select("path", F.expr(f"cast(tok_no div {BIN} AS int)").alias("bin"), F.col("tok_no").alias("t"), (F.col("depth") + 1).alias("level")))
+    blocks = code.where((F.col("mask") == "{") & ~literal & (F.col("blocks") == "braces")).select("path", F.col("tok_no").alias("t"), (F.col("brace_depth") + 1).alias("level"))
+    blocks = blocks.unionByName(fact.word_blocks(code).select("path", F.col("tok_no").alias("t"), (F.col("depth") + 1).alias("level")))
     spans = functions.select("path", "blocks", "start_tok", "end_tok", "start_line", "end_line", "depth")
-    braced = fact.in_bins(spans.where("blocks <> 'indent'"), first="start_tok", last="end_tok").join(blocks, ["path", "bin"]).where("t BETWEEN start_tok AND end_tok")
-    braced = braced.groupBy("path", "start_tok").agg((F.max("level") - F.max("depth")).cast("int").alias("max_nesting"))
+    braced = spans.where("blocks <> 'indent'").select("path", F.struct("start_tok", F.col("depth").alias("around")).alias("key"), F.col("start_tok").alias("first_tok"), F.col("end_tok").alias("last_tok"))
     levels = line_levels(fact.indented_lines(code))
-    heads = levels.select("path", F.col("line_no").alias("start_line"), F.col("level").alias("head_level"))
-    placed = levels.withColumn("bin", F.expr(f"cast(line_no div {BIN} AS int)"))
-    plain = fact.in_bins(spans.where("blocks = 'indent'").join(heads, ["path", "start_line"]), first="start_line", last="end_line")
-    plain = plain.join(placed, ["path", "bin"]).where("line_no > start_line AND line_no <= end_line").groupBy("path", "start_tok").agg((F.max("level") - F.max("head_level")).cast("int").alias("max_nesting"))
-    return braced.unionByName(plain)
+    heads = levels.select("path", F.col("line_no").alias("start_line"), F.col("level").alias("around"))
+    plain = spans.where("blocks = 'indent'").join(heads, ["path", "start_line"]).select("path", F.struct("start_tok", "around").alias("key"), (F.col("start_line") + 1).alias("first_tok"), F.col("end_line").alias("last_tok"))
+    found = enclosing(braced, blocks).unionByName(enclosing(plain, levels.select("path", F.col("line_no").alias("t"), "level")))
+    return found.groupBy("path", "key.start_tok").agg((F.max("level") - F.max("key.around")).cast("int").alias("max_nesting"))
 
 
 def function_metrics(facts: Facts) -> DataFrame:

@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from coderake.functions.vocabulary import TAINT_TERMS
-from coderake.operators.facts import in_bins, names
+from coderake.operators.elements import enclosing
+from coderake.operators.facts import names
 
 
 def _words(role: str, more: dict[str, list[str]] | None = None) -> Column:
@@ -44,12 +45,9 @@ def live_names(code: DataFrame, calls: DataFrame, extents: DataFrame, more: dict
     """path, key, t, parts, is_source: names in extents (path, key, first_tok, last_tok) that no sanitizer cuts off. A name
     is cut off by the largest sanitizer call around it that lies in the extent."""
     called = calls.select("path", F.col("tok_no").alias("t"), F.lit(True).alias("is_call"))
-    inner = names(code).select("path", "bin", F.col("tok_no").alias("t"), "parts").join(called, ["path", "t"], "left")
+    inner = names(code).select("path", F.col("tok_no").alias("t"), "parts").join(called, ["path", "t"], "left")
     inner = inner.withColumn("is_source", source_of(F.col("parts"), F.coalesce("is_call", F.lit(False))).isNotNull()).drop("is_call")
-    rows = in_bins(extents.select("path", "key", "first_tok", "last_tok")).join(inner, ["path", "bin"]).where("t BETWEEN first_tok AND last_tok")
-    cut = in_bins(sanitizer_calls(calls, more)).alias("s")
-    inside = (F.col("r.path") == F.col("s.path")) & (F.col("r.bin") == F.col("s.bin")) & (F.col("s.first_tok") >= F.col("r.first_tok")) & (F.col("s.last_tok") <= F.col("r.last_tok")) & F.col("r.t").between(F.col("s.first_tok"), F.col("s.last_tok"))
-    return rows.alias("r").join(cut, inside, "left_anti").select("path", "key", "t", "parts", "is_source")
+    return enclosing(extents, inner, sanitizer_calls(calls, more))
 
 
 def _value_extents(assigned: DataFrame) -> DataFrame:
@@ -63,8 +61,9 @@ def events(code: DataFrame, calls: DataFrame, assigned: DataFrame, more: dict[st
     none = F.array().cast("array<string>")
     made = assigned.join(live.withColumnRenamed("key", "tok_no"), ["path", "tok_no"], "left").select("path", F.col("start_tok").alias("ord"), F.when(F.col("is_source"), none).otherwise(F.col("targets")).alias("targets"), F.coalesce("idents", none).alias("idents"), F.when(F.col("is_source"), F.col("targets")).otherwise(none).alias("seeds"))
     found = sources(code, calls)
-    inner = names(code).select("path", "bin", F.col("tok_no").alias("t"), F.col("parts").alias("inner"))
-    whole = in_bins(found.where("source = 'call'"), first="tok_no", last="close_tok").join(inner, ["path", "bin"]).where("t BETWEEN tok_no AND close_tok").groupBy("path", "tok_no").agg(F.array_distinct(F.flatten(F.collect_list("inner"))).alias("seeds"))
+    inner = names(code).select("path", F.col("tok_no").alias("t"), F.col("parts").alias("inner"))
+    called = found.where("source = 'call'").select("path", F.col("tok_no").alias("key"), F.col("tok_no").alias("first_tok"), F.col("close_tok").alias("last_tok"))
+    whole = enclosing(called, inner).groupBy("path", F.col("key").alias("tok_no")).agg(F.array_distinct(F.flatten(F.collect_list("inner"))).alias("seeds"))
     own = found.where("source <> 'call'").select("path", "tok_no", F.when(F.col("source") == "member", F.col("parts")).otherwise(F.array_intersect("parts", _words("source_identifier"))).alias("seeds"))
     seen = whole.unionByName(own).select("path", F.col("tok_no").alias("ord"), none.alias("targets"), none.alias("idents"), "seeds")
     return made.unionByName(seen)

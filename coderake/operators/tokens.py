@@ -21,8 +21,6 @@ KEYS = ("path", "language")
 BEFORE_LITERALS = ("=", ":=", "(", ",", "[", "?", "return", "||", "&&", "const", "let", "var")
 #: A line that ends with one of these goes on in the next one.
 GOES_ON = (",", "=", ":=", "+", "-", "*", "&&", "||", ".")
-#: Tokens that meet in joins are bucketed by so many places.
-BIN = 64
 #: Kinds of tokens that are no code.
 TRIVIA = ("space", "newline", "comment", "heredoc")
 
@@ -206,7 +204,7 @@ def one_statement(line: Column, next_line: Column) -> Column:
 
 def code_tokens(rows: DataFrame, keys: tuple[str, ...] = KEYS, languages: Languages = BUILT_IN) -> DataFrame:
     """Tokens without white space, comments and bodies of heredocs, with what the facts need: roles (of words), parts (of
-    names), bin, the neighbours' text, close_tok of brackets, outer (the opening bracket around a token, and what stands
+    names), the neighbours' text, close_tok of brackets, outer (the opening bracket around a token, and what stands
     before that), chain_start (where the chain of members, calls and subscripts begins that a token continues), behind
     (it follows an expression on its line), and for a closing bracket the tokens before its opening one."""
     p = Window.partitionBy(*keys).orderBy("tok_no")
@@ -226,5 +224,5 @@ def code_tokens(rows: DataFrame, keys: tuple[str, ...] = KEYS, languages: Langua
     closing = lambda c: F.when((F.col("bracket") != "none") & F.col("opens"), F.lead(c).over(b))
     opening = lambda c: F.when((F.col("bracket") == "paren") & ~F.col("opens"), F.lag(c).over(b)).alias(f"opener_{c}")
     code = code.select("*", closing("tok_no").alias("close_tok"), closing("prev_tok").alias("close_prev_tok"), *map(opening, ("prev", "prev_kind", "prev_tok", "prev_line", "prev_roles", "prev2_roles")))
-    code = code.select("*", F.lead("close_tok").over(p).alias("next_close"), F.lead("close_prev_tok").over(p).alias("next_close_prev_tok"), F.when(F.col("kind") == "name", chain_parts(F.col("mask"))).alias("parts"), F.expr(f"cast(tok_no div {BIN} AS int)").alias("bin"))
+    code = code.select("*", F.lead("close_tok").over(p).alias("next_close"), F.lead("close_prev_tok").over(p).alias("next_close_prev_tok"), F.when(F.col("kind") == "name", chain_parts(F.col("mask"))).alias("parts"))
     return code.drop("bracket", "pair", "opens", "close_prev_tok")

@@ -216,6 +216,22 @@ def p10_code_only(spark, d):
     return tkn.code_only(facts(spark, d).tokens).groupBy("path").agg(F.count("*").alias("n_code"), F.sum(F.length("text")).alias("code_chars"))
 
 
+_ELEMENTS = """, e AS (SELECT path, 'assignment' AS kind, 0 AS rank, tok_no, 0 AS arg_no, start_tok AS first_tok, value_end AS last_tok FROM asg
+    UNION ALL SELECT path, 'value', 1, tok_no, 0, value_start, value_end FROM asg UNION ALL SELECT path, 'argument', 2, call_tok, arg_no, first_tok, last_tok FROM args
+    UNION ALL SELECT path, 'function', 3, start_tok, 0, start_tok, end_tok FROM fn UNION ALL SELECT path, 'call', 4, tok_no, 0, start_tok, close_tok FROM calls WHERE close_tok IS NOT NULL
+    UNION ALL SELECT path, 'name', 5, tok_no, 0, tok_no, tok_no FROM nm),
+  el AS MATERIALIZED (SELECT *, CAST(row_number() OVER (PARTITION BY path ORDER BY first_tok, last_tok DESC, rank, tok_no, arg_no) - 1 AS INT) AS place FROM e),
+  up AS (SELECT c.path, c.place, CAST(max(p.place) AS INT) AS parent, CAST(count(p.place) AS INT) AS depth FROM el c LEFT JOIN el p ON p.path = c.path AND p.place < c.place AND p.last_tok >= c.last_tok GROUP BY 1, 2),
+  down AS (SELECT p.path, p.place, CAST(max(c.place) AS INT) AS last_place FROM el p JOIN el c ON c.path = p.path AND c.place >= p.place AND c.first_tok <= p.last_tok GROUP BY 1, 2)
+  SELECT path, place, kind, tok_no, arg_no, first_tok, last_tok, coalesce(parent, -1) AS parent, depth, last_place FROM el JOIN up USING (path, place) JOIN down USING (path, place)"""
+
+
+@query(over("fn", _ELEMENTS))
+def p1_elements(spark, d):
+    """All elements of each file in pre-order, as nested sets; -1 stands for no parent."""
+    return facts(spark, d).elements.withColumn("parent", F.coalesce("parent", F.lit(-1)))
+
+
 _DOC_LEXED = "WITH t AS (SELECT doc_id, unnest(regexp_extract_all(regexp_replace(regexp_replace(regexp_replace(text, '\\\\[^\\n]', '~~', 'g'), '([A-Za-z0-9_])(?:->|::|\\?\\.)([A-Za-z_])', '\\1..\\2', 'g'), '([A-Za-z0-9_])(?:->|::|\\?\\.)([A-Za-z_])', '\\1..\\2', 'g'), " + q(PLAIN_LEXER) + ")) AS mask FROM documents) SELECT doc_id, count(*) AS n_tokens, CAST(sum(length(mask)) AS BIGINT) AS n_chars, count(*) FILTER (regexp_matches(mask, '^[A-Za-z_]')) AS n_names FROM t GROUP BY 1"
 
 
