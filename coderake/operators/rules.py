@@ -41,7 +41,8 @@ class Facts:
     @cached_property
     def code(self) -> DataFrame:
         # Not from the written tokens: texts are dealt out and ordered once for both, and most rules need no other token.
-        return self._kept(code_tokens(tokens(self.files, languages=self.languages), languages=self.languages))
+        found = code_tokens(tokens(self.files, languages=self.languages), languages=self.languages)
+        return written(found, "code", by="path") if self.persisted else found
 
     @cached_property
     def calls(self) -> DataFrame:

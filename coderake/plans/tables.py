@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: What names of tables in the catalog begin with.
+PREFIX = "coderake_"
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; only where that is unset in local mode (tests), one of our own."""
@@ -19,9 +22,22 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder, read back: plans that use it stay small, and any executor can be lost."""
+def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """df as a table in the shared folder, read back: plans that use it stay small, and any executor can be lost. by: a column
+    by which df's rows are dealt out in as many parts as spark.sql.shuffle.partitions; the table remembers that, so windows
+    and groups by it (and more) shuffle nothing. Such a table has an entry in the session's catalog until release()."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/coderake/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    own = f"{name}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/coderake/{own}"
+    if by is None:
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.bucketBy(parts, by).format("parquet").option("path", path).saveAsTable(PREFIX + own)
+    return spark.table(PREFIX + own)
+
+
+def release(spark: SparkSession) -> None:
+    """Drops this library's entries from the session's catalog; files stay for whoever owns the shared folder."""
+    for table in spark.catalog.listTables(pattern=f"{PREFIX}*"):
+        spark.sql(f"DROP TABLE IF EXISTS `{table.name}`")

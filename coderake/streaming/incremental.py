@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from coderake.plans.scan import scan
+from coderake.plans.tables import release
 from coderake.sources.files import plain_path
 
 SCHEMA = "path string, modificationTime timestamp, length long, content binary"
@@ -25,5 +26,6 @@ def scan_stream(files: DataFrame, out: str, checkpoint: str, **options):
         done = scan(batch, **options)
         done.found.write.mode("overwrite").parquet(f"{out}/findings/batch={batch_id}")
         done.summary.write.mode("overwrite").parquet(f"{out}/summary/batch={batch_id}")
+        release(batch.sparkSession)  # else each micro-batch would leave an entry in the catalog
 
     return files.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(each).start()

@@ -4,8 +4,10 @@ import random
 import time
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from coderake.operators import rules as rul
 from coderake.operators.elements import enclosing
 from tests.test_scan import facts, texts
 
@@ -61,3 +63,19 @@ def test_functions_end_with_their_last_statement(spark):
     assert got == {"one": (1, 3, True), "two": (6, 9, True), "three": (12, 15, False), "four": (13, 13, False), "five": (17, 18, True), "six": (19, 25, True)}
     by_name = {r["name"]: (r["line_count"], r["max_nesting"]) for r in own.metrics.collect()}
     assert by_name == {"one": (3, 1), "two": (4, 1), "three": (4, 1), "four": (1, 0), "five": (2, 0), "six": (7, 2)}
+
+
+def test_code_stays_dealt_out_by_path(spark):
+    """Windows by path over the written code shuffle nothing, and its entry in the catalog can be dropped."""
+    from coderake.plans.tables import PREFIX, release
+
+    own = rul.Facts(texts(spark, ("a.py", "python", "x = f(y)\n"), ("b.py", "python", "z\n")), persisted=True)
+    rows = own.code.withColumn("n", F.count("*").over(Window.partitionBy("path", "brace_depth").orderBy("tok_no")))
+    assert {(r["path"], r["n"]) for r in rows.collect()} == {("a.py", n) for n in range(1, 7)} | {("b.py", 1)}
+    assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
+    before = spark.catalog.listTables(pattern=f"{PREFIX}*")
+    assert before
+    own_tables = rows.inputFiles()
+    release(spark)
+    assert not spark.catalog.listTables(pattern=f"{PREFIX}*")
+    assert spark.read.parquet(*own_tables).count() == 7
