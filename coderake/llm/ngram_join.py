@@ -6,14 +6,18 @@ asked for is each document's component under links.
 
 1. Order. Shingles are ordered by how often they occur (a fixed-size sketch of
    counts over all documents; any order is right, this one makes prefixes rare). Two
-   sets that link share one of their first n - ceil(0.8 n) + 1 shingles.
+   sets that link share one of their first n - ceil(0.8 n) + 1 shingles. The first one they
+   share leaves room for their overlap in both: a set keeps a shingle only if what comes from
+   there on reaches what a link with the smallest set of the shingle needs. So a passage that
+   very many documents begin to share late in their order brings no two of them together.
 2. Groups. Under each shared prefix shingle every set is compared with two leaders: the
    most central set, which shares most of its own prefix with others, and one by hash. A
    component of 64 sets or more that these links make is a group whose members need no
    further comparison; all other sets are grouped by the leader with which they share
    most shingles, and by size. Groups are dealt into cells of about 2^15 shingles.
-3. Matrix. (shingle, group) says that sets of a group have the shingle in a prefix. A set
-   looks up the groups that share one with it, the smaller group asking the larger (sets
+3. Matrix. (shingle, group) says that sets of a group have the shingle in a prefix, of which
+   sizes, and how much of a set may follow. A set looks up the groups that share a shingle
+   with it and leave room for a link, the smaller group asking the larger (sets
    grouped by leader also ask their own group). Sets travel to the cells of that group as
    bitmaps. In a task the cell's token union, the bitmaps' sum, bounds the overlap of each
    asking set with all members; only where that reaches 80 % of the set's size is the cell
@@ -21,7 +25,7 @@ asked for is each document's component under links.
    as whole sets, and an inverted index counts exact overlaps. A cell gives a spanning
    forest of the links found, never its pairs.
 
-A pair that links shares a prefix shingle, and under that shingle it is two sets (then one
+A pair that links keeps the first shingle it shares, and under that shingle it is two sets (then one
 is the other's leader), two members of one component, or a set that asks the other's
 group: so the components are exact, and a group of thousands of near copies costs a
 comparison with its leaders each and, for those that do not link with these, with cells.
@@ -44,7 +48,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from coderake.llm.common import parts, saved, tidy, tidy_groups
@@ -254,6 +258,15 @@ def linked(pairs: DataFrame, docs: DataFrame, distinct: DataFrame, n: int, perce
     return saved(both.where(100 * F.col("common") >= percent * (F.col("sizes") - F.col("common"))).select("a", "b"), "links")
 
 
+def _can_meet(percent: int) -> Column:
+    """Whether a set of n shingles may link with some of the sets that have a shingle, were it the first in their order that
+    the two have in common: what comes from there on, here (rest) and there (most of it in any), bounds their overlap, and
+    so much is needed with the smallest of them (low; high is the largest) that fits."""
+    smallest = F.greatest("low", F.ceil(percent * F.col("n") / 100))
+    fits = (100 * F.col("n") >= percent * F.col("low")) & (100 * F.col("high") >= percent * F.col("n"))
+    return fits & ((100 + percent) * F.least("rest", "most") >= percent * (F.col("n") + smallest))
+
+
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs. The id may be of any type that has an order."""
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
@@ -261,13 +274,15 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     distinct = saved(marks.where("n_shingles > 0").groupBy("sig1", "sig2").agg(F.min("doc_id").alias("rep")), "distinct-sets")
 
     prefix = saved(prefixes(docs, n, percent, sketch), "prefixes")
-    tokens = prefix.select("node", "n", F.explode("prefix").alias("token"))
-    several = saved(tokens.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("token"), "tokens-of-several")
+    # A prefix is in the order of shingles, the same for all sets: so many shingles of its set come from here on.
+    tokens = prefix.select("node", "n", F.posexplode("prefix").alias("pos", "token")).withColumn("rest", F.col("n") - F.col("pos")).drop("pos")
+    ends = tokens.groupBy("token").agg(F.min("node").alias("first"), F.max("node").alias("last"), F.min("n").alias("low"), F.max("n").alias("high"), F.max("rest").alias("most"))
+    several = saved(ends.where("first <> last").drop("first", "last"), "tokens-of-several")
     # A document's own prefix, however long, is what a window here holds.
     held = F.count("*").over(Window.partitionBy("node"))
-    shared = tokens.join(several, "token").distinct()
+    shared = tokens.join(several, "token").where(_can_meet(percent)).select("token", "node", "n", "rest").distinct()
     least = F.col("n") - F.ceil(percent * F.col("n") / 100) + 1
-    shared = saved(shared.select("token", "node", "n", (-F.floor(1000 * held / least)).alias("rank")), "shared-tokens")
+    shared = saved(shared.select("token", "node", "n", "rest", (-F.floor(1000 * held / least)).alias("rank")), "shared-tokens")
     sketches = saved(prefix.select("node", "n", "bits").dropDuplicates(["node"]).join(shared.select("node").distinct(), "node", "left_semi"), "bitmaps")
 
     met, several = _leaders(shared, percent)
@@ -317,14 +332,13 @@ def _placed(sketches: DataFrame, met: DataFrame, groups: DataFrame) -> DataFrame
 
 def _cell_links(shared: DataFrame, several: DataFrame, placed: DataFrame, sketches: DataFrame, docs: DataFrame, distinct: DataFrame, n: int, percent: int) -> DataFrame:
     """Links (a, b) that join what is left apart: between groups, and inside those that are no components."""
-    rows = saved(shared.select("token", "node").join(several, "token").join(placed, "node"), "grouped-tokens")
+    rows = saved(shared.select("token", "node", "rest").join(several, "token").join(placed, "node"), "grouped-tokens")
     apart = rows.groupBy("token").agg(F.min("g").alias("low"), F.max("g").alias("high")).where("low <> high OR low.loose").select("token")
     rows = saved(rows.join(apart, "token"), "tokens-of-groups")
-    matrix = saved(rows.groupBy("token", F.col("g").alias("b"), F.col("members").alias("mb"), "cells").agg(F.min("n").alias("low"), F.max("n").alias("high")), "matrix")
+    matrix = saved(rows.groupBy("token", F.col("g").alias("b"), F.col("members").alias("mb"), "cells").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("rest").alias("most")), "matrix")
     asks = (F.struct("members", "g") < F.struct("mb", "b")) | ((F.col("g") == F.col("b")) & F.col("g.loose"))
-    # Of the group's members with this shingle one at least has to be of a fitting size.
-    fits = (100 * F.col("n") >= percent * F.col("low")) & (100 * F.col("high") >= percent * F.col("n"))
-    asked = rows.drop("cells").join(matrix, "token").where(asks & fits).select("node", "n", F.col("b").alias("g"), "cells").distinct()
+    # A group is asked only if a set with the greatest overlap that its members with this shingle leave room for would link.
+    asked = rows.drop("cells").join(matrix, "token").where(asks & _can_meet(percent)).select("node", "n", F.col("b").alias("g"), "cells").distinct()
     asked = saved(asked, "asked")
     # A cell that very many ask is asked in several parts.
     parts = saved(asked.groupBy("g").agg(F.ceil(F.sum("n") / CELL_SHINGLES).cast("int").alias("parts")), "asked-groups")
