@@ -5,8 +5,8 @@ digest the one with the largest id is the response and the others revisit it. A
 join by digest brings each page its decision; there, a table of originals with copies that
 is small enough for Spark to broadcast spares shuffling payloads, else these move once.
 Archives are written with fresh headers, one gzip stream a file (no member a record, so a
-reader goes through a file from its start), and read back record by record through
-Content-Length. Payloads shorter than ``min_bytes`` are always stored.
+reader goes through a file from its start), and read back as a stream, record by record,
+through Content-Length. Payloads shorter than ``min_bytes`` are always stored.
 
 Cases: a null payload is empty; a null id is the smallest and writes no id header;
 repeated rows of the response's id are responses, too; a line break in a URL is
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coderake.llm.common import saved, shared_dir
+from coderake.llm.common import PART_BYTES, saved, shared_dir
 
 #: What ends every record.
 RECORD_END = "\r\n\r\n"
@@ -105,48 +105,53 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, archive_mb:
     records(rows, date).write.option("lineSep", RECORD_END).option("compression", "gzip").option("maxRecordsPerFile", most).text(path)
 
 
-def _parsed(data: bytes):
-    at = 0
-    while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        lines = data[at:end].decode().split("\r\n")
-        head = dict(x.split(": ", 1) for x in lines[1:])
-        size = int(head["Content-Length"])
-        block = data[end + 4 : end + 4 + size]
-        payload = block[block.index(b"\r\n\r\n") + 4 :]
-        at = end + 4 + size + 4
-        yield head, payload
+def _parsed(stream):
+    """Header and payload of each record of an open archive: no more than one record is in memory."""
+    while stream.readline():
+        head = {}
+        while line := stream.readline().rstrip(b"\r\n"):
+            name, value = line.decode().split(": ", 1)
+            head[name] = value
+        left, line = int(head["Content-Length"]), b""
+        while line != b"\r\n":
+            line = stream.readline()
+            left -= len(line)
+        yield head, stream.read(left)
+        stream.read(len(RECORD_END))
 
 
 def read_archives(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
-    """RECORD rows of the archives under path; the digest and length of a response are those of the bytes found."""
+    """RECORD rows of the archives under path; the digest and length of a response are those of the bytes found. A task
+    holds a compressed file, one record of it, and rows with some PART_BYTES of payload."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
     names = ["page_id", "url", "record_type", "payload_digest", "payload_bytes", "refers_to"] + ["payload"] * with_payload
     schema = ", ".join(x for x in RECORD.split(", ") if x.split()[0] in names)
 
     def read(batches):
         import gzip
+        import io
 
         kinds = {"page_id": pa.int64(), "payload_bytes": pa.int64(), "refers_to": pa.int64()}
         for batch in batches:
             for content in batch.column(0):
-                rows: dict[str, list] = {n: [] for n in names}
+                rows, held = {n: [] for n in names}, 0
 
                 def flush():
                     return pa.RecordBatch.from_arrays([pa.array(rows[n], kinds.get(n, pa.string())) for n in names], names=names)
 
-                for head, payload in _parsed(gzip.decompress(content.as_py())):
+                for head, payload in _parsed(gzip.GzipFile(fileobj=io.BytesIO(content.as_py()))):
                     stored = head["WARC-Type"] == "response"
                     number = lambda name: int(head[name]) if name in head else None  # noqa: E731, B023
                     found = {"page_id": number("X-Page-Id"), "url": head.get("WARC-Target-URI"), "record_type": head["WARC-Type"], "refers_to": number("X-Refers-To-Page-Id")}
                     found["payload_digest"] = base64.b32encode(hashlib.sha1(payload).digest()).decode() if stored else head["WARC-Payload-Digest"].removeprefix("sha1:")
                     found["payload_bytes"] = len(payload) if stored else number("X-Payload-Length")
-                    found["payload"] = payload.decode() if stored else None
+                    found["payload"] = payload.decode() if stored and with_payload else None
                     for n in names:
                         rows[n].append(found[n])
-                    if len(rows["page_id"]) >= 1000:
+                    held += 200 + len(payload) * with_payload
+                    if held >= PART_BYTES:
                         yield flush()
-                        rows = {n: [] for n in names}
+                        rows, held = {n: [] for n in names}, 0
                 yield flush()
 
     return files.mapInArrow(read, schema)
