@@ -1,6 +1,7 @@
 """Token counts under a unigram tokenizer by dynamic programming over a trie of pre-tokens.
 
-A pre-token is a word with a word-start mark before it. The distinct new pre-tokens of a
+A pre-token is a word (what lies between ASCII white space, as in the other operators) with a
+word-start mark before it. The distinct new pre-tokens of a
 batch are inserted in a trie; walking it, the forward score of a prefix (best sum of log
 probabilities of pieces, and how many pieces that takes) is computed once, however many
 words share the prefix, and the count at a word's end is stored. A document's count is
@@ -24,13 +25,14 @@ result. Only id and text are read.
 from __future__ import annotations
 
 import math
+import re
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from coderake.llm.common import parts, tidy
+from coderake.llm.common import WORD, parts, tidy
 
 #: The mark before a word, and the log probability of a byte that stands for itself.
 MARK, BYTE_SCORE = "▁", -18.0
@@ -114,7 +116,7 @@ def token_counts(docs: DataFrame, vocabulary: dict[str, float] | None = None, id
         forward = _SHARED[mark]
         for batch in batches:
             for part in parts(batch, 1):
-                words = [(t.as_py() or "").split() for t in part.column(1)]
+                words = [re.findall(WORD, t.as_py() or "") for t in part.column(1)]
                 found = forward.counts(set().union(*words))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(w) for w in words], pa.int64()), pa.array([sum(map(found.__getitem__, w)) for w in words], pa.int64())], names=schema.names)
 
@@ -122,4 +124,6 @@ def token_counts(docs: DataFrame, vocabulary: dict[str, float] | None = None, id
 
 
 def op8_token_counts(spark, sf_dir):
+    """Counts of all documents under a synthetic unigram model: the public vocabulary's pieces with probabilities by Zipf's
+    law of their ranks, not those of a trained tokenizer."""
     return token_counts(spark.read.parquet(f"{sf_dir}/documents.parquet"))
