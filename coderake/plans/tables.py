@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 #: What names of tables in the catalog begin with.
 PREFIX = "coderake_"
+#: What the innermost workspace of each thread owns: (name, path), or nothing outside of one.
+_OWNED = threading.local()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -25,10 +30,11 @@ def shared_dir(spark: SparkSession) -> str:
 def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """df as a table in the shared folder, read back: plans that use it stay small, and any executor can be lost. by: a column
     by which df's rows are dealt out in as many parts as spark.sql.shuffle.partitions; the table remembers that, so windows
-    and groups by it (and more) shuffle nothing. Such a table has an entry in the session's catalog until release()."""
+    and groups by it (and more) shuffle nothing. Such a table has an entry in the session's catalog until release(). In a
+    workspace a table lasts as long as that."""
     spark = df.sparkSession
     own = f"{name}_{uuid.uuid4().hex}"
-    path = f"{shared_dir(spark)}/coderake/{own}"
+    path = owned(f"{shared_dir(spark)}/coderake/{own}", PREFIX + own)
     if by is None:
         df.write.parquet(path)
         return spark.read.schema(df.schema).parquet(path)
@@ -37,6 +43,31 @@ def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     return spark.table(PREFIX + own)
 
 
+def owned(path: str, name: str | None = None) -> str:
+    """path, which the workspace around, if there is one, clears at its end, and the table of that name."""
+    if getattr(_OWNED, "tables", None) is not None:
+        _OWNED.tables.append((name, path))
+    return path
+
+
+@contextmanager
+def workspace(spark: SparkSession) -> Iterator[None]:
+    """What is written for plans in this block, by this thread, is for the block alone: at its end, also where it fails, the
+    tables leave the catalog and their files the shared folder. DataFrames over them are of no use afterwards, so write
+    or count what is to last. Workspaces may stand in each other, each clears its own, and what was written outside of them or by
+    others stays. A driver that is lost clears nothing."""
+    around, _OWNED.tables = getattr(_OWNED, "tables", None), []
+    try:
+        yield
+    finally:
+        mine, _OWNED.tables = _OWNED.tables, around
+        for name, path in mine:
+            if name is not None:
+                spark.sql(f"DROP TABLE IF EXISTS `{name}`")
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+
+
 def release(spark: SparkSession) -> None:
     """Drops this library's entries from the session's catalog; files stay for whoever owns the shared folder."""
     for table in spark.catalog.listTables(pattern=f"{PREFIX}*"):

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from coderake.plans.scan import scan
-from coderake.plans.tables import release
+from coderake.plans.tables import workspace
 from coderake.sources.files import plain_path
 
 SCHEMA = "path string, modificationTime timestamp, length long, content binary"
@@ -23,9 +23,10 @@ def scan_stream(files: DataFrame, out: str, checkpoint: str, **options):
     """Starts a query that writes each micro-batch's findings and summary as Parquet under out, once per batch id."""
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        done = scan(batch, **options)
-        done.found.write.mode("overwrite").parquet(f"{out}/findings/batch={batch_id}")
-        done.summary.write.mode("overwrite").parquet(f"{out}/summary/batch={batch_id}")
-        release(batch.sparkSession)  # else each micro-batch would leave an entry in the catalog
+        # What a micro-batch writes for itself goes with it.
+        with workspace(batch.sparkSession):
+            done = scan(batch, **options)
+            done.found.write.mode("overwrite").parquet(f"{out}/findings/batch={batch_id}")
+            done.summary.write.mode("overwrite").parquet(f"{out}/summary/batch={batch_id}")
 
     return files.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(each).start()
