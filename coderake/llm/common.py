@@ -12,6 +12,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from coderake.plans.tables import owned
+
 #: A word: anything between the six ASCII white space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -32,9 +34,10 @@ BATCH_BYTES, BATCH_OPTION = "16m", "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
-    """df written as a table in the shared folder and read back: its lineage ends there, and any executor can be lost."""
+    """df written as a table in the shared folder and read back: its lineage ends there, and any executor can be lost. It lasts
+    as long as the workspace around (coderake.plans.tables), if there is one."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/coderake/{name}-{uuid.uuid4().hex}"
+    path = owned(f"{shared_dir(spark)}/coderake/{name}-{uuid.uuid4().hex}")
     before = spark.conf.get(BATCH_OPTION, None)
     spark.conf.set(BATCH_OPTION, BATCH_BYTES)
     try:

@@ -3,8 +3,10 @@
 import gzip
 import io
 
-from coderake.llm import token_counts, warc
+from coderake.llm import mixing, ngram_join, token_counts, warc
+from coderake.plans.tables import workspace
 from tests.llm.test_operators import words
+from tests.test_tables import left
 
 
 def test_archives_with_large_pages_come_back_whole(spark, tmp_path):
@@ -43,3 +45,13 @@ def test_words_are_those_of_the_other_operators(spark):
     texts = ["héé ж 漢 \x1c y", "a b c", "x y\u0085z", " \t\n", "one\x0btwo\x0cthree", None]
     got = token_counts.token_counts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
     assert {r["doc_id"]: r["n_words"] for r in got} == {i: len(words(t)) for i, t in enumerate(texts)} == {0: 5, 1: 2, 2: 1, 3: 0, 4: 3, 5: 0}
+
+
+def test_operators_leave_nothing_in_the_shared_folder_of_a_workspace(spark):
+    rows = spark.createDataFrame([(1, "a b c d e f", "x"), (2, "A b c d e f", "y"), (3, "g", None)], "doc_id long, text string, source string")
+    before = left(spark)
+    with workspace(spark):
+        groups = {r["doc_id"]: r["component_id"] for r in ngram_join.near_duplicates(rows).collect()}
+        taken = mixing.mix(rows, mixing.cyclic_weights(rows)).count()
+        assert left(spark)[0] > before[0]
+    assert (groups, taken) == ({1: 1, 2: 1, 3: 3}, 3) and left(spark) == before
