@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.types import ArrayType, StructField, StructType
 
 #: Kinds of elements; of those with the same first and last token, the earlier one holds the later one.
 KINDS = ("assignment", "value", "argument", "function", "call", "name")
@@ -63,18 +63,28 @@ def _around(first: list[int], back: list[int], rank: list[int]) -> Iterator[tupl
                 yield i, j
 
 
+def _met(extents: DataFrame, points: DataFrame, barriers: DataFrame | None) -> tuple[DataFrame, StructField, StructType]:
+    """(path, items) of files that have both, with the types of a key and of a point. The extents and the points of a file are
+    listed each, and the lists joined: rows of tables that are dealt out by path stay where they are."""
+    key, point = extents.schema["key"].dataType, StructType([StructField(f.name, f.dataType) for f in points.schema if f.name != "path"])
+    no_key, no_point = F.lit(None).cast(key).alias("key"), F.lit(None).cast(point).alias("point")
+    own = F.struct(*[c for c in points.columns if c != "path"]).cast(point).alias("point")
+    listed = lambda rows, name, *item: rows.groupBy("path").agg(F.collect_list(_item(*item)).alias(name))
+    rows = listed(points.where("t IS NOT NULL"), "points", "t", "t", F.lit(POINT), no_key, own)
+    rows = rows.join(listed(extents.where("first_tok <= last_tok"), "extents", "first_tok", "last_tok", F.lit(EXTENT), F.col("key"), no_point), "path")
+    items = [F.col("extents"), F.col("points")]
+    if barriers is not None:
+        rows = rows.join(listed(barriers.where("first_tok <= last_tok"), "barriers", "first_tok", "last_tok", F.lit(BARRIER), no_key, no_point), "path", "left")
+        items.append(F.coalesce("barriers", F.array()))
+    return rows.select("path", F.array_sort(F.concat(*items)).alias("items")), StructField("key", key), point
+
+
 def enclosing(extents: DataFrame, points: DataFrame, barriers: DataFrame | None = None) -> DataFrame:
     """path, key, t and the other columns of points: a row for each point (path, t) and each extent (path, key, first_tok,
     last_tok) that it lies in, ends included. A barrier (path, first_tok, last_tok) keeps the points in it from the extents
     that it wholly lies in. Equal rows each count; extents that end before they begin hold nothing; a null bound leaves its
     row out."""
-    key, point = extents.schema["key"].dataType, StructType([StructField(f.name, f.dataType) for f in points.schema if f.name != "path"])
-    no_key, no_point = F.lit(None).cast(key).alias("key"), F.lit(None).cast(point).alias("point")
-    own = F.struct(*[c for c in points.columns if c != "path"]).cast(point).alias("point")
-    rows = extents.where("first_tok <= last_tok").select("path", _item("first_tok", "last_tok", F.lit(EXTENT), F.col("key"), no_point).alias("item"))
-    if barriers is not None:
-        rows = rows.unionByName(barriers.where("first_tok <= last_tok").select("path", _item("first_tok", "last_tok", F.lit(BARRIER), no_key, no_point).alias("item")))
-    rows = rows.unionByName(points.where("t IS NOT NULL").select("path", _item("t", "t", F.lit(POINT), no_key, own).alias("item")))
+    rows, key, point = _met(extents, points, barriers)
 
     def met(batches):
         for batch in batches:
@@ -84,8 +94,39 @@ def enclosing(extents: DataFrame, points: DataFrame, barriers: DataFrame | None
                 file, i, j = (pa.array(x, pa.int32()) for x in zip(*some))
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(file), keys.take(j), given.take(i)], names=["path", "key", "point"])
 
-    schema = StructType([extents.schema["path"], StructField("key", key), StructField("point", point)])
-    return _listed(rows).mapInArrow(met, schema).select("path", "key", "point.*")
+    return rows.mapInArrow(met, StructType([extents.schema["path"], key, StructField("point", point)])).select("path", "key", "point.*")
+
+
+def holding(extents: DataFrame, points: DataFrame, barriers: DataFrame | None = None) -> DataFrame:
+    """path, key, points: what ``enclosing`` gives as one row for each extent that holds any point, with these in order, as
+    structs of the columns of points; so nothing needs to be dealt out again to bring them together."""
+    rows, key, point = _met(extents, points, barriers)
+
+    def met(batches):
+        for batch in batches:
+            *_, keys, given = batch.column(1).flatten().flatten()
+            held: dict[int, list[int]] = {}
+            files, size = [], 0
+            for no, at, *bounds in _files(batch):
+                for i, j in _around(*bounds):
+                    if (own := held.get(at + j)) is None:
+                        own = held[at + j] = []
+                        files.append(no)
+                    own.append(at + i)
+                    size += 1
+                if size >= ROWS:
+                    yield _gathered(batch.column(0), keys, given, files, held)
+                    held, files, size = {}, [], 0
+            if held:
+                yield _gathered(batch.column(0), keys, given, files, held)
+
+    return rows.mapInArrow(met, StructType([extents.schema["path"], key, StructField("points", ArrayType(point))]))
+
+
+def _gathered(paths: pa.Array, keys: pa.Array, given: pa.Array, files: list[int], held: dict[int, list[int]]) -> pa.RecordBatch:
+    ends = np.cumsum([0, *map(len, held.values())])
+    points = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), given.take(pa.array([i for own in held.values() for i in own], pa.int64())))
+    return pa.RecordBatch.from_arrays([paths.take(pa.array(files, pa.int32())), keys.take(pa.array(list(held), pa.int64())), points], names=["path", "key", "points"])
 
 
 def _nested(first: list[int], back: list[int]) -> tuple[list[int | None], list[int], list[int]]:

@@ -21,6 +21,9 @@ from coderake.sources.files import LINE_END
 SECRET = r"""(?i)(?:token|secret|password|passwd|api_?key|credential)\w*\s*[:=]\s*(?:"[^"\n]+"|'[^'\n]+')"""
 FIX = "struct<description:string,before:string,after:string,diff:string,auto_applicable:boolean>"
 
+#: Bytes of texts in one part, at most on average: some 1.5 million tokens.
+PART_BYTES = 4 << 20
+
 
 class Facts:
     """Lazily planned facts about files (path, language, text). persisted: write tokens and facts, which most rules read,
@@ -31,18 +34,27 @@ class Facts:
         self.files, self.more, self.more_sinks = files, {"sanitizer": list(sanitizers)}, list(sinks)
         self.thresholds, self.location_mode, self.persisted = thresholds, location_mode, persisted
 
+    @cached_property
+    def parts(self) -> int:
+        """In how many parts files are dealt out: as many as other shuffles have at first, and more if their texts would make
+        these larger than PART_BYTES, so that no part's tokens spill however many files there are."""
+        least = int(self.files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        if not self.persisted:  # everything is to stay one lazy plan
+            return least
+        size = self.files.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+        return min(max(least, -(-size // PART_BYTES)), 100_000)
+
     def _kept(self, found: DataFrame) -> DataFrame:
-        return written(found, "facts") if self.persisted else found
+        return written(found, "facts", by="path", parts=self.parts) if self.persisted else found
 
     @cached_property
     def tokens(self) -> DataFrame:
-        return self._kept(tokens(self.files, languages=self.languages))
+        return self._kept(tokens(self.files, languages=self.languages, parts=self.parts))
 
     @cached_property
     def code(self) -> DataFrame:
-        # Not from the written tokens: texts are dealt out and ordered once for both, and most rules need no other token.
-        found = code_tokens(tokens(self.files, languages=self.languages), languages=self.languages)
-        return written(found, "code", by="path") if self.persisted else found
+        # Not from the written tokens: texts are dealt out once for both, and most rules need no other token.
+        return self._kept(code_tokens(tokens(self.files, languages=self.languages, parts=self.parts), languages=self.languages))
 
     @cached_property
     def calls(self) -> DataFrame:
@@ -73,7 +85,8 @@ class Facts:
         return self._kept(taint.tainted_names(taint.events(self.code, self.calls, self.assignments, self.more)))
 
     def located(self, extents: DataFrame) -> DataFrame:
-        return fact.located(self.files, self.code, extents, self.languages)
+        # Few beside tokens: dealt out by path like these, which then stay where they are.
+        return fact.located(self.files, self.code, extents.repartition(self.parts, "path") if self.persisted else extents)
 
     def sink_names(self, rule_id: str, kind: str) -> list[str]:
         return SINKS.get((rule_id, kind), []) + [n for r, k, n in self.more_sinks if (r, k) == (rule_id, kind)]
@@ -135,12 +148,10 @@ def hardcoded_secret(facts: Facts) -> DataFrame:
 
 def cyclomatic(code: DataFrame, functions: DataFrame) -> DataFrame:
     """path, start_tok, cyclomatic: one more than the branches inside, those of nested functions included."""
-    isin = has("roles", "branch") & F.col("kind").isin("name", "op")
-    # Branches up to the function's end, less those before it.
-    upto = F.count_if(isin).over(Window.partitionBy("path").orderBy("tok_no"))
-    counted = code.select("path", F.col("tok_no").alias("t"), upto.alias("upto"), isin.cast("int").alias("own"))
-    rows = functions.select("path", "start_tok", "end_tok").join(counted.select("path", F.col("t").alias("start_tok"), (F.col("upto") - F.col("own")).alias("before")), ["path", "start_tok"])
-    return rows.join(counted.select("path", F.col("t").alias("end_tok"), "upto"), ["path", "end_tok"]).select("path", "start_tok", (F.col("upto") - F.col("before") + 1).cast("int").alias("cyclomatic"))
+    branches = code.where(has("roles", "branch") & F.col("kind").isin("name", "op")).select("path", F.col("tok_no").alias("t"))
+    extents = functions.select("path", F.struct("start_tok", "end_tok").alias("key"), F.col("start_tok").alias("first_tok"), F.col("end_tok").alias("last_tok"))
+    inside = enclosing(extents, branches).groupBy("path", "key.start_tok", "key.end_tok").agg(F.count("*").alias("n"))
+    return functions.select("path", "start_tok", "end_tok").join(inside, ["path", "start_tok", "end_tok"], "left").select("path", "start_tok", (F.coalesce("n", F.lit(0)) + 1).cast("int").alias("cyclomatic"))
 
 
 def line_levels(lines: DataFrame) -> DataFrame:

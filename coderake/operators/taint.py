@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from coderake.functions.vocabulary import TAINT_TERMS
-from coderake.operators.elements import enclosing
-from coderake.operators.facts import names
+from coderake.operators.elements import enclosing, holding
+from coderake.operators.facts import called_names, names
 
 
 def _words(role: str, more: dict[str, list[str]] | None = None) -> Column:
@@ -29,10 +29,9 @@ def source_of(parts: Column, is_call: Column) -> Column:
     return F.when(call, "call").when(member, "member").when(F.arrays_overlap(parts, _words("source_identifier")), "identifier")
 
 
-def sources(code: DataFrame, calls: DataFrame) -> DataFrame:
+def sources(code: DataFrame) -> DataFrame:
     """path, language, tok_no, parts, close_tok (of calls), source: names that are sources."""
-    called = calls.select("path", "tok_no", "close_tok")
-    rows = names(code).select("path", "language", "tok_no", "parts").join(called, ["path", "tok_no"], "left")
+    rows = called_names(code).select("path", "language", "tok_no", "parts", "close_tok")
     return rows.withColumn("source", source_of(F.col("parts"), F.col("close_tok").isNotNull())).where("source IS NOT NULL")
 
 
@@ -41,13 +40,15 @@ def sanitizer_calls(calls: DataFrame, more: dict[str, list[str]] | None = None)
     return calls.where(F.array_contains(_words("sanitizer", more), F.col("callee"))).where("close_tok IS NOT NULL").select("path", F.col("tok_no").alias("first_tok"), F.col("close_tok").alias("last_tok"))
 
 
+def _inner_names(code: DataFrame) -> DataFrame:
+    """path, t, parts, is_source: all names."""
+    return called_names(code).select("path", F.col("tok_no").alias("t"), "parts", source_of(F.col("parts"), F.col("is_call")).isNotNull().alias("is_source"))
+
+
 def live_names(code: DataFrame, calls: DataFrame, extents: DataFrame, more: dict[str, list[str]] | None = None) -> DataFrame:
     """path, key, t, parts, is_source: names in extents (path, key, first_tok, last_tok) that no sanitizer cuts off. A name
     is cut off by the largest sanitizer call around it that lies in the extent."""
-    called = calls.select("path", F.col("tok_no").alias("t"), F.lit(True).alias("is_call"))
-    inner = names(code).select("path", F.col("tok_no").alias("t"), "parts").join(called, ["path", "t"], "left")
-    inner = inner.withColumn("is_source", source_of(F.col("parts"), F.coalesce("is_call", F.lit(False))).isNotNull()).drop("is_call")
-    return enclosing(extents, inner, sanitizer_calls(calls, more))
+    return enclosing(extents, _inner_names(code), sanitizer_calls(calls, more))
 
 
 def _value_extents(assigned: DataFrame) -> DataFrame:
@@ -57,16 +58,19 @@ def _value_extents(assigned: DataFrame) -> DataFrame:
 def events(code: DataFrame, calls: DataFrame, assigned: DataFrame, more: dict[str, list[str]] | None = None) -> DataFrame:
     """path, ord, targets, idents, seeds: assignments with their live names, and sources, in the order of the text. An
     assignment whose value holds a live source, and every source, seeds its names unconditionally."""
-    live = live_names(code, calls, _value_extents(assigned), more).groupBy("path", "key").agg(F.array_distinct(F.flatten(F.collect_list("parts"))).alias("idents"), F.max("is_source").alias("is_source"))
+    # An assignment without a live name taints nothing: one event without names stands for all of those of a file.
+    values = assigned.select("path", F.struct("start_tok", "targets").alias("key"), F.col("value_start").alias("first_tok"), F.col("value_end").alias("last_tok"))
     none = F.array().cast("array<string>")
-    made = assigned.join(live.withColumnRenamed("key", "tok_no"), ["path", "tok_no"], "left").select("path", F.col("start_tok").alias("ord"), F.when(F.col("is_source"), none).otherwise(F.col("targets")).alias("targets"), F.coalesce("idents", none).alias("idents"), F.when(F.col("is_source"), F.col("targets")).otherwise(none).alias("seeds"))
-    found = sources(code, calls)
+    live = holding(values, _inner_names(code), sanitizer_calls(calls, more)).withColumn("is_source", F.exists("points.is_source", lambda x: x))
+    made = live.select("path", F.col("key.start_tok").alias("ord"), F.when(F.col("is_source"), none).otherwise(F.col("key.targets")).alias("targets"), F.array_distinct(F.flatten("points.parts")).alias("idents"), F.when(F.col("is_source"), F.col("key.targets")).otherwise(none).alias("seeds"))
+    found = sources(code)
     inner = names(code).select("path", F.col("tok_no").alias("t"), F.col("parts").alias("inner"))
     called = found.where("source = 'call'").select("path", F.col("tok_no").alias("key"), F.col("tok_no").alias("first_tok"), F.col("close_tok").alias("last_tok"))
-    whole = enclosing(called, inner).groupBy("path", F.col("key").alias("tok_no")).agg(F.array_distinct(F.flatten(F.collect_list("inner"))).alias("seeds"))
+    whole = holding(called, inner).select("path", F.col("key").alias("tok_no"), F.array_distinct(F.flatten("points.inner")).alias("seeds"))
     own = found.where("source <> 'call'").select("path", "tok_no", F.when(F.col("source") == "member", F.col("parts")).otherwise(F.array_intersect("parts", _words("source_identifier"))).alias("seeds"))
     seen = whole.unionByName(own).select("path", F.col("tok_no").alias("ord"), none.alias("targets"), none.alias("idents"), "seeds")
-    return made.unionByName(seen)
+    no_more = assigned.select("path").distinct().select("path", F.lit(-1).alias("ord"), none.alias("targets"), none.alias("idents"), none.alias("seeds"))
+    return made.unionByName(seen).unionByName(no_more)
 
 
 def tainted_names(found: DataFrame) -> DataFrame:

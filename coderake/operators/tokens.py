@@ -4,15 +4,22 @@ Before lexing, each escape and each member sign between names becomes private-us
 one, so the lexers loop over single characters or possessively, no text can exhaust the regex engine's
 stack, and a token's original text comes back by translating it: no token row carries its file's text,
 and the work grows in proportion to a file's size. Tokens cover the text. Which lexer reads a file, and
-what its words mean, comes from joins with the rows of languages.
+what its words mean, comes from joins with the rows of languages. Running sums and neighbours within a file are taken over
+Arrow batches of whole files, as texts are dealt out by path and their tokens stay in order: nothing is sorted or spilled.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from coderake.functions.languages import BUILT_IN, Languages, has
+from coderake.functions.languages import BUILT_IN, ROLES, Languages
 
 #: A lexer for texts in no language: comments and strings as many languages have them.
 PLAIN_LEXER = r"""/\*[\s\S]*?\*/|//[^\n]*|`[^`]*`|"[^"\n]*"|'[^'\n]*'|[A-Za-z_][\w.]*|[0-9]+|==|!=|<=|>=|&&|\|\||:=|[ \t]+|[\s\S]"""
@@ -57,13 +64,8 @@ def marked(text: Column, base: int = _RANGES[0]) -> Column:
     return text
 
 
-def _translated(text: Column, base: int, to: int) -> Column:
-    private = _private(base)
-    return F.when(F.octet_length(text) == F.length(text), text).otherwise(F.translate(text, private[0], private[to]))
-
-
 def _back(text: Column, to: int) -> Column:
-    """The same, by the private characters of the text's file (a column): a short expression, as it runs for each token, and
+    """A token's mask or text, by the private characters of the text's file (a column): a short expression, as it runs for each token, and
     Java compiles no method of more than 8,000 bytes. Plain ASCII has no private characters."""
     return F.when(F.octet_length(text) == F.length(text), text).otherwise(F.call_function("translate", text, F.col("private"), F.lit(_private(_RANGES[0])[to])))
 
@@ -110,31 +112,131 @@ def _parted(token: Column) -> Column:
     return F.when(_is_heredoc(token), parts).otherwise(F.array(token))
 
 
-def token_texts(files: DataFrame, languages: Languages = BUILT_IN) -> DataFrame:
-    """(path, texts): each file's tokens as an array of their original texts."""
-    back = lambda base: F.transform("raws", lambda t: _translated(t, base, 1))
-    return lexed(files, languages).select("path", F.when(F.col("second"), back(_RANGES[1])).otherwise(back(_RANGES[0])).alias("texts"))
+def in_both_ranges(text: Column) -> Column:
+    """Whether some of a text's own characters are shown as what private ones stand for."""
+    return _second(text) & F.regexp_like(text, F.lit(f"[{chr(_RANGES[1])}-{chr(_RANGES[1] + 255)}]"))
+
+
+def _whole_files(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """The same rows in batches that part no file, of ROWS rows or more but for the last, and where files begin in each."""
+    held, size, last = [], 0, None
+    for batch in batches:
+        if batch.num_rows == 0:
+            continue
+        own = [batch.column(k) for k in keys]
+        differ = [np.asarray(pc.not_equal(c.slice(1), c.slice(0, len(c) - 1))) for c in own]
+        begins = np.concatenate([[last != [c[0].as_py() for c in own]], np.logical_or.reduce(differ)]).astype(bool)
+        last = [c[-1].as_py() for c in own]
+        at = int(np.flatnonzero(begins)[-1]) if begins.any() else 0
+        if begins.any() and size + at >= ROWS:
+            held.append((batch.slice(0, at), begins[:at]))
+            yield _joined(held)
+            held, size, batch, begins = [], 0, batch.slice(at), begins[at:]
+        held.append((batch, begins))
+        size += batch.num_rows
+    if held:
+        yield _joined(held)
+
+
+def _joined(held: list[tuple[pa.RecordBatch, np.ndarray]]) -> tuple[pa.RecordBatch, np.ndarray]:
+    return pa.Table.from_batches([b for b, _ in held]).combine_chunks().to_batches()[0], np.flatnonzero(np.concatenate([x for _, x in held]))
+
+
+def _ahead(values: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Sums of what stands before each row in its group; start: where each row's group begins."""
+    total = np.cumsum(values, dtype=np.int64) - values
+    return total - total[start]
+
+
+def _latest(here: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """The last row up to each one in its group where something holds, or -1."""
+    found = np.maximum.accumulate(np.where(here, np.arange(len(here)), -1))
+    return np.where(found >= start, found, -1)
+
+
+def _starts(begins: np.ndarray, size: int) -> np.ndarray:
+    """Where each row's group begins, given where groups do."""
+    return np.repeat(begins, np.diff(np.append(begins, size)))
+
+
+def _before(at: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """The rows of ``_latest`` as of the row before."""
+    moved = np.concatenate([[-1], at[:-1]])
+    return np.where(moved >= start, moved, -1)
+
+
+def _at(values: np.ndarray, rows: np.ndarray, none) -> np.ndarray:
+    return np.where(rows >= 0, values[rows], none)
+
+
+def _taken(column: pa.Array, rows: np.ndarray) -> pa.Array:
+    return column.take(pa.array(rows, pa.int64(), mask=rows < 0))
 
 
-def tokens(files: DataFrame, keys: tuple[str, ...] = KEYS, languages: Languages = BUILT_IN) -> DataFrame:
-    """keys, blocks, bare, tok_no, kind, text, mask, off (code points), line_no, col_no (bytes, from 1), paren_depth,
-    brace_depth and breaks (line breaks that are tokens; all three before the token). files: keys and text; the rows of a
-    file are dealt out together once, for all windows here."""
-    # As many parts as other shuffles have at first: texts are small beside their tokens, so parts that look small are not
-    # to be put together.
-    parts = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def _ints(values: np.ndarray, none: bool = False, kind: pa.DataType = pa.int32()) -> pa.Array:
+    """none: negative ones are null."""
+    return pa.array(values.astype(kind.to_pandas_dtype()), kind, mask=values < 0 if none else None)
+
+
+class _Words:
+    """A column of words of which many are alike: what is asked of them is asked once for each."""
+
+    def __init__(self, column: pa.Array) -> None:
+        found = column.dictionary_encode()
+        self.column, self.codes, self.own = column, found.indices.to_numpy(zero_copy_only=False), found.dictionary
+
+    def of(self, what: pa.Array) -> np.ndarray:
+        return what.to_numpy(zero_copy_only=False)[self.codes]
+
+    def among(self, *words: str) -> np.ndarray:
+        return self.of(pc.is_in(self.own, pa.array(words, pa.string())))
+
+
+#: Rows of which running sums are taken at once, or those of one file, if these are more.
+ROWS = 1 << 15
+_PLACES = "off int, byte_off int, byte_end int, line_no int, col_no int, paren_depth int, brace_depth int, breaks int"
+
+
+def _placed(batch: pa.RecordBatch, begins: np.ndarray) -> list[pa.Array]:
+    """_PLACES of rows with mask and text."""
+    start = _starts(begins, batch.num_rows)
+    mask, text = _Words(batch.column("mask")), _Words(batch.column("text"))
+    size, lines = mask.of(pc.utf8_length(mask.own)).astype(np.int64), mask.of(pc.count_substring(mask.own, "\n")).astype(np.int64)
+    octets = text.of(pc.binary_length(text.own)).astype(np.int64)
+    in_last_line = text.of(pa.array([len(t) - 1 - t.rfind(b"\n") for t in text.own.cast(pa.binary()).to_pylist()], pa.int64()))
+    byte_off = _ahead(octets, start)
+    line_start = _at(byte_off + octets - in_last_line, _before(_latest(lines > 0, start), start), 0)
+    depth = lambda opening, closing: _ahead(mask.among(*opening).astype(np.int64) - mask.among(*closing), start)
+    broken = mask.of(pc.starts_with(mask.own, "\n")).astype(np.int64)
+    more = [_ahead(size, start), byte_off, byte_off + octets, _ahead(lines, start) + 1, byte_off - line_start + 1, depth("([", ")]"), depth("{", "}"), _ahead(broken, start)]
+    return [_ints(x) for x in more]
+
+
+def _with(rows: DataFrame, keys: tuple[str, ...], what, more: str) -> DataFrame:
+    """Adds the columns ``more``, which what(batch, begins) gives for batches of whole files; a file's rows are together and in
+    order."""
+    schema = StructType([*rows.schema.fields, *StructType.fromDDL(more).fields])
+    names = schema.names
+
+    def each(batches):
+        for batch, begins in _whole_files(batches, keys):
+            yield pa.RecordBatch.from_arrays([*batch.columns, *what(batch, begins)], names=names)
+
+    return rows.mapInArrow(each, schema)
+
+
+def tokens(files: DataFrame, keys: tuple[str, ...] = KEYS, languages: Languages = BUILT_IN, parts: int | None = None) -> DataFrame:
+    """keys, blocks, bare, tok_no, kind, text, mask, off (code points), byte_off, byte_end, line_no, col_no (bytes, from 1),
+    paren_depth, brace_depth and breaks (line breaks that are tokens; all three before the token). files: keys and text, dealt out by path
+    in so many parts (or in as many as other shuffles have at first); a file's tokens stay together and in order."""
+    parts = parts or int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = lexed(files.repartition(parts, keys[0]), languages).withColumn("private", F.when(F.col("second"), _private(_RANGES[1])[0]).otherwise(_private(_RANGES[0])[0]))
     # Not posexplode: Spark would infer that the array has items, and lex each text once more to see that, before the texts
     # are dealt out.
     rows = rows.select(*keys, "blocks", "bare", "private", F.posexplode_outer("raws").alias("tok_no", "raw")).where("tok_no IS NOT NULL")
-    rows = rows.select(*keys, "blocks", "bare", "tok_no", _back(F.col("raw"), 2).alias("mask"), _back(F.col("raw"), 1).alias("source"))
-    before = Window.partitionBy(*keys).orderBy("tok_no").rowsBetween(Window.unboundedPreceding, -1)
-    so_far = lambda what: F.coalesce(F.sum(what).over(before), F.lit(0)).cast("int")
-    step = lambda opening, closing: F.when(F.col("mask").isin(*opening), 1).when(F.col("mask").isin(*closing), -1).otherwise(0)
-    rows = rows.select("*", so_far(F.length("mask")).alias("off"), so_far(F.octet_length("source")).alias("byte_off"), (so_far(F.length("mask") - F.length(F.replace(F.col("mask"), F.lit("\n")))) + 1).alias("line_no"), so_far(step("([", ")]")).alias("paren_depth"), so_far(step("{", "}")).alias("brace_depth"), so_far(F.col("mask").startswith("\n").cast("int")).alias("breaks"))
-    after_break = F.col("byte_off") + F.octet_length("source") - F.octet_length(F.substring_index("source", "\n", -1))
-    line_start = F.coalesce(F.max(F.when(F.contains("mask", F.lit("\n")), after_break)).over(before), F.lit(0))
-    return rows.select(*keys, "blocks", "bare", "tok_no", languages.kind(F.col("mask")).alias("kind"), F.col("source").alias("text"), "mask", "off", "line_no", (F.col("byte_off") - line_start + 1).cast("int").alias("col_no"), "paren_depth", "brace_depth", "breaks")
+    rows = rows.select(*keys, "blocks", "bare", "tok_no", _back(F.col("raw"), 2).alias("mask"), _back(F.col("raw"), 1).alias("text"))
+    rows = _with(rows.withColumn("kind", languages.kind(F.col("mask"))), keys, _placed, _PLACES)
+    return rows.select(*keys, "blocks", "bare", "tok_no", "kind", "text", "mask", "off", "byte_off", "byte_end", "line_no", "col_no", "paren_depth", "brace_depth", "breaks")
 
 
 def of_kinds(rows: DataFrame, *kinds: str) -> DataFrame:
@@ -151,78 +253,133 @@ def chain_parts(mask: Column) -> Column:
     return F.filter(F.split(mask, r"\."), lambda p: p != "")
 
 
-def _ends_value(kind: Column, mask: Column, roles: Column) -> Column:
-    """Whether an expression may end with this token."""
-    return ((kind == "name") & (~has(roles, "keyword") | has(roles, "value"))) | kind.isin("number", "string") | mask.isin(")", "]", "}")
-
-
-def _with_units(code: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """Adds unit_no, which counts the statements of one bracket level, unit_end, the last code token of the statement (with
-    the sign that ends it, but for the bracket around it), unit_last, the last one without, behind, and what the level's
-    order gives: outer and chain_start. Braces of literals end nothing around them; a bracket's end closes the statement in
-    it; a line does not end it where more must follow. Where words make blocks, these and words behind a statement end it
-    too. A line break stands at the level of the code token after it, so that code tokens tell all statements apart."""
-    literal = (F.col("blocks") == "indent") | F.col("prev").isin(*BEFORE_LITERALS) | ((F.col("prev") == ":") & ~F.coalesce(F.col("mark_before").isin("case", "default"), F.lit(False)))
-    behind = F.coalesce((F.col("prev_line") == F.col("line_no")) & _ends_value(F.col("prev_kind"), F.col("prev"), F.col("prev_roles")), F.lit(False))
-    named = (F.col("kind") == "name") & ~F.coalesce(F.col("prev") == ".", F.lit(False))
-    word_ends = (F.col("blocks") == "words") & named & (has("roles", "end") | (has("roles", "modifier") & behind))
-    begins = F.coalesce((F.col("breaks") > F.col("prev_breaks")) & ~F.col("prev").isin(*GOES_ON), F.lit(False))
-    ends = F.col("mask").isin(";", "}", ")", "]") | ((F.col("mask") == "{") & ~F.coalesce(literal, F.lit(False)))
-    rows = code.select("*", behind.alias("behind"), word_ends.alias("word_ends"), (ends | word_ends).alias("ends"), begins.alias("begins"))
-
-    levels = [*keys, "paren_depth", "brace_depth"]
-    level = Window.partitionBy(*levels).orderBy("tok_no")
-    before, upto = level.rowsBetween(Window.unboundedPreceding, -1), level.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    opener = F.struct(F.col("prev_tok").alias("tok"), F.col("prev").alias("mask"), F.col("prev2_roles").alias("before"))
-    is_name, closed = F.col("kind") == "name", F.col("prev").isin(")", "]")
-    called = F.col("mask").isin("(", "[") & one_statement(F.col("prev_line"), F.col("line_no")) & (((F.col("prev_kind") == "name") & ~has("prev_roles", "keyword")) | closed)
-    arrow = ((F.col("mask") == "-") & (F.col("next") == ">") & closed) | ((F.col("mask") == ">") & (F.col("prev") == "-") & F.col("prev2").isin(")", "]")) | (is_name & (F.col("prev") == ">") & (F.col("prev2") == "-"))
-    goes_on = (F.col("mask") == ".") | (is_name & F.col("prev").isin(".", "new")) | called | arrow
-    rows = rows.select(
-        "*",
-        (F.coalesce(F.count_if("ends").over(before), F.lit(0)) + F.count_if("begins").over(upto)).alias("unit_no"),
-        F.lead(F.when(F.col("begins"), F.col("prev_tok"))).over(level).alias("broken_at"),
-        F.last(F.when(F.col("prev").isin("(", "[", "{"), opener), ignorenulls=True).over(level).alias("outer"),
-        F.last(F.when(~F.coalesce(goes_on, F.lit(False)), F.col("tok_no")), ignorenulls=True).over(upto).alias("chain_start"),
-    )
-    # At the file's own level nothing is around a token, whatever came before.
-    deep = (F.col("paren_depth") != 0) | (F.col("brace_depth") != 0)
-    unit = Window.partitionBy(*levels, "unit_no")
-    around = F.col("mask").isin(")", "}") & deep
-    own_end = F.when(F.col("ends"), F.when(~F.col("word_ends") & ~around, F.col("tok_no")).otherwise(F.col("prev_tok"))).otherwise(F.col("broken_at"))
-    own_last = F.when(F.col("ends"), F.col("prev_tok")).otherwise(F.col("broken_at"))
-    file_end = F.max("tok_no").over(Window.partitionBy(*keys))
-    rows = rows.withColumns({"outer": F.when(deep, F.col("outer")), "unit_end": F.coalesce(F.max(own_end).over(unit), file_end), "unit_last": F.coalesce(F.max(own_last).over(unit), file_end)})
-    return rows.drop("mark_before", "ends", "word_ends", "begins", "broken_at", "breaks", "prev_breaks")
-
-
 def one_statement(line: Column, next_line: Column) -> Column:
     """Whether a bracket on the second line may continue what stands on the first: a line break parts them where blocks have
     no braces, but for what stands in brackets where lines are indented."""
     return (F.col("blocks") == "braces") | (line == next_line) | ((F.col("blocks") == "indent") & ((F.col("paren_depth") > 0) | (F.col("brace_depth") > 0)))
 
 
+#: What a code token learns of those beside it: column and how many tokens on.
+_BESIDE = {"prev": ("mask", -1), "prev2": ("mask", -2), "prev_kind": ("kind", -1), "prev_tok": ("tok_no", -1), "prev_line": ("line_no", -1), "prev_roles": ("roles", -1), "prev2_roles": ("roles", -2), "next": ("mask", 1), "next_kind": ("kind", 1), "next_off": ("off", 1), "next_tok": ("tok_no", 1), "next_line": ("line_no", 1), "next_roles": ("roles", 1), "next2_tok": ("tok_no", 2), "next2_off": ("off", 2)}
+_TYPES = {"mask": "string", "kind": "string"}
+#: Of a token after a bracket's end: what stands before that bracket's opening one.
+_HEADS = ("prev", "prev_kind", "prev_tok", "prev_line", "prev_roles", "prev2_roles")
+_NEAR = ", ".join([
+    *[f"{name} {_TYPES.get(c, 'int')}" for name, (c, _) in _BESIDE.items()], "prev_end int, behind boolean, unit_no bigint, outer struct<tok:int,mask:string,before:int>",
+    "chain_start int, unit_end int, unit_last int, assigns boolean, close_tok int, close_line int", *[f"head_{name} {_TYPES.get(_BESIDE[name][0], 'int')}" for name in _HEADS],
+    "next_close int, next_close_prev_tok int, body_tok int, body_close int, body_line int, stop_tok int, heads boolean",
+])
+
+
+def _near(batch: pa.RecordBatch, begins: np.ndarray) -> list[pa.Array]:
+    """_NEAR of code tokens: their neighbours; unit_no, which counts the statements of one bracket level, unit_end, the last
+    code token of the statement (with the sign that ends it, but for the bracket around it), unit_last, the last one
+    without; and what the order of the level or the pairs of brackets give. Braces of literals end nothing around them; a
+    bracket's end closes the statement in it; a line does not end it where more must follow. Where words make blocks,
+    these and words behind a statement end it too. A line break stands at the level of the code token after it, so that
+    code tokens tell all statements apart."""
+    n = batch.num_rows
+    i, start = np.arange(n), _starts(begins, n)
+    end = np.append(begins[1:], n)[np.searchsorted(begins, start)]
+    beside = {k: np.where((i + k >= start) & (i + k < end), i + k, -1) for k in (-2, -1, 1, 2)}
+    number = {c: batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("tok_no", "off", "line_no", "paren_depth", "brace_depth", "breaks", "roles")}
+    mask, kind, blocks = (_Words(batch.column(c)) for c in ("mask", "kind", "blocks"))
+    tok, line = number["tok_no"], number["line_no"]
+    # Whether a token (k: one that many tokens on) is one of some words, or has a role; what is not there is none.
+    said = lambda k, *words: _at(mask.among(*words), beside[k], False)
+    role = lambda word: (number["roles"] & ROLES[word]) != 0
+    is_name, prev = kind.among("name"), beside[-1]
+    prev_tok, prev_line = _at(tok, prev, -1), _at(line, prev, -1)
+    braces, indent, words = (blocks.among(b) for b in ("braces", "indent", "words"))
+    deep = (number["paren_depth"] != 0) | (number["brace_depth"] != 0)
+    opens = mask.among("(", "[", "{")
+
+    mark = _before(_latest(mask.among("case", "default", ";", "{", "}", "?"), start), start)
+    literal = indent | said(-1, *BEFORE_LITERALS) | (said(-1, ":") & ~_at(mask.among("case", "default"), mark, False))
+    ends_value = (is_name & (~role("keyword") | role("value"))) | kind.among("number", "string") | mask.among(")", "]", "}")
+    behind = (prev_line == line) & _at(ends_value, prev, False)
+    word_ends = words & is_name & ~said(-1, ".") & (role("end") | (role("modifier") & behind))
+    starts_line = (prev >= 0) & (number["breaks"] > _at(number["breaks"], prev, 0)) & ~said(-1, *GOES_ON)
+    ends = mask.among(";", "}", ")", "]") | (mask.among("{") & ~literal) | word_ends
+
+    closed = said(-1, ")", "]")
+    same = braces | (prev_line == line) | (indent & ((number["paren_depth"] > 0) | (number["brace_depth"] > 0)))
+    called = mask.among("(", "[") & same & (_at(is_name & ~role("keyword"), prev, False) | closed)
+    arrow = (mask.among("-") & said(1, ">") & closed) | (mask.among(">") & said(-1, "-") & said(-2, ")", "]")) | (is_name & said(-1, ">") & said(-2, "-"))
+    goes_on = mask.among(".") | (is_name & said(-1, ".", "new")) | called | arrow
+
+    # Levels in turn, each in order; places in that order lead back to rows.
+    own = np.lexsort((i, number["brace_depth"], number["paren_depth"], start))
+    changes = np.zeros(n, bool)
+    for c in (start, number["paren_depth"], number["brace_depth"]):
+        changes[1:] |= np.diff(c[own]) != 0
+    changes[:1] = True
+    level = _starts(np.flatnonzero(changes), n)
+    back = np.empty(n, np.int64)
+    back[own] = i
+    rows_of = lambda places: np.where(places >= 0, own[places], -1)[back]
+    unit_no = _ahead(ends[own].astype(np.int64), level) + _ahead(starts_line[own].astype(np.int64), level) + starts_line[own]
+    outer = np.where(deep, rows_of(_latest(said(-1, "(", "[", "{")[own], level)), -1)
+    chain = rows_of(_latest(~goes_on[own], level))
+    follows = np.append(own[1:], 0)
+    broken_at = np.where(np.append(level[1:] == level[:-1], False) & starts_line[follows], prev_tok[follows], -1)[back]
+    around = mask.among(")", "}") & deep
+    own_end = np.where(ends, np.where(~word_ends & ~around, tok, prev_tok), broken_at)
+    own_last = np.where(ends, prev_tok, broken_at)
+    sign = mask.among("=", ":=").astype(np.int64)
+    units = np.flatnonzero(changes | np.append(True, np.diff(unit_no) != 0)) if n else np.zeros(0, int)
+    file_end = tok[end - 1]
+    most = lambda x: np.repeat(np.maximum.reduceat(x[own], units), np.diff(np.append(units, n)))[back]
+    unit_end, unit_last, assigns = most(own_end), most(own_last), most(sign) > 0
+
+    # Brackets of one kind at one depth pair up in their order.
+    paren = mask.among("(", "[", ")", "]")
+    which = np.flatnonzero(paren | mask.among("{", "}"))
+    pair = np.where(paren, number["paren_depth"], number["brace_depth"])[which] + opens[which]
+    order = np.lexsort((which, pair, paren[which], start[which]))
+    which, pair = which[order], pair[order]
+    alike = (np.diff(pair) == 0) & (np.diff(paren[which].astype(int)) == 0) & (np.diff(start[which]) == 0)
+    closing, opening = np.full(n, -1), np.full(n, -1)
+    closing[which[:-1][alike]] = which[1:][alike]
+    opening[which[1:][alike]] = which[:-1][alike]
+    closing, opening = np.where(opens, closing, -1), np.where(paren & ~opens, opening, -1)
+    close_tok, close_prev_tok, close_line = (_at(x, closing, -1) for x in (tok, prev_tok, line))
+
+    # The next block and the next end of a statement behind a token, at its depth in braces.
+    order = np.lexsort((-i, number["brace_depth"], start))
+    depths = np.zeros(n, bool)
+    depths[:1], depths[1:] = True, (np.diff(number["brace_depth"][order]) != 0) | (np.diff(start[order]) != 0)
+    depths = _starts(np.flatnonzero(depths), n)
+
+    def next_of(word: str) -> np.ndarray:
+        places, out = _before(_latest(mask.among(word)[order], depths), depths), np.empty(n, np.int64)
+        out[order] = np.where(places >= 0, order[places], -1)
+        return out
+
+    body, stop = next_of("{"), next_of(";")
+    body_close, stop_tok = _at(close_tok, body, -1), _at(tok, stop, -1)
+    # Where functions of languages with braces begin: at a word, or at a name before brackets and a block.
+    heads = braces & is_name & role("function") & (body_close >= 0) & ((stop < 0) | (body < stop))
+    head = np.where(prev >= 0, opening[prev], -1)
+    named = _at(_at(is_name & ~role("keyword"), prev, False) & ~_at(role("function"), beside[-2], False), head, False)
+    heads[prev[head[braces & mask.among("{") & said(-1, ")") & named & (closing >= 0)]]] = True
+
+    near = {name: _taken(batch.column(c), beside[k]) for name, (c, k) in _BESIDE.items()}
+    holder = pa.StructArray.from_arrays([near[c].take(pa.array(np.maximum(outer, 0))) for c in ("prev_tok", "prev", "prev2_roles")], ["tok", "mask", "before"], mask=pa.array(outer < 0))
+    size = mask.of(pc.utf8_length(mask.own))
+    return [
+        *near.values(), _ints(_at(number["off"] + size, prev, -1), True), pa.array(behind), _ints(unit_no[back], kind=pa.int64()), holder, _ints(_at(tok, chain, -1), True),
+        _ints(np.where(unit_end >= 0, unit_end, file_end)), _ints(np.where(unit_last >= 0, unit_last, file_end)), pa.array(assigns), _ints(close_tok, True), _ints(close_line, True), *[_taken(near[c], head) for c in _HEADS],
+        *[_ints(x, True) for x in (_at(close_tok, beside[1], -1), _at(close_prev_tok, beside[1], -1), _at(tok, body, -1), body_close, _at(close_line, body, -1), stop_tok)], pa.array(heads),
+    ]
+
+
 def code_tokens(rows: DataFrame, keys: tuple[str, ...] = KEYS, languages: Languages = BUILT_IN) -> DataFrame:
-    """Tokens without white space, comments and bodies of heredocs, with what the facts need: roles (of words), parts (of
-    names), the neighbours' text, close_tok of brackets, outer (the opening bracket around a token, and what stands
-    before that), chain_start (where the chain of members, calls and subscripts begins that a token continues), behind
-    (it follows an expression on its line), and for a closing bracket the tokens before its opening one."""
-    p = Window.partitionBy(*keys).orderBy("tok_no")
+    """Tokens (as ``tokens`` gives them: those of a file together and in order) without white space, comments and bodies of
+    heredocs, with what the facts need: roles (of words), parts (of names), the neighbours' text, close_tok of brackets,
+    outer (the opening bracket around a token, and what stands before that), chain_start (where the chain of members, calls
+    and subscripts begins that a token continues), behind (it follows an expression on its line), assigns (a sign = or := is in
+    its statement), and where functions of languages with braces begin (heads) and have their bodies."""
     # A row for each word of each language: small by nature.
     code = rows.where(~F.col("kind").isin(*TRIVIA)).drop("text").join(F.broadcast(languages.words(rows.sparkSession)), ["language", "mask"], "left").withColumn("roles", F.coalesce("roles", F.lit(0)))
-    beside = {"prev": ("mask", -1), "prev2": ("mask", -2), "prev_kind": ("kind", -1), "prev_tok": ("tok_no", -1), "prev_line": ("line_no", -1), "prev_roles": ("roles", -1), "prev2_roles": ("roles", -2), "prev_breaks": ("breaks", -1), "next": ("mask", 1), "next_kind": ("kind", 1), "next_off": ("off", 1), "next_tok": ("tok_no", 1), "next_line": ("line_no", 1), "next_roles": ("roles", 1), "next2_tok": ("tok_no", 2), "next2_off": ("off", 2)}
-    at = lambda c, n: F.lead(c, n).over(p) if n > 0 else F.lag(c, -n).over(p)
-    mark = F.last(F.when(F.col("mask").isin("case", "default", ";", "{", "}", "?"), F.col("mask")), ignorenulls=True).over(p.rowsBetween(Window.unboundedPreceding, -1))
-    code = code.select("*", *[at(c, n).alias(name) for name, (c, n) in beside.items()], F.lag(F.col("off") + F.length("mask")).over(p).alias("prev_end"), mark.alias("mark_before"))
-    code = _with_units(code, keys)
-    bracket = F.when(F.col("mask").isin("(", "[", ")", "]"), "paren").when(F.col("mask").isin("{", "}"), "brace").otherwise("none")
-    opens = F.col("mask").isin("(", "[", "{").cast("int")
-    pair = F.when(bracket == "paren", F.col("paren_depth") + opens).when(bracket == "brace", F.col("brace_depth") + opens).otherwise(0)
-    code = code.select("*", bracket.alias("bracket"), pair.alias("pair"), (opens == 1).alias("opens"))
-    # Other tokens have no bracket to match: each is a group of its own.
-    b = Window.partitionBy(*keys, "bracket", "pair", F.when(F.col("bracket") == "none", F.col("tok_no")).otherwise(-1)).orderBy("tok_no")
-    closing = lambda c: F.when((F.col("bracket") != "none") & F.col("opens"), F.lead(c).over(b))
-    opening = lambda c: F.when((F.col("bracket") == "paren") & ~F.col("opens"), F.lag(c).over(b)).alias(f"opener_{c}")
-    code = code.select("*", closing("tok_no").alias("close_tok"), closing("prev_tok").alias("close_prev_tok"), *map(opening, ("prev", "prev_kind", "prev_tok", "prev_line", "prev_roles", "prev2_roles")))
-    code = code.select("*", F.lead("close_tok").over(p).alias("next_close"), F.lead("close_prev_tok").over(p).alias("next_close_prev_tok"), F.when(F.col("kind") == "name", chain_parts(F.col("mask"))).alias("parts"))
-    return code.drop("bracket", "pair", "opens", "close_prev_tok")
+    return _with(code, keys, _near, _NEAR).withColumn("parts", F.when(F.col("kind") == "name", chain_parts(F.col("mask")))).drop("breaks")

@@ -27,19 +27,40 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+#: A task writes its bucket as the rows come, without a sort of them by bucket first (if it has more than one, it sorts the
+#: rest); and rows that tasks read by bucket stay so, also where no window or join of the plan needs that.
+_BUCKETED = {"spark.sql.maxConcurrentOutputFileWriters": "1", "spark.sql.sources.bucketing.autoBucketedScan.enabled": "false"}
+
+
+@contextmanager
+def _set(spark: SparkSession, options: dict[str, str]) -> Iterator[None]:
+    before = {k: spark.conf.get(k, None) for k in options}
+    try:
+        for k, v in options.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def written(df: DataFrame, name: str, by: str | None = None, parts: int | None = None) -> DataFrame:
     """df as a table in the shared folder, read back: plans that use it stay small, and any executor can be lost. by: a column
-    by which df's rows are dealt out in as many parts as spark.sql.shuffle.partitions; the table remembers that, so windows
-    and groups by it (and more) shuffle nothing. Such a table has an entry in the session's catalog until release(). In a
-    workspace a table lasts as long as that."""
+    by which df's rows are dealt out in ``parts`` (or as many as spark.sql.shuffle.partitions); the table remembers that, so
+    windows and groups by it (and more), and joins with other tables of so many parts, shuffle nothing. Such a table has an
+    entry in the session's catalog until release(). In a workspace a table lasts as long as that."""
     spark = df.sparkSession
     own = f"{name}_{uuid.uuid4().hex}"
     path = owned(f"{shared_dir(spark)}/coderake/{own}", PREFIX + own)
     if by is None:
         df.write.parquet(path)
         return spark.read.schema(df.schema).parquet(path)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    df.write.bucketBy(parts, by).format("parquet").option("path", path).saveAsTable(PREFIX + own)
+    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # Rows that are dealt out by path meet others by path and token where they are. This stays set in the session, as plans
+    # over the table are made later; it changes where rows go, and no result.
+    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    with _set(spark, _BUCKETED):
+        df.write.bucketBy(parts, by).format("parquet").option("path", path).saveAsTable(PREFIX + own)
     return spark.table(PREFIX + own)
 
 

@@ -39,7 +39,7 @@ def found(spark: SparkSession, sf_dir: str) -> DataFrame:
     if key not in _SCANS:
         own = facts(spark, sf_dir)
         rated = pol.with_rating(rul.raw_findings(own), F.broadcast(pol.rules(pol.loaded(spark))))
-        _SCANS[key] = own._kept(fnd.with_suppression(rated, own.files, "scan:ignore"))
+        _SCANS[key] = written(fnd.with_suppression(rated, own.files, "scan:ignore"), "found")
     return _SCANS[key]
 
 
@@ -249,7 +249,7 @@ def p1_document_tokens(spark, d):
 @query(over("nc", "SELECT path, tok_no, array_to_string(parts, '.') AS name, source FROM nc WHERE source IS NOT NULL"))
 def t1_sources(spark, d):
     own = facts(spark, d)
-    return taint.sources(own.code, own.calls).select("path", "tok_no", F.array_join("parts", ".").alias("name"), "source")
+    return taint.sources(own.code).select("path", "tok_no", F.array_join("parts", ".").alias("name"), "source")
 
 
 @query(over("hit", "SELECT a.path, a.tok_no AS assigned, EXISTS (SELECT 1 FROM hit WHERE hit.path = a.path AND hit.what = 'v' AND hit.key = a.tok_no) AS tainted FROM asg a"))

@@ -4,8 +4,11 @@ from pathlib import Path
 
 import pytest
 
+from coderake.operators import rules
+from coderake.operators.taint import _value_extents, live_names
 from coderake.plans.tables import PREFIX, shared_dir, workspace, written
 from coderake.streaming.incremental import file_stream, scan_stream
+from tests.test_scan import texts
 
 
 def left(spark):
@@ -47,3 +50,19 @@ def test_a_stream_leaves_no_tables_and_takes_none_of_others(spark, tmp_path):
     query.awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out" / "findings")).where("rule_id = 'SQLI'").count() == 1
     assert left(spark) == before and outside.count() == 10
+
+
+def test_files_are_dealt_out_by_their_size_and_stay_so(spark, monkeypatch):
+    """Parts grow in number with the texts, and what is found by path and token shuffles no tokens."""
+    monkeypatch.setattr(rules, "PART_BYTES", 100)
+    own = rules.Facts(texts(spark, *[(f"{n}.py", "python", f"x{n} = request.args\nf(x{n})\n") for n in range(40)]), persisted=True)
+    assert own.parts > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    live = live_names(own.code, own.calls, _value_extents(own.assignments))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert "Exchange" not in live._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in own.calls.join(own.code.select("path", "tok_no", "mask"), ["path", "tok_no"])._jdf.queryExecution().executedPlan().toString()
+        assert live.count() == 40 and own.calls.count() == 40
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert spark.conf.get("spark.sql.sources.bucketing.autoBucketedScan.enabled") == "true"
