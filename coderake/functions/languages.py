@@ -167,39 +167,54 @@ class Languages:
         rows = [(k, self.lexer(k, ranges[0]), self.lexer(k, ranges[1]), self.blocks.get(k, "braces"), k in self.bare) for k in self.names]
         return spark.createDataFrame(rows, "language string, lexer string, lexer2 string, blocks string, bare boolean")
 
-    def words(self, spark: SparkSession) -> DataFrame:
-        """(language, mask, roles): words and signs with the bits of what they are."""
+    @cached_property
+    def roles(self) -> dict[tuple[str, str], int]:
+        """Words and signs of languages with the bits of what they are."""
         bits: dict[tuple[str, str], int] = {}
         for k, role, value, *_ in self.rows:
             if role in ROLES:
                 bits[k, value] = bits.get((k, value), 0) | ROLES[role]
-        return spark.createDataFrame([(*key, n) for key, n in bits.items()], "language string, mask string, roles int")
+        return bits
+
+    def words(self, spark: SparkSession) -> DataFrame:
+        """(language, mask, roles): the same as rows."""
+        return spark.createDataFrame([(*key, n) for key, n in self.roles.items()], "language string, mask string, roles int")
 
     def extensions(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame([(v, k) for k, r, v, *_ in self.rows if r == "extension"], "ext string, language string")
 
-    def _opening(self, named: dict[str, list[tuple[str, str, str]]], more: str) -> str:
-        """A regular expression for a language, a blank and the beginning of its comments or strings. What follows the opener
-        matches ``more``; where the quote may begin something else, the closing quote follows too."""
-        by: dict[str, list[str]] = {}
-        for k, rows in named.items():
-            opens = sorted((o if how != "char" else "", c, o) for o, c, how in rows)
-            own = "|".join([re.escape(o) + more for o, *_ in opens if o] + [rf"{re.escape(q)}[\s\S]+{re.escape(c)}$" for o, c, q in opens if not o])
-            by.setdefault(own, []).append(re.escape(k))
-        return "^(?:" + "|".join(f"(?:{'|'.join(ks)}) (?:{own})" for own, ks in sorted(by.items())) + ")" if by else "^$"
-
-    def kind(self, mask: Column) -> Column:
-        """newline, comment, string, heredoc (a body, with the line break before it), name, number, space or op."""
-        first, size = F.substring(mask, 1, 1), F.length(mask)
-        opened = F.concat(F.col("language"), F.lit(" "), mask)
+    @cached_property
+    def _opened(self) -> tuple[dict, dict, dict, set[str]]:
+        """By language: what opens comments, what opens strings, and quotes (with what closes them) that may open something
+        else; and signs that are a comment alone."""
+        comments = {k: tuple(o for o, *_ in rows) for k, rows in self.comments.items()}
+        strings = {k: tuple(o for o, _, how in rows if how != "char") for k, rows in self.strings.items()}
+        chars = {k: tuple((o, c) for o, c, how in rows if how == "char") for k, rows in self.strings.items()}
+        return comments, strings, chars, {o for rows in self.comments.values() for o, c, _ in rows if c == "\n" and len(o) == 1}
+
+    def kind(self, language: str, mask: str) -> str:
+        """Of a token: newline, comment, string, heredoc (a body, with the line break before it), name, number, space or op."""
+        comments, strings, chars, alone = self._opened
+        first, last = mask[:1], mask[-1:]
         # No string or comment that begins with a letter ends with one.
-        named = F.regexp_like(F.concat(first, F.substring(mask, -1, 1)), F.lit(r"^[A-Za-z_][\w.]$"))
-        alone = {o for rows in self.comments.values() for o, c, _ in rows if c == "\n" and len(o) == 1}
-        blank = F.regexp_like(first, F.lit(r"^[ \t\r]"))
-        out = F.when(named, "name").when(mask == "\n", "newline").when(blank, "space")
-        out = out.when((size == 1) & ~first.isin("", *alone), F.when(F.regexp_like(first, F.lit("^[0-9]")), "number").otherwise("op")).when(first == "\n", "heredoc")
-        out = out.when(F.regexp_like(opened, F.lit(self._opening(self.comments, ""))), "comment").when(F.regexp_like(opened, F.lit(self._opening(self.strings, r"[\s\S]"))), "string")
-        return out.when(F.regexp_like(first, F.lit("^[0-9]")), "number").otherwise("op")
+        if first.isascii() and (first.isalpha() or first == "_") and last.isascii() and (last.isalnum() or last in "_."):
+            return "name"
+        if mask == "\n":
+            return "newline"
+        if first in (" ", "\t", "\r"):
+            return "space"
+        number = "number" if "0" <= first <= "9" else "op"
+        if len(mask) == 1 and first not in alone:
+            return number
+        if first == "\n":
+            return "heredoc"
+        if mask.startswith(comments.get(language, ())):
+            return "comment"
+        if any(mask.startswith(o) and len(mask) > len(o) for o in strings.get(language, ())):
+            return "string"
+        if any(mask.startswith(o) and mask.endswith(c) and len(mask) > len(o) + len(c) for o, c in chars.get(language, ())):
+            return "string"
+        return number
 
     @cached_property
     def heredocs(self) -> list[str]:

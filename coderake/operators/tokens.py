@@ -4,13 +4,15 @@ Before lexing, each escape and each member sign between names becomes private-us
 one, so the lexers loop over single characters or possessively, no text can exhaust the regex engine's
 stack, and a token's original text comes back by translating it: no token row carries its file's text,
 and the work grows in proportion to a file's size. Tokens cover the text. Which lexer reads a file, and
-what its words mean, comes from joins with the rows of languages. Running sums and neighbours within a file are taken over
-Arrow batches of whole files, as texts are dealt out by path and their tokens stay in order: nothing is sorted or spilled.
+what its words mean, comes from the rows of languages. A file's tokens go on as one list, from which rows are made in
+Arrow batches of whole files: what is asked of a word is asked once for all its tokens, and running sums and neighbours are
+taken where the tokens are, so nothing is sorted or spilled.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -64,12 +66,6 @@ def marked(text: Column, base: int = _RANGES[0]) -> Column:
     return text
 
 
-def _back(text: Column, to: int) -> Column:
-    """A token's mask or text, by the private characters of the text's file (a column): a short expression, as it runs for each token, and
-    Java compiles no method of more than 8,000 bytes. Plain ASCII has no private characters."""
-    return F.when(F.octet_length(text) == F.length(text), text).otherwise(F.call_function("translate", text, F.col("private"), F.lit(_private(_RANGES[0])[to])))
-
-
 def plain_tokens(text: Column) -> Column:
     """A text's tokens as an array, in no language, with private characters as in ``marked``."""
     def lexed(base: int) -> Column:
@@ -182,7 +178,7 @@ class _Words:
     """A column of words of which many are alike: what is asked of them is asked once for each."""
 
     def __init__(self, column: pa.Array) -> None:
-        found = column.dictionary_encode()
+        found = column if pa.types.is_dictionary(column.type) else column.dictionary_encode()
         self.column, self.codes, self.own = column, found.indices.to_numpy(zero_copy_only=False), found.dictionary
 
     def of(self, what: pa.Array) -> np.ndarray:
@@ -195,6 +191,7 @@ class _Words:
 #: Rows of which running sums are taken at once, or those of one file, if these are more.
 ROWS = 1 << 15
 _PLACES = "off int, byte_off int, byte_end int, line_no int, col_no int, paren_depth int, brace_depth int, breaks int"
+_PLACED = [c.split()[0] for c in _PLACES.split(", ")]
 
 
 def _placed(batch: pa.RecordBatch, begins: np.ndarray) -> list[pa.Array]:
@@ -212,31 +209,99 @@ def _placed(batch: pa.RecordBatch, begins: np.ndarray) -> list[pa.Array]:
     return [_ints(x) for x in more]
 
 
-def _with(rows: DataFrame, keys: tuple[str, ...], what, more: str) -> DataFrame:
-    """Adds the columns ``more``, which what(batch, begins) gives for batches of whole files; a file's rows are together and in
-    order."""
-    schema = StructType([*rows.schema.fields, *StructType.fromDDL(more).fields])
-    names = schema.names
+def _plain(column: pa.Array) -> pa.Array:
+    return column.dictionary_decode() if pa.types.is_dictionary(column.type) else column
+
+
+def _given(batches: Iterator[tuple[pa.RecordBatch, list[pa.Array]]], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Those columns of batches with more of them, as plain ones."""
+    for batch, more in batches:
+        found = dict(zip(names[len(names) - len(more) :], more))
+        yield pa.RecordBatch.from_arrays([_plain(found[n] if n in found else batch.column(n)) for n in names], names=names)
+
+
+def _some_files(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Rows of files in slices of ROWS tokens or more, but for the last of a batch, and how many tokens each file has."""
+    for batch in batches:
+        sizes = np.asarray(pc.fill_null(pc.list_value_length(batch.column("raws")), 0)).astype(np.int64)
+        ends, at = np.cumsum(sizes), 0
+        while at < batch.num_rows:
+            until = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + ROWS)) + 1
+            yield batch.slice(at, until - at), sizes[at:until]
+            at = until
+
+
+def _meaning(languages: Languages) -> Callable[[str, bool, str], tuple[str, str, str, int, list[str] | None]]:
+    """What a token of a marked text is: (mask, text, kind, roles, parts), by its language and the range of private characters.
+    Short words are remembered."""
+    back = [[str.maketrans(private, c) for c in (text, mask)] for private, text, mask in map(_private, _RANGES)]
+
+    def told(language: str, second: bool, raw: str):
+        text, mask = (raw, raw) if raw.isascii() else (raw.translate(t) for t in back[second])
+        kind = languages.kind(language, mask)
+        return mask, text, kind, languages.roles.get((language, mask), 0), [p for p in mask.split(".") if p] if kind == "name" else None
+
+    kept = lru_cache(1 << 16)(told)
+    return lambda language, second, raw: (kept if len(raw) <= 64 else told)(language, second, raw)
+
+
+_WORDS = {"mask": pa.string(), "text": pa.string(), "kind": pa.string(), "roles": pa.int32(), "parts": pa.list_(pa.string())}
+
+
+def _spread(batch: pa.RecordBatch, sizes: np.ndarray, meaning, keys: tuple[str, ...]) -> tuple[pa.RecordBatch, np.ndarray]:
+    """A row for each token of files: keys, blocks, bare, tok_no and _WORDS; and where files begin."""
+    file = np.repeat(np.arange(len(sizes)), sizes)
+    starts = np.cumsum(sizes) - sizes
+    raw = batch.column("raws").flatten().dictionary_encode()
+    language, second = batch.column("language").dictionary_encode(), np.asarray(batch.column("second").fill_null(False)).astype(np.int64)
+    speech = language.indices.to_numpy(zero_copy_only=False).astype(np.int64) * 2 + second
+    several = 2 * len(language.dictionary)
+    # Each word of a language once.
+    own, codes = np.unique(raw.indices.to_numpy(zero_copy_only=False).astype(np.int64) * several + speech[file], return_inverse=True)
+    words, spoken = raw.dictionary.to_pylist(), language.dictionary.to_pylist()
+    told = list(zip(*[meaning(spoken[k % several // 2], bool(k % 2), words[k // several]) for k in own.tolist()])) or [()] * len(_WORDS)
+    codes, rows = pa.array(codes.astype(np.int32)), pa.array(file)
+    found = [pa.array(x, kind) for x, kind in zip(told, _WORDS.values())]
+    found = [pa.DictionaryArray.from_arrays(codes, x) if kind == pa.string() else x.take(codes) for x, kind in zip(found, _WORDS.values())]
+    given = [*dict.fromkeys((*keys, "blocks", "bare"))]
+    columns = [*[batch.column(c).take(rows) for c in given], _ints(np.arange(len(file)) - starts[file]), *found]
+    return pa.RecordBatch.from_arrays(columns, names=[*given, "tok_no", *_WORDS]), starts[sizes > 0]
+
+
+_TOKENS = "tok_no int, kind string, text string, mask string, off int, byte_off int, byte_end int, line_no int, col_no int, paren_depth int, brace_depth int, breaks int"
+
+
+def _rows(files: DataFrame, keys: tuple[str, ...], languages: Languages, parts: int | None, what, columns: str) -> DataFrame:
+    """keys, blocks, bare and the columns that what(batch, begins) gives (a batch, and the last of the columns) for tokens of files."""
+    parts = parts or int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    lists = lexed(files.repartition(parts, keys[0]), languages).select(*dict.fromkeys((*keys, "language")), "blocks", "bare", "second", "raws")
+    schema = StructType([*[lists.schema[k] for k in (*keys, "blocks", "bare")], *StructType.fromDDL(columns).fields])
 
     def each(batches):
-        for batch, begins in _whole_files(batches, keys):
-            yield pa.RecordBatch.from_arrays([*batch.columns, *what(batch, begins)], names=names)
+        meaning = _meaning(languages)
+        return _given((what(*_spread(batch, sizes, meaning, keys)) for batch, sizes in _some_files(batches)), schema.names)
+
+    return lists.mapInArrow(each, schema)
+
 
-    return rows.mapInArrow(each, schema)
+def _set_in(batch: pa.RecordBatch, begins: np.ndarray) -> tuple[pa.RecordBatch, list[pa.Array]]:
+    return batch, _placed(batch, begins)
+
+
+def _near_in(batch: pa.RecordBatch, begins: np.ndarray) -> tuple[pa.RecordBatch, list[pa.Array]]:
+    """Code tokens alone, and what is near them."""
+    file = _starts(begins, batch.num_rows)
+    code = np.flatnonzero(~_Words(batch.column("kind")).among(*TRIVIA))
+    own = pa.RecordBatch.from_arrays([*batch.columns, *_placed(batch, begins)], names=[*batch.schema.names, *_PLACED]).take(pa.array(code))
+    begins = np.flatnonzero(np.diff(file[code], prepend=-1))
+    return own, _near(own, begins)
 
 
 def tokens(files: DataFrame, keys: tuple[str, ...] = KEYS, languages: Languages = BUILT_IN, parts: int | None = None) -> DataFrame:
     """keys, blocks, bare, tok_no, kind, text, mask, off (code points), byte_off, byte_end, line_no, col_no (bytes, from 1),
     paren_depth, brace_depth and breaks (line breaks that are tokens; all three before the token). files: keys and text, dealt out by path
     in so many parts (or in as many as other shuffles have at first); a file's tokens stay together and in order."""
-    parts = parts or int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = lexed(files.repartition(parts, keys[0]), languages).withColumn("private", F.when(F.col("second"), _private(_RANGES[1])[0]).otherwise(_private(_RANGES[0])[0]))
-    # Not posexplode: Spark would infer that the array has items, and lex each text once more to see that, before the texts
-    # are dealt out.
-    rows = rows.select(*keys, "blocks", "bare", "private", F.posexplode_outer("raws").alias("tok_no", "raw")).where("tok_no IS NOT NULL")
-    rows = rows.select(*keys, "blocks", "bare", "tok_no", _back(F.col("raw"), 2).alias("mask"), _back(F.col("raw"), 1).alias("text"))
-    rows = _with(rows.withColumn("kind", languages.kind(F.col("mask"))), keys, _placed, _PLACES)
-    return rows.select(*keys, "blocks", "bare", "tok_no", "kind", "text", "mask", "off", "byte_off", "byte_end", "line_no", "col_no", "paren_depth", "brace_depth", "breaks")
+    return _rows(files, keys, languages, parts, _set_in, _TOKENS)
 
 
 def of_kinds(rows: DataFrame, *kinds: str) -> DataFrame:
@@ -253,28 +318,25 @@ def chain_parts(mask: Column) -> Column:
     return F.filter(F.split(mask, r"\."), lambda p: p != "")
 
 
-def one_statement(line: Column, next_line: Column) -> Column:
-    """Whether a bracket on the second line may continue what stands on the first: a line break parts them where blocks have
-    no braces, but for what stands in brackets where lines are indented."""
-    return (F.col("blocks") == "braces") | (line == next_line) | ((F.col("blocks") == "indent") & ((F.col("paren_depth") > 0) | (F.col("brace_depth") > 0)))
-
-
-#: What a code token learns of those beside it: column and how many tokens on.
-_BESIDE = {"prev": ("mask", -1), "prev2": ("mask", -2), "prev_kind": ("kind", -1), "prev_tok": ("tok_no", -1), "prev_line": ("line_no", -1), "prev_roles": ("roles", -1), "prev2_roles": ("roles", -2), "next": ("mask", 1), "next_kind": ("kind", 1), "next_off": ("off", 1), "next_tok": ("tok_no", 1), "next_line": ("line_no", 1), "next_roles": ("roles", 1), "next2_tok": ("tok_no", 2), "next2_off": ("off", 2)}
+#: What a code token learns of those beside it, where a fact asks for that: column and how many tokens on.
+_BESIDE = {"prev": ("mask", -1), "prev2": ("mask", -2), "prev_tok": ("tok_no", -1), "prev_line": ("line_no", -1), "next": ("mask", 1), "next_kind": ("kind", 1), "next_off": ("off", 1), "next_tok": ("tok_no", 1)}
 _TYPES = {"mask": "string", "kind": "string"}
-#: Of a token after a bracket's end: what stands before that bracket's opening one.
-_HEADS = ("prev", "prev_kind", "prev_tok", "prev_line", "prev_roles", "prev2_roles")
+#: Of a block after a bracket's end: what stands before that bracket's opening one.
+_HEADS = {"prev": "mask", "prev_kind": "kind", "prev_tok": "tok_no", "prev_line": "line_no", "prev_roles": "roles"}
 _NEAR = ", ".join([
-    *[f"{name} {_TYPES.get(c, 'int')}" for name, (c, _) in _BESIDE.items()], "prev_end int, behind boolean, unit_no bigint, outer struct<tok:int,mask:string,before:int>",
-    "chain_start int, unit_end int, unit_last int, assigns boolean, close_tok int, close_line int", *[f"head_{name} {_TYPES.get(_BESIDE[name][0], 'int')}" for name in _HEADS],
-    "next_close int, next_close_prev_tok int, body_tok int, body_close int, body_line int, stop_tok int, heads boolean",
+    *[f"{name} {_TYPES.get(c, 'int')}" for name, (c, _) in _BESIDE.items()], "prev_end int, behind boolean, unit_no bigint, outer struct<tok:int,mask:string,before:int>, assigns boolean, sign boolean, unit_end int",
+    "called int, chain_start int, unit_last int, inner_first int, inner_last int, next_close int, close_tok int, close_line int", *[f"head_{name} {_TYPES.get(c, 'int')}" for name, c in _HEADS.items()], "head_prev2_roles int",
+    "body_tok int, body_close int, body_line int, stop_tok int",
 ])
+_CODE = "tok_no int, kind string, mask string, roles int, parts array<string>, off int, byte_off int, byte_end int, line_no int, col_no int, paren_depth int, brace_depth int, " + _NEAR
+_SIGNS_BEFORE = tuple("+-*/%&|^<>!~?:=")
 
 
 def _near(batch: pa.RecordBatch, begins: np.ndarray) -> list[pa.Array]:
-    """_NEAR of code tokens: their neighbours; unit_no, which counts the statements of one bracket level, unit_end, the last
-    code token of the statement (with the sign that ends it, but for the bracket around it), unit_last, the last one
-    without; and what the order of the level or the pairs of brackets give. Braces of literals end nothing around them; a
+    """_NEAR of code tokens, each column null where no fact asks for it, as few tokens need most of them: their neighbours;
+    unit_no, which counts the statements of one bracket level, unit_end, the last code token of the statement (with the sign that ends it, but for the bracket around it), unit_last, the last one
+    without; called (1: the name of a call with brackets, 2: of one without, else 0), sign (of an assignment); and what the
+    order of the level or the pairs of brackets give. Braces of literals end nothing around them; a
     bracket's end closes the statement in it; a line does not end it where more must follow. Where words make blocks,
     these and words behind a statement end it too. A line break stands at the level of the code token after it, so that
     code tokens tell all statements apart."""
@@ -326,11 +388,15 @@ def _near(batch: pa.RecordBatch, begins: np.ndarray) -> list[pa.Array]:
     around = mask.among(")", "}") & deep
     own_end = np.where(ends, np.where(~word_ends & ~around, tok, prev_tok), broken_at)
     own_last = np.where(ends, prev_tok, broken_at)
-    sign = mask.among("=", ":=").astype(np.int64)
+    size = mask.of(pc.utf8_length(mask.own)).astype(np.int64)
+    off = number["off"]
+    prev_end, next_off = _at(off + size, prev, -1), _at(off, beside[1], -1)
+    # Neither the second half of another sign nor the first of an arrow.
+    sign = mask.among("=", ":=") & ~((prev_end == off) & said(-1, *_SIGNS_BEFORE)) & ~((next_off == off + 1) & said(1, ">"))
     units = np.flatnonzero(changes | np.append(True, np.diff(unit_no) != 0)) if n else np.zeros(0, int)
     file_end = tok[end - 1]
     most = lambda x: np.repeat(np.maximum.reduceat(x[own], units), np.diff(np.append(units, n)))[back]
-    unit_end, unit_last, assigns = most(own_end), most(own_last), most(sign) > 0
+    unit_end, unit_last, assigns = most(own_end), most(own_last), most(sign.astype(np.int64)) > 0
 
     # Brackets of one kind at one depth pair up in their order.
     paren = mask.among("(", "[", ")", "]")
@@ -364,22 +430,58 @@ def _near(batch: pa.RecordBatch, begins: np.ndarray) -> list[pa.Array]:
     named = _at(_at(is_name & ~role("keyword"), prev, False) & ~_at(role("function"), beside[-2], False), head, False)
     heads[prev[head[braces & mask.among("{") & said(-1, ")") & named & (closing >= 0)]]] = True
 
-    near = {name: _taken(batch.column(c), beside[k]) for name, (c, k) in _BESIDE.items()}
-    holder = pa.StructArray.from_arrays([near[c].take(pa.array(np.maximum(outer, 0))) for c in ("prev_tok", "prev", "prev2_roles")], ["tok", "mask", "before"], mask=pa.array(outer < 0))
-    size = mask.of(pc.utf8_length(mask.own))
+    # Calls: names before brackets, or, where these may be left out, before blanks and an operand in their line.
+    unit_end, unit_last = np.where(unit_end >= 0, unit_end, file_end), np.where(unit_last >= 0, unit_last, file_end)
+    named = is_name & ~role("keyword") & ~_at(role("function"), prev, False)
+    next_line = _at(line, beside[1], -1)
+    bracketed = named & said(1, "(") & (braces | (line == next_line) | (indent & ((number["paren_depth"] > 0) | (number["brace_depth"] > 0)))) & ~heads
+    word = is_name & (~role("keyword") | (role("value") & ~role("closer")))
+    operand = _at(word | kind.among("number", "string") | mask.among("[", "@", "$"), beside[1], False) | (said(1, ":") & (_at(off, beside[2], -1) == next_off + 1))
+    may = np.asarray(batch.column("bare").fill_null(False))
+    bare = named & ~bracketed & may & (line == next_line) & (next_off > off + size) & operand & (_at(tok, beside[1], np.iinfo(np.int32).max) <= unit_last)
+
+    # Which tokens the facts ask for what.
+    block, comma = mask.among("{"), mask.among(",")
+    heading = braces & is_name & role("function")
+    worded = words & is_name & (role("opener") | role("closer"))
+    first_in_line = indent & (prev_line != line)
+    parting = assigns & (mask.among(":", "=", ":=") | comma)
+    wanted = {
+        "prev": block | worded | first_in_line, "prev2": block, "prev_tok": block | comma | parting | first_in_line, "prev_line": block | first_in_line,
+        "next": worded | role("function"), "next_kind": worded | role("function"), "next_off": worded, "next_tok": comma | sign | bracketed,
+    }
+    near = {name: _taken(batch.column(c), np.where(wanted[name], beside[k], -1)) for name, (c, k) in _BESIDE.items()}
+    # The opening bracket around a token, and what stands before that.
+    around = np.where(outer >= 0, prev[np.maximum(outer, 0)], -1)
+    around = np.where(assigns | comma, around, -1)
+    before_around = np.where(around >= 0, prev[np.maximum(around, 0)], -1)
+    holder = pa.StructArray.from_arrays([_ints(_at(tok, around, -1), True), _plain(_taken(batch.column("mask"), around)), _ints(_at(number["roles"], before_around, -1), True)], ["tok", "mask", "before"], mask=pa.array(around < 0))
+    only = lambda where, values: _ints(np.where(where, values, -1), True)
+    after = lambda values: _at(values, beside[1], -1)
+    head = np.where(block, head, -1)
+    before_head = {-1: np.where(head >= 0, prev[np.maximum(head, 0)], -1), -2: np.where(head >= 0, beside[-2][np.maximum(head, 0)], -1)}
     return [
-        *near.values(), _ints(_at(number["off"] + size, prev, -1), True), pa.array(behind), _ints(unit_no[back], kind=pa.int64()), holder, _ints(_at(tok, chain, -1), True),
-        _ints(np.where(unit_end >= 0, unit_end, file_end)), _ints(np.where(unit_last >= 0, unit_last, file_end)), pa.array(assigns), _ints(close_tok, True), _ints(close_line, True), *[_taken(near[c], head) for c in _HEADS],
-        *[_ints(x, True) for x in (_at(close_tok, beside[1], -1), _at(close_prev_tok, beside[1], -1), _at(tok, body, -1), body_close, _at(close_line, body, -1), stop_tok)], pa.array(heads),
+        *near.values(), only(worded, prev_end), pa.array(behind, mask=~worded), pa.array(unit_no[back], pa.int64(), mask=~(assigns | worded | (may & (bare | comma)))), holder, pa.array(assigns), pa.array(sign), only(sign, unit_end),
+        _ints(np.where(bracketed, 1, np.where(bare, 2, 0))), only(bracketed | bare, _at(tok, chain, -1)), only(bare, unit_last), only(bracketed | bare, np.where(bracketed, _at(tok, beside[2], -1), after(tok))),
+        only(bracketed | bare, np.where(bracketed, after(close_prev_tok), unit_last)), only(bracketed, after(close_tok)), only(block, close_tok), only(block, close_line),
+        *[_taken(batch.column(c), before_head[-1]) for c in _HEADS.values()], _taken(batch.column("roles"), before_head[-2]),
+        *[only(heading, x) for x in (_at(tok, body, -1), body_close, _at(close_line, body, -1), stop_tok)],
     ]
 
 
+def code_of(files: DataFrame, keys: tuple[str, ...] = KEYS, languages: Languages = BUILT_IN, parts: int | None = None) -> DataFrame:
+    """Tokens of files (as for ``tokens``) without white space, comments and bodies of heredocs, with what the facts need:
+    roles (of words), parts (of names) and _NEAR: the neighbours' text, close_tok of brackets, outer (the opening bracket around
+    a token, and what stands before that), chain_start (where the chain of members, calls and subscripts begins that a call
+    continues), behind (it follows an expression on its line), assigns (an assignment's sign is in its statement), and where
+    functions of languages with braces have their bodies."""
+    return _rows(files, keys, languages, parts, _near_in, _CODE)
+
+
 def code_tokens(rows: DataFrame, keys: tuple[str, ...] = KEYS, languages: Languages = BUILT_IN) -> DataFrame:
-    """Tokens (as ``tokens`` gives them: those of a file together and in order) without white space, comments and bodies of
-    heredocs, with what the facts need: roles (of words), parts (of names), the neighbours' text, close_tok of brackets,
-    outer (the opening bracket around a token, and what stands before that), chain_start (where the chain of members, calls
-    and subscripts begins that a token continues), behind (it follows an expression on its line), assigns (a sign = or := is in
-    its statement), and where functions of languages with braces begin (heads) and have their bodies."""
+    """The same from ``tokens``: those of a file together and in order."""
     # A row for each word of each language: small by nature.
     code = rows.where(~F.col("kind").isin(*TRIVIA)).drop("text").join(F.broadcast(languages.words(rows.sparkSession)), ["language", "mask"], "left").withColumn("roles", F.coalesce("roles", F.lit(0)))
-    return _with(code, keys, _near, _NEAR).withColumn("parts", F.when(F.col("kind") == "name", chain_parts(F.col("mask")))).drop("breaks")
+    code = code.withColumn("parts", F.when(F.col("kind") == "name", chain_parts(F.col("mask")))).select(*keys, "blocks", "bare", *[f.name for f in StructType.fromDDL(_CODE).fields if f.name in (*_WORDS, "tok_no")], *_PLACED)
+    schema = StructType([*[code.schema[k] for k in (*keys, "blocks", "bare")], *StructType.fromDDL(_CODE).fields])
+    return code.mapInArrow(lambda batches: _given(((b, _near(b, begins)) for b, begins in _whole_files(batches, keys)), schema.names), schema)
