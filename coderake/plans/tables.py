@@ -27,9 +27,10 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-#: A task writes its bucket as the rows come, without a sort of them by bucket first (if it has more than one, it sorts the
-#: rest); and rows that tasks read by bucket stay so, also where no window or join of the plan needs that.
-_BUCKETED = {"spark.sql.maxConcurrentOutputFileWriters": "1", "spark.sql.sources.bucketing.autoBucketedScan.enabled": "false"}
+#: A task writes its bucket as the rows come, without a sort of them by bucket first: that begins once as many files are open as
+#: this says, so two leave a task with one bucket alone (with one, all rows but the first are sorted). And rows that tasks
+#: read by bucket stay so, also where no window or join of the plan needs that.
+_BUCKETED = {"spark.sql.maxConcurrentOutputFileWriters": "2", "spark.sql.sources.bucketing.autoBucketedScan.enabled": "false"}
 
 
 @contextmanager

@@ -66,3 +66,25 @@ def test_files_are_dealt_out_by_their_size_and_stay_so(spark, monkeypatch):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert spark.conf.get("spark.sql.sources.bucketing.autoBucketedScan.enabled") == "true"
+
+
+def test_a_bucket_is_written_without_a_sort(spark):
+    """Tasks of one bucket each hold no rows back: a sort of them would spill where they are many."""
+    store = spark.sparkContext._jsc.sc().statusStore()
+
+    def stages():
+        found = store.stageList(None, False, False, getattr(store, "stageList$default$4")(), getattr(store, "stageList$default$5")()).iterator()
+        while found.hasNext():
+            yield found.next()
+
+    before = {s.stageId() for s in stages()}
+    rows = spark.range(10_000).selectExpr("id", "concat('f', id % 97) AS path").repartition(7, "path")
+    conf, most = spark._jvm.org.apache.spark.SparkEnv.get().conf(), "spark.shuffle.spill.numElementsForceSpillThreshold"
+    conf.set(most, "100")  # any sort of more rows spills
+    try:
+        with workspace(spark):
+            assert written(rows, "buckets", by="path", parts=7).count() == 10_000
+    finally:
+        conf.remove(most)
+    new = [s for s in stages() if s.stageId() not in before]
+    assert sum(s.outputRecords() for s in new) == 10_000 and sum(s.memoryBytesSpilled() for s in new) == 0
