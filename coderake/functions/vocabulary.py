@@ -29,6 +29,17 @@ TAINT_TERMS = {
     "sanitizer": ["escape", "encodeURI", "encodeURIComponent", "sanitize", "sanitizeHTML", "sanitizeHtml", "htmlspecialchars", "html.escape", "cgi.escape", "urllib.parse.quote"],
 }
 
+
+def source_kind(parts: list[str], is_call: bool) -> str | None:
+    """What makes a name of those parts a source: call, member or identifier; none for no source."""
+    functions, identifiers, properties = (TAINT_TERMS[f"source_{x}"] for x in ("function", "identifier", "property"))
+    if is_call and (".".join(parts) in functions or any(p in properties for p in parts)):
+        return "call"
+    if len(parts) > 1 and (parts[0] in identifiers or any(p in properties for p in parts[1:])):
+        return "member"
+    return "identifier" if any(p in identifiers for p in parts) else None
+
+
 SINKS = {
     ("SQLI", "call"): ["execute", "executemany", "query", "raw", "exec", "executeQuery", "prepareStatement"],
     ("XSS", "property"): ["innerHTML", "outerHTML", "html", "dangerouslySetInnerHTML"],

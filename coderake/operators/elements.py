@@ -1,8 +1,8 @@
 """Extents of code nested in one another: a file's elements in pre-order, and what lies in which extents.
 
-The extents of a file come together once, in the order in which they begin, and pass a stack of those still open; so the
-work grows with what they hold, however long a file, a function or a statement is. A file's extents are bounded by its size;
-files go through the stack in batches of Arrow, from which rows are taken as they are. Extents may cross each other, as in
+What lies in an extent is a range of a file's sorted points, found in Arrow batches of whole files; elements come together once, in
+the order in which they begin, and pass a stack of those still open. So the work grows with what extents hold, however long a file, a
+function or a statement is. A file's extents are bounded by its size. Extents may cross each other, as in
 code whose brackets do not match: nothing depends on their being nested.
 """
 
@@ -10,19 +10,18 @@ from __future__ import annotations
 
 from bisect import bisect_right
 from collections.abc import Iterator
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructField, StructType
 
 #: Kinds of elements; of those with the same first and last token, the earlier one holds the later one.
 KINDS = ("assignment", "value", "argument", "function", "call", "name")
-#: Rows given back at once.
+#: Pairs of an extent and a point that are taken at once, or those of one extent, if these are more.
 ROWS = 1 << 16
-EXTENT, BARRIER, POINT = range(3)
 
 
 def _item(first: str, last: str, rank: Column, *more: Column) -> Column:
@@ -44,39 +43,68 @@ def _files(batch: pa.RecordBatch) -> Iterator[tuple[int, int, list[int], list[in
         at += size
 
 
-def _around(first: list[int], back: list[int], rank: list[int]) -> Iterator[tuple[int, int]]:
-    """(point, extent) of one file, as places in its sorted items."""
-    still = []
-    for i, begin in enumerate(first):
-        while still and still[-1][0] < begin:
-            still.pop()
-        if rank[i] != POINT:
-            still.append((-back[i], i))
-            continue
-        barred = None
-        for end, j in reversed(still):
-            if end < begin:
-                continue
-            if rank[j] == BARRIER:
-                barred = end if barred is None else min(barred, end)
-            elif barred is None or end < barred:
-                yield i, j
+def _spread(column: pa.ListArray) -> tuple[pa.Array, np.ndarray]:
+    """What the lists of files hold, and the number of each one's file."""
+    sizes = np.asarray(pc.fill_null(pc.list_value_length(column), 0)).astype(np.int64)
+    return column.flatten(), np.repeat(np.arange(len(sizes)), sizes)
+
+
+def _at(file: np.ndarray, tok: pa.Array) -> np.ndarray:
+    """Tokens of files as numbers that sort by file and token."""
+    return (file << 33) + tok.to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _pairs(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(extent, point) of a batch of files, as places in all their lists, ROWS pairs or more at once but for the last ones, with
+    all points of an extent together and in order. The points of an extent are a range of the sorted ones, and so are those of a
+    barrier: what barriers wholly in an extent keep from it are parts of its range."""
+    (extents, of), (points, file), (barriers, barred) = (_spread(batch.column(c)) for c in ("extents", "points", "barriers"))
+    begin, end = _at(of, extents.field("first_tok")), _at(of, extents.field("last_tok"))
+    t = _at(file, points.field("t"))
+    order = np.argsort(t, kind="stable")
+    t = t[order]
+    b_begin, b_end = _at(barred, barriers.field("first_tok")), _at(barred, barriers.field("last_tok"))
+    own = np.argsort(b_begin, kind="stable")
+    b_begin, b_end = b_begin[own], b_end[own]
+    low, high = np.searchsorted(t, begin), np.searchsorted(t, end, "right")
+    b_low, b_high = np.searchsorted(t, b_begin), np.searchsorted(t, b_end, "right")
+    bars = np.searchsorted(b_begin, begin), np.searchsorted(b_begin, end, "right")
+    n, m = high - low, bars[1] - bars[0]
+    total, at = np.cumsum(n + m), 0
+    while at < len(total):
+        until = min(int(np.searchsorted(total, (total[at - 1] if at else 0) + ROWS)) + 1, len(total))
+        some = np.arange(at, until)
+        starts = np.cumsum(n[some]) - n[some]
+        e = np.repeat(some, n[some])
+        p = np.arange(len(e)) - starts[e - at] + low[e]
+        if m[some].any():
+            x = np.repeat(some, m[some])
+            y = np.arange(len(x)) - (np.cumsum(m[some]) - m[some])[x - at] + bars[0][x]
+            inside = b_end[y] <= end[x]
+            x, y = x[inside], y[inside]
+            from_here = starts[x - at] - low[x]
+            change = np.bincount(from_here + b_low[y], minlength=len(e) + 1) - np.bincount(from_here + b_high[y], minlength=len(e) + 1)
+            kept = np.cumsum(change)[: len(e)] == 0
+            e, p = e[kept], p[kept]
+        if len(e):
+            yield e, order[p]
+        at = until
 
 
 def _met(extents: DataFrame, points: DataFrame, barriers: DataFrame | None) -> tuple[DataFrame, StructField, StructType]:
-    """(path, items) of files that have both, with the types of a key and of a point. The extents and the points of a file are
+    """(path, extents, points, barriers) of files that have extents and points, with the types of a key and of a point. They are
     listed each, and the lists joined: rows of tables that are dealt out by path stay where they are."""
     key, point = extents.schema["key"].dataType, StructType([StructField(f.name, f.dataType) for f in points.schema if f.name != "path"])
-    no_key, no_point = F.lit(None).cast(key).alias("key"), F.lit(None).cast(point).alias("point")
-    own = F.struct(*[c for c in points.columns if c != "path"]).cast(point).alias("point")
-    listed = lambda rows, name, *item: rows.groupBy("path").agg(F.collect_list(_item(*item)).alias(name))
-    rows = listed(points.where("t IS NOT NULL"), "points", "t", "t", F.lit(POINT), no_key, own)
-    rows = rows.join(listed(extents.where("first_tok <= last_tok"), "extents", "first_tok", "last_tok", F.lit(EXTENT), F.col("key"), no_point), "path")
-    items = [F.col("extents"), F.col("points")]
-    if barriers is not None:
-        rows = rows.join(listed(barriers.where("first_tok <= last_tok"), "barriers", "first_tok", "last_tok", F.lit(BARRIER), no_key, no_point), "path", "left")
-        items.append(F.coalesce("barriers", F.array()))
-    return rows.select("path", F.array_sort(F.concat(*items)).alias("items")), StructField("key", key), point
+    listed = lambda rows, name, *item: rows.groupBy("path").agg(F.collect_list(F.struct(*item)).alias(name))
+    bounds = [F.col(c).cast("int").alias(c) for c in ("first_tok", "last_tok")]
+    rows = listed(points.where("t IS NOT NULL"), "points", *[c for c in points.columns if c != "path"])
+    rows = rows.join(listed(extents.where("first_tok <= last_tok"), "extents", *bounds, "key"), "path")
+    none = F.array().cast("array<struct<first_tok:int,last_tok:int>>")
+    if barriers is None:
+        rows = rows.withColumn("barriers", none)
+    else:
+        rows = rows.join(listed(barriers.where("first_tok <= last_tok"), "barriers", *bounds), "path", "left").withColumn("barriers", F.coalesce("barriers", none))
+    return rows.select("path", "extents", "points", "barriers"), StructField("key", key), point
 
 
 def enclosing(extents: DataFrame, points: DataFrame, barriers: DataFrame | None = None) -> DataFrame:
@@ -88,11 +116,9 @@ def enclosing(extents: DataFrame, points: DataFrame, barriers: DataFrame | None
 
     def met(batches):
         for batch in batches:
-            *_, keys, given = batch.column(1).flatten().flatten()
-            pairs = ((no, at + i, at + j) for no, at, *bounds in _files(batch) for i, j in _around(*bounds))
-            while some := list(islice(pairs, ROWS)):
-                file, i, j = (pa.array(x, pa.int32()) for x in zip(*some))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(file), keys.take(j), given.take(i)], names=["path", "key", "point"])
+            (own, of), given = _spread(batch.column("extents")), batch.column("points").flatten()
+            for e, p in _pairs(batch):
+                yield pa.RecordBatch.from_arrays([batch.column("path").take(pa.array(of[e])), own.field("key").take(pa.array(e)), given.take(pa.array(p))], names=["path", "key", "point"])
 
     return rows.mapInArrow(met, StructType([extents.schema["path"], key, StructField("point", point)])).select("path", "key", "point.*")
 
@@ -104,31 +130,15 @@ def holding(extents: DataFrame, points: DataFrame, barriers: DataFrame | None =
 
     def met(batches):
         for batch in batches:
-            *_, keys, given = batch.column(1).flatten().flatten()
-            held: dict[int, list[int]] = {}
-            files, size = [], 0
-            for no, at, *bounds in _files(batch):
-                for i, j in _around(*bounds):
-                    if (own := held.get(at + j)) is None:
-                        own = held[at + j] = []
-                        files.append(no)
-                    own.append(at + i)
-                    size += 1
-                if size >= ROWS:
-                    yield _gathered(batch.column(0), keys, given, files, held)
-                    held, files, size = {}, [], 0
-            if held:
-                yield _gathered(batch.column(0), keys, given, files, held)
+            (own, of), given = _spread(batch.column("extents")), batch.column("points").flatten()
+            for e, p in _pairs(batch):
+                begins = np.flatnonzero(np.diff(e, prepend=-1))
+                held = pa.ListArray.from_arrays(pa.array(np.append(begins, len(e)), pa.int32()), given.take(pa.array(p)))
+                yield pa.RecordBatch.from_arrays([batch.column("path").take(pa.array(of[e[begins]])), own.field("key").take(pa.array(e[begins])), held], names=["path", "key", "points"])
 
     return rows.mapInArrow(met, StructType([extents.schema["path"], key, StructField("points", ArrayType(point))]))
 
 
-def _gathered(paths: pa.Array, keys: pa.Array, given: pa.Array, files: list[int], held: dict[int, list[int]]) -> pa.RecordBatch:
-    ends = np.cumsum([0, *map(len, held.values())])
-    points = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), given.take(pa.array([i for own in held.values() for i in own], pa.int64())))
-    return pa.RecordBatch.from_arrays([paths.take(pa.array(files, pa.int32())), keys.take(pa.array(list(held), pa.int64())), points], names=["path", "key", "points"])
-
-
 def _nested(first: list[int], back: list[int]) -> tuple[list[int | None], list[int], list[int]]:
     """Parent, depth and last place of one file's sorted extents."""
     parents, depths, still = [], [], []

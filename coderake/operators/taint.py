@@ -7,6 +7,9 @@ source; what stands inside a call of a sanitizer within the expression is not li
 
 from __future__ import annotations
 
+from itertools import islice, pairwise
+
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,19 +23,9 @@ def _words(role: str, more: dict[str, list[str]] | None = None) -> Column:
     return F.array(*[F.lit(t) for t in TAINT_TERMS[role] + (more or {}).get(role, [])])
 
 
-def source_of(parts: Column, is_call: Column) -> Column:
-    """What makes a name a source: call, member or identifier; null for none."""
-    dotted, later = F.array_join(parts, "."), F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0)))
-    props = _words("source_property")
-    call = is_call & (F.array_contains(_words("source_function"), dotted) | F.arrays_overlap(parts, props))
-    member = (F.size(parts) > 1) & (F.array_contains(_words("source_identifier"), F.element_at(parts, 1)) | F.arrays_overlap(later, props))
-    return F.when(call, "call").when(member, "member").when(F.arrays_overlap(parts, _words("source_identifier")), "identifier")
-
-
 def sources(code: DataFrame) -> DataFrame:
     """path, language, tok_no, parts, close_tok (of calls), source: names that are sources."""
-    rows = called_names(code).select("path", "language", "tok_no", "parts", "close_tok")
-    return rows.withColumn("source", source_of(F.col("parts"), F.col("close_tok").isNotNull())).where("source IS NOT NULL")
+    return called_names(code).where("source IS NOT NULL AND source <> 'open'").select("path", "language", "tok_no", "parts", "close_tok", "source")
 
 
 def sanitizer_calls(calls: DataFrame, more: dict[str, list[str]] | None = None) -> DataFrame:
@@ -42,7 +35,7 @@ def sanitizer_calls(calls: DataFrame, more: dict[str, list[str]] | None = None)
 
 def _inner_names(code: DataFrame) -> DataFrame:
     """path, t, parts, is_source: all names."""
-    return called_names(code).select("path", F.col("tok_no").alias("t"), "parts", source_of(F.col("parts"), F.col("is_call")).isNotNull().alias("is_source"))
+    return names(code).select("path", F.col("tok_no").alias("t"), "parts", F.col("source").isNotNull().alias("is_source"))
 
 
 def live_names(code: DataFrame, calls: DataFrame, extents: DataFrame, more: dict[str, list[str]] | None = None) -> DataFrame:
@@ -81,18 +74,27 @@ def tainted_names(found: DataFrame) -> DataFrame:
     listed = found.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("ord", "targets", "idents", "seeds"))).alias("events"))
     known = set(TAINT_TERMS["source_identifier"])
 
-    def passed(events: list[dict]) -> list[str]:
-        names: set[str] = set()
-        for e in events:
-            if not known.isdisjoint(e["idents"]) or not names.isdisjoint(e["idents"]):
-                names.update(e["targets"])
-            names.update(e["seeds"])
-        return sorted(names, key=str.encode)
-
     def scan(batches):
         for batch in batches:
-            names = pa.array((passed(e.as_py()) for e in batch.column(1)), pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), names], names=["path", "names"])
+            events = batch.column("events").flatten()
+            lists = [events.field(c) for c in ("idents", "targets", "seeds")]
+            # A number for each word of a batch.
+            words = pa.concat_arrays([x.flatten() for x in lists]).dictionary_encode()
+            told, codes, at, own = words.dictionary.to_pylist(), words.indices.to_pylist(), 0, []
+            for x in lists:
+                ends = np.cumsum([0, *x.value_lengths().to_pylist()]) + at
+                own.append([codes[i:j] for i, j in pairwise(ends.tolist())])
+                at = int(ends[-1])
+            first = {n for n, word in enumerate(told) if word in known}
+            names, rows = [], zip(*own)
+            for size in batch.column("events").value_lengths().to_pylist():
+                live: set[int] = set()
+                for idents, targets, seeds in islice(rows, size):
+                    if targets and not (first.isdisjoint(idents) and live.isdisjoint(idents)):
+                        live.update(targets)
+                    live.update(seeds)
+                names.append(sorted((told[n] for n in live), key=str.encode))
+            yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(names, pa.list_(pa.string()))], names=["path", "names"])
 
     return listed.mapInArrow(scan, "path string, names array<string>")
 
@@ -100,7 +102,8 @@ def tainted_names(found: DataFrame) -> DataFrame:
 def tainted_extents(code: DataFrame, calls: DataFrame, extents: DataFrame, tainted: DataFrame, more: dict[str, list[str]] | None = None) -> DataFrame:
     """(path, key) of extents that are tainted, given all tainted names of the file."""
     live = live_names(code, calls, extents, more)
-    at_once = live.where(F.col("is_source") | F.arrays_overlap("parts", _words("source_identifier"))).select("path", "key")
-    named = tainted.select("path", F.explode("names").alias("name"))
-    by_name = live.select("path", "key", F.explode("parts").alias("name")).join(named, ["path", "name"], "left_semi").select("path", "key")
+    at_once = live.where("is_source").select("path", "key")  # also where a part is an identifier of a source
+    # What a task holds of the names of its files is a part of what the pass over their events held: no sort of the live ones.
+    named = tainted.select("path", F.explode("names").alias("name")).hint("shuffle_hash")
+    by_name = live.where("NOT is_source").select("path", "key", F.explode("parts").alias("name")).join(named, ["path", "name"], "left_semi").select("path", "key")
     return at_once.unionByName(by_name).distinct()

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from coderake.functions.languages import BUILT_IN, ROLES, Languages
+from coderake.functions.vocabulary import source_kind
 
 #: A lexer for texts in no language: comments and strings as many languages have them.
 PLAIN_LEXER = r"""/\*[\s\S]*?\*/|//[^\n]*|`[^`]*`|"[^"\n]*"|'[^'\n]*'|[A-Za-z_][\w.]*|[0-9]+|==|!=|<=|>=|&&|\|\||:=|[ \t]+|[\s\S]"""
@@ -318,26 +319,27 @@ def chain_parts(mask: Column) -> Column:
     return F.filter(F.split(mask, r"\."), lambda p: p != "")
 
 
-#: What a code token learns of those beside it, where a fact asks for that: column and how many tokens on.
-_BESIDE = {"prev": ("mask", -1), "prev2": ("mask", -2), "prev_tok": ("tok_no", -1), "prev_line": ("line_no", -1), "next": ("mask", 1), "next_kind": ("kind", 1), "next_off": ("off", 1), "next_tok": ("tok_no", 1)}
-_TYPES = {"mask": "string", "kind": "string"}
-#: Of a block after a bracket's end: what stands before that bracket's opening one.
-_HEADS = {"prev": "mask", "prev_kind": "kind", "prev_tok": "tok_no", "prev_line": "line_no", "prev_roles": "roles"}
-_NEAR = ", ".join([
-    *[f"{name} {_TYPES.get(c, 'int')}" for name, (c, _) in _BESIDE.items()], "prev_end int, behind boolean, unit_no bigint, outer struct<tok:int,mask:string,before:int>, assigns boolean, sign boolean, unit_end int",
-    "called int, chain_start int, unit_last int, inner_first int, inner_last int, next_close int, close_tok int, close_line int", *[f"head_{name} {_TYPES.get(c, 'int')}" for name, c in _HEADS.items()], "head_prev2_roles int",
-    "body_tok int, body_close int, body_line int, stop_tok int",
-])
-_CODE = "tok_no int, kind string, mask string, roles int, parts array<string>, off int, byte_off int, byte_end int, line_no int, col_no int, paren_depth int, brace_depth int, " + _NEAR
+#: What code tokens learn of what is near them, where a fact asks for that; what few tokens learn stands in one struct, null for the others.
+_NEAR = {
+    "prev": "string", "next_tok": "int", "unit_no": "bigint", "called": "int", "source": "string",
+    "call": "struct<close_tok:int,start_tok:int,inner_first:int,inner_last:int>",
+    "assign": "struct<value_start:int,value_end:int,start_tok:int,line_no:int,col_no:int,off:int,targets:array<array<string>>>",
+    "comma": "struct<prev_tok:int,outer_tok:int>",
+    "block": "struct<prev2:string,prev_tok:int,prev_line:int,close_tok:int,close_line:int,head:string,head_kind:string,head_tok:int,head_line:int,head_roles:int,head_prev_roles:int>",
+    "word": "struct<next:string,next_kind:string,next_off:int,prev_end:int,behind:boolean,body_tok:int,body_close:int,body_line:int,stop_tok:int>",
+    "first": "struct<prev:string,prev_tok:int,prev_line:int>",
+}
+_CODE = "tok_no int, kind string, mask string, roles int, parts array<string>, off int, byte_off int, byte_end int, line_no int, col_no int, paren_depth int, brace_depth int, " + ", ".join(f"{k} {v}" for k, v in _NEAR.items())
+#: Kinds of sources, as they are written; the last is that of a call without an end.
+_SOURCES = ("call", "member", "identifier", "open")
 _SIGNS_BEFORE = tuple("+-*/%&|^<>!~?:=")
 
 
 def _near(batch: pa.RecordBatch, begins: np.ndarray) -> list[pa.Array]:
-    """_NEAR of code tokens, each column null where no fact asks for it, as few tokens need most of them: their neighbours;
-    unit_no, which counts the statements of one bracket level, unit_end, the last code token of the statement (with the sign that ends it, but for the bracket around it), unit_last, the last one
-    without; called (1: the name of a call with brackets, 2: of one without, else 0), sign (of an assignment); and what the
-    order of the level or the pairs of brackets give. Braces of literals end nothing around them; a
-    bracket's end closes the statement in it; a line does not end it where more must follow. Where words make blocks,
+    """_NEAR of code tokens: neighbours; unit_no, which counts the statements of one bracket level; called (1: the name of a call
+    with brackets, 2: of one without, else 0) and that call; source, what makes a name one; assign, at the sign of an assignment,
+    its value and what names stand before it; and what the order of the level or the pairs of brackets give. Braces of literals end nothing
+    around them; a bracket's end closes the statement in it; a line does not end it where more must follow. Where words make blocks,
     these and words behind a statement end it too. A line break stands at the level of the code token after it, so that
     code tokens tell all statements apart."""
     n = batch.num_rows
@@ -430,6 +432,7 @@ def _near(batch: pa.RecordBatch, begins: np.ndarray) -> list[pa.Array]:
     named = _at(_at(is_name & ~role("keyword"), prev, False) & ~_at(role("function"), beside[-2], False), head, False)
     heads[prev[head[braces & mask.among("{") & said(-1, ")") & named & (closing >= 0)]]] = True
 
+    after_next = lambda values: _at(values, beside[1], -1)
     # Calls: names before brackets, or, where these may be left out, before blanks and an operand in their line.
     unit_end, unit_last = np.where(unit_end >= 0, unit_end, file_end), np.where(unit_last >= 0, unit_last, file_end)
     named = is_name & ~role("keyword") & ~_at(role("function"), prev, False)
@@ -440,41 +443,128 @@ def _near(batch: pa.RecordBatch, begins: np.ndarray) -> list[pa.Array]:
     may = np.asarray(batch.column("bare").fill_null(False))
     bare = named & ~bracketed & may & (line == next_line) & (next_off > off + size) & operand & (_at(tok, beside[1], np.iinfo(np.int32).max) <= unit_last)
 
+    # What makes names sources.
+    plain_name = is_name & ~role("keyword")
+    as_call, as_name = (mask.of(pa.array(x, pa.int64())) for x in zip(*map(_sourced, mask.own.to_pylist())))
+    call_close = np.where(bracketed, after_next(close_tok), unit_last)
+    source = np.where(bracketed | bare, np.where(call_close >= 0, as_call, np.where((as_name < 0) & (as_call >= 0), len(_SOURCES) - 1, as_name)), as_name)
+    source = pa.array(_SOURCES).take(pa.array(np.where(plain_name, source, -1), pa.int64(), mask=~plain_name | (source < 0)))
+
     # Which tokens the facts ask for what.
+    called = bracketed | bare
     block, comma = mask.among("{"), mask.among(",")
-    heading = braces & is_name & role("function")
     worded = words & is_name & (role("opener") | role("closer"))
     first_in_line = indent & (prev_line != line)
-    parting = assigns & (mask.among(":", "=", ":=") | comma)
-    wanted = {
-        "prev": block | worded | first_in_line, "prev2": block, "prev_tok": block | comma | parting | first_in_line, "prev_line": block | first_in_line,
-        "next": worded | role("function"), "next_kind": worded | role("function"), "next_off": worded, "next_tok": comma | sign | bracketed,
-    }
-    near = {name: _taken(batch.column(c), np.where(wanted[name], beside[k], -1)) for name, (c, k) in _BESIDE.items()}
-    # The opening bracket around a token, and what stands before that.
-    around = np.where(outer >= 0, prev[np.maximum(outer, 0)], -1)
-    around = np.where(assigns | comma, around, -1)
-    before_around = np.where(around >= 0, prev[np.maximum(around, 0)], -1)
-    holder = pa.StructArray.from_arrays([_ints(_at(tok, around, -1), True), _plain(_taken(batch.column("mask"), around)), _ints(_at(number["roles"], before_around, -1), True)], ["tok", "mask", "before"], mask=pa.array(around < 0))
-    only = lambda where, values: _ints(np.where(where, values, -1), True)
-    after = lambda values: _at(values, beside[1], -1)
+    assigned, assign = _assigned(batch, number, mask, sign, assigns, unit_end, unit_no, own, outer, prev, beside[1], start, plain_name, braces)
+    near = lambda c, k, where: _taken(batch.column(c), np.where(where, beside[k], -1))
+    around = np.where(comma & (outer >= 0), prev[np.maximum(outer, 0)], -1)
     head = np.where(block, head, -1)
-    before_head = {-1: np.where(head >= 0, prev[np.maximum(head, 0)], -1), -2: np.where(head >= 0, beside[-2][np.maximum(head, 0)], -1)}
+    heads = {-1: np.where(head >= 0, prev[np.maximum(head, 0)], -1), -2: np.where(head >= 0, beside[-2][np.maximum(head, 0)], -1)}
+    told = worded | role("function")
+    heading = braces & is_name & role("function")
+    only = lambda where, values: _ints(np.where(where, values, -1), True)
+    some = lambda name, where, columns: _some(where, dict(zip(_fields(name), columns)))
     return [
-        *near.values(), only(worded, prev_end), pa.array(behind, mask=~worded), pa.array(unit_no[back], pa.int64(), mask=~(assigns | worded | (may & (bare | comma)))), holder, pa.array(assigns), pa.array(sign), only(sign, unit_end),
-        _ints(np.where(bracketed, 1, np.where(bare, 2, 0))), only(bracketed | bare, _at(tok, chain, -1)), only(bare, unit_last), only(bracketed | bare, np.where(bracketed, _at(tok, beside[2], -1), after(tok))),
-        only(bracketed | bare, np.where(bracketed, after(close_prev_tok), unit_last)), only(bracketed, after(close_tok)), only(block, close_tok), only(block, close_line),
-        *[_taken(batch.column(c), before_head[-1]) for c in _HEADS.values()], _taken(batch.column("roles"), before_head[-2]),
-        *[only(heading, x) for x in (_at(tok, body, -1), body_close, _at(close_line, body, -1), stop_tok)],
+        near("mask", -1, block | worded), near("tok_no", 1, comma | bracketed), pa.array(unit_no[back], pa.int64(), mask=~(worded | (may & (bare | comma)))), _ints(np.where(bracketed, 1, np.where(bare, 2, 0))), source,
+        some("call", called, [only(called, x) for x in (call_close, _at(tok, chain, -1), np.where(bracketed, _at(tok, beside[2], -1), after_next(tok)), np.where(bracketed, after_next(close_prev_tok), unit_last))]),
+        some("assign", assigned, assign),
+        some("comma", comma, [only(comma, prev_tok), only(comma, _at(tok, around, -1))]),
+        some("block", block, [near("mask", -2, block), *[only(block, x) for x in (prev_tok, prev_line, close_tok, close_line)], *[_taken(batch.column(c), heads[-1]) for c in ("mask", "kind", "tok_no", "line_no", "roles")], _taken(batch.column("roles"), heads[-2])]),
+        some("word", told, [near("mask", 1, told), near("kind", 1, told), near("off", 1, worded), only(worded, prev_end), pa.array(behind, mask=~worded), *[only(heading, x) for x in (_at(tok, body, -1), body_close, _at(close_line, body, -1), stop_tok)]]),
+        some("first", first_in_line, [near("mask", -1, first_in_line), only(first_in_line, prev_tok), only(first_in_line, prev_line)]),
     ]
 
 
+def _fields(name: str) -> list[str]:
+    """Names of a struct's fields."""
+    return [c.split(":")[0] for c in _NEAR[name].removeprefix("struct<").split(",")]
+
+
+def _some(where: np.ndarray, columns: dict[str, pa.Array]) -> pa.Array:
+    """A struct for the rows where something holds, null for the others."""
+    return pa.StructArray.from_arrays([_plain(c) for c in columns.values()], list(columns), mask=pa.array(~where))
+
+
+@lru_cache(1 << 16)
+def _sourced(mask: str) -> tuple[int, int]:
+    """Places in _SOURCES of what a name is as a call, and else; -1 for no source."""
+    parts = [p for p in mask.split(".") if p] if mask[:1].isalpha() or mask[:1] == "_" else []
+    return tuple(_SOURCES.index(x) if (x := source_kind(parts, is_call)) else -1 for is_call in (True, False))
+
+
+def _assigned(batch, number, mask, sign, assigns, unit_end, unit_no, own, outer, prev, following, start, plain_name, braces) -> tuple[np.ndarray, list[pa.Array]]:
+    """Which tokens are signs of assignments to names, and for these the value and the names before it (see _NEAR).
+    own: rows by level, unit_no: in that order. A statement stands in a file or a block, wherever that is, or in the brackets of a word
+    like for or while. A sign's targets begin after the sign, the comma of a further declaration or the block's colon before it, and end
+    at a type's colon. A value ends with its statement, or before the comma of the next declaration."""
+    n, tok = batch.num_rows, number["tok_no"]
+    bracket = np.where(outer >= 0, prev[np.maximum(outer, 0)], -1)
+    of_word = np.where(bracket >= 0, prev[np.maximum(bracket, 0)], -1)
+    in_brackets = braces & _at(mask.among("("), bracket, False) & ((_at(number["roles"], of_word, 0) & ROLES["bracket"]) != 0)
+    # Only what stands at the statement's own bracket level parts it.
+    kept = assigns & ((bracket < 0) | _at(mask.among("{"), bracket, False) | in_brackets)
+    places = np.flatnonzero(kept[own])
+    at, unit = own[places], unit_no[places]
+    size = len(at)
+    begins = np.ones(size, bool)
+    if size:
+        begins[1:] = np.logical_or.reduce([np.diff(x) != 0 for x in (start[at], number["paren_depth"][at], number["brace_depth"][at], unit)])
+    begin = _starts(np.flatnonzero(begins), size)
+    here = np.arange(size)
+    next_of = lambda where: np.minimum.accumulate(np.where(where, here, size)[::-1])[::-1]
+    signs, is_colon, is_comma = sign[at], mask.among(":")[at], mask.among(",")[at]
+    head, indented = at[begin], ~braces[at]
+    parted = (indented & ((number["roles"][head] & ROLES["head"]) != 0)) | mask.among("case", "default")[head]
+    last = np.append(begin[1:] != begin[:-1], True) if size else begins
+    end = next_of(last)
+    colon = next_of(is_colon)[begin]
+    colon = np.where(parted & (colon <= end), colon, -1)
+    at_colon = colon == here
+    parts = signs | at_colon | (is_comma & ~indented & (_ahead(signs.astype(np.int64), begin) > 0))
+    opened = _before(_latest(parts, begin), begin)
+    left = np.where(opened >= 0, opened + 1, begin)
+    typed = next_of(is_colon & ~at_colon)[left] if size else here
+    left_end = np.where(typed < here, at[np.minimum(typed, max(size - 1, 0))], at)
+    prev_tok = _at(tok, prev[at], -1)
+    before_comma = np.where((opened >= 0) & is_comma[opened], prev_tok[opened], -1) if size else here
+    further = next_of(signs & (before_comma >= 0))
+    further = np.append(further[1:], size)
+    most = np.iinfo(np.int64).max
+    next_comma = np.where(further <= end, before_comma[np.minimum(further, max(size - 1, 0))], most) if size else here
+    by_colon = np.where(colon > here, _at(prev_tok, colon, most), most)
+    value_end = np.minimum(np.minimum(unit_end[at], next_comma), by_colon)
+    value_start = _at(tok, following[at], most)
+
+    names = np.flatnonzero(plain_name)
+    low, high = np.searchsorted(names, at[left]), np.searchsorted(names, left_end)
+    good = signs & (value_start <= value_end) & (high > low)
+    rows = at[good]
+    order = np.argsort(rows)
+    rows, low, high = rows[order], low[good][order], high[good][order]
+    assigned = np.zeros(n, bool)
+    assigned[rows] = True
+    count = np.zeros(n, np.int64)
+    count[rows] = high - low
+    first = np.full(n, -1)
+    first[rows] = names[low]
+    spread = lambda values: _ints(_filled(n, rows, values[good][order]), True)
+    held = np.repeat(low, high - low) + np.arange(int(count.sum())) - np.repeat(np.cumsum(high - low) - (high - low), high - low)
+    targets = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(count)), pa.int32()), batch.column("parts").take(pa.array(names[held])))
+    return assigned, [spread(value_start), spread(value_end), *[_taken(batch.column(c), first) for c in ("tok_no", "line_no", "col_no", "off")], targets]
+
+
+def _filled(size: int, rows: np.ndarray, values: np.ndarray) -> np.ndarray:
+    out = np.full(size, -1)
+    out[rows] = values
+    return out
+
+
 def code_of(files: DataFrame, keys: tuple[str, ...] = KEYS, languages: Languages = BUILT_IN, parts: int | None = None) -> DataFrame:
     """Tokens of files (as for ``tokens``) without white space, comments and bodies of heredocs, with what the facts need:
-    roles (of words), parts (of names) and _NEAR: the neighbours' text, close_tok of brackets, outer (the opening bracket around
-    a token, and what stands before that), chain_start (where the chain of members, calls and subscripts begins that a call
-    continues), behind (it follows an expression on its line), assigns (an assignment's sign is in its statement), and where
-    functions of languages with braces have their bodies."""
+    roles (of words), parts (of names) and _NEAR: calls with where the chain of members, calls and subscripts begins that they
+    continue (start_tok), assignments at their signs, commas with the opening bracket around them (outer_tok), blocks with what stands
+    before them and before the brackets at their head, words with what is beside them, whether they follow an expression on their
+    line (behind) and where functions of languages with braces have their bodies, and first tokens of lines of indented languages."""
     return _rows(files, keys, languages, parts, _near_in, _CODE)
 
 
