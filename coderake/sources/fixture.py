@@ -99,6 +99,9 @@ _SUFFIXES = [".py", ".js", ".RB", ".ts", ".txt", ".java", ".py", ".go", ".cs", "
 _SUFFIX = "CASE p_partkey % 16 " + " ".join(f"WHEN {n} THEN '{suffix}'" for n, suffix in enumerate(_SUFFIXES)) + " END"
 _TAIL = "CASE p_partkey % 16 " + " ".join(f"WHEN {n} THEN {_TAILS[suffix]}" for n, suffix in enumerate(_SUFFIXES) if suffix in _TAILS) + " ELSE '' END"
 
+#: Rows of ``part`` in one task, at most on average: some 40 MB of texts, which a task holds as it deals them out by path.
+ROWS = 50_000
+
 #: code_files(p_partkey, path, text): an ignored folder for each seventh file, sixteen suffixes of which one is unknown.
 CODE_FILES = f"""SELECT p_partkey,
   concat('repo/', CASE WHEN p_partkey % 7 = 0 THEN 'build/' ELSE 'app/' END, 'f', CAST(p_partkey AS varchar(20)), {_SUFFIX}) AS path,
@@ -108,5 +111,6 @@ FROM part"""
 
 def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     query = CODE_FILES.replace("{", "{{").replace("}", "}}").replace("FROM part", "FROM {part}")
-    # A part's row becomes a file of a thousand times its size: rows are dealt out first.
-    return spark.sql(query, part=spark.read.parquet(f"{sf_dir}/part.parquet").repartition("p_partkey"))
+    # A part's row becomes a file of a thousand times its size: rows are dealt out first, to more tasks the more there are.
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    return spark.sql(query, part=part.repartition(max(spark.sparkContext.defaultParallelism, -(-part.count() // ROWS)), "p_partkey"))

@@ -7,7 +7,9 @@ import pytest
 from coderake.operators import rules
 from coderake.operators.taint import _value_extents, live_names
 from coderake.plans.tables import PREFIX, shared_dir, workspace, written
+from coderake.sources import fixture
 from coderake.streaming.incremental import file_stream, scan_stream
+from tests.conftest import DATA
 from tests.test_scan import texts
 
 
@@ -68,6 +70,13 @@ def test_files_are_dealt_out_by_their_size_and_stay_so(spark, monkeypatch):
     assert spark.conf.get("spark.sql.sources.bucketing.autoBucketedScan.enabled") == "true"
 
 
+def test_more_files_come_from_more_tasks(spark, monkeypatch):
+    """What a task holds of the texts that it deals out does not grow with the table of parts."""
+    monkeypatch.setattr(fixture, "ROWS", 10, raising=False)
+    files = fixture.code_files(spark, DATA)
+    assert files.rdd.getNumPartitions() == -(-spark.read.parquet(f"{DATA}/part.parquet").count() // 10) > spark.sparkContext.defaultParallelism
+
+
 def test_a_bucket_is_written_without_a_sort(spark):
     """Tasks of one bucket each hold no rows back: a sort of them would spill where they are many."""
     store = spark.sparkContext._jsc.sc().statusStore()
