@@ -8,7 +8,6 @@ code whose brackets do not match: nothing depends on their being nested.
 
 from __future__ import annotations
 
-from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,20 +28,6 @@ def _item(first: str, last: str, rank: Column, *more: Column) -> Column:
     return F.struct(F.col(first).cast("int").alias("first_tok"), (-F.col(last)).cast("int").alias("back"), rank.alias("rank"), *more)
 
 
-def _listed(items: DataFrame) -> DataFrame:
-    return items.groupBy("path").agg(F.array_sort(F.collect_list("item")).alias("items"))
-
-
-def _files(batch: pa.RecordBatch) -> Iterator[tuple[int, int, list[int], list[int], list[int]]]:
-    """Number, start and the sorted bounds and ranks of each file of a batch."""
-    first, back, rank = batch.column(1).flatten().flatten()[:3]
-    at = 0
-    for no, size in enumerate(batch.column(1).value_lengths().to_pylist()):
-        own = slice(at, at + size)
-        yield no, at, first[own].to_pylist(), back[own].to_pylist(), rank[own].to_pylist()
-        at += size
-
-
 def _spread(column: pa.ListArray) -> tuple[pa.Array, np.ndarray]:
     """What the lists of files hold, and the number of each one's file."""
     sizes = np.asarray(pc.fill_null(pc.list_value_length(column), 0)).astype(np.int64)
@@ -54,14 +39,18 @@ def _at(file: np.ndarray, tok: pa.Array) -> np.ndarray:
     return (file << 33) + tok.to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def _pairs(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _pairs(batch: pa.RecordBatch, which: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(extent, point) of a batch of files, as places in all their lists, ROWS pairs or more at once but for the last ones, with
-    all points of an extent together and in order. The points of an extent are a range of the sorted ones, and so are those of a
-    barrier: what barriers wholly in an extent keep from it are parts of its range."""
+    all points of an extent together and in order; which: places of the points that count, or all. The points of an extent are a
+    range of the sorted ones, and so are those of a barrier: what barriers wholly in an extent keep from it are parts of its range."""
     (extents, of), (points, file), (barriers, barred) = (_spread(batch.column(c)) for c in ("extents", "points", "barriers"))
     begin, end = _at(of, extents.field("first_tok")), _at(of, extents.field("last_tok"))
     t = _at(file, points.field("t"))
     order = np.argsort(t, kind="stable")
+    if which is not None:
+        counts = np.zeros(len(t), bool)
+        counts[which] = True
+        order = order[counts[order]]
     t = t[order]
     b_begin, b_end = _at(barred, barriers.field("first_tok")), _at(barred, barriers.field("last_tok"))
     own = np.argsort(b_begin, kind="stable")
@@ -139,25 +128,57 @@ def holding(extents: DataFrame, points: DataFrame, barriers: DataFrame | None =
     return rows.mapInArrow(met, StructType([extents.schema["path"], key, StructField("points", ArrayType(point))]))
 
 
-def _nested(first: list[int], back: list[int]) -> tuple[list[int | None], list[int], list[int]]:
-    """Parent, depth and last place of one file's sorted extents."""
+def holding_any(extents: DataFrame, points: DataFrame, barriers: DataFrame | None, words: DataFrame, parts: int | None = None) -> DataFrame:
+    """(path, key) of extents that hold, as in ``enclosing``, a point of which is_source is true, or of whose parts one is among
+    words (path, names) of its file. What points count is told first, so no pair of an extent and another point is made, and
+    no row for any point."""
+    rows, key, _ = _met(extents, points, barriers)
+    # What a task holds of the names of its files is a part of what the pass over their points holds.
+    rows = rows.join(words.select("path", "names").hint("shuffle_hash"), "path", "left")
+
+    def met(batches):
+        for batch in batches:
+            (own, of), (given, file), (names, named) = (_spread(batch.column(c)) for c in ("extents", "points", "names"))
+            which = np.flatnonzero(np.asarray(pc.fill_null(given.field("is_source"), False)) | _among(given.field("parts"), file, names, named))
+            hit = np.unique(np.concatenate([np.zeros(0, np.int64), *[e for e, _ in _pairs(batch, which)]]))
+            yield pa.RecordBatch.from_arrays([batch.column("path").take(pa.array(of[hit])), own.field("key").take(pa.array(hit))], names=["path", "key"])
+
+    found = rows.mapInArrow(met, StructType([extents.schema["path"], key]))
+    return (found if parts is None else found.repartition(parts, "path")).distinct()
+
+
+def _among(lists: pa.ListArray, file: np.ndarray, words: pa.Array, of: np.ndarray) -> np.ndarray:
+    """Whether a list of words holds one of those of its file."""
+    items, at = _spread(lists)
+    told = pa.concat_arrays([items, words]).dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    found = np.isin((file[at] << 33) + told[: len(items)], (of << 33) + told[len(items) :])
+    return np.bincount(at[found], minlength=len(lists)) > 0
+
+
+def _nested(first: list[int], back: list[int]) -> tuple[list[int], list[int]]:
+    """Parent (-1 for none) and depth of sorted extents, those of one file after those of another, each with larger numbers."""
     parents, depths, still = [], [], []
-    for i, begin in enumerate(first):
+    for i, (begin, end) in enumerate(zip(first, back)):
         while still and -back[still[-1]] < begin:
             still.pop()
-        parent = next((j for j in reversed(still) if back[j] <= back[i]), None)
+        parent = -1
+        for j in reversed(still):
+            if back[j] <= end:
+                parent = j
+                break
         parents.append(parent)
-        depths.append(0 if parent is None else depths[parent] + 1)
+        depths.append(depths[parent] + 1 if parent >= 0 else 0)
         still.append(i)
-    return parents, depths, [bisect_right(first, -end) - 1 for end in back]
+    return parents, depths
 
 
-def elements(code_names: DataFrame, calls: DataFrame, arguments: DataFrame, assignments: DataFrame, functions: DataFrame) -> DataFrame:
+def elements(code_names: DataFrame, calls: DataFrame, arguments: DataFrame, assignments: DataFrame, functions: DataFrame, parts: int | None = None) -> DataFrame:
     """path, place (from 0, in pre-order), kind, tok_no, arg_no (of arguments, else 0), first_tok, last_tok, parent (the place
     of the latest element before it that holds it whole, null for none), depth (how many parents up), last_place (of the last
     element that begins in it): a file's elements as nested sets, where the places after an element's up to last_place are
     those of what lies in it. In code whose extents cross, some of these end after it. Calls begin with what their name
-    hangs on; tok_no is that of an assignment's sign, of a call's name, of the word or name a function begins with."""
+    hangs on; tok_no is that of an assignment's sign, of a call's name, of the word or name a function begins with. parts: in
+    how many parts elements are dealt out by path, or as other shuffles do."""
     def of(rows: DataFrame, kind: str, tok: str, first: str, last: str, arg: Column = F.lit(0)) -> DataFrame:
         more = F.col(tok).cast("int").alias("tok_no"), arg.cast("int").alias("arg_no")
         return rows.where(f"{first} <= {last}").select("path", _item(first, last, F.lit(KINDS.index(kind)), *more).alias("item"))
@@ -169,15 +190,19 @@ def elements(code_names: DataFrame, calls: DataFrame, arguments: DataFrame, assi
 
     def placed(batches):
         for batch in batches:
-            first, back, rank, tok, arg = batch.column(1).flatten().flatten()
-            for no, at, begins, backs, _ in _files(batch):
-                size = len(begins)
-                parents, depths, lasts = _nested(begins, backs)
-                own = [pa.array(x, pa.int32()) for x in (range(size), parents, depths, lasts)]
-                given = [x[at : at + size] for x in (rank, tok, arg, first, back)]
-                paths = batch.column(0).take(pa.array(np.full(size, no, np.int32)))
-                yield pa.RecordBatch.from_arrays([paths, *own, *given], names=["path", "place", "parent", "depth", "last_place", "rank", "tok_no", "arg_no", "first_tok", "back"])
-
-    found = _listed(rows).mapInArrow(placed, "path string, place int, parent int, depth int, last_place int, rank int, tok_no int, arg_no int, first_tok int, back int")
+            items, of = _spread(batch.column("items"))
+            columns = [x.to_numpy(zero_copy_only=False).astype(np.int64) for x in items.flatten()]
+            order = np.lexsort((*reversed(columns), of))
+            (first, back, rank, tok, arg), of = (c[order] for c in columns), of[order]
+            # Those of all files of a batch in one go: a file's tokens are greater than those of the files before it.
+            begin, end = (of << 33) + first, (of << 33) - back
+            start = np.searchsorted(of, of)
+            parents, depths = (np.array(x, np.int64) for x in _nested(begin.tolist(), (-end).tolist()))
+            last = np.searchsorted(begin, end, "right") - 1
+            own = [np.arange(len(of)) - start, np.where(parents >= 0, parents - start, -1), depths, last - start, rank, tok, arg, first, back]
+            own = [pa.array(x.astype(np.int32), pa.int32(), mask=parents < 0 if n == 1 else None) for n, x in enumerate(own)]
+            yield pa.RecordBatch.from_arrays([batch.column("path").take(pa.array(of)), *own], names=["path", "place", "parent", "depth", "last_place", "rank", "tok_no", "arg_no", "first_tok", "back"])
+
+    found = (rows if parts is None else rows.repartition(parts, "path")).groupBy("path").agg(F.collect_list("item").alias("items")).mapInArrow(placed, "path string, place int, parent int, depth int, last_place int, rank int, tok_no int, arg_no int, first_tok int, back int")
     kind = F.element_at(F.array(*map(F.lit, KINDS)), F.col("rank") + 1)
     return found.select("path", "place", kind.alias("kind"), "tok_no", "arg_no", "first_tok", (-F.col("back")).alias("last_tok"), "parent", "depth", "last_place")

@@ -6,7 +6,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import cached_property
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from coderake.functions.languages import BUILT_IN, Languages, has
@@ -31,22 +31,32 @@ class Facts:
 
     def __init__(self, files: DataFrame, sanitizers: list[str] = (), sinks: list[tuple[str, str, str]] = (), thresholds: tuple[int, int, int] = (15, 4, 80), location_mode: str = "function", persisted: bool = False, languages: Languages = BUILT_IN) -> None:
         self.languages = languages
-        self.files, self.more, self.more_sinks = files, {"sanitizer": list(sanitizers)}, list(sinks)
+        self.given, self.more, self.more_sinks = files, {"sanitizer": list(sanitizers)}, list(sinks)
         self.thresholds, self.location_mode, self.persisted = thresholds, location_mode, persisted
 
     @cached_property
     def parts(self) -> int:
         """In how many parts files are dealt out: as many as other shuffles have at first, and more if their texts would make
         these larger than PART_BYTES, so that no part's tokens spill however many files there are."""
-        least = int(self.files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        least = int(self.given.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         if not self.persisted:  # everything is to stay one lazy plan
             return least
-        size = self.files.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+        size = self.given.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
         return min(max(least, -(-size // PART_BYTES)), 100_000)
 
     def _kept(self, found: DataFrame) -> DataFrame:
+        """found: dealt out by path in so many parts, else each task writes to all of them."""
         return written(found, "facts", by="path", parts=self.parts) if self.persisted else found
 
+    @property
+    def _dealt(self) -> int | None:
+        return self.parts if self.persisted else None
+
+    @cached_property
+    def files(self) -> DataFrame:
+        """The files as they were given, dealt out by path like their facts: made once, and filters on texts work where these are."""
+        return self._kept(self.given.repartition(self.parts, "path")) if self.persisted else self.given
+
     @cached_property
     def tokens(self) -> DataFrame:
         return self._kept(tokens(self.files, languages=self.languages, parts=self.parts))
@@ -62,7 +72,7 @@ class Facts:
 
     @cached_property
     def arguments(self) -> DataFrame:
-        return self._kept(fact.arguments(self.code, self.calls))
+        return self._kept(fact.arguments(self.code, self.calls, self._dealt))
 
     @cached_property
     def assignments(self) -> DataFrame:
@@ -74,7 +84,7 @@ class Facts:
 
     @cached_property
     def elements(self) -> DataFrame:
-        return self._kept(elements(fact.names(self.code), self.calls, self.arguments, self.assignments, self.functions))
+        return self._kept(elements(fact.names(self.code), self.calls, self.arguments, self.assignments, self.functions, self._dealt))
 
     @cached_property
     def metrics(self) -> DataFrame:
@@ -82,7 +92,11 @@ class Facts:
 
     @cached_property
     def tainted(self) -> DataFrame:
-        return self._kept(taint.tainted_names(taint.events(self.code, self.calls, self.assignments, self.more)))
+        return self._kept(taint.tainted_names(taint.events(self.code, self.calls, self.assignments, self.more), self._dealt))
+
+    @cached_property
+    def sinks(self) -> DataFrame:
+        return self._kept(tainted_sinks(self))
 
     def located(self, extents: DataFrame) -> DataFrame:
         # Few beside tokens: dealt out by path like these, which then stay where they are.
@@ -96,38 +110,84 @@ def applying(rows: DataFrame, rule_id: str, languages: Languages = BUILT_IN) ->
     return rows.where(F.col("language").isin(*languages.under(rule_id)))
 
 
+def tainted_sinks(facts: Facts) -> DataFrame:
+    """path, language, kind (call or property), rule_id, first_tok, last_tok: sinks of all rules that something tainted reaches, told in
+    one pass over the names of files: calls whose last or whole name is a sink's, with a tainted argument, and assignments to a
+    sink property whose value is tainted."""
+    rule_ids = sorted({r for r, _ in SINKS} | {r for r, _, _ in facts.more_sinks})
+
+    def of(rows: DataFrame, kind: str, last: str, named) -> DataFrame:
+        asked = [F.when(F.col("language").isin(*facts.languages.under(r)) & named(facts.sink_names(r, kind)), r) for r in rule_ids]
+        rows = rows.withColumn("rules", F.array_compact(F.array(*asked))).where(F.size("rules") > 0)
+        return rows.select("*", F.struct(F.lit(kind).alias("kind"), "tok_no").alias("key"), F.col("start_tok").alias("first"), F.col(last).alias("last"))
+
+    calls = of(facts.calls, "call", "close_tok", lambda words: F.element_at("parts", -1).isin(*words) | F.col("callee").isin(*words))
+    assigned = of(facts.assignments, "property", "value_end", lambda words: F.element_at("target_chain", -1).isin(*words))
+    extents = facts.arguments.join(calls.select("path", F.col("tok_no").alias("call_tok"), "key"), ["path", "call_tok"]).select("path", "key", "first_tok", "last_tok")
+    extents = extents.unionByName(assigned.select("path", "key", F.col("value_start").alias("first_tok"), F.col("value_end").alias("last_tok")))
+    hit = taint.tainted_extents(facts.code, facts.calls, extents.repartition(facts.parts, "path"), facts.tainted, facts.more, facts._dealt)
+    columns = ["path", "language", "key", "rules", "first", "last"]
+    rows = calls.select(columns).unionByName(assigned.select(columns)).repartition(facts.parts, "path").join(hit, ["path", "key"])
+    return rows.select("path", "language", "key.kind", F.explode("rules").alias("rule_id"), F.col("first").alias("first_tok"), F.col("last").alias("last_tok"))
+
+
 def sink_calls(facts: Facts, rule_id: str) -> DataFrame:
-    """Calls whose last or whole name is a sink's, with a tainted argument: path, first_tok, last_tok."""
-    wanted = facts.sink_names(rule_id, "call")
-    found = applying(facts.calls, rule_id, facts.languages).where(F.element_at("parts", -1).isin(*wanted) | F.col("callee").isin(*wanted))
-    inside = facts.arguments.join(found.select("path", F.col("tok_no").alias("call_tok")), ["path", "call_tok"])
-    extents = inside.select("path", F.struct("call_tok", "arg_no").alias("key"), "first_tok", "last_tok")
-    hit = taint.tainted_extents(facts.code, facts.calls, extents, facts.tainted, facts.more).select("path", F.col("key.call_tok").alias("tok_no")).distinct()
-    return found.join(hit, ["path", "tok_no"]).select("path", "language", F.col("start_tok").alias("first_tok"), F.col("close_tok").alias("last_tok"))
+    """Calls whose last or whole name is a sink's, with a tainted argument: path, language, first_tok, last_tok."""
+    return facts.sinks.where((F.col("rule_id") == rule_id) & (F.col("kind") == "call")).select("path", "language", "first_tok", "last_tok")
 
 
 def sink_assignments(facts: Facts, rule_id: str) -> DataFrame:
     """Assignments to a sink property whose value is tainted."""
-    found = applying(facts.assignments, rule_id, facts.languages).where(F.element_at("target_chain", -1).isin(*facts.sink_names(rule_id, "property")))
-    extents = found.select("path", F.col("tok_no").alias("key"), F.col("value_start").alias("first_tok"), F.col("value_end").alias("last_tok"))
-    hit = taint.tainted_extents(facts.code, facts.calls, extents, facts.tainted, facts.more).withColumnRenamed("key", "tok_no")
-    return found.join(hit, ["path", "tok_no"]).select("path", "language", F.col("start_tok").alias("first_tok"), F.col("value_end").alias("last_tok"))
+    return facts.sinks.where((F.col("rule_id") == rule_id) & (F.col("kind") == "property")).select("path", "language", "first_tok", "last_tok")
 
 
 def _finding(rule_id: str, rows: DataFrame, message=None) -> DataFrame:
     """FINDING rows (without a rating) from path, location, ord and, for COMPLEXITY, message."""
-    title, text, remediation, references = RULE_TEXT[rule_id]
-    return rows.select(F.lit(rule_id).alias("rule_id"), F.lit(title).alias("title"), (message if message is not None else F.lit(text)).alias("message"), "location", F.lit(remediation).alias("remediation"), F.array(*[F.lit(r) for r in references]).alias("references"), F.lit(None).cast(FIX).alias("fix"), F.col("ord"))
+    return _findings(rows.withColumn("rule_id", F.lit(rule_id)), [rule_id], message).drop("rule_no")
+
+
+def _findings(rows: DataFrame, rule_ids: list[str], message=None) -> DataFrame:
+    """The same for rows of several rules with rule_id and, where there is one, rule_no; message: null for the rule's own text."""
+    def said(what) -> Column:
+        *others, last = rule_ids
+        own = what(*RULE_TEXT[last])
+        for r in others:
+            own = F.when(F.col("rule_id") == r, what(*RULE_TEXT[r])).otherwise(own)
+        return own
+
+    text = said(lambda title, text, remediation, references: F.lit(text))
+    own = text if message is None else F.coalesce(message, text) if len(rule_ids) > 1 else message
+    columns = [
+        "rule_id", said(lambda title, *_: F.lit(title)).alias("title"), own.alias("message"), "location", said(lambda title, text, remediation, references: F.lit(remediation)).alias("remediation"),
+        said(lambda title, text, remediation, references: F.array(*[F.lit(r) for r in references])).alias("references"), F.lit(None).cast(FIX).alias("fix"), F.col("ord"),
+    ]
+    return rows.select(*columns, *[c for c in ("rule_no",) if c in rows.columns])
+
+
+def _sql_extents(facts: Facts) -> DataFrame:
+    return sink_calls(facts, "SQLI").select("path", "first_tok", "last_tok", F.col("first_tok").alias("ord"), F.lit(None).cast("string").alias("message"))
+
+
+def _script_extents(facts: Facts) -> DataFrame:
+    rows = facts.sinks.where("rule_id = 'XSS'")
+    return rows.select("path", "first_tok", "last_tok", F.col("first_tok").alias("ord"), F.lit(None).cast("string").alias("message"))
+
+
+def _complex_extents(facts: Facts) -> DataFrame:
+    found = violations(applying(facts.metrics, "COMPLEXITY", facts.languages), facts.thresholds)
+    return found.select("path", F.col("start_tok").alias("first_tok"), F.col("end_tok").alias("last_tok"), F.col("start_tok").alias("ord"), _over().alias("message"))
+
+
+def _over() -> Column:
+    return F.concat(F.lit("Function '"), F.col("name"), F.lit("' is over its limits: "), F.array_join("violated", ", "))
 
 
 def sql_injection(facts: Facts) -> DataFrame:
-    rows = sink_calls(facts, "SQLI")
-    return _finding("SQLI", facts.located(rows.withColumn("ord", F.col("first_tok"))))
+    return _finding("SQLI", facts.located(_sql_extents(facts)))
 
 
 def cross_site_scripting(facts: Facts) -> DataFrame:
-    rows = sink_calls(facts, "XSS").unionByName(sink_assignments(facts, "XSS"))
-    return _finding("XSS", facts.located(rows.withColumn("ord", F.col("first_tok"))))
+    return _finding("XSS", facts.located(_script_extents(facts)))
 
 
 def secret_lines(texts: DataFrame, *keys: str) -> DataFrame:
@@ -205,20 +265,29 @@ def complexity_locations(facts: Facts, found: DataFrame) -> DataFrame:
 
 def complexity(facts: Facts) -> DataFrame:
     found = complexity_locations(facts, violations(applying(facts.metrics, "COMPLEXITY", facts.languages), facts.thresholds))
-    message = F.concat(F.lit("Function '"), F.col("name"), F.lit("' is over its limits: "), F.array_join("violated", ", "))
-    return _finding("COMPLEXITY", found, message)
+    return _finding("COMPLEXITY", found, _over())
 
 
 #: Rules in the order in which their findings are emitted.
 RULES: dict[str, Callable[[Facts], DataFrame]] = {"SQLI": sql_injection, "XSS": cross_site_scripting, "HARDCODED_SECRET": hardcoded_secret, "COMPLEXITY": complexity}
 
 
+#: Rules that tell extents of code alone: texts and tokens are met once for all of them.
+EXTENTS: dict[Callable[[Facts], DataFrame], Callable[[Facts], DataFrame]] = {sql_injection: _sql_extents, cross_site_scripting: _script_extents, complexity: _complex_extents}
+
+
 def raw_findings(facts: Facts, enabled: list[str] | None = None, rules: dict[str, Callable[[Facts], DataFrame]] = RULES) -> DataFrame:
     """All rules' rows with emission order (rule_no, ord); a rule that is not enabled is not planned. Duplicates stay."""
+    chosen = [(no, rule_id, rule) for no, (rule_id, rule) in enumerate(rules.items()) if enabled is None or rule_id in enabled]
+    # At the root of a file functions are reported with all of its text.
+    together = [x for x in chosen if x[2] in EXTENTS and x[1] in RULE_TEXT and (x[2] is not complexity or facts.location_mode == "function")]
     out = None
-    for no, (rule_id, rule) in enumerate(rules.items()):
-        if enabled is not None and rule_id not in enabled:
-            continue
-        rows = rule(facts).withColumn("rule_no", F.lit(no))
+    for no, rule_id, rule in together:
+        rows = EXTENTS[rule](facts).withColumn("rule_id", F.lit(rule_id)).withColumn("rule_no", F.lit(no))
         out = rows if out is None else out.unionByName(rows)
+    out = None if out is None else _findings(facts.located(out), [rule_id for _, rule_id, _ in together], F.col("message"))
+    for no, rule_id, rule in chosen:
+        if (no, rule_id, rule) not in together:
+            rows = rule(facts).withColumn("rule_no", F.lit(no))
+            out = rows if out is None else out.unionByName(rows)
     return out if out is not None else sql_injection(facts).where("false").withColumn("rule_no", F.lit(0))

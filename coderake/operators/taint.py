@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from coderake.functions.vocabulary import TAINT_TERMS
-from coderake.operators.elements import enclosing, holding
+from coderake.operators.elements import enclosing, holding, holding_any
 from coderake.operators.facts import called_names, names
 
 
@@ -66,12 +66,12 @@ def events(code: DataFrame, calls: DataFrame, assigned: DataFrame, more: dict[st
     return made.unionByName(seen).unionByName(no_more)
 
 
-def tainted_names(found: DataFrame) -> DataFrame:
+def tainted_names(found: DataFrame, parts: int | None = None) -> DataFrame:
     """(path, names): the names that are tainted once a file's events have passed in the order of the text. Whether an event
     taints depends on all before it, so a file's events are passed in turn; a set of names is asked and added to, which
     takes the same time however many names there are (an expression over arrays would copy them at each event). A file's
-    events are bounded by its size."""
-    listed = found.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("ord", "targets", "idents", "seeds"))).alias("events"))
+    events are bounded by its size. parts: as for ``arguments``."""
+    listed = (found if parts is None else found.repartition(parts, "path")).groupBy("path").agg(F.array_sort(F.collect_list(F.struct("ord", "targets", "idents", "seeds"))).alias("events"))
     known = set(TAINT_TERMS["source_identifier"])
 
     def scan(batches):
@@ -99,11 +99,6 @@ def tainted_names(found: DataFrame) -> DataFrame:
     return listed.mapInArrow(scan, "path string, names array<string>")
 
 
-def tainted_extents(code: DataFrame, calls: DataFrame, extents: DataFrame, tainted: DataFrame, more: dict[str, list[str]] | None = None) -> DataFrame:
-    """(path, key) of extents that are tainted, given all tainted names of the file."""
-    live = live_names(code, calls, extents, more)
-    at_once = live.where("is_source").select("path", "key")  # also where a part is an identifier of a source
-    # What a task holds of the names of its files is a part of what the pass over their events held: no sort of the live ones.
-    named = tainted.select("path", F.explode("names").alias("name")).hint("shuffle_hash")
-    by_name = live.where("NOT is_source").select("path", "key", F.explode("parts").alias("name")).join(named, ["path", "name"], "left_semi").select("path", "key")
-    return at_once.unionByName(by_name).distinct()
+def tainted_extents(code: DataFrame, calls: DataFrame, extents: DataFrame, tainted: DataFrame, more: dict[str, list[str]] | None = None, parts: int | None = None) -> DataFrame:
+    """(path, key) of extents that are tainted, given all tainted names of the file. parts: as for ``arguments``."""
+    return holding_any(extents, _inner_names(code), sanitizer_calls(calls, more), tainted, parts)  # a source also where a part is an identifier of one

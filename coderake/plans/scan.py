@@ -57,8 +57,8 @@ def scan(files: DataFrame, overrides: DataFrame | None = None, apply_fixes: bool
     facts = Facts(texts, thresholds=limit, persisted=persisted, languages=known, **options)
     raw = raw_findings(facts, leaf.get("rules.enabled", "").split(","), rules)
     rated = pol.with_rating(raw, F.broadcast(pol.rules(policy)))
-    found = fnd.with_suppression(rated, texts, leaf.get("suppression.inline_comment", "scan:ignore"))
+    found = fnd.with_suppression(rated, facts.files, leaf.get("suppression.inline_comment", "scan:ignore"))
     found = written(found, "found") if persisted else found
-    patched = fnd.apply_fixes(fnd.kept(found), texts, dry_run) if apply_fixes else None
+    patched = fnd.apply_fixes(fnd.kept(found), facts.files, dry_run) if apply_fixes else None
     counts = fnd.fix_counts(patched, spark)
-    return Scan(texts, found, fnd.summary(found, counts), fnd.gate(fnd.kept(found), leaf.get("reporting.fail_on_severity", "High")), left_out, patched)
+    return Scan(facts.files, found, fnd.summary(found, counts), fnd.gate(fnd.kept(found), leaf.get("reporting.fail_on_severity", "High")), left_out, patched)
