@@ -14,7 +14,7 @@ from coderake.functions.vocabulary import RULE_TEXT, SINKS
 from coderake.operators import facts as fact
 from coderake.operators import taint
 from coderake.operators.elements import elements, enclosing
-from coderake.operators.tokens import code_of, tokens
+from coderake.operators.tokens import code_of, named_code, numbered_code, tokens
 from coderake.plans.tables import written
 from coderake.sources.files import LINE_END
 
@@ -64,7 +64,9 @@ class Facts:
     @cached_property
     def code(self) -> DataFrame:
         # Not from the written tokens: texts are dealt out once for both, and most rules need no other token.
-        return self._kept(code_of(self.files, languages=self.languages, parts=self.parts))
+        if not self.persisted:
+            return code_of(self.files, languages=self.languages, parts=self.parts)
+        return named_code(self._kept(numbered_code(self.files, self.languages, self.parts)), self.languages)
 
     @cached_property
     def calls(self) -> DataFrame:

@@ -265,18 +265,19 @@ def _spread(batch: pa.RecordBatch, sizes: np.ndarray, meaning, keys: tuple[str,
     found = [pa.array(x, kind) for x, kind in zip(told, _WORDS.values())]
     found = [pa.DictionaryArray.from_arrays(codes, x) if kind == pa.string() else x.take(codes) for x, kind in zip(found, _WORDS.values())]
     given = [*dict.fromkeys((*keys, "blocks", "bare"))]
-    columns = [*[batch.column(c).take(rows) for c in given], _ints(np.arange(len(file)) - starts[file]), *found]
+    columns = [*[(batch.column(c) if c in ("path", "bare") else batch.column(c).dictionary_encode()).take(rows) for c in given], _ints(np.arange(len(file)) - starts[file]), *found]
     return pa.RecordBatch.from_arrays(columns, names=[*given, "tok_no", *_WORDS]), starts[sizes > 0]
 
 
 _TOKENS = "tok_no int, kind string, text string, mask string, off int, byte_off int, byte_end int, line_no int, col_no int, paren_depth int, brace_depth int, breaks int"
 
 
-def _rows(files: DataFrame, keys: tuple[str, ...], languages: Languages, parts: int | None, what, columns: str) -> DataFrame:
-    """keys, blocks, bare and the columns that what(batch, begins) gives (a batch, and the last of the columns) for tokens of files."""
+def _rows(files: DataFrame, keys: tuple[str, ...], languages: Languages, parts: int | None, what, columns: str | StructType) -> DataFrame:
+    """keys, blocks, bare and the columns that what(batch, begins) gives (a batch, and the last of the columns) for tokens of files; or, with
+    a schema, these columns alone."""
     parts = parts or int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     lists = lexed(files.repartition(parts, keys[0]), languages).select(*dict.fromkeys((*keys, "language")), "blocks", "bare", "second", "raws")
-    schema = StructType([*[lists.schema[k] for k in (*keys, "blocks", "bare")], *StructType.fromDDL(columns).fields])
+    schema = columns if isinstance(columns, StructType) else StructType([*[lists.schema[k] for k in (*keys, "blocks", "bare")], *StructType.fromDDL(columns).fields])
 
     def each(batches):
         meaning = _meaning(languages)
@@ -568,6 +569,39 @@ def code_of(files: DataFrame, keys: tuple[str, ...] = KEYS, languages: Languages
     return _rows(files, keys, languages, parts, _near_in, _CODE)
 
 
+#: Kinds of code tokens.
+_KINDS = ("name", "number", "string", "op")
+_NUMBERED = "path string, language int, " + _CODE.replace("kind string", "kind int").replace("source string", "source int")
+
+
+def numbered_code(files: DataFrame, languages: Languages = BUILT_IN, parts: int | None = None) -> DataFrame:
+    """``code_of`` as it is written: with numbers for languages, kinds and sources, and without what a language alone tells, so that
+    no row carries these words. ``named_code`` gives them back."""
+    schema = StructType.fromDDL(_NUMBERED)
+    words = {"language": languages.names, "kind": _KINDS, "source": _SOURCES}
+
+    def numbered(batch: pa.RecordBatch, begins: np.ndarray) -> tuple[pa.RecordBatch, list[pa.Array]]:
+        own, near = _near_in(batch, begins)
+        found = dict(zip((*own.schema.names, *_NEAR), (*own.columns, *near)))
+        return own, [_number(found[n], words[n]) if n in words else found[n] for n in schema.names]
+
+    return _rows(files, KEYS, languages, parts, numbered, schema)
+
+
+def _number(column: pa.Array, words: tuple[str, ...]) -> pa.Array:
+    found = column if pa.types.is_dictionary(column.type) else column.dictionary_encode()
+    return pc.index_in(found.dictionary, pa.array(words, pa.string())).take(found.indices)
+
+
+def named_code(rows: DataFrame, languages: Languages = BUILT_IN) -> DataFrame:
+    """The rows of ``code_of`` from those of ``numbered_code``."""
+    # Not element_at: it takes a null place in a constant array for one that is there.
+    of = lambda c, words: F.get(F.array(*[F.lit(w) for w in words]), F.col(c))
+    told = {"kind": of("kind", _KINDS), "source": of("source", _SOURCES)}
+    own = [of("language", x).alias(n) for n, x in (("language", languages.names), ("blocks", [languages.blocks.get(k, "braces") for k in languages.names]), ("bare", [k in languages.bare for k in languages.names]))]
+    return rows.select("path", *own, *[told[c].alias(c) if c in told else c for c in rows.columns[2:]])
+
+
 def code_tokens(rows: DataFrame, keys: tuple[str, ...] = KEYS, languages: Languages = BUILT_IN) -> DataFrame:
     """The same from ``tokens``: those of a file together and in order."""
     # A row for each word of each language: small by nature.

@@ -35,3 +35,15 @@ def test_large_and_small_files_and_none(spark):
     assert own.code.count() == 6 * 20_030 and own.calls.count() == 20_030
     assert own.assignments.groupBy("path").count().where("count = 1").count() == 30
     assert own.tokens.groupBy("path").agg(F.min("off").alias("first"), F.max("tok_no").alias("last"), F.count("*").alias("n")).where("first <> 0 OR last + 1 <> n").count() == 0
+
+
+def test_code_is_written_with_numbers_for_words(spark):
+    """Languages, kinds and sources come back as they were; no row of the written table carries them, or what a language alone tells."""
+    files = texts(spark, ("a.py", "python", "x = request.args.get('id')\nif x: f(1, x)\n"), ("b.rb", "ruby", "q params[:id] if 'a' # b\n"), ("c.js", "javascript", "let a = `x`;\n/* c */"), ("d.go", "go", "input("), ("none.go", "go", " \n"))
+    code = code_of(files)
+    own = rul.Facts(files, persisted=True)
+    assert own.code.columns == code.columns and [f.dataType for f in own.code.schema] == [f.dataType for f in code.schema]
+    rows = lambda df: sorted(map(str, df.collect()))
+    assert rows(own.code) == rows(code) and code.where("source IS NOT NULL").count() > 2
+    stored = {f.name: f.dataType.simpleString() for f in spark.read.parquet(*own.code.inputFiles()).schema}
+    assert {c: stored.get(c) for c in ("language", "kind", "source", "blocks", "bare")} == {"language": "int", "kind": "int", "source": "int", "blocks": None, "bare": None}
